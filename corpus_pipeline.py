@@ -2,11 +2,62 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from trialpulse.llm import decontaminate, jaccard, pieces, quality, shared, superkmer
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for good."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.classify(docs, labels, keep=True).where("predicted = 1").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one that names it. Rows without an id stay unless an identified one is like them."""
+    named = jaccard.similar(docs).where("doc_id <=> component_id").select("doc_id").distinct()
+    d, n = docs.alias("d"), named.alias("n")
+    return d.join(n, F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")), "left_semi").select(*docs.columns)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more stay in the document with the smallest id; texts that lose nothing stay as they are."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    cut = superkmer.deduplicate(docs, with_text=True, keep=rest)
+    return cut.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").select("doc_id", "key").distinct()
+    d, f = docs.alias("d"), found.alias("f")
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("f.key"))
+    return d.join(f, same, "left_anti").select(*docs.columns)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("substring dedup", substring_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("SentencePiece encoding and decoding", encoding_stage),
+]
+
+#: A trained classifier and a tokenizer have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = shared.staged(docs, f"stage{i}")
+    return docs

@@ -10,7 +10,7 @@ shard is hot, and a shard's size follows from the number of shards alone.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +30,9 @@ def block_count(docs: DataFrame, text: str = "text", size: int = BLOCK_BYTES) ->
     return max(1, math.ceil(total / size))
 
 
-def in_blocks(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(block, doc_id, text): a block is a function of the id alone, so a retried task rebuilds the same one."""
-    return docs.select(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def in_blocks(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(block, doc_id, text, *keep): a block is a function of the id alone, so a retried task rebuilds the same one."""
+    return docs.select(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep)
 
 
 def send(block: int, keys: np.ndarray, n: int, *columns: np.ndarray) -> pa.Table:

@@ -175,7 +175,7 @@ def similar(docs: DataFrame, share: int = 80, size: int = 5, id_col: str = "doc_
     """doc_id, n_shingles, component_id for every row; links are 100 * intersection >= share * union."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows, table = _survey(docs, size)
-    spread = _prefixes(docs, table, size, share).repartition("token").groupBy("token", "cls", "n", "pos").agg()
+    spread = _prefixes(docs, table, size, share).repartition("token").distinct()
     first = F.struct("pos", "n", "cls")
     hubs = spread.groupBy("token").agg(F.count("*").alias("holders"), F.min(first).alias("hub")).where("holders > 1")
     met = staged(spread.join(hubs.select("token", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")), "token"), "met")

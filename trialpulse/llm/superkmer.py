@@ -17,10 +17,12 @@ are not looked at.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import blocks as B
 from . import kernel as K
@@ -102,8 +104,8 @@ def _bucket(table: pa.Table, window: int) -> pa.Table:
     return B.answer(table, message, least)
 
 
-def deduplicate(docs: DataFrame, window: int = 50, gram: int = 4, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, ``with_text``, kept_text: the whole text where nothing is removed, else the kept words joined by one space."""
+def deduplicate(docs: DataFrame, window: int = 50, gram: int = 4, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, ``with_text``, kept_text: the whole text where nothing is removed, else the kept words joined by one space. ``keep``: further columns of the input."""
     n = B.block_count(docs, text_col)
 
     def make(key, table):
@@ -140,15 +142,16 @@ def deduplicate(docs: DataFrame, window: int = 50, gram: int = 4, id_col: str =
             x, y = first[i], first[i + 1]
             text = b.norm[b.at[x] : max(b.at[x], b.at[y] - 1)]
             if removed[i]:
-                keep = np.repeat(~gone[x:y], sizes[x:y])
-                text = np.frombuffer(b.norm, np.uint8)[b.at[x] : b.at[y]][keep].tobytes()[:-1]
+                stay = np.repeat(~gone[x:y], sizes[x:y])
+                text = np.frombuffer(b.norm, np.uint8)[b.at[x] : b.at[y]][stay].tobytes()[:-1]
             kept.append(hashlib.sha256(text).hexdigest())
             if with_text:
                 texts.append(text.decode() if removed[i] else column[i])
         out = {"doc_id": table["doc_id"], "n_words": np.diff(first), "n_removed": removed, "kept_sha256": kept}
-        return pa.table(out | ({"kept_text": pa.array(texts, pa.string())} if with_text else {}))
+        return pa.table(out | ({"kept_text": pa.array(texts, pa.string())} if with_text else {}) | {c: table[c] for c in keep})
 
-    blocks = B.in_blocks(docs, n, id_col, text_col)
+    blocks = B.in_blocks(docs, n, id_col, text_col, keep)
     answers = B.ask(blocks, make, reply)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    schema = T.StructType([*schema, *(docs.schema[c] for c in keep)])
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
