@@ -12,7 +12,7 @@ from trialpulse.llm import decontaminate, jaccard, pieces, quality, shared, supe
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.classify(docs, labels, keep=True).where("predicted = 1").select(*docs.columns)
+    return quality.classify(docs, labels, good_only=True)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more stay in the document with the smallest id; texts that lose nothing stay as they are."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = superkmer.deduplicate(docs, with_text=True, keep=rest)
-    return cut.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    carried = docs.select("doc_id", "text", F.struct(F.lit(1).alias("_"), *rest).alias("rest"))
+    cut = superkmer.deduplicate(carried, with_text=True, keep=["rest"])
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return cut.select(*(new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,16 +35,16 @@ def in_blocks(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text
     return docs.select(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep)
 
 
-def send(block: int, keys: np.ndarray, n: int, *columns: np.ndarray) -> pa.Table:
-    """Messages of a block: its sorted distinct keys, dealt to n shards by key range, with parallel columns of int64."""
+def send(block: int, keys: np.ndarray, n: int, *columns: np.ndarray, shift: int = 0, base: int = 0) -> pa.Table:
+    """Messages of a block: its sorted keys, dealt by key range to n shards from ``base`` on, with parallel columns of int64. shift: low bits of the keys left out."""
     shard = (keys >> K.U(32)) * K.U(n) >> K.U(32)
     cuts = np.searchsorted(shard, np.arange(n + 1, dtype=K.U))
     rows: dict[str, list] = {"shard": [], "block": [], "keys": [], "data": []}
     for s in np.flatnonzero(np.diff(cuts)):
         a, b = cuts[s], cuts[s + 1]
-        rows["shard"].append(int(s))
+        rows["shard"].append(base + int(s))
         rows["block"].append(block)
-        rows["keys"].append(K.pack_sorted(keys[a:b]))
+        rows["keys"].append(K.pack_sorted(keys[a:b] >> K.U(shift)))
         rows["data"].append(K.pack(np.concatenate([np.asarray(c[a:b]).astype(np.int64) for c in columns])) if columns else b"")
     return pa.table(rows, schema=_SCHEMA)
 

@@ -71,15 +71,20 @@ class _Block:
         a, b = self.words[self.pairs // n], self.words[self.pairs % n]
         two = K.mix((a * K.GRAM + b) ^ ORDER2)
         three = K.mix((two[self.context] * K.GRAM + self.words[self.triples % n]) ^ ORDER3)
-        keys = np.concatenate((K.mix(self.words), two, three))
+        keys = np.concatenate((two, three))
         self.order = np.argsort(keys)
-        self.keys, self.counts = keys[self.order], np.concatenate(counts)[self.order]
+        self.keys, self.counts, self.word_counts = keys[self.order], np.concatenate(counts[1:])[self.order], counts[0]
+
+    def send(self, block: int, shards: int, shift: int) -> pa.Table:
+        """Longer n-grams first, then words, whose keys stay whole: their counts are exact."""
+        return pa.concat_tables([B.send(block, self.keys, shards, self.counts, shift=shift), B.send(block, self.words, shards, self.word_counts, base=shards)])
 
     def corpus(self, answers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Corpus counts of words, bigrams and trigrams."""
         out = np.empty(len(self.order), np.int64)
-        out[self.order] = answers
-        n, m = len(self.words), len(self.pairs)
-        return out[:n], out[n : n + m], out[n + m :]
+        out[self.order] = answers[: len(self.order)]
+        m = len(self.pairs)
+        return answers[len(self.order) :], out[:m], out[m:]
 
 
 def _sum(table: pa.Table) -> pa.Table:
@@ -90,36 +95,48 @@ def _sum(table: pa.Table) -> pa.Table:
     return B.answer(table, source, values)
 
 
-def totals(docs: DataFrame, mod: int, held: int) -> tuple[int, int]:
+def totals(docs: DataFrame, shards: int, mod: int, held: int) -> tuple[int, int]:
     """N and V of the training rows: tokens with one end a text, and distinct tokens."""
 
     def count(batches):
+        words, tokens, texts = np.zeros(0, K.U), 0, 0
         for batch in batches:
             keep = remainder(batch.column("doc_id").to_pylist(), mod) != held
             data, offsets = K.flat(batch.column("text").filter(pa.array(keep)))
-            rows = len(offsets) - 1
+            texts += len(offsets) - 1
             for a, b in K.slices(offsets, 8 << 20):
                 hashes, _ = K.word_hashes(K.fold(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a])
-                word, n = np.unique(hashes, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"word": word.view(np.int64), "n": n})
-            if rows:
-                yield pa.RecordBatch.from_pydict({"word": np.array([END], K.U).view(np.int64), "n": np.array([rows])})
-
-    seen = docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    n, v = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("word")).first()
-    return n, v
-
-
-def score_documents(docs: DataFrame, mod: int = 5, held: int = 1, mu2: float = 300.0, mu3: float = 2.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                tokens += len(hashes)
+                words = np.union1d(words, hashes)
+        if texts:
+            words = np.union1d(words, np.array([END], K.U))
+        # block: what this task counted, once
+        sent = B.send(0, words, shards)
+        yield from sent.to_batches()
+        yield from B.send(tokens + texts, np.array([END], K.U), 1, base=shards).to_batches()
+
+    def distinct(key, table):
+        if key[0].as_py() == shards:
+            return pa.table({"n": [sum(table["block"].to_pylist())], "v": [0]})
+        keys, _, _, _ = B.received(table)
+        return pa.table({"n": [0], "v": [len(np.unique(keys))]})
+
+    seen = docs.mapInArrow(count, B.MESSAGE).groupBy("shard").applyInArrow(distinct, "n long, v long")
+    return tuple(seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first())
+
+
+def score_documents(docs: DataFrame, mod: int = 5, held: int = 1, mu2: float = 500.0, mu3: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     shards = B.block_count(docs, text_col)
     clean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total, distinct = totals(clean, mod, held)
+    total, distinct = totals(clean, shards, mod, held)
+    # keys of longer n-grams keep 19 bits more than it takes to number them all: one in half a million meets another
+    shift = max(0, 64 - 19 - (3 * total + 1).bit_length())
     mass = total + 0.5 * (distinct + 1)
 
     def make(key, table):
         b = _Block(table, mod, held)
-        return B.send(key[0].as_py(), b.keys, shards, b.counts)
+        return b.send(key[0].as_py(), shards, shift)
 
     def reply(key, table):
         return _sum(table)

@@ -3,7 +3,7 @@
 Trusted positives are training rows labelled 1; unlabelled web text are training
 rows without a label. Labels of the other kind are never used. A first linear
 model of positives against unlabelled rows gives the class prior: the smallest
-ratio, over score thresholds, of the unlabelled share above it to the positive
+ratio, over low score thresholds, of the unlabelled share above it to the positive
 share above it. The classifier then minimises the non-negative unbiased risk
 pi R_p(+) + max(0, R_u(-) - pi R_p(-)) with the logistic loss, so its score is a
 probability. It is fitted on the driver on at most ``sample`` rows of either
@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import kernel as K
 from .langmodel import remainder
@@ -68,7 +67,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _descend(x_p: np.ndarray, x_u: np.ndarray, prior: float | None, steps: int, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+def _descend(x_p: np.ndarray, x_u: np.ndarray, prior: float | None, steps: int, rate: float = 0.05, decay: float = 1e-2) -> np.ndarray:
     """Weights by Adam on all rows. prior None: positives against unlabelled; else the non-negative risk."""
     w = np.zeros(x_p.shape[1])
     m, v = np.zeros_like(w), np.zeros_like(w)
@@ -87,13 +86,22 @@ def _descend(x_p: np.ndarray, x_u: np.ndarray, prior: float | None, steps: int,
     return w
 
 
-def estimate_prior(s_p: np.ndarray, s_u: np.ndarray) -> float:
-    """Share of positives among unlabelled rows, from the scores of a model that tells the two samples apart."""
-    cuts = np.unique(np.quantile(s_p, np.linspace(0, 0.5, 201)))
+def _ratio(s_p: np.ndarray, s_u: np.ndarray) -> float:
+    cuts = np.unique(np.quantile(s_p, np.linspace(0, 0.1, 41)))
     p = 1 - np.searchsorted(np.sort(s_p), cuts) / len(s_p)
     u = 1 - np.searchsorted(np.sort(s_u), cuts) / len(s_u)
-    slack = np.sqrt(1 / len(s_p)) / 2 + np.sqrt(1 / len(s_u)) / 2
-    return float(np.clip(np.min((u + slack * (1 - p)) / np.maximum(p, 1e-9)), 0.01, 0.99))
+    return float(np.min(u / p))
+
+
+def estimate_prior(x_p: np.ndarray, x_u: np.ndarray, steps: int) -> float:
+    """Share of positives among unlabelled rows: two halves, each measured by a model of the other that tells the samples apart."""
+    got = []
+    for half in (0, 1):
+        probe = _descend(x_p[half::2], x_u[half::2], None, steps)
+        p, u = x_p[1 - half :: 2], x_u[1 - half :: 2]
+        if len(p) and len(u):
+            got.append(_ratio(p @ probe, u @ probe))
+    return float(np.clip(np.mean(got), 0.01, 0.99)) if got else 0.5
 
 
 class Model:
@@ -112,8 +120,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600) -> Model
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 1e-6
     x_p, x_u = (np.column_stack([np.clip((x - mean) / scale, -8, 8), np.ones(len(x))]) for x in (positive, unlabelled))
-    probe = _descend(x_p, x_u, None, steps // 2)
-    prior = estimate_prior(x_p @ probe, x_u @ probe)
+    prior = estimate_prior(x_p, x_u, steps // 2)
     return Model(mean, scale, _descend(x_p, x_u, prior, steps), prior)
 
 
@@ -138,8 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, sampl
     return fit(x[positive], x[~positive])
 
 
-def classify(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, threshold: float = 0.7, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; labels has doc_id and quality. ``keep``: the input's columns, then score and predicted."""
+def classify(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, threshold: float = 0.7, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", good_only: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row; labels has doc_id and quality. ``good_only``: the input's rows that are predicted 1."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     model = train(rows, labels, mod, held, sample)
 
@@ -148,11 +155,10 @@ def classify(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, th
             s = model(features(batch.column("text")))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": remainder(batch.column("doc_id").to_pylist(), mod) == held, "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
-    def extend(batches):
+    def choose(batches):
         for batch in batches:
-            s = model(features(batch.column(batch.schema.get_field_index(text_col))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield batch.filter(pa.array(model(features(batch.column(batch.schema.get_field_index(text_col)))) >= threshold))
 
-    if keep:
-        return docs.mapInArrow(extend, T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    if good_only:
+        return docs.mapInArrow(choose, docs.schema)
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
