@@ -88,7 +88,66 @@ for _n, _k, _more, _p in (("region", "region", "count(DISTINCT study) AS study_c
     CTES[f"{_n}_cuts"] = f"SELECT round(quantile_cont(avg_dqi_score, {_p}), 10) AS hi, round(quantile_cont(avg_dqi_score, 0.5), 10) AS med FROM {_n}_level"
     CTES[f"{_n}_dqi"] = f"SELECT {_n}_level.*, CASE WHEN avg_dqi_score >= hi THEN 'High' WHEN avg_dqi_score >= med THEN 'Medium' ELSE 'Low' END AS {_n}_risk_category FROM {_n}_level, {_n}_cuts"
 
-_NEEDS: dict[str, list[str]] = {}
+
+def _label(metric: str) -> str:
+    return metric.replace("_sum", "").replace("_count", "").replace("_", " ").title()
+
+
+_none = "CAST(NULL AS DOUBLE)"
+CTES["a_long"] = " UNION ALL ".join(
+    f"SELECT {_keys}, '{m}' AS metric, '{_label(m)}' AS name, CAST({m} AS DOUBLE) AS x, avg(CAST({m} AS DOUBLE)) OVER () AS mean, stddev_samp(CAST({m} AS DOUBLE)) OVER () AS std FROM site" for m in C.OUTLIER_METRICS
+)
+CTES["a_z"] = "SELECT *, CASE WHEN COALESCE(std, 0) = 0 THEN 0.0 ELSE round((x - mean) / std, 10) END AS z FROM a_long"
+CTES["a_statistical"] = (
+    "SELECT 'STATISTICAL_OUTLIER' AS anomaly_type, 'Z-Score' AS detection_method, 'site' AS level, study, site_id, country, region, metric, CASE WHEN z >= 5 THEN 'CRITICAL' WHEN z >= 4 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, "
+    "name || ' is above average: ' || CAST(x AS BIGINT) AS description, x AS value, round(z, 2) AS zscore FROM a_z WHERE z >= 3"
+)
+_tot5 = "(sae_pending_count_sum + missing_visit_count_sum + missing_pages_count_sum + lab_issues_count_sum + inactivated_forms_count_sum)"
+_kinds = [("SAE Pending", "sae_pending_count_sum"), ("Missing Visits", "missing_visit_count_sum"), ("Missing Pages", "missing_pages_count_sum"), ("Lab Issues", "lab_issues_count_sum"), ("Inactivated Forms", "inactivated_forms_count_sum")]
+CTES["a_dominant"] = "SELECT *, CASE " + " ".join(f"WHEN {c} / GREATEST({_tot5}, 1) >= 0.75 THEN '{k}'" for k, c in _kinds) + " END AS dominant FROM site"
+_stale = "missing_visit_count_sum + missing_pages_count_sum"
+_patterns = [
+    ("sae_pending_count_sum >= 3 AND site_risk_category <> 'High'", "SAE_NOT_FLAGGED", "CRITICAL", "sae_pending_count_sum || ' pending SAE reviews, site not High'"),
+    ("subject_count >= 30 AND avg_dqi_score = 0", "ZERO_ISSUES_HIGH_VOLUME", "MEDIUM", "subject_count || ' subjects without issues'"),
+    (f"{_stale} >= 5 AND GREATEST(max_days_outstanding_sum, max_days_page_missing_sum) >= 45", "STALE_MISSING_DATA", "HIGH", f"({_stale}) || ' missing items, ' || GREATEST(max_days_outstanding_sum, max_days_page_missing_sum) || ' days'"),
+    ("subject_count >= 10 AND high_risk_count * 100 / subject_count >= 40", "MAJORITY_HIGH_RISK", "HIGH", "high_risk_count || ' of ' || subject_count || ' subjects High'"),
+    (f"{_tot5} >= 15 AND dominant IS NOT NULL", "SINGLE_ISSUE_DOMINANCE", "MEDIUM", "dominant || ' dominates'"),
+    ("sae_pending_count_sum >= 5 AND uncoded_meddra_count_sum = 0", "SAE_WITHOUT_CODING", "MEDIUM", "sae_pending_count_sum || ' pending SAE, no uncoded terms'"),
+]
+CTES["a_pattern"] = " UNION ALL ".join(
+    f"SELECT 'PATTERN_ANOMALY' AS anomaly_type, '{n}' AS detection_method, 'site' AS level, study, site_id, country, region, '{n}' AS metric, '{sev}' AS severity, {text} AS description, {_none} AS value, {_none} AS zscore FROM a_dominant WHERE {w}" for w, n, sev, text in _patterns
+)
+CTES["a_portfolio"] = "SELECT avg(avg_dqi_score) AS dm, stddev_samp(avg_dqi_score) AS ds, avg(high_risk_count / GREATEST(subject_count, 1)) AS rm, stddev_samp(high_risk_count / GREATEST(subject_count, 1)) AS rs FROM site"
+CTES["a_country"] = "SELECT country_dqi.*, CASE WHEN COALESCE(ds, 0) = 0 THEN 0.0 ELSE round((avg_dqi_score - dm) / ds, 10) END AS dz, CASE WHEN COALESCE(rs, 0) = 0 THEN 0.0 ELSE round((high_risk_rate - rm) / rs, 10) END AS rz FROM country_dqi, a_portfolio WHERE site_count >= 3"
+CTES["a_region"] = "SELECT *, avg(avg_dqi_score) OVER () AS m, stddev_samp(avg_dqi_score) OVER () AS sd, count(*) OVER () AS n FROM region_dqi WHERE site_count >= 5"
+CTES["a_region_z"] = "SELECT *, CASE WHEN COALESCE(sd, 0) = 0 THEN 0.0 ELSE round((avg_dqi_score - m) / sd, 10) END AS z FROM a_region WHERE n >= 2"
+CTES["a_regional"] = f"""
+SELECT 'REGIONAL_ANOMALY' AS anomaly_type, 'COUNTRY_HIGH_DQI' AS detection_method, 'country' AS level, 'Portfolio' AS study, country || ' (' || site_count || ' sites)' AS site_id, country, region, 'country_avg_dqi' AS metric, CASE WHEN dz >= 2.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, country || ' average index above portfolio' AS description, round(avg_dqi_score, 4) AS value, round(dz, 2) AS zscore FROM a_country WHERE dz >= 1.5
+UNION ALL SELECT 'REGIONAL_ANOMALY', 'COUNTRY_HIGH_RISK_RATE', 'country', 'Portfolio', country || ' (' || site_count || ' sites)', country, region, 'high_risk_rate', 'HIGH', country || ' high-risk subject rate', round(high_risk_rate, 4), round(rz, 2) FROM a_country WHERE high_risk_rate >= 0.25
+UNION ALL SELECT 'REGIONAL_ANOMALY', 'REGION_COMPARISON', 'region', 'Portfolio', region || ' (' || site_count || ' sites)', 'Multiple', region, 'region_avg_dqi', CASE WHEN z > 0 THEN 'HIGH' ELSE 'MEDIUM' END, region || ' index ' || CASE WHEN z > 0 THEN 'above' ELSE 'below' END || ' other regions', round(avg_dqi_score, 4), round(z, 2) FROM a_region_z WHERE abs(z) >= 1"""
+CTES["a_multi"] = """SELECT site_id, round(avg(avg_dqi_score), 10) AS avg_dqi_score, count(*) AS n, count(*) FILTER (site_risk_category = 'High') AS n_high, string_agg(study, ', ' ORDER BY study, country, region, site_risk_category) AS study,
+COALESCE(string_agg(study, ', ' ORDER BY study, country, region) FILTER (site_risk_category = 'High'), '') AS high_in, arg_min(country, (study, country, region)) AS country, arg_min(region, (study, country, region)) AS region FROM site GROUP BY site_id HAVING count(*) >= 2"""
+CTES["a_cross"] = f"""
+SELECT 'CROSS_STUDY_ANOMALY' AS anomaly_type, 'REPEAT_OFFENDER' AS detection_method, 'site' AS level, study, site_id, country, region, 'cross_study_high_risk' AS metric, CASE WHEN n_high = n THEN 'CRITICAL' ELSE 'HIGH' END AS severity, 'High in ' || n_high || '/' || n || ' studies: ' || high_in AS description, CAST(n_high AS DOUBLE) AS value, {_none} AS zscore FROM a_multi WHERE n_high / n >= 0.4
+UNION ALL SELECT 'CROSS_STUDY_ANOMALY', 'ELEVATED_DQI_MULTI_STUDY', 'site', study, site_id, country, region, 'avg_dqi_across_studies', 'MEDIUM', 'Raised index across ' || n || ' studies', round(avg_dqi_score, 3), {_none} FROM a_multi WHERE avg_dqi_score >= 0.2 AND n_high / n < 0.4"""
+CTES["a_total"] = "SELECT *, " + " + ".join(f"{f}_sum" for f in C.SUMMED) + " AS total FROM site"
+CTES["a_dens"] = "SELECT *, total / GREATEST(subject_count, 1) AS density, avg(total / GREATEST(subject_count, 1)) OVER () AS m, stddev_samp(total / GREATEST(subject_count, 1)) OVER () AS sd, CAST(sum(total) OVER (PARTITION BY study) AS BIGINT) AS study_total FROM a_total"
+CTES["a_dens_z"] = "SELECT *, CASE WHEN COALESCE(sd, 0) = 0 THEN 0.0 ELSE round((density - m) / sd, 10) END AS z FROM a_dens"
+CTES["a_density"] = "SELECT 'VELOCITY_ANOMALY' AS anomaly_type, 'HIGH_ISSUE_DENSITY' AS detection_method, 'site' AS level, study, site_id, country, region, 'issue_density' AS metric, CASE WHEN z >= 3.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, total || ' issues of ' || subject_count || ' subjects' AS description, round(density, 2) AS value, round(z, 2) AS zscore FROM a_dens_z WHERE z >= 2.5 AND subject_count >= 5"
+
+
+def concentrated(least: int, share: float) -> str:
+    return f"SELECT 'VELOCITY_ANOMALY' AS anomaly_type, 'STUDY_CONCENTRATION' AS detection_method, 'site' AS level, study, site_id, country, region, 'study_issue_pct' AS metric, 'HIGH' AS severity, total || ' of ' || study_total || ' issues' AS description, round(total / study_total, 3) AS value, {_none} AS zscore FROM a_dens_z WHERE study_total >= {least} AND total / study_total >= {share}"
+
+
+CTES["a_concentration"] = concentrated(50, 0.5)
+CTES["anomalies"] = " UNION ALL ".join(f"SELECT * FROM {k}" for k in ("a_statistical", "a_pattern", "a_regional", "a_cross", "a_density", "a_concentration"))
+CTES["a_ranked"] = "SELECT *, row_number() OVER (PARTITION BY study, site_id ORDER BY anomaly_type, detection_method, metric, description) AS rn, CASE severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END AS weight FROM anomalies WHERE level = 'site'"
+CTES["a_scores"] = """SELECT study, site_id, count(*) AS anomaly_count, count(*) FILTER (severity = 'CRITICAL') AS critical_count, count(*) FILTER (severity = 'HIGH') AS high_count, count(*) FILTER (severity = 'MEDIUM') AS medium_count, count(*) FILTER (severity = 'LOW') AS low_count,
+COALESCE(string_agg(substring(description, 1, 100), '; ' ORDER BY rn) FILTER (rn <= 3), '') AS top_anomalies, string_agg(DISTINCT anomaly_type, ', ' ORDER BY anomaly_type) AS anomaly_types, count(DISTINCT anomaly_type) AS type_diversity,
+round(round(sum(weight) / (count(*) * 4) * (1 + CAST(0.1 AS DOUBLE) * count(DISTINCT anomaly_type)), 10), 3) AS anomaly_score FROM a_ranked GROUP BY study, site_id"""
+CTES["site_scores"] = "SELECT *, anomaly_score > 0 AS is_anomaly FROM a_scores"
+
 
 
 def needs(sql: str) -> list[str]:

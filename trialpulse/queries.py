@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import config as C
 from .operators import anomaly, master, rollup, scoring
-from .oracle import query
+from .oracle import concentrated, query
 from .plans import projection
 from .plans.tables import staged
 
@@ -133,3 +133,13 @@ register("study_rollup", "SELECT * FROM study_dqi")(lambda d: d.study)
 register("region_rollup", "SELECT * FROM region_dqi")(lambda d: d.region)
 register("country_rollup", "SELECT * FROM country_dqi")(lambda d: d.country)
 register("risk_distribution", " UNION ALL ".join(f"SELECT '{k}' AS category, count(*) FILTER (risk_category = '{k}') AS n FROM risk" for k in ("High", "Medium", "Low")))(lambda d: rollup.distribution(d.risk, "risk_category"))
+
+register("anomaly_statistical", "SELECT * FROM a_statistical")(lambda d: anomaly.statistical(d.site))
+register("anomaly_pattern", "SELECT * FROM a_pattern")(lambda d: anomaly.pattern(d.site))
+register("anomaly_regional", "SELECT * FROM a_regional")(lambda d: anomaly.regional(d.site, d.country, d.region))
+register("anomaly_cross_study", "SELECT * FROM a_cross")(lambda d: anomaly.cross_study(d.site))
+register("anomaly_density", "SELECT * FROM a_density")(lambda d: anomaly.density(d.site))
+register("anomaly_concentration", concentrated(50, 0.02))(lambda d: anomaly.concentration(d.site, share=0.02))
+register("anomaly_all", "SELECT * FROM anomalies")(lambda d: d.anomalies)
+register("anomaly_site_score", "SELECT * FROM site_scores")(lambda d: anomaly.site_scores(d.anomalies))
+register("anomaly_summary", "SELECT 'severity' AS kind, severity AS name, count(*) AS n FROM anomalies GROUP BY severity UNION ALL SELECT 'anomaly_type', anomaly_type, count(*) FROM anomalies GROUP BY anomaly_type")(lambda d: anomaly.summary(d.anomalies))
