@@ -24,6 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ from . import kernel as K
 
 RESOLUTIONS = (4, 16)
 _EXACT = float(1 << 53)
+SLACK = 1e-9
 
 
 def _stats(x: np.ndarray, parts: int) -> np.ndarray:
@@ -41,48 +43,67 @@ def _stats(x: np.ndarray, parts: int) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products of paired rows; float64 where all sums are exact, else Python integers."""
-    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < _EXACT:
-        return np.einsum("ij,ij->i", q, c).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(x, y)) for x, y in zip(q, c)], dtype=np.int64)
+def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """All integer inner products of two sets of rows; float64 where every sum is exact, else Python integers."""
+    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1]) < _EXACT:
+        return q @ c.T
+    whole = q.astype(object) @ c.astype(object).T
+    if np.abs(whole).max() >= 1 << 63:
+        raise OverflowError("a score doesn't fit 64 bits")
+    return whole
 
 
-def _search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _trim(pool: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of every query, equal scores by id."""
+    row, vec, got = (np.concatenate(z) for z in zip(*pool))
+    order = np.lexsort((vec, -got, row))
+    row, vec, got = row[order], vec[order], got[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], vec[keep], got[keep]
+
+
+def _search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, step: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vec_id, score) of the k best of these candidates for each query."""
     order = np.argsort(-np.einsum("ij,ij->i", c, c), kind="stable")
     cid, c = cid[order], c[order]
-    slack = 1e-9
     qs, cs = [_stats(q, r) for r in RESOLUTIONS], [_stats(c, r) for r in RESOLUTIONS]
-    qn = np.sqrt(np.einsum("ij,ij->i", q, q))
-    cn = np.sqrt(np.einsum("ij,ij->i", c, c))
+    qn, cn = np.sqrt(np.einsum("ij,ij->i", q, q)), np.sqrt(np.einsum("ij,ij->i", c, c))
+    by_id = np.argsort(qid, kind="stable")
     floor = np.full(len(q), -np.inf)
-    best = [np.zeros(0, np.int64)] * 3
+    pool: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def reach(bound: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Can a score under this bound still count? Rounding errors of the bound are allowed for."""
+        return bound + SLACK * (1 + np.abs(bound)) >= floor[rows][:, None]
+
     for a in range(0, len(c), step):
-        part = slice(a, a + step)
-        live = np.flatnonzero(qn * cn[a] * (1 + slack) + slack >= floor)
-        if not len(live):
+        cols = np.arange(a, min(len(c), a + step))
+        rows = np.flatnonzero(qn * cn[a] * (1 + SLACK) + SLACK >= floor)
+        mask = np.ones((len(rows), len(cols)), bool)
+        for level in range(len(RESOLUTIONS)):
+            mask &= reach(qs[level][rows] @ cs[level][cols].T, rows)
+            some_r, some_c = mask.any(1), mask.any(0)
+            rows, cols, mask = rows[some_r], cols[some_c], mask[some_r][:, some_c]
+        if not mask.size:
             continue
-        bound = qs[0][live] @ cs[0][part].T
-        x, y = np.nonzero(bound + slack * (1 + np.abs(bound)) >= floor[live][:, None])
-        x, y = live[x], y + a
-        for level in range(1, len(RESOLUTIONS)):
-            keep = np.zeros(len(x), bool)
-            for i in range(0, len(x), 1 << 17):
-                s = slice(i, i + (1 << 17))
-                b = np.einsum("ij,ij->i", qs[level][x[s]], cs[level][y[s]])
-                keep[s] = b + slack * (1 + np.abs(b)) >= floor[x[s]]
-            x, y = x[keep], y[keep]
-        other = qid[x] != cid[y]
-        x, y = x[other], y[other]
-        score = np.concatenate([_exact(q[x[i : i + (1 << 17)]], c[y[i : i + (1 << 17)]]) for i in range(0, len(x), 1 << 17)]) if len(x) else np.zeros(0, np.int64)
-        row, vec, got = (np.concatenate(z) for z in zip(best, (x, cid[y], score)))
-        order = np.lexsort((vec, -got, row))
-        row, vec, got = row[order], vec[order], got[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        floor[row[place == k - 1]] = got[place == k - 1]
-        best = [z[place < k] for z in (row, vec, got)]
-    return tuple(best)
+        score = _products(q[rows], c[cols])
+        seen = np.where(mask, score, -np.inf).astype(np.float64)
+        left, right = np.searchsorted(qid[by_id], cid[cols], "left"), np.searchsorted(qid[by_id], cid[cols], "right")
+        place = np.full(len(q), -1)
+        place[rows] = np.arange(len(rows))
+        for j in np.flatnonzero(right > left):  # a query is no candidate of its own
+            own = place[by_id[left[j] : right[j]]]
+            seen[own[own >= 0], j] = -np.inf
+        if len(cols) >= k:
+            floor[rows] = np.maximum(floor[rows], np.partition(seen, len(cols) - k, axis=1)[:, len(cols) - k])
+        x, y = np.nonzero((seen >= floor[rows][:, None]) & (seen > -np.inf))
+        pool.append((rows[x], cid[cols[y]], score[x, y].astype(np.int64)))
+        if sum(len(p[0]) for p in pool) > 4 * k * len(q):
+            pool = [_trim(pool, k)]
+            row, _, got = pool[0]
+            last = np.flatnonzero(np.arange(len(row)) - np.searchsorted(row, row) == k - 1)
+            floor[row[last]] = np.maximum(floor[row[last]], got[last])
+    return _trim(pool, k)
 
 
 def _blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
@@ -90,13 +111,13 @@ def _blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            dims = np.array([len(v) for v in batch.column("v").to_pylist()], np.int64)
-            ids = batch.column("id").to_numpy()
+            ids, column = batch.column("id").to_numpy(), batch.column("v")
+            dims = pc.list_value_length(column).to_numpy()
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
                 for i in range(0, len(at), rows):
                     part = at[i : i + rows]
-                    data = np.array(batch.column("v").take(pa.array(part)).to_pylist(), np.float64)
+                    data = column.take(pa.array(part)).flatten().to_numpy().reshape(-1, d)
                     yield pa.RecordBatch.from_pydict({"dim": pa.array([d], pa.int32()), f"{name}_ids": pa.array([K.pack(ids[part])], pa.binary()), f"{name}_data": pa.array([K.pack(data)], pa.binary())})
 
     return vectors.mapInArrow(cut, f"dim int, {name}_ids binary, {name}_data binary")
