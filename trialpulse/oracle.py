@@ -150,6 +150,56 @@ CTES["site_scores"] = "SELECT *, anomaly_score > 0 AS is_anomaly FROM a_scores"
 
 
 
+def _join_texts(*pairs: tuple[str, str]) -> str:
+    """Texts whose condition holds, joined as concat_ws does."""
+    return "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN {t} END" for c, t in pairs) + ")"
+
+
+def _issues(columns: list[tuple[str, str]], by_priority: bool) -> str:
+    from .operators.recommend import ACTIONS, ORDER
+
+    kinds = [(ORDER[ACTIONS[k][0]] if by_priority else 0, i, k, c) for i, (k, c) in enumerate(columns)]
+    return "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} > 0 THEN '{k}=' || {c} END" for _, _, k, c in sorted(kinds)) + ")"
+
+
+def _first(columns: list[tuple[str, str]], by_priority: bool, what: str = "type") -> str:
+    from .operators.recommend import ACTIONS, ORDER
+
+    kinds = [(ORDER[ACTIONS[k][0]] if by_priority else 0, i, k, c) for i, (k, c) in enumerate(columns)]
+    return "CASE " + " ".join(f"WHEN {c} > 0 THEN '{k if what == 'type' else ACTIONS[k][0]}'" for _, _, k, c in sorted(kinds)) + " END"
+
+
+def _first_text(*pairs: tuple[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {c} THEN {t}" for c, t in pairs) + " END"
+
+
+def _recommendations() -> dict[str, str]:
+    from .operators.recommend import ACTIONS, SITE_ISSUES
+
+    subject = [(k, k) for k in ACTIONS]
+    site = [(k, f"{k}_sum") for k in SITE_ISSUES]
+    out = {}
+    out["rec_subjects"] = f"SELECT study, site_id, subject_id, country, round(dqi_score, 3) AS dqi_score, risk_category, {_issues(subject, True)} AS issues, COALESCE({_first(subject, True, 'priority')}, 'LOW') AS priority, {_first(subject, True)} AS first_issues FROM risk WHERE risk_category = 'High'"
+    causes = [("avg_issue_types > 3", "'several issue types: training gaps'"), ("max_days_outstanding_sum > 100", "'data entry backlog'"), ("missing_visit_count_sum > 5", "'visits missed against protocol'"), ("sae_pending_count_sum > 0", "'safety reporting delays'")]
+    todo = [("site_risk_category = 'High'", "'quality call within 48 hours'"), ("site_risk_category = 'High'", "'triggered monitoring visit'"), ("high_risk_count > subject_count * 0.2", "'review training records'"), ("subjects_with_issues / GREATEST(subject_count, 1) > 0.5", "'enhanced oversight'")]
+    out["rec_sites"] = f"SELECT study, site_id, country, region, subject_count, round(avg_dqi_score, 3) AS avg_dqi_score, high_risk_count, site_risk_category, {_issues(site, False)} AS issues, {_first(site, False)} AS first_issues, {_join_texts(*causes)} AS root_causes, {_first_text(*causes)} AS first_root_causes, {_join_texts(*todo)} AS recommendations, {_first_text(*todo)} AS first_recommendations, CASE WHEN sae_pending_count_sum > 0 THEN 'CRITICAL' WHEN site_risk_category = 'High' THEN 'HIGH' ELSE 'MEDIUM' END AS priority FROM site WHERE site_risk_category = 'High' OR avg_dqi_score > 0.2"
+    out["rec_study_base"] = "SELECT study, count(*) AS n_sites, CAST(sum(subject_count) AS BIGINT) AS n_subjects, round(avg(avg_dqi_score), 10) AS avg_dqi, CAST(sum(high_risk_count) AS BIGINT) AS total_high_risk, CAST(sum(sae_pending_count_sum) AS BIGINT) AS pending_sae, CAST(sum(missing_visit_count_sum) AS BIGINT) AS missing_visits, CAST(sum(uncoded_meddra_count_sum) AS BIGINT) AS uncoded_ae FROM site GROUP BY study"
+    t = [("pending_sae > 0", "pending_sae || ' pending SAE reviews'"), ("pending_sae <= 0 AND total_high_risk > n_subjects * 0.1", "'high-risk subject rate above threshold'"), ("missing_visits > 10", "missing_visits || ' missing visits'"), ("uncoded_ae > 5", "uncoded_ae || ' uncoded terms'")]
+    out["rec_studies"] = f"SELECT * REPLACE (round(avg_dqi, 3) AS avg_dqi), CASE WHEN pending_sae > 0 THEN 'CRITICAL' WHEN total_high_risk > n_subjects * 0.1 THEN 'HIGH' ELSE 'MEDIUM' END AS priority, {_join_texts(*t)} AS recommendations, {_first_text(*t)} AS first_recommendations FROM rec_study_base"
+    for name, keys in (("region", "region"), ("country", "country, region")):
+        out[f"rec_{name}_base"] = f"SELECT *, round(high_risk_subjects / n_subjects * 100, 10) AS high_risk_rate, round(high_risk_sites / n_sites * 100, 10) AS high_risk_site_rate, (SELECT round(avg(avg_dqi_score), 10) FROM site) AS pdqi FROM (SELECT {keys}, count(*) AS n_sites, CAST(sum(subject_count) AS BIGINT) AS n_subjects, round(avg(avg_dqi_score), 10) AS avg_dqi, round(COALESCE(stddev_samp(avg_dqi_score), 0.0), 10) AS std_dqi, CAST(sum(high_risk_count) AS BIGINT) AS high_risk_subjects, CAST(sum(sae_pending_count_sum) AS BIGINT) AS pending_sae, CAST(sum(missing_visit_count_sum) AS BIGINT) AS missing_visits, count(DISTINCT study) AS n_studies, count(*) FILTER (site_risk_category = 'High') AS high_risk_sites FROM site GROUP BY {keys})"
+    out["rec_region_diff"] = "SELECT *, round(CASE WHEN pdqi > 0 THEN (avg_dqi / pdqi - 1) * 100 ELSE 0.0 END, 10) AS dqi_diff FROM rec_region_base"
+    high = "(high_risk_rate > 15 OR dqi_diff > 20)"
+    t = [("pending_sae > 10", "pending_sae || ' pending SAE reviews'"), (f"pending_sae <= 10 AND {high}", "'risk rate above portfolio'"), ("high_risk_site_rate > 20", "'many high-risk sites'"), ("missing_visits > 50", "missing_visits || ' missing visits'"), ("std_dqi > 0.1", "'sites differ much in quality'")]
+    out["rec_regions"] = f"SELECT region, n_sites, n_subjects, n_studies, round(avg_dqi, 4) AS avg_dqi, pending_sae, missing_visits, round(high_risk_rate, 1) AS high_risk_rate, round(dqi_diff, 1) AS dqi_vs_portfolio, dqi_diff > 10 AS is_above_average, CASE WHEN pending_sae > 10 THEN 'CRITICAL' WHEN {high} THEN 'HIGH' WHEN high_risk_rate > 10 OR dqi_diff > 10 THEN 'MEDIUM' ELSE 'LOW' END AS priority, COALESCE(NULLIF({_join_texts(*t)}, ''), 'within acceptable range') AS recommendations, COALESCE({_first_text(*t)}, 'within acceptable range') AS first_recommendations FROM rec_region_diff"
+    t = [("pending_sae > 5", "pending_sae || ' pending SAE reviews'"), ("high_risk_site_rate > 30", "'many high-risk sites'"), ("avg_dqi > pdqi * 1.5", "'index far above portfolio'"), ("missing_visits > 20", "missing_visits || ' missing visits'")]
+    out["rec_countries"] = f"SELECT country, region, n_sites, n_subjects, n_studies, round(avg_dqi, 4) AS avg_dqi, round(high_risk_rate, 1) AS high_risk_rate, high_risk_sites, pending_sae, missing_visits, CASE WHEN pending_sae > 5 THEN 'CRITICAL' WHEN high_risk_rate > 20 OR high_risk_site_rate > 30 THEN 'HIGH' WHEN high_risk_rate > 10 THEN 'MEDIUM' ELSE 'LOW' END AS priority, {_join_texts(*t)} AS recommendations, {_first_text(*t)} AS first_recommendations FROM rec_country_base WHERE n_sites >= 2 AND (avg_dqi > pdqi * 1.2 OR high_risk_rate > 15 OR pending_sae > 5 OR high_risk_site_rate > 25)"
+    return out
+
+
+CTES |= _recommendations()
+
+
 def needs(sql: str) -> list[str]:
     """Names of the expressions that a text uses, in order of definition."""
     import re

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as C
-from .operators import anomaly, master, rollup, scoring
+from .operators import anomaly, master, recommend, rollup, scoring
 from .oracle import concentrated, query
 from .plans import projection
 from .plans.tables import staged
@@ -143,3 +143,13 @@ register("anomaly_concentration", concentrated(50, 0.02))(lambda d: anomaly.conc
 register("anomaly_all", "SELECT * FROM anomalies")(lambda d: d.anomalies)
 register("anomaly_site_score", "SELECT * FROM site_scores")(lambda d: anomaly.site_scores(d.anomalies))
 register("anomaly_summary", "SELECT 'severity' AS kind, severity AS name, count(*) AS n FROM anomalies GROUP BY severity UNION ALL SELECT 'anomaly_type', anomaly_type, count(*) FROM anomalies GROUP BY anomaly_type")(lambda d: anomaly.summary(d.anomalies))
+
+register("rec_subject", "SELECT * FROM rec_subjects")(lambda d: recommend.flattened(recommend.subjects(d.risk)))
+register("rec_site", "SELECT * FROM rec_sites")(lambda d: recommend.flattened(recommend.sites(d.site)))
+register("rec_study", "SELECT * FROM rec_studies")(lambda d: recommend.flattened(recommend.studies(d.site)))
+register("rec_region", "SELECT * FROM rec_regions")(lambda d: recommend.flattened(recommend.regions(d.site)))
+register("rec_country", "SELECT * FROM rec_countries")(lambda d: recommend.flattened(recommend.countries(d.site)))
+register("issue_totals", " UNION ALL ".join(f"SELECT '{k}' AS issue_type, count(*) AS subjects, CAST(sum({k}) AS BIGINT) AS total FROM risk WHERE risk_category = 'High' AND {k} > 0 HAVING count(*) > 0" for k in recommend.ACTIONS))(lambda d: recommend.issue_totals(recommend.subjects(d.risk)))
+register("action_summary", " UNION ALL ".join(f"SELECT '{n}' AS level, priority, count(*) AS n FROM {t} GROUP BY priority" for n, t in (("subject", "rec_subjects"), ("site", "rec_sites"), ("study", "rec_studies"), ("region", "rec_regions"), ("country", "rec_countries"))))(
+    lambda d: recommend.action_summary(recommend.subjects(d.risk), recommend.sites(d.site), recommend.studies(d.site), recommend.regions(d.site), recommend.countries(d.site))
+)
