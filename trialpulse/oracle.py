@@ -200,6 +200,105 @@ def _recommendations() -> dict[str, str]:
 CTES |= _recommendations()
 
 
+def _level_of(x: str) -> str:
+    return f"CASE WHEN {x} >= 0.8 THEN 'Critical' WHEN {x} >= 0.6 THEN 'High' WHEN {x} >= 0.4 THEN 'Medium' ELSE 'Low' END"
+
+
+def _list(*pairs: tuple[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {t} END" for c, t in pairs) + "], lambda x: x IS NOT NULL)"
+
+
+def _perspectives() -> dict[str, str]:
+    out = {}
+    out["agent_context"] = "SELECT round(avg(avg_dqi_score), 10) AS portfolio_dqi, round(avg(subject_count), 10) AS portfolio_subjects, round(avg(sae_pending_count_sum), 10) AS portfolio_sae, round(sum(high_risk_count) / sum(subject_count), 10) AS portfolio_high_rate FROM site"
+    out["enriched"] = """SELECT site.*, COALESCE(s.anomaly_score, 0.0) AS anomaly_score, COALESCE(s.is_anomaly, false) AS is_anomaly, COALESCE(st.study_risk_category, 'Unknown') AS study_risk_category, COALESCE(co.country_risk_category, 'Unknown') AS country_risk_category, agent_context.*
+FROM site LEFT JOIN site_scores s ON site.study = s.study AND site.site_id = s.site_id LEFT JOIN study_dqi st ON site.study = st.study LEFT JOIN country_dqi co ON site.country = co.country, agent_context"""
+    out["agent_candidates"] = "SELECT study, site_id, country, region, round(CAST(0.4 AS DOUBLE) * anomaly_score + CAST(0.4 AS DOUBLE) * COALESCE(avg_dqi_score / NULLIF((SELECT max(avg_dqi_score) FROM site), 0), 0.0) + CAST(0.2 AS DOUBLE) * COALESCE(high_risk_count / NULLIF((SELECT max(high_risk_count) FROM site), 0), 0.0), 10) AS rank_score FROM enriched"
+    sae, meddra, whodd = "sae_pending_count_sum", "uncoded_meddra_count_sum", "uncoded_whodd_count_sum"
+    visits, pages, labs, edrr, days, forms = (f"{c}_sum" for c in ("missing_visit_count", "missing_pages_count", "lab_issues_count", "edrr_open_issues", "max_days_page_missing", "inactivated_forms_count"))
+
+    def d(x: float) -> str:
+        return f"CAST({x} AS DOUBLE)"
+
+    n = "GREATEST(subject_count, 1)"
+    rate = f"(high_risk_count / {n})"
+    score = {
+        "safety": f"LEAST({d(0.5)}, {sae} * {d(0.1)}) + LEAST({d(0.3)}, {meddra} * {d(0.05)}) + LEAST({d(0.2)}, {whodd} * {d(0.02)})",
+        "quality": f"LEAST({d(0.3)}, {visits} / {n} * {d(0.5)}) + LEAST({d(0.3)}, {pages} / {n} * {d(0.3)}) + LEAST({d(0.2)}, {labs} / {n} * {d(0.3)}) + LEAST({d(0.1)}, {edrr} / {n} * {d(0.2)}) + CASE WHEN {days} > 30 THEN {d(0.1)} ELSE {d(0.0)} END",
+        "performance": f"LEAST({d(0.4)}, avg_dqi_score) + CASE WHEN {rate} > {d(0.1)} THEN LEAST({d(0.3)}, {rate}) ELSE {d(0.0)} END + CASE WHEN is_anomaly THEN {d(0.2)} ELSE {d(0.0)} END + CASE WHEN site_risk_category = 'High' THEN {d(0.1)} ELSE {d(0.0)} END",
+    }
+    late = f"{pages} > 0 AND {days} > 30"
+    above = f"portfolio_dqi > 0 AND avg_dqi_score > portfolio_dqi * {d(1.5)}"
+    far = f"{rate} > {d(0.2)} AND {rate} > portfolio_high_rate * 2 AND portfolio_high_rate > 0"
+    both = "site_risk_category = 'High' AND study_risk_category = 'High'"
+    findings = {
+        "safety": _list((f"{sae} > 0", f"'pending SAE reviews: ' || {sae}"), (f"{meddra} > 0", f"'uncoded adverse events: ' || {meddra}"), (f"{whodd} > 0", f"'uncoded drug terms: ' || {whodd}"), (f"{sae} > portfolio_sae * 2 AND portfolio_sae > 0", "'SAE far above portfolio'")),
+        "quality": _list((f"{visits} > 0", f"'missing visits: ' || {visits}"), (f"{pages} > 0", f"'missing pages: ' || {pages}"), (late, f"'page days: ' || {days}"), (f"{labs} > 0", f"'lab issues: ' || {labs}"), (f"{edrr} > 0", f"'reconciliation issues: ' || {edrr}"), (f"{forms} > 5", f"'inactivated forms: ' || {forms}")),
+        "performance": _list((above, "'index above portfolio'"), (f"{rate} > {d(0.2)}", "'high-risk subject rate'"), (far, "'rate far above portfolio'"), (both, "'site and study high-risk'"), ("country_risk_category = 'High'", "'high-risk country: ' || country"), ("is_anomaly", "'flagged as anomaly'")),
+    }
+    actions = {
+        "safety": _list((f"{sae} > 0", "'Immediate SAE review'"), (f"{sae} >= 5", "'Escalate to safety officer'"), (f"{meddra} > 0", "'Code MedDRA terms'"), (f"{whodd} > 0", "'Code drug terms'")),
+        "quality": _list((f"{visits} >= 10", "'Urgent visit documentation'"), (f"{visits} > 0 AND {visits} < 10", "'Schedule visit entry'"), (late, "'Urgent: old missing pages'"), (f"{labs} > 0", "'Resolve lab discrepancies'"), (f"{edrr} > 0", "'Reconcile external data'"), (f"{forms} > 5", "'Review form inactivation'")),
+        "performance": _list((above, "'Investigate systemic issues'"), (far, "'Root cause analysis'"), (both, "'Coordinate with study team'"), ("is_anomaly", "'Review anomalies'")),
+    }
+    out["views"] = "SELECT *, " + ", ".join(f"round(LEAST({score[k]}, {d(1.0)}), 10) AS {k}, {findings[k]} AS {k}_findings, {actions[k]} AS {k}_actions" for k in score) + " FROM enriched"
+    out["levels"] = "SELECT *, LEAST(" + ", ".join(f"CASE WHEN {k} >= 0.8 THEN 0 WHEN {k} >= 0.6 THEN 1 WHEN {k} >= 0.4 THEN 2 ELSE 3 END" for k in score) + ") AS worst, list_concat(list_concat(safety_actions, quality_actions), performance_actions) AS acts, list_concat(list_concat(safety_findings, quality_findings), performance_findings) AS finds FROM views"
+    urgent = "regexp_matches(x, 'sae|safety|urgent|immediate|escalate|meddra', 'i')"
+    out["agent_out"] = f"""SELECT study, site_id, country, region, CASE WHEN worst = 0 THEN 1 WHEN worst = 1 AND safety >= 0.5 THEN 2 WHEN worst = 1 THEN 3 WHEN worst = 2 THEN 4 ELSE 5 END AS priority, ['Critical', 'High', 'Medium', 'Low'][worst + 1] AS risk_category,
+round(round(safety * {d(0.4)} + quality * {d(0.35)} + performance * {d(0.25)}, 10) + 1e-12, 4) AS composite_score, round(safety + 1e-12, 4) AS safety_score, round(quality + 1e-12, 4) AS quality_score, round(performance + 1e-12, 4) AS performance_score, array_to_string(finds[1:5], '; ') AS top_issues,
+array_to_string(list_concat(list_filter(acts, lambda x: {urgent}), list_filter(acts, lambda x: NOT {urgent}))[1:5], '; ') AS recommended_actions,
+COALESCE(NULLIF(concat_ws('; ', CASE WHEN safety > 0.5 THEN 'safety concerns' END, CASE WHEN quality > 0.5 THEN 'data quality concerns' END, CASE WHEN performance > 0.5 THEN 'performance below standard' END), ''), 'within acceptable parameters') AS agent_consensus,
+worst = 0 OR safety >= 0.7 OR (worst = 1 AND safety >= 0.5) AS escalation_required FROM levels"""
+    return out
+
+
+CTES |= _perspectives()
+
+
+def _root_causes() -> dict[str, str]:
+    from itertools import combinations
+
+    out = {}
+    pairs = list(combinations(C.SUMMED, 2))
+    out["pair_counts"] = " UNION ALL ".join(f"SELECT '{a}' AS issue_a, '{b}' AS issue_b, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER ({a} > 0) AS DOUBLE) AS a, CAST(count(*) FILTER ({b} > 0) AS DOUBLE) AS b, CAST(count(*) FILTER ({a} > 0 AND {b} > 0) AS DOUBLE) AS ab FROM risk" for a, b in pairs)
+    out["cooc"] = "SELECT issue_a, issue_b, CAST(ab AS BIGINT) AS cooccurrence_count, round(round(ab / n, 10), 4) AS cooccurrence_rate, round(round(CASE WHEN a > 0 AND b > 0 THEN ab * n / (a * b) ELSE 0.0 END, 10), 3) AS lift, round(round(CASE WHEN a > 0 AND b > 0 AND a * (n - a) * b * (n - b) > 0 THEN (n * ab - a * b) / sqrt(a * (n - a) * b * (n - b)) ELSE 0.0 END, 10), 3) AS correlation FROM pair_counts"
+    parts = []
+    for key, least, low, high in (("country", 3, 0.7, 1.3), ("region", 5, 0.8, 1.2)):
+        cols = [f"{c}_sum" for c in C.SUMMED]
+        out[f"geo_{key}_w"] = f"SELECT {key} AS location, count(*) AS site_count, " + ", ".join(f"round(avg(CAST({c} > 0 AS DOUBLE)), 10) AS r{i}" for i, c in enumerate(cols)) + f" FROM site GROUP BY {key} HAVING count(*) >= {least}"
+        out[f"geo_{key}_p"] = "SELECT " + ", ".join(f"avg(CAST({c} > 0 AS DOUBLE)) AS p{i}" for i, c in enumerate(cols)) + " FROM site"
+        best = "GREATEST(" + ", ".join(f"r{i}" for i in range(len(cols))) + ")"
+        out[f"geo_{key}_d"] = f"SELECT location, site_count, {best} AS rate, CASE " + " ".join(f"WHEN r{i} = {best} THEN {i}" for i in range(len(cols))) + f" END AS k, p.* FROM geo_{key}_w, geo_{key}_p p"
+        out[f"geo_{key}_r"] = "SELECT *, CASE k " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(cols)) + " END AS issue, CASE k " + " ".join(f"WHEN {i} THEN p{i}" for i in range(len(cols))) + f" END AS base FROM geo_{key}_d"
+        out[f"geo_{key}_x"] = f"SELECT *, round(CASE WHEN base > 0 THEN rate / base ELSE 1.0 END, 10) AS ratio FROM geo_{key}_r"
+        parts.append(f"SELECT '{key.title()}' AS level, location, issue AS dominant_issue, round(rate, 4) AS issue_rate, round(ratio, 2) AS comparison_to_avg, geo_{key}_x.site_count, {key}_risk_category AS risk_category FROM geo_{key}_x JOIN {key}_dqi ON location = {key}_dqi.{key} WHERE ratio > {high} OR ratio < {low}")
+    out["geo"] = " UNION ALL ".join(parts)
+    out["size_edges"] = "SELECT quantile_cont(CAST(subject_count AS DOUBLE), 0.25) AS e1, quantile_cont(CAST(subject_count AS DOUBLE), 0.5) AS e2, quantile_cont(CAST(subject_count AS DOUBLE), 0.75) AS e3 FROM site"
+    out["kinds"] = "SELECT *, " + " + ".join(f"CAST({c}_sum > 0 AS INT)" for c in C.SUMMED) + " AS k FROM site"
+    share = "round(avg(CAST(site_risk_category = 'High' AS DOUBLE)), 10) AS high_risk_rate"
+    base = "count(*) AS site_count, round(avg(avg_dqi_score), 10) AS avg_dqi_score"
+    out["f_size"] = f"SELECT 'Site Size' AS factor, CASE WHEN subject_count <= e1 THEN 'Small' WHEN subject_count <= e2 THEN 'Medium' WHEN subject_count <= e3 THEN 'Large' ELSE 'Very Large' END AS category, {base}, {share} FROM site, size_edges GROUP BY 2"
+    out["f_study"] = f"SELECT 'Study' AS factor, study AS category, {base}, round(sum(high_risk_count) / GREATEST(sum(subject_count), 1), 10) AS high_risk_rate FROM site GROUP BY study"
+    out["f_region"] = f"SELECT *, deviation AS high_risk_rate FROM (SELECT 'Region' AS factor, region AS category, {base}, round(avg(avg_dqi_score) - (SELECT avg(avg_dqi_score) FROM site), 10) AS deviation FROM site GROUP BY region)"
+    out["f_complexity"] = f"SELECT 'Issue Complexity' AS factor, CASE WHEN k = 0 THEN 'None' WHEN k <= 2 THEN 'Low' WHEN k <= 4 THEN 'Medium' ELSE 'High' END AS category, {base}, {share} FROM kinds GROUP BY 2"
+    sae, visits, pages, days = (f"{c}_sum" for c in ("sae_pending_count", "missing_visit_count", "missing_pages_count", "max_days_outstanding"))
+    out["rc_one"] = f"""SELECT avg(CAST({sae} > 0 AS DOUBLE)) AS sae, count(*) FILTER ({sae} > 0) AS sae_n, sum(subject_count) FILTER ({sae} > 0) AS sae_s, avg(CAST({visits} > 0 AS DOUBLE)) AS visits, avg(CAST({pages} > 0 AS DOUBLE)) AS pages,
+GREATEST(count(*) FILTER ({visits} > 0), count(*) FILTER ({pages} > 0)) AS data_n, sum(subject_count) FILTER ({visits} > 0 OR {pages} > 0) AS data_s, avg(CAST({days} > 30 AS DOUBLE)) AS late, count(*) FILTER ({days} > 30) AS late_n, count(*) FILTER ({days} > 60) AS late60, sum(subject_count) FILTER ({days} > 30) AS late_s, count(*) FILTER (k >= 4) AS sys_n, sum(subject_count) FILTER (k >= 4) AS sys_s FROM kinds"""
+    out["rc_geo"] = "SELECT count(*) FILTER (comparison_to_avg > 1.5 AND level = 'Region') AS geo_r, count(*) FILTER (comparison_to_avg > 1.5 AND level = 'Country') AS geo_c, COALESCE(sum(site_count) FILTER (comparison_to_avg > 1.5), 0) AS geo_n FROM geo"
+    rows = [
+        ("Safety", "sae > 0.1", "CASE WHEN sae > 0.2 THEN 'Critical' ELSE 'High' END", 0.85, "sae_n", "sae_s"),
+        ("Completeness", "visits > 0.15 OR pages > 0.15", "CASE WHEN visits > 0.2 OR pages > 0.2 THEN 'High' ELSE 'Medium' END", 0.8, "data_n", "data_s"),
+        ("Geographic", "geo_r > 0 OR geo_c > 0", "CASE WHEN geo_r > 1 OR geo_c > 2 THEN 'High' ELSE 'Medium' END", 0.75, "geo_n", "0"),
+        ("Timeliness", "late > 0.1", "CASE WHEN late60 > 10 THEN 'High' ELSE 'Medium' END", 0.85, "late_n", "late_s"),
+        ("Systemic", "sys_n > 5", "CASE WHEN sys_n > 20 THEN 'Critical' ELSE 'High' END", 0.9, "sys_n", "sys_s"),
+    ]
+    out["rc_rows"] = " UNION ALL ".join(f"SELECT '{n}' AS category, {sev} AS severity, CAST({conf} AS DOUBLE) AS confidence, CAST({sites} AS BIGINT) AS affected_sites, CAST(COALESCE({subj}, 0) AS BIGINT) AS affected_subjects FROM rc_one, rc_geo WHERE {w}" for n, w, sev, conf, sites, subj in rows)
+    return out
+
+
+CTES |= _root_causes()
+
+
 def needs(sql: str) -> list[str]:
     """Names of the expressions that a text uses, in order of definition."""
     import re

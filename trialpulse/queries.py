@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as C
-from .operators import anomaly, master, recommend, rollup, scoring
+from .operators import anomaly, master, perspectives, recommend, rollup, rootcause, scoring
 from .oracle import concentrated, query
 from .plans import projection
 from .plans.tables import staged
@@ -69,6 +69,14 @@ class Domain:
     def anomalies(self) -> DataFrame:
         return self._get("anomalies", lambda: anomaly.detect(self.site, self.country, self.region), True)
 
+    @property
+    def enriched(self) -> DataFrame:
+        return self._get("enriched", lambda: perspectives.enrich(self.site, anomaly.site_scores(self.anomalies), self.study, self.country), True)
+
+    @property
+    def geography(self) -> DataFrame:
+        return self._get("geography", lambda: rootcause.geographic(self.site, self.country, self.region), False)
+
 
 def register(name: str, sql: str | None):
     """Add a query of a Domain; sql uses the expressions of oracle.CTES."""
@@ -153,3 +161,21 @@ register("issue_totals", " UNION ALL ".join(f"SELECT '{k}' AS issue_type, count(
 register("action_summary", " UNION ALL ".join(f"SELECT '{n}' AS level, priority, count(*) AS n FROM {t} GROUP BY priority" for n, t in (("subject", "rec_subjects"), ("site", "rec_sites"), ("study", "rec_studies"), ("region", "rec_regions"), ("country", "rec_countries"))))(
     lambda d: recommend.action_summary(recommend.subjects(d.risk), recommend.sites(d.site), recommend.studies(d.site), recommend.regions(d.site), recommend.countries(d.site))
 )
+
+register("agent_context", "SELECT * FROM agent_context")(lambda d: perspectives.context(d.site))
+register("agent_candidates", "SELECT * FROM agent_candidates ORDER BY rank_score DESC, study, site_id, country, region LIMIT 20")(lambda d: perspectives.candidates(d.enriched, 20).select(*C.SITE_KEYS, "rank_score"))
+for _k in perspectives.PERSPECTIVES:
+    register(f"agent_{_k}", f"SELECT {', '.join(C.SITE_KEYS)}, {_k} AS score, array_to_string({_k}_findings, '; ') AS findings, array_to_string({_k}_actions, '; ') AS actions FROM views")(
+        lambda d, k=_k: d.enriched.select(*C.SITE_KEYS, perspectives.PERSPECTIVES[k]().alias("v")).select(*C.SITE_KEYS, "v.score", F.array_join("v.findings", "; ").alias("findings"), F.array_join("v.actions", "; ").alias("actions"))
+    )
+register("agent_consensus", "SELECT * FROM agent_out")(lambda d: perspectives.consensus(d.enriched))
+register("cooccurrence", "SELECT * FROM cooc")(lambda d: rootcause.cooccurrence(d.risk))
+register("cooccurrence_patterns", "SELECT *, issue_a || ' and ' || issue_b || ' are ' || CASE WHEN lift > 2 THEN 'strongly' WHEN lift > 1.5 THEN 'moderately' ELSE 'weakly' END || ' linked' AS interpretation FROM cooc WHERE lift > 1.2 AND cooccurrence_count >= 3")(lambda d: rootcause.patterns(rootcause.cooccurrence(d.risk), least=3))
+_both = "SELECT issue_a, issue_b, lift FROM cooc UNION ALL SELECT issue_b, issue_a, lift FROM cooc"
+register("cooccurrence_matrix", "SELECT issue_a AS issue, " + ", ".join(f"COALESCE(max(lift) FILTER (issue_b = '{c}'), 1.0) AS {c}" for c in C.SUMMED) + f" FROM ({_both}) GROUP BY issue_a")(lambda d: rootcause.matrix(rootcause.cooccurrence(d.risk)))
+register("geo_patterns", "SELECT * FROM geo")(lambda d: d.geography)
+register("factor_size", "SELECT * FROM f_size")(lambda d: rootcause.factor_size(d.site))
+register("factor_study", "SELECT * FROM f_study")(lambda d: rootcause.factor_study(d.site))
+register("factor_region", "SELECT * FROM f_region")(lambda d: rootcause.factor_region(d.site))
+register("factor_complexity", "SELECT * FROM f_complexity")(lambda d: rootcause.factor_complexity(d.site))
+register("root_causes", "SELECT * FROM rc_rows")(lambda d: rootcause.root_causes(d.site, d.geography))
