@@ -182,15 +182,21 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Compressed bytes of an array; unpack() gives it back, with its type from the caller."""
-    raw = np.ascontiguousarray(values).tobytes()
+    """Compressed bytes of an array, wide values by byte planes; unpack() gives it back, with its type from the caller."""
+    raw = np.ascontiguousarray(values)
+    if raw.itemsize == 8:
+        raw = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 8).T)
+    raw = raw.tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
 
 
 def unpack(blob: bytes | None, kind) -> np.ndarray:
     if not blob:
         return np.zeros(0, kind)
-    return np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True), kind)
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    if np.dtype(kind).itemsize == 8:
+        return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).ravel()
+    return np.frombuffer(raw, kind)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:

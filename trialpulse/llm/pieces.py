@@ -217,7 +217,7 @@ def _encode(texts: list[str | None], path: str):
 
 def decode_ids(ids: np.ndarray, values: list[bytes]) -> bytes:
     """The pieces' bytes, marks not yet turned into spaces."""
-    return b"".join([values[i] for i in ids.tolist()])
+    return b"".join([values[i] for i in np.asarray(ids).tolist()])
 
 
 def decode(ids: np.ndarray, path: str) -> str:

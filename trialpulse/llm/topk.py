@@ -47,7 +47,8 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """All integer inner products of two sets of rows; float64 where every sum is exact, else Python integers."""
     if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1]) < _EXACT:
         return q @ c.T
-    whole = q.astype(object) @ c.astype(object).T
+    exact = np.vectorize(int, otypes=[object])
+    whole = exact(q) @ exact(c).T
     if np.abs(whole).max() >= 1 << 63:
         raise OverflowError("a score doesn't fit 64 bits")
     return whole
@@ -118,7 +119,7 @@ def _blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
                 for i in range(0, len(at), rows):
                     part = at[i : i + rows]
                     data = column.take(pa.array(part)).flatten().to_numpy().reshape(-1, d)
-                    yield pa.RecordBatch.from_pydict({"dim": pa.array([d], pa.int32()), f"{name}_ids": pa.array([K.pack(ids[part])], pa.binary()), f"{name}_data": pa.array([K.pack(data)], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"dim": pa.array([d], pa.int32()), f"{name}_ids": pa.array([K.pack(ids[part])], pa.binary()), f"{name}_data": pa.array([K.pack(data.ravel())], pa.binary())})
 
     return vectors.mapInArrow(cut, f"dim int, {name}_ids binary, {name}_data binary")
 
