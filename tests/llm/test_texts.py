@@ -210,10 +210,14 @@ def test_pieces_are_the_best_segmentation_and_decode_back(docs):
         assert r.round_trip == ("▁" not in (t or ""))
         if r.round_trip:
             assert pieces.decode(r.ids, path) == (t or "")
-        # the library adds 32-bit floats, so only short texts without unknown characters compare
-        if t and not re.search(r"[^ -~é]|x{30}", t) and len(t) < 250:
-            assert list(r.ids) == unigram.encode(t)
         assert r.n_tokens == len(r.ids)
+    # the library rounds sums of scores, so words are compared, and longer texts by their sums
+    score = [int(p.score) for p in model.pieces]
+    some = sorted({w for _, t in ROWS[:120] for w in (t or "").split() if w.isascii() and len(w) < 20})
+    mine = [list(x) for x in pieces.encode_batch(some, path)]
+    theirs = unigram.encode(some)
+    assert sum(a == b for a, b in zip(mine, theirs)) > 0.98 * len(some) > 300
+    assert all(sum(score[i] for i in a) >= sum(score[i] for i in b) for a, b in zip(mine, theirs))
 
 
 def test_quality_learns_from_positives_and_unlabelled_rows(spark):

@@ -200,15 +200,23 @@ def unpack(blob: bytes | None, kind) -> np.ndarray:
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as byte planes of their differences."""
-    d = np.diff(keys, prepend=U(0)) if len(keys) else keys
-    width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
-    planes = np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + len(keys).to_bytes(8, "little") + planes.tobytes()
+    """Sorted 64-bit keys: the first, then byte planes of the differences."""
+    if not len(keys):
+        return b""
+    d = np.diff(keys)
+    width = (int(d.max()).bit_length() + 7) // 8 if len(d) else 0
+    planes = np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return int(keys[0]).to_bytes(8, "little") + len(keys).to_bytes(8, "little") + bytes([width]) + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
-    width, n = blob[0], int.from_bytes(blob[1:9], "little")
+    if not blob:
+        return np.zeros(0, U)
+    n, width = int.from_bytes(blob[8:16], "little"), blob[16]
     out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(blob, np.uint8, width * n, 9).reshape(width, n).T
-    return np.cumsum(out.view("<u8").ravel(), dtype=U)
+    if width:
+        planes = pa.decompress(blob[17:], width * (n - 1), codec="zstd", asbytes=True)
+        out[1:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n - 1).T
+    keys = out.view("<u8").ravel()
+    keys[0] = int.from_bytes(blob[:8], "little")
+    return np.cumsum(keys, dtype=U)
