@@ -299,6 +299,94 @@ GREATEST(count(*) FILTER ({visits} > 0), count(*) FILTER ({pages} > 0)) AS data_
 CTES |= _root_causes()
 
 
+def _graph() -> dict[str, str]:
+    out = {}
+    none = "CAST(NULL AS VARCHAR)"
+    out["g_site"] = "SELECT study, site_id, max((country, region, site_risk_category, avg_dqi_score)) AS x FROM site GROUP BY study, site_id"
+    out["g_nodes"] = f"""SELECT 'region:' || region AS node_id, 'Region' AS node_type, region AS name, {none} AS study, {none} AS region, region_risk_category AS risk_category, avg_dqi_score AS score FROM region_dqi
+UNION ALL SELECT 'country:' || country, 'Country', country, NULL, region, country_risk_category, avg_dqi_score FROM country_dqi
+UNION ALL SELECT 'study:' || study, 'Study', study, NULL, NULL, study_risk_category, avg_dqi_score FROM study_dqi
+UNION ALL SELECT 'site:' || study || ':' || site_id, 'Site', site_id, study, x[2], x[3], x[4] FROM g_site
+UNION ALL SELECT 'subject:' || study || ':' || subject_id, 'Subject', subject_id, study, region, risk_category, dqi_score FROM risk"""
+    out["g_edges"] = """SELECT DISTINCT * FROM (SELECT 'country:' || country AS source, 'region:' || region AS target, 'IN_REGION' AS edge_type FROM country_dqi
+UNION ALL SELECT 'site:' || study || ':' || site_id, 'study:' || study, 'PARTICIPATES_IN' FROM site
+UNION ALL SELECT 'site:' || study || ':' || site_id, 'country:' || country, 'LOCATED_IN' FROM site
+UNION ALL SELECT 'subject:' || study || ':' || subject_id, 'site:' || study || ':' || site_id, 'ENROLLED_AT' FROM risk WHERE site_id <> '')"""
+    out["g_core"] = "SELECT node_id FROM g_nodes WHERE node_type IN ('Subject', 'Site') AND risk_category = 'High'"
+    out["g_high"] = "SELECT node_id FROM g_core UNION SELECT target FROM g_edges WHERE source IN (SELECT node_id FROM g_core) UNION SELECT source FROM g_edges WHERE target IN (SELECT node_id FROM g_core)"
+    out["g_best"] = "SELECT 'study:' || study AS node_id FROM (SELECT study, count(*) AS n FROM risk GROUP BY study ORDER BY n DESC, study LIMIT 2)"
+    out["g_bs"] = "SELECT source AS node_id FROM g_edges WHERE edge_type = 'PARTICIPATES_IN' AND target IN (SELECT node_id FROM g_best)"
+    out["g_top"] = "SELECT node_id FROM g_best UNION SELECT node_id FROM g_bs UNION SELECT target FROM g_edges WHERE source IN (SELECT node_id FROM g_bs) UNION SELECT source FROM g_edges WHERE target IN (SELECT node_id FROM g_bs)"
+    out["g_some"] = "SELECT node_id FROM g_nodes WHERE node_type = 'Subject' ORDER BY md5(node_id), node_id LIMIT 200"
+    out["g_one"] = "SELECT target AS node_id FROM g_edges WHERE source IN (SELECT node_id FROM g_some)"
+    out["g_sample"] = "SELECT node_id FROM g_some UNION SELECT node_id FROM g_one UNION SELECT target FROM g_edges WHERE source IN (SELECT node_id FROM g_one)"
+    return out
+
+
+CTES |= _graph()
+
+
+def inside(kept: str) -> str:
+    return f"SELECT * FROM g_edges WHERE source IN (SELECT node_id FROM {kept}) AND target IN (SELECT node_id FROM {kept})"
+
+
+_rank = "rank() OVER (PARTITION BY {0} ORDER BY {1}) + (count(*) OVER (PARTITION BY {0}, {1}) - 1) / 2"
+
+
+def _component(f: str, w: str) -> str:
+    return f"{w} * (CAST(0.5 AS DOUBLE) * CAST({f} > 0 AS DOUBLE) + CAST(0.5 AS DOUBLE) * LEAST(GREATEST(CAST({f} AS DOUBLE) / {f}_ref, 0.0), 1.0))"
+
+
+def _reference(f: str) -> str:
+    x = f"CASE WHEN {f} > 0 THEN CAST({f} AS DOUBLE) END"
+    return f"GREATEST(CASE WHEN count({x}) >= {C.MIN_FOR_P95} THEN quantile_cont({x}, 0.95) ELSE COALESCE(MAX({x}), 1.0) END, 1.0) AS {f}_ref"
+
+
+def _cut(score: str) -> str:
+    x = f"CASE WHEN n_issue_types > 0 AND sae_pending_count = 0 THEN {score} END"
+    return f"CASE WHEN count({x}) = 0 THEN CAST(0.2 AS DOUBLE) ELSE round(GREATEST(quantile_cont({x}, 0.9), CAST(0.1 AS DOUBLE)), 10) END"
+
+
+def _category(score: str, threshold: str) -> str:
+    return f"CASE WHEN sae_pending_count > 0 THEN 'High' WHEN n_issue_types > 0 AND {score} >= {threshold} THEN 'High' WHEN n_issue_types > 0 THEN 'Medium' ELSE 'Low' END"
+
+
+def _validation() -> dict[str, str]:
+    from .operators.validation import scenarios
+
+    out = {}
+    out["folded"] = "SELECT *, CAST(ntile(5) OVER (PARTITION BY risk_category ORDER BY md5(concat_ws('|', study, subject_id, '42')), study, subject_id) AS INT) AS own FROM risk"
+    out["foldwide"] = "SELECT folded.*, CAST(f AS INT) AS fold, CASE WHEN own = f THEN 'test' ELSE 'train' END AS part FROM folded, range(1, 6) t(f)"
+    out["foldrefs"] = "SELECT fold, part, " + ", ".join(_reference(f) for f in W) + " FROM foldwide GROUP BY fold, part"
+    out["foldscored"] = "SELECT foldwide.*, round(LEAST(GREATEST(" + " + ".join(_component(f, f"CAST({w} AS DOUBLE)") for f, w in W.items()) + ", 0.0), 1.0), 10) AS ps FROM foldwide JOIN foldrefs ON foldwide.fold = foldrefs.fold AND foldwide.part = foldrefs.part"
+    out["foldcut"] = f"SELECT fold, {_cut('ps')} AS threshold_used FROM foldscored WHERE part = 'train' GROUP BY fold"
+    out["pred"] = f"SELECT study, subject_id, site_id, foldscored.fold, threshold_used, sae_pending_count, risk_category, {_category('ps', 'threshold_used')} AS risk_category_pred, ps AS dqi_score_pred, risk_category = {_category('ps', 'threshold_used')} AS prediction_correct FROM foldscored JOIN foldcut ON foldscored.fold = foldcut.fold WHERE part = 'test'"
+    out["foldresults"] = "SELECT fold, count(*) AS test_size, min(threshold_used) AS threshold, round(avg(CAST(prediction_correct AS DOUBLE)), 10) AS agreement, CASE WHEN count(*) FILTER (sae_pending_count > 0) > 0 THEN round(count(*) FILTER (sae_pending_count > 0 AND risk_category_pred = 'High') / count(*) FILTER (sae_pending_count > 0), 10) ELSE 1.0 END AS sae_capture, " + ", ".join(f"count(*) FILTER (risk_category_pred = '{k}') AS {k.lower()}_count" for k in ("High", "Medium", "Low")) + ", (SELECT count(*) FROM risk) - count(*) AS train_size FROM pred GROUP BY fold"
+    out["foldsites"] = "SELECT fold, study, site_id, round(avg(dqi_score_pred), 10) AS score FROM pred WHERE site_id <> '' GROUP BY fold, study, site_id"
+    out["foldpairs"] = "SELECT a.fold AS fold_a, b.fold AS fold_b, a.score AS x, b.score AS y FROM foldsites a JOIN foldsites b ON a.study = b.study AND a.site_id = b.site_id AND a.fold < b.fold"
+    out["foldranks"] = f"SELECT fold_a, fold_b, {_rank.format('fold_a, fold_b', 'x')} AS rx, {_rank.format('fold_a, fold_b', 'y')} AS ry FROM foldpairs"
+    out["foldcorr"] = "SELECT fold_a, fold_b, count(*) AS common_sites, round(round(corr(rx, ry), 10), 6) AS correlation FROM foldranks GROUP BY fold_a, fold_b HAVING count(*) > 10"
+    out["sensrefs"] = "SELECT " + ", ".join(_reference(f) for f in W) + " FROM risk"
+    rows = []
+    for name, w in scenarios().items():
+        total = " + ".join(_component(f, f"CAST({w[f]!r} AS DOUBLE)") for f in W)
+        base = " + ".join(_component(f, f"CAST({WEIGHT!r} AS DOUBLE)") for f, WEIGHT in W.items())
+        rows.append(f"SELECT study, subject_id, site_id, sae_pending_count, n_issue_types, '{name}' AS scenario, round(LEAST({total}, 1.0), 10) AS s, round(LEAST({base}, 1.0), 10) AS bs FROM risk, sensrefs")
+    out["sensrows"] = " UNION ALL ".join(rows)
+    out["senscut"] = f"SELECT scenario, {_cut('s')} AS cut FROM sensrows GROUP BY scenario"
+    out["sensrated"] = f"SELECT sensrows.*, {_category('s', 'cut')} AS r FROM sensrows JOIN senscut ON sensrows.scenario = senscut.scenario"
+    out["sensboth"] = "SELECT a.*, b.r AS br FROM sensrated a JOIN (SELECT study, subject_id, r FROM sensrated WHERE scenario = 'Baseline') b ON a.study = b.study AND a.subject_id = b.subject_id"
+    out["senscounts"] = "SELECT scenario, count(*) FILTER (r <> br) AS category_shifts, round(round(count(*) FILTER (r <> br) / count(*) * 100, 10), 2) AS shift_pct, CASE WHEN count(*) FILTER (sae_pending_count > 0) > 0 THEN round(round(count(*) FILTER (sae_pending_count > 0 AND r = 'High') / count(*) FILTER (sae_pending_count > 0) * 100, 10), 1) ELSE 100.0 END AS sae_capture_pct, " + ", ".join(f"count(*) FILTER (r = '{k}') AS {k.lower()}_count" for k in ("High", "Medium", "Low")) + " FROM sensboth GROUP BY scenario"
+    out["senssites"] = "SELECT scenario, study, site_id, round(avg(s), 10) AS x, round(avg(bs), 10) AS y FROM sensrows WHERE site_id <> '' GROUP BY scenario, study, site_id"
+    out["sensranks"] = f"SELECT scenario, {_rank.format('scenario', 'x')} AS rx, {_rank.format('scenario', 'y')} AS ry FROM senssites"
+    out["senscorr"] = "SELECT scenario, round(round(corr(rx, ry), 10), 4) AS rank_correlation FROM sensranks GROUP BY scenario"
+    out["sens"] = "SELECT senscounts.*, rank_correlation FROM senscounts JOIN senscorr ON senscounts.scenario = senscorr.scenario"
+    return out
+
+
+CTES |= _validation()
+
+
 def needs(sql: str) -> list[str]:
     """Names of the expressions that a text uses, in order of definition."""
     import re

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as C
-from .operators import anomaly, master, perspectives, recommend, rollup, rootcause, scoring
-from .oracle import concentrated, query
+from .operators import anomaly, graph, master, perspectives, portfolio, recommend, rollup, rootcause, scoring, validation
+from .oracle import concentrated, inside, query
 from .plans import projection
 from .plans.tables import staged
 
@@ -77,6 +77,18 @@ class Domain:
     def geography(self) -> DataFrame:
         return self._get("geography", lambda: rootcause.geographic(self.site, self.country, self.region), False)
 
+    @property
+    def nodes(self) -> DataFrame:
+        return self._get("nodes", lambda: graph.nodes(self.risk, self.site, self.study, self.region, self.country), True)
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._get("edges", lambda: graph.edges(self.risk, self.site, self.country), True)
+
+    @property
+    def predictions(self) -> DataFrame:
+        return self._get("predictions", lambda: validation.predictions(staged(validation.folds(self.risk), "folds")), True)
+
 
 def register(name: str, sql: str | None):
     """Add a query of a Domain; sql uses the expressions of oracle.CTES."""
@@ -179,3 +191,33 @@ register("factor_study", "SELECT * FROM f_study")(lambda d: rootcause.factor_stu
 register("factor_region", "SELECT * FROM f_region")(lambda d: rootcause.factor_region(d.site))
 register("factor_complexity", "SELECT * FROM f_complexity")(lambda d: rootcause.factor_complexity(d.site))
 register("root_causes", "SELECT * FROM rc_rows")(lambda d: rootcause.root_causes(d.site, d.geography))
+
+register("graph_nodes", "SELECT * FROM g_nodes")(lambda d: d.nodes)
+register("graph_edges", "SELECT * FROM g_edges")(lambda d: d.edges)
+register("graph_counts", "SELECT 'node' AS what, node_type AS kind, count(*) AS n FROM g_nodes GROUP BY node_type UNION ALL SELECT 'edge', edge_type, count(*) FROM g_edges GROUP BY edge_type")(lambda d: graph.counts(d.nodes, d.edges))
+register("graph_high_risk", inside("g_high"))(lambda d: graph.high_risk(d.nodes, d.edges))
+register("graph_top_studies", inside("g_top"))(lambda d: graph.top_studies(d.nodes, d.edges, d.risk, 2))
+register("graph_sample", inside("g_sample"))(lambda d: graph.sample(d.nodes, d.edges, 200))
+register("graph_risk_by_country", "SELECT country, risk_category, count(*) AS n FROM risk GROUP BY country, risk_category")(lambda d: graph.risk_by_country(d.risk))
+
+register("kfold", "SELECT study, subject_id, risk_category, own AS fold FROM folded")(lambda d: validation.folds(d.risk).select("study", "subject_id", "risk_category", "fold"))
+register("kfold_predictions", "SELECT * FROM pred")(lambda d: d.predictions)
+register("kfold_metrics", "SELECT * FROM foldresults")(lambda d: validation.fold_results(d.predictions, d.risk))
+register("kfold_stability", "SELECT round(avg(threshold), 10) AS mean, round(stddev_pop(threshold), 10) AS std, round(COALESCE(stddev_pop(threshold) / NULLIF(avg(threshold), 0), 0.0), 10) AS cv, min(threshold) AS min, max(threshold) AS max, round(max(threshold) - min(threshold), 10) AS range FROM foldresults")(lambda d: validation.stability(validation.fold_results(d.predictions, d.risk)))
+register("rank_correlation", "SELECT * FROM foldcorr")(lambda d: validation.rank_correlation(d.predictions))
+register("sensitivity", "SELECT * FROM sens")(lambda d: validation.sensitivity(d.risk))
+
+_hp = "floor(round(100 * (1 - (count(*) FILTER (risk_category = 'High') + 0.3 * count(*) FILTER (risk_category = 'Medium')) / GREATEST(count(*), 1)), 10))"
+register("health", f"SELECT *, CASE WHEN health >= 85 THEN 'Excellent' WHEN health >= 70 THEN 'Good' WHEN health >= 50 THEN 'Fair' ELSE 'Poor' END AS band FROM (SELECT count(*) AS subjects, count(*) FILTER (risk_category = 'High') AS high, count(*) FILTER (risk_category = 'Medium') AS medium, CAST({_hp} AS INT) AS health FROM risk)")(lambda d: portfolio.health(d.risk))
+register("study_bands", "SELECT count(*) FILTER (high_risk_rate >= 0.20) AS critical, count(*) FILTER (high_risk_rate >= 0.10 AND high_risk_rate < 0.20) AS warning, count(*) FILTER (high_risk_rate < 0.10) AS good FROM study_dqi")(lambda d: portfolio.study_bands(d.study))
+register("top_issues", " UNION ALL ".join(f"SELECT '{c}' AS issue, CAST(sum({c}) AS BIGINT) AS total FROM risk" for c in portfolio.TOP_ISSUES))(lambda d: portfolio.top_issues(d.risk))
+register("region_comparison", "SELECT region, avg_dqi_score, portfolio, CASE WHEN avg_dqi_score > portfolio * 1.1 THEN 'above' WHEN avg_dqi_score < portfolio * 0.9 THEN 'below' ELSE 'average' END AS position FROM region_dqi, (SELECT round(avg(avg_dqi_score), 10) AS portfolio FROM site)")(lambda d: portfolio.region_comparison(d.region, d.site))
+register("anomaly_line", "SELECT round(quantile_cont(anomaly_score, 0.9), 10) AS p90 FROM site_scores")(lambda d: portfolio.anomaly_line(anomaly.site_scores(d.anomalies)))
+register("strongest_pair", "SELECT issue_a, issue_b, lift FROM cooc ORDER BY lift DESC, issue_a, issue_b LIMIT 1")(lambda d: portfolio.strongest_pair(rootcause.cooccurrence(d.risk)))
+register("alerts", "SELECT study, CAST(sum(sae_pending_count_sum) AS BIGINT) AS pending_sae FROM site GROUP BY study ORDER BY pending_sae DESC, study LIMIT 3")(lambda d: portfolio.alerts(d.site))
+_place = "CASE priority WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END"
+register("action_list", f"SELECT 'site' AS source, study || ' ' || site_id AS target, {_place} AS urgency FROM rec_sites UNION ALL SELECT 'study', study, {_place} FROM rec_studies UNION ALL SELECT 'country', country || ' ' || region, {_place} FROM rec_countries UNION ALL SELECT 'anomaly', study || ' ' || site_id, 1 FROM site_scores WHERE critical_count > 0")(
+    lambda d: portfolio.actions(recommend.sites(d.site), recommend.studies(d.site), recommend.countries(d.site), anomaly.site_scores(d.anomalies))
+)
+register("impact", "SELECT high, CAST(floor(round(high * 0.66, 10)) AS BIGINT) AS resolved, CAST(floor(round(high * 0.47, 10)) AS BIGINT) AS prevented FROM (SELECT CAST(count(*) FILTER (risk_category = 'High') AS BIGINT) AS high FROM risk)")(lambda d: portfolio.impact(d.risk))
+register("drilldown", "SELECT CAST(LEAST(floor(dqi_score * 30), 29) AS INT) AS bin, count(*) AS n FROM risk WHERE study = 'BUILDING' AND risk_category IN ('High', 'Medium') GROUP BY 1")(lambda d: portfolio.drilldown(d.risk, study="BUILDING", categories=["High", "Medium"]))
