@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as C
-from .operators import anomaly, graph, master, perspectives, portfolio, recommend, rollup, rootcause, scoring, validation
+from .operators import anomaly, clustering, graph, master, perspectives, portfolio, recommend, rollup, rootcause, scoring, validation
 from .oracle import concentrated, inside, query
 from .plans import projection
 from .plans.tables import staged
+from .sources import discovery
+from .streaming import rescore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -221,3 +223,60 @@ register("action_list", f"SELECT 'site' AS source, study || ' ' || site_id AS ta
 )
 register("impact", "SELECT high, CAST(floor(round(high * 0.66, 10)) AS BIGINT) AS resolved, CAST(floor(round(high * 0.47, 10)) AS BIGINT) AS prevented FROM (SELECT CAST(count(*) FILTER (risk_category = 'High') AS BIGINT) AS high FROM risk)")(lambda d: portfolio.impact(d.risk))
 register("drilldown", "SELECT CAST(LEAST(floor(dqi_score * 30), 29) AS INT) AS bin, count(*) AS n FROM risk WHERE study = 'BUILDING' AND risk_category IN ('High', 'Medium') GROUP BY 1")(lambda d: portfolio.drilldown(d.risk, study="BUILDING", categories=["High", "Medium"]))
+
+_z = ", ".join(f"CASE WHEN COALESCE(stddev_samp(CAST({f} AS DOUBLE)) OVER (), 0) = 0 THEN 0.0 ELSE round((CAST({f} AS DOUBLE) - avg(CAST({f} AS DOUBLE)) OVER ()) / stddev_samp(CAST({f} AS DOUBLE)) OVER (), 10) END AS z_{f}" for f in clustering.FEATURES)
+register("cluster_features", f"SELECT study, site_id, country, region, {_z} FROM site")(lambda d: clustering.features(d.site).select(*C.SITE_KEYS, *(f"z_{f}" for f in clustering.FEATURES)))
+
+
+def _vectors(d: Domain) -> DataFrame:
+    return staged(clustering.vectors(clustering.features(d.site)), "vectors")
+
+
+register("cluster_kmeans", None)(lambda d: clustering.kmeans(_vectors(d), 4).select(*C.SITE_KEYS, "cluster_id", "cluster_probability"))
+register("cluster_gmm", None)(lambda d: clustering.gaussian_mixture(_vectors(d), 3)[0].select(*C.SITE_KEYS, "cluster_id", "cluster_probability"))
+register("cluster_pca", None)(lambda d: clustering.principal_components(_vectors(d)).select(*C.SITE_KEYS, "pc1", "pc2"))
+
+
+def _embedded(d: Domain) -> DataFrame:
+    e = projection.table(d.spark, d.sf_dir, "embeddings")
+    return e.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)))
+
+
+register("cluster_dbscan", None)(lambda d: clustering.dbscan(_embedded(d), "vec_id", ["x0", "x1", "x2"], 0.25, 4))
+_dims = ["x0", "x1", "x2"]
+_c = ", ".join(f"avg({x}) AS c_{x}" for x in _dims)
+register(
+    "cluster_metrics",
+    f"""WITH e AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1, CAST(embedding[3] AS DOUBLE) AS x2 FROM embeddings), c AS (SELECT label, count(*) AS n, {_c} FROM e GROUP BY label), t AS (SELECT count(*) AS n, avg(x0) AS w0, avg(x1) AS w1, avg(x2) AS w2 FROM e),
+p AS (SELECT c.label, c.n, c_x0, c_x1, c_x2, sum((x0-c_x0)*(x0-c_x0)+(x1-c_x1)*(x1-c_x1)+(x2-c_x2)*(x2-c_x2)) AS w, avg(sqrt((x0-c_x0)*(x0-c_x0)+(x1-c_x1)*(x1-c_x1)+(x2-c_x2)*(x2-c_x2))) AS s FROM e JOIN c ON e.label = c.label GROUP BY ALL),
+d AS (SELECT a.label, max((a.s + b.s) / sqrt((a.c_x0-b.c_x0)*(a.c_x0-b.c_x0)+(a.c_x1-b.c_x1)*(a.c_x1-b.c_x1)+(a.c_x2-b.c_x2)*(a.c_x2-b.c_x2))) AS r FROM p a JOIN p b ON a.label <> b.label GROUP BY a.label)
+SELECT (SELECT count(*) FROM p) AS k, round((SELECT (sum(p.n * ((c_x0-w0)*(c_x0-w0)+(c_x1-w1)*(c_x1-w1)+(c_x2-w2)*(c_x2-w2))) / (count(*) - 1)) / (sum(w) / (any_value(t.n) - count(*))) FROM p, t), 6) AS calinski_harabasz, round((SELECT avg(r) FROM d), 6) AS davies_bouldin""",
+)(lambda d: clustering.metrics(_embedded(d), "label", _dims).select("k", F.round("calinski_harabasz", 6).alias("calinski_harabasz"), F.round("davies_bouldin", 6).alias("davies_bouldin")))
+_r = {k: f"round(avg(CAST({c} > 0 AS DOUBLE)), 10)" for k, c in clustering.PROFILE.items()}
+_names = list(_r)
+_top = "array_to_string(list_transform(list_sort(list_filter([" + ", ".join(f"{{'r': -r{i}, 'i': {i}, 'k': '{k}'}}" for i, k in enumerate(_names)) + "], lambda x: x.r < -0.1))[1:3], lambda x: x.k), ', ')"
+_present = " + ".join(f"CAST(r{i} > 0.2 AS INT)" for i in range(len(_names)))
+register(
+    "cluster_profiles",
+    "SELECT * EXCLUDE (" + ", ".join(f"r{i}" for i in range(len(_names))) + ", present), CASE cluster_name " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in clustering.ARCHETYPES.items()) + " END AS risk_level, CASE cluster_name " + " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in clustering.ARCHETYPES.items()) + f""" END AS intervention_priority FROM (SELECT *, {_top} AS dominant_issues,
+CASE WHEN r0 > 0.3 OR r1 > 0.4 THEN 'Safety Concerns' WHEN r2 > 0.4 OR r3 > 0.4 THEN 'Data Laggards' WHEN present >= 3 OR (avg_dqi_score > 0.15 AND avg_high_risk_rate > 0.2) THEN 'Systemic Issues' WHEN avg_dqi_score < 0.05 AND avg_high_risk_rate < 0.05 AND present <= 1 THEN 'High Performers' WHEN avg_dqi_score < 0.1 THEN 'Moderate Performers' ELSE 'Needs Improvement' END AS cluster_name
+FROM (SELECT *, {_present} AS present FROM (SELECT CAST(right(site_id, 1) AS INT) AS cluster_id, count(*) AS site_count, round(avg(avg_dqi_score), 10) AS avg_dqi_score, round(avg(subject_count), 10) AS avg_subject_count, round(sum(high_risk_count) / GREATEST(sum(subject_count), 1), 10) AS avg_high_risk_rate, round(round(count(*) / (SELECT count(*) FROM site) * 100, 10), 1) AS pct_of_total, """
+    + ", ".join(f"{e} AS r{i}" for i, e in enumerate(_r.values())) + " FROM site GROUP BY 1)))",
+)(lambda d: clustering.profiles(d.site.withColumn("cluster_id", F.right("site_id", F.lit(1)).cast("int"))))
+
+_files = ["CPID_EDC_Metrics_v1.xlsx", "Visit Projection Tracker.xlsx", "Missing_Lab_Name_and_Missing_Ranges.xlsx", "eSAE Dashboard_Standard.xlsx", "Global_Missing_Pages_Report.xlsx", "GlobalCodingReport_MedDRA.xlsx", "GlobalCodingReport_WHODD.xlsx", "Inactivated Forms, Folders.xlsx", "Compiled_EDRR.xlsx", "notes.xlsx", "missing visit list.xlsx"]
+_folders = ["Study_1", "STUDY 22 files", "study3", "Archive"]
+_case = "CASE " + " ".join(f"WHEN regexp_matches(filename, '{'|'.join(f'(?:{p})' for p in ps)}', 'i') THEN '{k}'" for k, ps in C.FILE_PATTERNS.items()) + " ELSE 'unknown' END"
+_number = "regexp_extract(folder, '(?i)Study[_\\s]*(\\d+)', 1)".replace("\\\\", "\\")
+register("classify_files", "WITH f AS (SELECT a AS filename, b AS folder FROM (VALUES " + ", ".join(f"('{x}')" for x in _files) + ") x(a), (VALUES " + ", ".join(f"('{x}')" for x in _folders) + f") y(b)) SELECT CASE WHEN {_number} <> '' THEN 'Study_' || {_number} ELSE folder END AS study, folder, filename, {_case} AS file_type, '/data/' || folder || '/' || filename AS path FROM f")(
+    lambda d: discovery.file_mapping(d.spark.createDataFrame([(f"/data/{b}/{a}",) for a in _files for b in _folders], "path string"))
+)
+_ids = ["Subject 0012", "SUBJ-7", "pat_000", "12", "0", "PT 1a", "x-09", "patient"]
+register("standardise_ids", "SELECT c0 AS subject_id, CASE WHEN b = '' THEN '0' ELSE b END AS id FROM (SELECT c0, regexp_replace(regexp_replace(upper(trim(c0)), '^(SUBJECT|SUBJ|SUB|PATIENT|PAT|PT)[\\s_\\-]*', ''), '^0+', '') AS b FROM (VALUES ".replace("\\\\", "\\") + ", ".join(f"('{x}')" for x in _ids) + ") v(c0))")(
+    lambda d: d.spark.createDataFrame([(x,) for x in _ids], "subject_id string").select("subject_id", discovery.standard_id(F.col("subject_id")).alias("id"))
+)
+register("id_match", "SELECT 'sae_dashboard' AS file_type, count(*) AS ids, count(*) AS matched, 0 AS unmatched FROM metrics WHERE sae_total_count > 0")(lambda d: discovery.id_match(d.spine, d.extracts["sae_dashboard"], "sae_dashboard"))
+register("map_columns", None)(lambda d: discovery.map_headers(d.spark.createDataFrame([("edc_metrics", h, i) for i, h in enumerate(["Project Name", "Region", "Country", "Site ID", "Subject ID", "Latest Visit (SV)"])], "file_type string, header string, position int")))
+register("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS end, event_type, count(*) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean FROM events GROUP BY ALL")(
+    lambda d: rescore.windowed_counts(projection.table(d.spark, d.sf_dir, "events")).withColumns({"total": F.round("total", 6), "mean": F.round("mean", 6)})
+)
