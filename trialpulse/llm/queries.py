@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langmodel, pieces, prefixfree, quality, shared, superkmer, tokencount, topk, warc
+from . import decontaminate, jaccard, langmodel, oracles, pieces, prefixfree, quality, shared, superkmer, tokencount, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_exact_top_k,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.OP1,
+    "op4_warc": oracles.OP4,
+    "op5_decontamination": oracles.OP5,
+    "op7_suffix_array_dedup": oracles.OP7,
+    "op8_substring_dedup": oracles.OP8,
+    "op10_exact_top_k": oracles.OP10,
+}
