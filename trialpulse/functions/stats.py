@@ -38,6 +38,13 @@ def average_rank(column: str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(column)) + (F.count("*").over(Window.partitionBy(*by, column)) - 1) / 2
 
 
+def correlation(x: str, y: str) -> Column:
+    """AGG-23: Pearson of two columns as an aggregate; NULL where one is constant."""
+    a, b, n = F.col(x).cast("double"), F.col(y).cast("double"), F.count("*").cast("double")
+    up = n * F.sum(a * b) - F.sum(a) * F.sum(b)
+    return F.try_divide(up, F.sqrt((n * F.sum(a * a) - F.sum(a) * F.sum(a)) * (n * F.sum(b * b) - F.sum(b) * F.sum(b))))
+
+
 def label(metric: str) -> str:
     """PRJ-15: a metric's name for people."""
     return metric.replace("_sum", "").replace("_count", "").replace("_", " ").title()

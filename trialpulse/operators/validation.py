@@ -60,7 +60,7 @@ def rank_correlation(pred: DataFrame, least: int = 10) -> DataFrame:
     pairs = a.join(b, (F.col("a.study") == F.col("b.study")) & (F.col("a.site_id") == F.col("b.site_id")) & (F.col("a.fold") < F.col("b.fold"))).select(F.col("a.fold").alias("fold_a"), F.col("b.fold").alias("fold_b"), F.col("a.score").alias("x"), F.col("b.score").alias("y"))
     by = ["fold_a", "fold_b"]
     ranked = pairs.withColumns({"rx": S.average_rank("x", by), "ry": S.average_rank("y", by)})
-    return ranked.groupBy(*by).agg(F.count("*").alias("common_sites"), F.round(S.r10(F.corr("rx", "ry")), 6).alias("correlation")).where(F.col("common_sites") > least)
+    return ranked.groupBy(*by).agg(F.count("*").alias("common_sites"), F.round(S.r10(S.correlation("rx", "ry")), 6).alias("correlation")).where(F.col("common_sites") > least)
 
 
 def scenarios() -> dict[str, dict[str, float]]:
@@ -92,5 +92,5 @@ def sensitivity(risk: DataFrame, floor: float = 1.0) -> DataFrame:
     counts = both.groupBy("scenario").agg(F.count_if(F.col("risk") != F.col("base_risk")).alias("category_shifts"), F.round(S.r10(F.count_if(F.col("risk") != F.col("base_risk")) / F.count("*") * 100), 2).alias("shift_pct"), F.when(F.count_if(sae) > 0, F.round(S.r10(F.count_if(sae & (F.col("risk") == "High")) / F.count_if(sae) * 100), 1)).otherwise(100.0).alias("sae_capture_pct"), *(F.count_if(F.col("risk") == k).alias(f"{k.lower()}_count") for k in ("High", "Medium", "Low")))
     sites = long.where("site_id is not null and site_id <> ''").groupBy("scenario", "study", "site_id").agg(S.r10(F.avg("dqi_score")).alias("x"), S.r10(F.avg("base_score")).alias("y"))
     ranked = sites.withColumns({"rx": S.average_rank("x", ["scenario"]), "ry": S.average_rank("y", ["scenario"])})
-    corr = ranked.groupBy("scenario").agg(F.round(S.r10(F.corr("rx", "ry")), 4).alias("rank_correlation"))
+    corr = ranked.groupBy("scenario").agg(F.round(S.r10(S.correlation("rx", "ry")), 4).alias("rank_correlation"))
     return counts.join(corr, "scenario")

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def windowed_counts(events: DataFrame, time: str = "ts", key: str = "event_type", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts, sums and means by key and window; rows later than the watermark drop out. Works on a stream and on a table."""
-    source = events.withWatermark(time, late) if events.isStreaming else events
+    source = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     return source.groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "total", "mean")
 
 
