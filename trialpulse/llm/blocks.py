@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .shared import frugal
 
 BLOCK_BYTES = 4 << 20
 MESSAGE = "shard long, block long, keys binary, data binary"
@@ -32,6 +33,7 @@ def block_count(docs: DataFrame, text: str = "text", size: int = BLOCK_BYTES) ->
 
 def in_blocks(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """(block, doc_id, text, *keep): a block is a function of the id alone, so a retried task rebuilds the same one."""
+    frugal(docs.sparkSession)
     return docs.select(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep)
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import staged
+from .shared import frugal, staged
 
 #: log2 of the number of counters in the table that orders shingles.
 ORDER_BITS = 20
@@ -173,6 +173,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame, share: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row; links are 100 * intersection >= share * union."""
+    frugal(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows, table = _survey(docs, size)
     spread = _prefixes(docs, table, size, share).repartition("token").distinct()

@@ -64,6 +64,19 @@ def flat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def regroup(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together to about ``size`` bytes each."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, total = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def slices(offsets: np.ndarray, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about ``size`` bytes (at least one document each)."""
     n, at = len(offsets) - 1, 0

@@ -128,6 +128,7 @@ def totals(docs: DataFrame, shards: int, mod: int, held: int) -> tuple[int, int]
 def score_documents(docs: DataFrame, mod: int = 5, held: int = 1, mu2: float = 500.0, mu3: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     shards = B.block_count(docs, text_col)
+    B.frugal(docs.sparkSession)
     clean = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total, distinct = totals(clean, shards, mod, held)
     # keys of longer n-grams keep 19 bits more than it takes to number them all: one in half a million meets another

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .shared import frugal
 
 MARK = "▁".encode()
 #: A character outside the vocabulary scores this much under the worst piece.
@@ -229,7 +230,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """doc_id, n_tokens, ids (array<int>), round_trip: do the ids decode to the text?"""
 
     def run(batches):
-        for batch in batches:
+        for batch in K.regroup(batches, 6 << 20):
             texts = batch.column("text").to_pylist()
             at = 0
             while at < len(texts):  # a few MB at a time
@@ -245,6 +246,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, end - at), "n_tokens": counts, "ids": pa.ListArray.from_arrays(offsets, values), "round_trip": whole})
                 at = end
 
+    frugal(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import kernel as K
 from .langmodel import remainder
+from .shared import frugal
 
 SAMPLE = 20_000
 
@@ -147,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, sampl
 
 def classify(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, threshold: float = 0.7, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", good_only: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; labels has doc_id and quality. ``good_only``: the input's rows that are predicted 1."""
+    frugal(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     model = train(rows, labels, mod, held, sample)
 

@@ -26,3 +26,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     at = path(df.sparkSession, name)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def frugal(spark: SparkSession) -> None:
+    """Texts reach Python 1000 rows at a time where the session keeps Spark's default of 10000: a worker then holds a few MB of them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "1000")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .shared import frugal
 
 _loaded: dict[str, object] = {}
 
@@ -102,6 +103,7 @@ def _exists(spark, path: str) -> bool:
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit. ``cache``: the table's path, made where it is missing and appended to otherwise."""
     spark = docs.sparkSession
+    frugal(spark)
     version = tokenizer_digest(tokenizer)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
@@ -115,7 +117,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512,
     misses = misses.dropDuplicates(["digest"])
 
     def encode(batches):
-        for batch in batches:
+        for batch in K.regroup(batches, 16 << 20):
             yield pa.RecordBatch.from_pydict({"tokenizer": [version] * batch.num_rows, "digest": batch.column("digest"), "n_tokens": count_batch(batch.column("text"), tokenizer)})
 
     misses.mapInArrow(encode, "tokenizer string, digest string, n_tokens long").write.mode("append").parquet(cache)
