@@ -76,6 +76,7 @@ def _class_of(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _survey(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, cls, n) of every row, and the table of shingle counts (fixed size)."""
 
+    @K.tidy_batches
     def scan(batches):
         counts = np.zeros(1 << ORDER_BITS, np.int64)
         for batch in batches:
@@ -104,6 +105,7 @@ def _prefixes(docs: DataFrame, table: np.ndarray, size: int, share: int) -> Data
     """(token, cls, n, pos): the prefix of every class, once a task. share: the threshold in hundredths."""
     shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.uint32) if table.max(initial=0) < 1 << 32 else table)
 
+    @K.tidy_batches
     def scan(batches):
         counts, done = shared.value, np.zeros(0, np.int64)
         for batch in batches:
@@ -136,6 +138,7 @@ def _may_link(n1, p1, n2, p2, share: int):
 def _verify(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs whose sets are similar: suffix filter, then the merge."""
 
+    @K.tidy_batches
     def check(batches):
         for batch in batches:
             a, b = [], []
@@ -186,6 +189,7 @@ def similar(docs: DataFrame, share: int = 80, size: int = 5, id_col: str = "doc_
     named = rows.join(active, "cls").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("one"))
     texts = docs.join(named.select("one").distinct(), F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("one"), "left_semi").select("text")
 
+    @K.tidy_batches
     def items(batches):
         for batch in batches:
             for _, values, at in shingle_sets(batch.column("text"), size):

@@ -8,7 +8,9 @@ hash of any substring comes from two prefix sums.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,44 @@ def flat(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def settle() -> None:
+    """Give freed memory back to the system: idle Python workers live as long as their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(f: Callable) -> Callable:
+    """A function of a group, or of two that meet, that settles when it is done. Spark counts the parameters."""
+
+    def one(key, table):
+        try:
+            return f(key, table)
+        finally:
+            settle()
+
+    def two(key, table, answers):
+        try:
+            return f(key, table, answers)
+        finally:
+            settle()
+
+    return one if f.__code__.co_argcount == 2 else two
+
+
+def tidy_batches(f: Callable) -> Callable:
+    @wraps(f)
+    def batches(it):
+        try:
+            yield from f(it)
+        finally:
+            settle()
+
+    return batches
+
+
 def regroup(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches put together to about ``size`` bytes each."""
     held, total = [], 0
@@ -77,7 +117,11 @@ def regroup(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def slices(offsets: np.ndarray, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+#: A slice of texts in bytes; a little under a power of two, as tables of powers are rounded up to one.
+SLICE = (2 << 20) - 64
+
+
+def slices(offsets: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about ``size`` bytes (at least one document each)."""
     n, at = len(offsets) - 1, 0
     while at < n:
@@ -132,7 +176,7 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * powers(INV, len(prefix))[start] + (end - start).astype(U))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, size: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, size: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and words before each document; works slice by slice to bound memory."""
     hashes, bounds, done = [], [np.zeros(1, np.int64)], 0
     for a, b in slices(offsets, size):

@@ -98,6 +98,7 @@ def _sum(table: pa.Table) -> pa.Table:
 def totals(docs: DataFrame, shards: int, mod: int, held: int) -> tuple[int, int]:
     """N and V of the training rows: tokens with one end a text, and distinct tokens."""
 
+    @K.tidy_batches
     def count(batches):
         words, tokens, texts = np.zeros(0, K.U), 0, 0
         for batch in batches:
@@ -135,13 +136,16 @@ def score_documents(docs: DataFrame, mod: int = 5, held: int = 1, mu2: float = 5
     shift = max(0, 64 - 19 - (3 * total + 1).bit_length())
     mass = total + 0.5 * (distinct + 1)
 
+    @K.tidy
     def make(key, table):
         b = _Block(table, mod, held)
         return b.send(key[0].as_py(), shards, shift)
 
+    @K.tidy
     def reply(key, table):
         return _sum(table)
 
+    @K.tidy
     def score(key, table, answers):
         b = _Block(table, mod, held)
         c1, c2, c3 = b.corpus(B.replies(answers))

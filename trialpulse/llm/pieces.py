@@ -229,6 +229,7 @@ def decode(ids: np.ndarray, path: str) -> str:
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (array<int>), round_trip: do the ids decode to the text?"""
 
+    @K.tidy_batches
     def run(batches):
         for batch in K.regroup(batches, 6 << 20):
             texts = batch.column("text").to_pylist()
@@ -254,6 +255,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 def decode_column(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id and text from doc_id and ids."""
 
+    @K.tidy_batches
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text": [None if i is None else decode(np.array(i, np.int64), model) for i in batch.column("ids").to_pylist()]})

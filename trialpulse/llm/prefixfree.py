@@ -117,23 +117,28 @@ def remove_repeats(docs: DataFrame, width: int = 200, span: int = 100, gram: int
         raise ValueError("a trigger's bytes must lie inside every window that it opens")
     n = B.block_count(docs, text_col)
 
+    @K.tidy
     def make(key, table):
         p = _Parse(table, width, span, gram)
         distinct, count, _ = p.dictionary()
         return B.send(key[0].as_py(), p.context[distinct], n, p.whole[distinct].view(np.int64), count)
 
+    @K.tidy
     def reply(key, table):
         return _mark(table)
 
+    @K.tidy
     def make_suffixes(key, table, answers):
         p = _Parse(table, width, span, gram)
         distinct, _, index = p.dictionary()
         keys, count, _ = p.suffixes(B.replies(answers, np.int8), distinct, index)
         return B.send(key[0].as_py() if key[0].as_py() is not None else 0, keys, n, count)
 
+    @K.tidy
     def reply_suffixes(key, table):
         return _count(table)
 
+    @K.tidy
     def finish(key, table, answers):
         p = _Parse(table, width, span, gram)
         distinct, _, index = p.dictionary()

@@ -135,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, sampl
     others = ids.where("marked is null").orderBy(at, "doc_id").limit(sample).select("doc_id", F.lit(0).alias("positive"))
     picked = docs.join(F.broadcast(chosen.unionByName(others).dropDuplicates(["doc_id"])), "doc_id")  # at most 2 * sample ids
 
+    @K.tidy_batches
     def measure(batches):
         for batch in batches:
             x = features(batch.column("text"))
@@ -152,11 +153,13 @@ def classify(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, th
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     model = train(rows, labels, mod, held, sample)
 
+    @K.tidy_batches
     def score(batches):
         for batch in batches:
             s = model(features(batch.column("text")))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": remainder(batch.column("doc_id").to_pylist(), mod) == held, "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
+    @K.tidy_batches
     def choose(batches):
         for batch in batches:
             yield batch.filter(pa.array(model(features(batch.column(batch.schema.get_field_index(text_col)))) >= threshold))

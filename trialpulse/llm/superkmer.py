@@ -108,6 +108,7 @@ def deduplicate(docs: DataFrame, window: int = 50, gram: int = 4, id_col: str =
     """doc_id, n_words, n_removed, kept_sha256 and, ``with_text``, kept_text: the whole text where nothing is removed, else the kept words joined by one space. ``keep``: further columns of the input."""
     n = B.block_count(docs, text_col)
 
+    @K.tidy
     def make(key, table):
         b = _Block(table, window, gram)
         runs, bucket, least, _ = _distinct(b, n)
@@ -122,9 +123,11 @@ def deduplicate(docs: DataFrame, window: int = 50, gram: int = 4, id_col: str =
             rows["data"].append(K.pack(least[cuts[s] : cuts[s + 1]]))
         return pa.table(rows, schema=B._SCHEMA)
 
+    @K.tidy
     def reply(key, table):
         return _bucket(table, window)
 
+    @K.tidy
     def finish(key, table, answers):
         b = _Block(table, window, gram)
         runs, _, _, index = _distinct(b, n)

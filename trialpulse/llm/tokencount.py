@@ -116,6 +116,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512,
         misses = misses.join(known(), "digest", "left_anti")
     misses = misses.dropDuplicates(["digest"])
 
+    @K.tidy_batches
     def encode(batches):
         for batch in K.regroup(batches, 16 << 20):
             yield pa.RecordBatch.from_pydict({"tokenizer": [version] * batch.num_rows, "digest": batch.column("digest"), "n_tokens": count_batch(batch.column("text"), tokenizer)})

@@ -110,6 +110,7 @@ def _search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: i
 def _blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
     """(dim, ids, data): blocks of at most ``rows`` vectors of one dimension."""
 
+    @K.tidy_batches
     def cut(batches):
         for batch in batches:
             ids, column = batch.column("id").to_numpy(), batch.column("v")
@@ -132,6 +133,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
         good = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
         return df.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
+    @K.tidy_batches
     def search(batches):
         for batch in batches:
             for qi, qd, ci, cd, dim in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_data", "c_ids", "c_data", "dim"))):

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import kernel as K
 from .shared import frugal
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -59,6 +60,7 @@ def write(pages: DataFrame, to: str, date: str = "2024-01-01T00:00:00Z", id_col:
     frugal(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
 
+    @K.tidy_batches
     def digest(batches):
         for batch in batches:
             data = [b or b"" for b in batch.column("payload").to_pylist()]
@@ -68,6 +70,7 @@ def write(pages: DataFrame, to: str, date: str = "2024-01-01T00:00:00Z", id_col:
     rows.select(F.unhex(F.sha2("payload", 256)).alias("sha256"), "payload").dropDuplicates(["sha256"]).write.parquet(f"{to}/payloads")
     responses = named.groupBy("sha256").agg(F.max("key").alias("response"))
 
+    @K.tidy_batches
     def heads(batches):
         for batch in batches:
             out = []
@@ -88,6 +91,7 @@ def read(spark: SparkSession, at: str, with_payload: bool = True) -> DataFrame:
     heads = spark.read.schema("key long, response long, sha256 binary, header binary").parquet(f"{at}/headers")
     bodies = spark.read.schema("sha256 binary, payload binary").parquet(f"{at}/payloads")
 
+    @K.tidy_batches
     def check(batches):
         for batch in batches:
             data = batch.column("payload").to_pylist()
