@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as C
-from .operators import anomaly, clustering, graph, master, perspectives, portfolio, recommend, rollup, rootcause, scoring, validation
+from .operators import anomaly, clustering, diagnostics, graph, master, perspectives, portfolio, recommend, rollup, rootcause, scoring, validation
 from .oracle import concentrated, inside, query
 from .plans import projection
 from .plans.tables import staged
@@ -280,3 +280,12 @@ register("map_columns", None)(lambda d: discovery.map_headers(d.spark.createData
 register("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS end, event_type, count(*) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean FROM events GROUP BY ALL")(
     lambda d: rescore.windowed_counts(projection.table(d.spark, d.sf_dir, "events")).withColumns({"total": F.round("total", 6), "mean": F.round("mean", 6)})
 )
+
+_q = {c: f"quantile_cont(CASE WHEN {c} > 0 THEN CAST({c} AS DOUBLE) END, {{}})" for c in C.ISSUE_COLUMNS}
+register("diagnose_outliers", " UNION ALL ".join(f"SELECT '{c}' AS metric, count(*) FILTER ({c} > 0 AND {c} > q3 + 3.0 * (q3 - q1)) AS outliers, CAST(max(CASE WHEN {c} > 0 THEN {c} END) AS DOUBLE) AS largest, round({e.format(0.99)}, 10) AS p99 FROM master, (SELECT {e.format(0.25)} AS q1, {e.format(0.75)} AS q3 FROM master)" for c, e in _q.items()))(lambda d: diagnostics.outliers(d.master))
+register("diagnose_small_sites", f"SELECT count(*) AS sites, count(*) FILTER (n < 5) AS small, min(n) AS fewest, max(n) AS most FROM (SELECT count(*) AS n FROM master WHERE site_id <> '' GROUP BY {_keys})")(lambda d: diagnostics.small_sites(d.master))
+_by_file = {"visit_tracker": "missing_visit_count", "sae_dashboard": "sae_total_count", "missing_lab": "lab_issues_count", "missing_pages": "missing_pages_count", "meddra_coding": "uncoded_meddra_count", "whodd_coding": "uncoded_whodd_count", "inactivated": "inactivated_forms_count", "edrr": "edrr_open_issues"}
+register("diagnose_matches", " UNION ALL ".join(f"SELECT '{k}' AS file_type, count(*) AS ids, count(*) AS matched, 0 AS unmatched FROM metrics WHERE {m} IS NOT NULL" for k, m in _by_file.items()))(lambda d: diagnostics.matches(d.spine, d.extracts))
+register("diagnose_presence", " UNION ALL ".join(f"SELECT '{k}' AS file_type, count(DISTINCT study) AS with_data, (SELECT count(DISTINCT study) FROM spine) - count(DISTINCT study) AS without_data, string_agg(DISTINCT study, ', ' ORDER BY study) AS studies FROM metrics WHERE {m} IS NOT NULL" for k, m in _by_file.items()))(lambda d: diagnostics.presence(d.spine, d.extracts))
+_cut = "CASE WHEN count(CASE WHEN avg_dqi_score > 0 THEN 1 END) = 0 THEN {1} ELSE round(GREATEST(quantile_cont(CASE WHEN avg_dqi_score > 0 THEN avg_dqi_score END, {0}), {2}), 10) END"
+register("level_risk", f"WITH lv AS (SELECT study, region, count(*) AS site_count, CAST(sum(subject_count) AS BIGINT) AS subject_count, round(avg(avg_dqi_score), 10) AS avg_dqi_score, CAST(sum(high_risk_count) AS BIGINT) AS high_risk_subjects FROM site GROUP BY study, region), ct AS (SELECT {_cut.format(0.85, 0.1, 0.05)} AS hi, {_cut.format(0.5, 0.04, 0.02)} AS med FROM lv) SELECT lv.*, CASE WHEN avg_dqi_score >= hi THEN 'High' WHEN avg_dqi_score >= med THEN 'Medium' ELSE 'Low' END AS risk_category FROM lv, ct".replace("WITH lv", "SELECT * FROM (WITH lv", 1) + ")")(lambda d: diagnostics.level_risk(d.site, ["study", "region"]))
