@@ -1,6 +1,6 @@
 """Content-addressed WARC archive (operator 4).
 
-An archive is three tables: ``payloads`` (SHA-256, SHA-1, size, bytes: each
+An archive is two tables: ``payloads`` (SHA-256, SHA-1, size, bytes: each
 distinct payload once), ``headers`` (the exact header bytes of every record and
 the SHA-256 of its payload), both Parquet. Reading joins them back, checks both
 digests against the bytes, and gives the original records. Of records with equal
