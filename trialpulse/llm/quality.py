@@ -58,7 +58,9 @@ def features(texts: pa.Array) -> np.ndarray:
         top = np.zeros(rows)
         np.maximum.at(top, d[head], times)
         some = np.maximum(1, n)
-        x = [np.bincount(doc, same, minlength=rows) / some, distinct / some, top / some, np.log1p(n) / 10, size / some / 10, distinct / np.sqrt(some) / 10]
+        # eight words are added to every text, so that a few words can't look like repetition
+        more = n + 8.0
+        x = [np.bincount(doc, same, minlength=rows) / more, (distinct + 8) / more, np.maximum(top - 1, 0) / more, np.log1p(n) / 10, size / some / 10, distinct / np.sqrt(more) / 10]
         out.append(np.column_stack([kinds, *x]))
     base = np.concatenate(out) if out else np.zeros((0, _NK + 6))
     return np.column_stack([base, np.sqrt(base), base**2])
