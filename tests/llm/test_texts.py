@@ -7,7 +7,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from trialpulse.llm import decontaminate, jaccard, langmodel, pieces, prefixfree, quality, superkmer, tokencount
@@ -270,3 +272,30 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.n_hit) for r in decontaminate.decontaminate(docs, items).collect()) == [(0, 0), (0, 80), (0, 80), (2, 80), (4, 80), (4, 80), (9, 0)]
     assert langmodel.score_documents(docs).count() == 7
     assert tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), "/tmp/none-" + hashlib.md5(str(random.random()).encode()).hexdigest()).count() == 7
+
+
+@pytest.mark.parametrize("bound", [1, 3000])
+def test_word_windows_of_heavy_minimisers(docs, bound):
+    assert sorted(superkmer.deduplicate(docs, bound=bound).collect()) == sorted(superkmer.deduplicate(docs, bound=1 << 60).collect())
+
+
+def test_a_shared_passage_does_not_make_a_bucket_large(spark):
+    rng = random.Random(3)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    shared = prose(30)
+    rows = [(i, prose(60) + " " + shared + " " + prose(60)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    n, bound = 64, 40_000
+    block = superkmer._Block(pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}), 50, 4)
+
+    def largest(heavy):
+        t = superkmer._messages(block, 0, n, heavy)
+        return max(int.from_bytes(k[:8], "little") for s, k in zip(t["shard"].to_pylist(), t["keys"].to_pylist()) if s < n), sum(s >= n for s in t["shard"].to_pylist())
+
+    heavy = superkmer._heavy(docs, "text", n, 50, 4, bound)
+    (before, none), (after, dealt) = largest(np.zeros(0, np.uint64)), largest(heavy)
+    mean = sum(len(t) for _, t in rows) * 4 / n
+    assert none == 0 and before > 2 * (mean + bound) > 2 * after and n / 2 < dealt <= n

@@ -8,6 +8,10 @@ every distinct super-k-mer once to the bucket that owns the minimiser, with the
 smallest doc_id that has it; the bucket expands the windows, sorts them, and
 answers with the smallest doc_id over the corpus for each window.
 
+A minimiser that many different super-k-mers share (words around a common
+passage) would make one bucket large. Their bytes are counted first; windows of
+minimisers beyond a bound go by their own hash, dealt over all shards.
+
 Defined results: null text has no words; a text shorter than a window loses
 nothing; a null doc_id counts as larger than any other and never makes another
 document lose words; rows that repeat a doc_id are separate rows; extra columns
@@ -22,6 +26,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks as B
@@ -29,6 +34,8 @@ from . import kernel as K
 
 LAST = np.iinfo(np.int64).max
 LOW = K.U(0xFFFFFFFF)
+#: Bytes of distinct super-k-mers that one minimiser may send to its bucket.
+HEAVY_BYTES = 32 << 20
 
 
 class _Block:
@@ -57,6 +64,7 @@ class _Block:
         np.cumsum(hashes * K.powers(K.BASE, len(hashes)), out=pre[1:])
         self.key = K.span_hash(pre, self.begin, self.begin + self.length + window - 1)
         self.window = window
+        self.hashes = hashes
 
 
 def _joined(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -73,17 +81,79 @@ def _joined(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), at
 
 
-def _distinct(b: _Block, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct super-k-mers by (bucket, hash): a run of each, its bucket, its smallest doc_id, and the distinct one of each run."""
-    bucket = (b.mini % K.U(shards)).astype(np.int64)
-    order = np.lexsort((b.key, bucket))
-    k, s = b.key[order], bucket[order]
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of each one's values."""
+    order, heads = B.groups(keys)
+    return keys[order][heads], np.add.reduceat(values[order], heads) if len(heads) else values[:0]
+
+
+def _heavy(docs: DataFrame, text: str, n: int, window: int, gram: int, bound: int) -> np.ndarray:
+    """Minimisers whose super-k-mers pass half of ``bound``. A partition leaves out those too small in it for n of them to make up the other half, so none beyond ``bound`` is missed unless partitions are smaller than blocks. At most the super-k-mers' bytes / (bound / 2) values come to the driver."""
+
+    @K.tidy_batches
+    def count(batches):
+        minis, sizes = np.zeros(0, K.U), np.zeros(0, np.int64)
+        for batch in K.regroup(batches, B.BLOCK_BYTES):
+            b = _Block(pa.Table.from_batches([batch]), window, gram)
+            one = np.unique(b.key, return_index=True)[1]
+            size = b.at[b.begin[one] + b.length[one] + window - 1] - b.at[b.begin[one]]
+            minis, sizes = _sums(np.concatenate((minis, b.mini[one])), np.concatenate((sizes, size)))
+        some = sizes * (2 * n) >= bound
+        yield pa.RecordBatch.from_pydict({"mini": minis[some].view(np.int64), "bytes": sizes[some]})
+
+    rows = docs.select(F.lit(0).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(count, "mini long, bytes long")
+    found = rows.groupBy("mini").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") * 2 >= bound).collect()
+    return np.array([r.mini for r in found], np.int64).view(K.U)
+
+
+def _distinct(b: _Block, shards: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct super-k-mers by (bucket, hash): a run of each, its bucket, its smallest doc_id, and the distinct one of each run, -1 for those of heavy minimisers."""
+    light = np.flatnonzero(~np.isin(b.mini, heavy))
+    bucket, key = (b.mini[light] % K.U(shards)).astype(np.int64), b.key[light]
+    order = np.lexsort((key, bucket))
+    k, s = key[order], bucket[order]
     head = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])))) if len(k) else np.zeros(0, np.int64)
-    index = np.zeros(len(order), np.int64)
-    index[order] = np.cumsum(np.isin(np.arange(len(order)), head, assume_unique=True)) - 1 if len(order) else 0
+    index = np.full(len(b.mini), -1, np.int64)
+    own = light[order]
+    index[own] = np.cumsum(np.isin(np.arange(len(order)), head, assume_unique=True)) - 1 if len(order) else 0
     ids = b.ids[b.doc[b.begin]]
-    least = np.minimum.reduceat(ids[order], head) if len(head) else ids[:0]
-    return order[head], s[head], least, index
+    least = np.minimum.reduceat(ids[own], head) if len(head) else ids[:0]
+    return own[head], s[head], least, index
+
+
+def _apart(b: _Block, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of heavy minimisers: their places among the block's windows, their distinct hashes, the smallest doc_id of each, and the distinct one of each window."""
+    at = np.flatnonzero(index[b.run] < 0)
+    keys = K.run_hash(b.hashes, b.window)[b.starts[at]] if len(at) else np.zeros(0, K.U)
+    order, heads = B.groups(keys)
+    ids = b.ids[b.doc[b.starts[at]]]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(keys))))
+    return at, keys[order][heads], np.minimum.reduceat(ids[order], heads) if len(heads) else ids[:0], which
+
+
+def _messages(b: _Block, block: int, n: int, heavy: np.ndarray) -> pa.Table:
+    """Super-k-mers to the shards 0 to n - 1, single windows of heavy minimisers by their hash to the n after them."""
+    runs, bucket, least, index = _distinct(b, n, heavy)
+    rows: dict[str, list] = {"shard": [], "block": [], "keys": [], "data": []}
+    a, z = b.at[b.begin[runs]].tolist(), (b.at[b.begin[runs] + b.length[runs] + b.window - 1] - 1).tolist()
+    cuts = np.searchsorted(bucket, np.arange(n + 1))
+    for s in np.flatnonzero(np.diff(cuts)):
+        text = b"\n".join([b.norm[a[i] : z[i]] for i in range(cuts[s], cuts[s + 1])]) + b"\n"
+        rows["shard"].append(int(s))
+        rows["block"].append(block)
+        rows["keys"].append(len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True))
+        rows["data"].append(K.pack(least[cuts[s] : cuts[s + 1]]))
+    _, keys, smallest, _ = _apart(b, index)
+    return pa.concat_tables([pa.table(rows, schema=B._SCHEMA), B.send(block, keys, n, smallest, base=n)])
+
+
+def _windows(table: pa.Table) -> pa.Table:
+    keys, message, (own,), _ = B.received(table, 1)
+    order, heads = B.groups(keys)
+    least = np.empty(len(keys), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(own[order], heads), np.diff(np.append(heads, len(keys))))
+    return B.answer(table, message, least)
 
 
 def _bucket(table: pa.Table, window: int) -> pa.Table:
@@ -104,37 +174,33 @@ def _bucket(table: pa.Table, window: int) -> pa.Table:
     return B.answer(table, message, least)
 
 
-def deduplicate(docs: DataFrame, window: int = 50, gram: int = 4, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, ``with_text``, kept_text: the whole text where nothing is removed, else the kept words joined by one space. ``keep``: further columns of the input."""
+def deduplicate(docs: DataFrame, window: int = 50, gram: int = 4, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep: Sequence[str] = (), bound: int = HEAVY_BYTES) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, ``with_text``, kept_text: the whole text where nothing is removed, else the kept words joined by one space. ``keep``: further columns of the input. ``bound``: bytes from which a minimiser's windows are dealt out."""
     n = B.block_count(docs, text_col)
 
+    blocks = B.in_blocks(docs, n, id_col, text_col, keep)
+    heavy = _heavy(docs, text_col, n, window, gram, bound)
+
     @K.tidy
     def make(key, table):
-        b = _Block(table, window, gram)
-        runs, bucket, least, _ = _distinct(b, n)
-        rows: dict[str, list] = {"shard": [], "block": [], "keys": [], "data": []}
-        a, z = b.at[b.begin[runs]].tolist(), (b.at[b.begin[runs] + b.length[runs] + window - 1] - 1).tolist()
-        cuts = np.searchsorted(bucket, np.arange(n + 1))
-        for s in np.flatnonzero(np.diff(cuts)):
-            text = b"\n".join([b.norm[a[i] : z[i]] for i in range(cuts[s], cuts[s + 1])]) + b"\n"
-            rows["shard"].append(int(s))
-            rows["block"].append(key[0].as_py())
-            rows["keys"].append(len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True))
-            rows["data"].append(K.pack(least[cuts[s] : cuts[s + 1]]))
-        return pa.table(rows, schema=B._SCHEMA)
+        return _messages(_Block(table, window, gram), key[0].as_py(), n, heavy)
 
     @K.tidy
     def reply(key, table):
-        return _bucket(table, window)
+        return _bucket(table, window) if key[0].as_py() < n else _windows(table)
 
     @K.tidy
     def finish(key, table, answers):
         b = _Block(table, window, gram)
-        runs, _, _, index = _distinct(b, n)
+        runs, _, _, index = _distinct(b, n, heavy)
         least = B.replies(answers)
         at = np.concatenate(([0], np.cumsum(b.length[runs])))
         head = np.concatenate(([0], np.cumsum(b.length)))[:-1]
-        mine = least[at[index[b.run]] + np.arange(len(b.starts)) - head[b.run]] if len(b.starts) else least[:0]
+        mine = np.empty(len(b.starts), np.int64)
+        some = np.flatnonzero(index[b.run] >= 0)
+        mine[some] = least[at[index[b.run[some]]] + some - head[b.run[some]]]
+        apart, _, _, which = _apart(b, index)
+        mine[apart] = least[at[-1] + which]
         hit = b.starts[b.ids[b.doc[b.starts]] > mine]
         gone = K.covered(hit, hit + window, len(b.doc))
         gone_by = np.concatenate(([0], np.cumsum(gone)))
@@ -153,7 +219,6 @@ def deduplicate(docs: DataFrame, window: int = 50, gram: int = 4, id_col: str =
         out = {"doc_id": table["doc_id"], "n_words": np.diff(first), "n_removed": removed, "kept_sha256": kept}
         return pa.table(out | ({"kept_text": pa.array(texts, pa.string())} if with_text else {}) | {c: table[c] for c in keep})
 
-    blocks = B.in_blocks(docs, n, id_col, text_col, keep)
     answers = B.ask(blocks, make, reply)
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
     schema = T.StructType([*schema, *(docs.schema[c] for c in keep)])
