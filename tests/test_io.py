@@ -52,6 +52,13 @@ def test_workbooks(spark, tmp_path):
     assert [(r.subject_id, r.site_id, r.review_status, r._source_sheet) for r in got] == [("p1", "s1", "Open", "SAE Dashboard"), ("p2", None, "Review Completed", "SAE Dashboard")]
 
 
+def test_headers_that_match_by_substring_only(spark, tmp_path):
+    _xlsx(tmp_path / "a.xlsx", {"SAE Dashboard": [["Subject ID (EDC)", "", "Site Location", "Case Review Status"], ["p1", "x", "s1", "Open"]]})
+    _xlsx(tmp_path / "b.xlsx", {"SAE Dashboard": [["Review Status", "Patient ID"], ["Review Completed", "p2"]]})
+    got = workbook.table(workbook.scan(spark, str(tmp_path)), "sae_dashboard").orderBy("subject_id").collect()
+    assert [(r.subject_id, r.site_id, r.review_status) for r in got] == [("p1", "s1", "Open"), ("p2", None, "Review Completed")]
+
+
 def test_graphml_is_a_document(spark, tmp_path):
     n = spark.createDataFrame([("a", "Site", 'x<"&'), ("b", "Study", None)], "node_id string, node_type string, name string")
     e = spark.createDataFrame([("a", "b", "IN")], "source string, target string, edge_type string")

@@ -69,7 +69,7 @@ def scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def table(cells: DataFrame, kind: str, sheets: str | None = None) -> DataFrame:
-    """SRC-6, SRC-7: rows of one file type with canonical columns and _source_sheet. ``sheets``: a pattern for sheet names (SAE|Dashboard for safety extracts). Headers of different files may differ: values meet by canonical name."""
+    """SRC-6, SRC-7, SRC-14: rows of one file type with canonical columns and _source_sheet. ``sheets``: a pattern for sheet names (SAE|Dashboard for safety extracts). Headers of different files may differ: values meet by canonical name, found as discovery.standardise does."""
     from .. import config as C
 
     rows = cells.where("error is null")
@@ -78,10 +78,20 @@ def table(cells: DataFrame, kind: str, sheets: str | None = None) -> DataFrame:
     rows = rows.withColumn("file", F.concat_ws("#", "path", "sheet"))
     start = discovery.header_row(rows)
     rows = rows.join(start, "file")
-    heads = rows.where("row = header_row").select("file", F.posexplode("cells").alias("position", "header"), F.lit(kind).alias("file_type"))
-    accepted = [(c, v.lower()) for c, names in C.HEADERS[kind].items() for v in names]
-    rules = F.broadcast(cells.sparkSession.createDataFrame(accepted, "canonical string, part string"))  # a fixed table of config
-    found = heads.join(rules, F.lower("header") == F.col("part")).groupBy("file", "canonical").agg(F.min("position").alias("position"))
+    heads = rows.where("row = header_row").select("file", F.posexplode("cells").alias("position", "header"))
+
+    def canonical(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = sorted((p, h) for p, h in zip(pdf["position"], pdf["header"]) if h and h.strip())
+        out = []
+        for name, candidates in C.HEADERS[kind].items():
+            found = discovery.find_column([h for _, h in left], candidates)
+            if found is not None:
+                at = next(p for p, h in left if h == found)
+                left = [(p, h) for p, h in left if p != at]
+                out.append((pdf["file"].iloc[0], name, at))
+        return pd.DataFrame(out, columns=["file", "canonical", "position"])
+
+    found = heads.groupBy("file").applyInPandas(canonical, "file string, canonical string, position int")  # one row of headers a group
     values = rows.where("row > header_row").select("file", "sheet", "row", F.posexplode("cells").alias("position", "value"))
     wide = values.join(found, ["file", "position"]).groupBy("file", "sheet", "row").pivot("canonical", list(C.HEADERS[kind])).agg(F.first("value"))
     return discovery.drop_junk(wide.withColumnRenamed("sheet", "_source_sheet").drop("file", "row"))
