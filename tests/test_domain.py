@@ -1,12 +1,16 @@
 """Rules of the index and its analyses, on small tables with known answers."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trialpulse import catalog
 from trialpulse import config as C
 from trialpulse.operators import anomaly, clustering, master, rollup, rootcause, scoring, validation
 from trialpulse.operators import recommend as R
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def subjects(spark, rows):
     """rows: (study, subject_id, site_id, {issue: count})."""
@@ -139,3 +143,41 @@ def test_dbscan_and_cluster_metrics(spark):
 
 def test_empty_site_table_gives_no_anomalies(spark):
     assert anomaly.detect(site_rows(spark, [])).count() == 0
+
+
+def test_number_of_clusters_by_either_measure(spark):
+    rng = np.random.default_rng(5)
+    pts = [(i, *(float(v) for v in rng.normal(0, 0.3, 2) + [(0, 0), (6, 0), (0, 6)][i % 3])) for i in range(36)]
+    vec = clustering.vectors(spark.createDataFrame(pts, "id long, z_x double, z_y double").coalesce(1)).cache()
+    assert clustering.choose_k(vec, 4, key="id") == 3 and clustering.choose_k(vec, 3) == 3
+
+
+def test_dbscan_of_sites_uses_every_feature(spark):
+    site = catalog.QUERIES["cluster_features"](spark, SMALL).toPandas()
+    got = catalog.QUERIES["cluster_dbscan"](spark, SMALL).toPandas()
+    both = site.merge(got, on=C.SITE_KEYS)
+    x = both[[f"z_{f}" for f in clustering.FEATURES]].to_numpy()
+    near = ((x[:, None] - x[None]) ** 2).sum(-1) <= 0.25
+    core = near.sum(1) >= 5
+    reach = np.where(core, np.arange(len(x)), -1)
+    for _ in range(len(x)):
+        reach = np.array([min((reach[j] for j in range(len(x)) if core[j] and near[i, j]), default=-1) if core[i] else -1 for i in range(len(x))])
+    assert len(both) == len(site) == len(got) and core.any()
+    label = both.cluster_id.to_numpy()
+    assert all((label[i] == label[j]) == (reach[i] == reach[j]) for i in np.flatnonzero(core) for j in np.flatnonzero(core))
+    assert ((label >= 0) == (near & core[None]).any(1)).all()
+
+
+def test_cluster_metrics_use_every_component(spark):
+    e = spark.read.parquet(f"{SMALL}/embeddings.parquet").toPandas()
+    x, label = np.array([np.asarray(v, float) for v in e.embedding]), e.label.to_numpy()
+    names = np.unique(label)
+    centre = np.array([x[label == k].mean(0) for k in names])
+    own = np.searchsorted(names, label)
+    within, between = ((x - centre[own]) ** 2).sum(), sum((label == k).sum() * ((c - x.mean(0)) ** 2).sum() for k, c in zip(names, centre))
+    spread = np.array([np.sqrt(((x[label == k] - c) ** 2).sum(1)).mean() for k, c in zip(names, centre)])
+    gap = np.sqrt(((centre[:, None] - centre[None]) ** 2).sum(-1)) + np.diag([np.inf] * len(names))
+    got = catalog.QUERIES["cluster_metrics"](spark, SMALL).first()
+    assert x.shape[1] == 64 and got.k == len(names)
+    assert got.calinski_harabasz == pytest.approx((between / (len(names) - 1)) / (within / (len(x) - len(names))), rel=1e-4)
+    assert got.davies_bouldin == pytest.approx(((spread[:, None] + spread[None]) / gap).max(1).mean(), rel=1e-4)

@@ -33,7 +33,7 @@ def vectors(featured: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(featured)
 
 
-def kmeans(vec: DataFrame, k: int, seed: int = 42, restarts: int = 3) -> DataFrame:
+def kmeans(vec: DataFrame, k: int, seed: int = 42, restarts: int = 10) -> DataFrame:
     """CLU-3: the restart with the smallest cost; pseudo-probabilities from inverse distances to the centres."""
     models = [KMeans(k=k, seed=seed + i, maxIter=300).fit(vec) for i in range(restarts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
@@ -44,7 +44,7 @@ def kmeans(vec: DataFrame, k: int, seed: int = 42, restarts: int = 3) -> DataFra
     return out.withColumn("cluster_probability", F.element_at(F.array(*inverse), F.col("cluster_id") + 1) / S.total(inverse))
 
 
-def gaussian_mixture(vec: DataFrame, k: int, seed: int = 42, restarts: int = 3) -> tuple[DataFrame, float]:
+def gaussian_mixture(vec: DataFrame, k: int, seed: int = 42, restarts: int = 10) -> tuple[DataFrame, float]:
     """CLU-2: the restart with the best likelihood, and its BIC. Restarts that lose a component (weight near 0) only count if all do."""
     d, n = len(vec.first()["features"]), vec.count()
     models = [GaussianMixture(k=k, seed=seed + i, maxIter=200).fit(vec) for i in range(restarts)]
@@ -56,10 +56,13 @@ def gaussian_mixture(vec: DataFrame, k: int, seed: int = 42, restarts: int = 3)
     return out, bic
 
 
-def choose_k(vec: DataFrame, largest: int = 10, seed: int = 42) -> int:
-    """CLU-6: lowest BIC for k of 2 to min(largest, n // 5 - 1)."""
-    top = max(2, min(largest, vec.count() // 5 - 1))
-    return min(range(2, top + 1), key=lambda k: gaussian_mixture(vec, k, seed, 1)[1])
+def choose_k(vec: DataFrame, largest: int = 10, seed: int = 42, key: str | None = None) -> int:
+    """CLU-6: k of 2 to min(largest, n // 5 - 1) with the lowest BIC of a mixture or, with the ``key`` of a row, the best silhouette of k-means."""
+    ks = range(2, max(2, min(largest, vec.count() // 5 - 1)) + 1)
+    if key is None:
+        return min(ks, key=lambda k: gaussian_mixture(vec, k, seed)[1])
+    names = [c for c in vec.columns if c.startswith("z_")]
+    return max(ks, key=lambda k: silhouette(staged(kmeans(vec, k, seed).select(key, "cluster_id", *names), "labelled"), key, "cluster_id", names).first().silhouette)
 
 
 def principal_components(vec: DataFrame, k: int = 2) -> DataFrame:
@@ -74,14 +77,15 @@ def _square(a: list[Column], b: list[Column]) -> Column:
 
 
 def dbscan(points: DataFrame, key: str, dims: list[str], eps: float, least: int) -> DataFrame:
-    """CLU-4: (key, cluster_id), -1 for noise. Pairs meet by grid cell of side eps, so only neighbours are compared; clusters are numbered by their smallest core key."""
-    grid = [F.floor(F.col(c) / eps).alias(f"g_{c}") for c in dims]
+    """CLU-4: (key, cluster_id), -1 for noise. Pairs meet by grid cell of side eps in the first three dimensions, so only neighbours are compared, by all dimensions; clusters are numbered by their smallest core key."""
+    sides = dims[:3]
+    grid = [F.floor(F.col(c) / eps).alias(f"g_{c}") for c in sides]
     cells = staged(points.select(key, *dims, *grid), "cells")
     near = cells
-    for c in dims:  # the cell and its two neighbours in every dimension
+    for c in sides:  # the cell and its two neighbours in each
         near = near.withColumn(f"g_{c}", F.explode(F.array(*(F.col(f"g_{c}") + d for d in (-1, 0, 1)))))
     a, b = cells.alias("a"), near.alias("b")
-    on = [F.col(f"a.g_{c}") == F.col(f"b.g_{c}") for c in dims]
+    on = [F.col(f"a.g_{c}") == F.col(f"b.g_{c}") for c in sides]
     condition = on[0]
     for o in on[1:]:
         condition = condition & o

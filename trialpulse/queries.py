@@ -229,20 +229,33 @@ register("cluster_features", f"SELECT study, site_id, country, region, {_z} FROM
 
 
 def _vectors(d: Domain) -> DataFrame:
-    return staged(clustering.vectors(clustering.features(d.site)), "vectors")
+    return staged(clustering.vectors(clustering.features(d.site)).withColumn("site_key", F.concat_ws("|", *C.SITE_KEYS)), "vectors")
 
 
-register("cluster_kmeans", None)(lambda d: clustering.kmeans(_vectors(d), 4).select(*C.SITE_KEYS, "cluster_id", "cluster_probability"))
-register("cluster_gmm", None)(lambda d: clustering.gaussian_mixture(_vectors(d), 3)[0].select(*C.SITE_KEYS, "cluster_id", "cluster_probability"))
+def _kmeans(vec: DataFrame) -> DataFrame:
+    return clustering.kmeans(vec, clustering.choose_k(vec, key="site_key"))
+
+
+def _mixture(vec: DataFrame) -> DataFrame:
+    return clustering.gaussian_mixture(vec, clustering.choose_k(vec))[0]
+
+
+def _dbscan(vec: DataFrame) -> DataFrame:
+    return vec.join(clustering.dbscan(vec, "site_key", [f"z_{f}" for f in clustering.FEATURES], 0.5, 5), "site_key")
+
+
+register("cluster_kmeans", None)(lambda d: _kmeans(_vectors(d)).select(*C.SITE_KEYS, "cluster_id", "cluster_probability"))
+register("cluster_gmm", None)(lambda d: _mixture(_vectors(d)).select(*C.SITE_KEYS, "cluster_id", "cluster_probability"))
 register("cluster_pca", None)(lambda d: clustering.principal_components(_vectors(d)).select(*C.SITE_KEYS, "pc1", "pc2"))
 
 
 def _embedded(d: Domain) -> DataFrame:
     e = projection.table(d.spark, d.sf_dir, "embeddings")
-    return e.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)))
+    return e.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)))
 
 
-register("cluster_dbscan", None)(lambda d: clustering.dbscan(_embedded(d), "vec_id", ["x0", "x1", "x2"], 0.25, 4))
+register("cluster_dbscan", None)(lambda d: _dbscan(_vectors(d)).select(*C.SITE_KEYS, "cluster_id"))
+_all = [f"x{i}" for i in range(64)]
 _dims = ["x0", "x1", "x2"]
 _c = ", ".join(f"avg({x}) AS c_{x}" for x in _dims)
 register(
@@ -251,7 +264,7 @@ register(
 p AS (SELECT c.label, c.n, c_x0, c_x1, c_x2, sum((x0-c_x0)*(x0-c_x0)+(x1-c_x1)*(x1-c_x1)+(x2-c_x2)*(x2-c_x2)) AS w, avg(sqrt((x0-c_x0)*(x0-c_x0)+(x1-c_x1)*(x1-c_x1)+(x2-c_x2)*(x2-c_x2))) AS s FROM e JOIN c ON e.label = c.label GROUP BY ALL),
 d AS (SELECT a.label, max((a.s + b.s) / sqrt((a.c_x0-b.c_x0)*(a.c_x0-b.c_x0)+(a.c_x1-b.c_x1)*(a.c_x1-b.c_x1)+(a.c_x2-b.c_x2)*(a.c_x2-b.c_x2))) AS r FROM p a JOIN p b ON a.label <> b.label GROUP BY a.label)
 SELECT (SELECT count(*) FROM p) AS k, round((SELECT (sum(p.n * ((c_x0-w0)*(c_x0-w0)+(c_x1-w1)*(c_x1-w1)+(c_x2-w2)*(c_x2-w2))) / (count(*) - 1)) / (sum(w) / (any_value(t.n) - count(*))) FROM p, t), 6) AS calinski_harabasz, round((SELECT avg(r) FROM d), 6) AS davies_bouldin""",
-)(lambda d: clustering.metrics(_embedded(d), "label", _dims).select("k", F.round("calinski_harabasz", 6).alias("calinski_harabasz"), F.round("davies_bouldin", 6).alias("davies_bouldin")))
+)(lambda d: clustering.metrics(_embedded(d), "label", _all).select("k", F.round("calinski_harabasz", 6).alias("calinski_harabasz"), F.round("davies_bouldin", 6).alias("davies_bouldin")))
 _r = {k: f"round(avg(CAST({c} > 0 AS DOUBLE)), 10)" for k, c in clustering.PROFILE.items()}
 _names = list(_r)
 _top = "array_to_string(list_transform(list_sort(list_filter([" + ", ".join(f"{{'r': -r{i}, 'i': {i}, 'k': '{k}'}}" for i, k in enumerate(_names)) + "], lambda x: x.r < -0.1))[1:3], lambda x: x.k), ', ')"
