@@ -16,7 +16,7 @@ SELECT c_mktsegment AS study, CAST(c_custkey AS VARCHAR) AS subject_id, 'S' || c
   CAST(NULL AS VARCHAR) AS latest_visit
 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"""
 
-CTES["keyed"] = "SELECT *, c_mktsegment AS study, CAST(o_custkey AS VARCHAR) AS subject_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 5 < 2"
+CTES["keyed"] = "SELECT *, c_mktsegment AS study, CAST(o_custkey AS VARCHAR) AS subject_id FROM orders JOIN customer ON o_custkey = c_custkey"
 CTES["lines"] = "SELECT * FROM keyed JOIN lineitem ON o_orderkey = l_orderkey"
 _days = "CAST(date_diff('day', CAST({} AS DATE), CAST({} AS DATE)) AS DOUBLE)"
 _clamp = "LEAST(GREATEST({}, 0.0), 1825.0)"

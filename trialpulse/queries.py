@@ -256,14 +256,16 @@ def _embedded(d: Domain) -> DataFrame:
 
 register("cluster_dbscan", None)(lambda d: _dbscan(_vectors(d)).select(*C.SITE_KEYS, "cluster_id"))
 _all = [f"x{i}" for i in range(64)]
-_dims = ["x0", "x1", "x2"]
-_c = ", ".join(f"avg({x}) AS c_{x}" for x in _dims)
+_sq = "list_sum(list_transform(range(1, 65), lambda i: ({0}[i] - {1}[i]) * ({0}[i] - {1}[i])))"
 register(
     "cluster_metrics",
-    f"""WITH e AS (SELECT label, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1, CAST(embedding[3] AS DOUBLE) AS x2 FROM embeddings), c AS (SELECT label, count(*) AS n, {_c} FROM e GROUP BY label), t AS (SELECT count(*) AS n, avg(x0) AS w0, avg(x1) AS w1, avg(x2) AS w2 FROM e),
-p AS (SELECT c.label, c.n, c_x0, c_x1, c_x2, sum((x0-c_x0)*(x0-c_x0)+(x1-c_x1)*(x1-c_x1)+(x2-c_x2)*(x2-c_x2)) AS w, avg(sqrt((x0-c_x0)*(x0-c_x0)+(x1-c_x1)*(x1-c_x1)+(x2-c_x2)*(x2-c_x2))) AS s FROM e JOIN c ON e.label = c.label GROUP BY ALL),
-d AS (SELECT a.label, max((a.s + b.s) / sqrt((a.c_x0-b.c_x0)*(a.c_x0-b.c_x0)+(a.c_x1-b.c_x1)*(a.c_x1-b.c_x1)+(a.c_x2-b.c_x2)*(a.c_x2-b.c_x2))) AS r FROM p a JOIN p b ON a.label <> b.label GROUP BY a.label)
-SELECT (SELECT count(*) FROM p) AS k, round((SELECT (sum(p.n * ((c_x0-w0)*(c_x0-w0)+(c_x1-w1)*(c_x1-w1)+(c_x2-w2)*(c_x2-w2))) / (count(*) - 1)) / (sum(w) / (any_value(t.n) - count(*))) FROM p, t), 6) AS calinski_harabasz, round((SELECT avg(r) FROM d), 6) AS davies_bouldin""",
+    f"""WITH e AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda v: v) AS v FROM embeddings),
+u AS (SELECT vec_id, label, unnest(v) AS x, unnest(range(1, 65)) AS i FROM e),
+m AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM u GROUP BY ALL) GROUP BY label),
+w AS (SELECT list(x ORDER BY i) AS t FROM (SELECT i, avg(x) AS x FROM u GROUP BY i)),
+g AS (SELECT e.label, c, count(*) AS n, sum({_sq.format('v', 'c')}) AS inside, avg(sqrt({_sq.format('v', 'c')})) AS spread FROM e JOIN m USING (label) GROUP BY ALL),
+d AS (SELECT max((a.spread + b.spread) / sqrt({_sq.format('a.c', 'b.c')})) AS r FROM g a JOIN g b ON a.label <> b.label GROUP BY a.label)
+SELECT (SELECT count(*) FROM g) AS k, round((SELECT sum(n * {_sq.format('c', 't')}) / (count(*) - 1) / (sum(inside) / (sum(n) - count(*))) FROM g, w), 6) AS calinski_harabasz, round((SELECT avg(r) FROM d), 6) AS davies_bouldin""",
 )(lambda d: clustering.metrics(_embedded(d), "label", _all).select("k", F.round("calinski_harabasz", 6).alias("calinski_harabasz"), F.round("davies_bouldin", 6).alias("davies_bouldin")))
 _r = {k: f"round(avg(CAST({c} > 0 AS DOUBLE)), 10)" for k, c in clustering.PROFILE.items()}
 _names = list(_r)
