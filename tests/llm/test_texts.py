@@ -299,3 +299,40 @@ def test_a_shared_passage_does_not_make_a_bucket_large(spark):
     (before, none), (after, dealt) = largest(np.zeros(0, np.uint64)), largest(heavy)
     mean = sum(len(t) for _, t in rows) * 4 / n
     assert none == 0 and before > 2 * (mean + bound) > 2 * after and n / 2 < dealt <= n
+
+
+def test_parse_and_dictionary_give_corpus_order():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(97, 99, (300, 12)).astype(np.uint8)
+    order, common = prefixfree.suffix_array(rows)
+    plain = sorted(range(300), key=lambda i: (rows[i].tobytes(), i))
+    assert order.tolist() == plain
+    for a, b, n in zip(order[:-1], order[1:], common[1:]):
+        assert n == next((k for k in range(12) if rows[a][k] != rows[b][k]), 12)
+    # windows of phrases: the order of (bytes before the trigger, rank of the text from it on) is that of the windows themselves
+    width, phrases = 12, []
+    for _ in range(200):
+        before = int(rng.integers(0, 5))
+        windows = int(rng.integers(1, before + 2))
+        phrases.append((rng.integers(97, 99, windows + width - 1).astype(np.uint8), before, windows))
+    text, before, windows = np.concatenate([p for p, _, _ in phrases]), *(np.array([p[i] for p in phrases]) for i in (1, 2))
+    parse = np.zeros((200, width), np.uint8)
+    for i, (p, b, _) in enumerate(phrases):
+        parse[i, : len(p) - b] = p[b:]
+    rank = np.empty(200, np.int64)
+    rank[prefixfree.suffix_array(parse)[0]] = np.arange(200)
+    all_ = [(p[s : s + width].tobytes(), p[s:b].tobytes(), int(rank[i])) for i, (p, b, w) in enumerate(phrases) for s in range(w) if s <= b]
+    same_split = defaultdict(list)
+    for whole, head, r in all_:
+        same_split[len(head)].append((whole, head, r))
+    for group in same_split.values():
+        assert [w for w, _, _ in sorted(group, key=lambda g: g[1:])] == sorted(w for w, _, _ in group)
+    # a window occurs twice if its bytes do, with the same number of them before the trigger
+    seen = Counter((b - s, p[s : s + width].tobytes()) for p, b, w in phrases for s in range(w))
+    want = [seen[b - s, p[s : s + width].tobytes()] > 1 for p, b, w in phrases for s in range(w)]
+    assert prefixfree.repeated(text, before, windows, width).tolist() == want and any(want) and not all(want)
+
+
+@pytest.mark.parametrize("heavy", [1, 3])
+def test_byte_repeats_of_crowded_contexts(docs, heavy):
+    assert sorted(prefixfree.remove_repeats(docs, heavy=heavy).collect()) == sorted(prefixfree.remove_repeats(docs).collect())

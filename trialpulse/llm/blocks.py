@@ -32,9 +32,9 @@ def block_count(docs: DataFrame, text: str = "text", size: int = BLOCK_BYTES) ->
 
 
 def in_blocks(docs: DataFrame, n: int, id_col: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """(block, doc_id, text, *keep): a block is a function of the id alone, so a retried task rebuilds the same one."""
+    """(block, doc_id, text, *keep): a block is a function of the row alone, so a retried task rebuilds the same one. The text counts too: rows of one id, or of none, are spread."""
     frugal(docs.sparkSession)
-    return docs.select(F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep)
+    return docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(n)).alias("block"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *keep)
 
 
 def send(block: int, keys: np.ndarray, n: int, *columns: np.ndarray, shift: int = 0, base: int = 0) -> pa.Table:
