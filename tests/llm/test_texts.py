@@ -117,6 +117,55 @@ def test_language_model_scores_and_counts(docs):
         assert abs(r.score - score) <= 4e-4 * (len(w) - 2)
 
 
+def test_a_stored_model_scores_texts_that_it_has_not_seen(docs, spark, tmp_path):
+    learnt = [t for i, t in ROWS if i % 4]
+    spark.createDataFrame([(i, t) for i, t in ROWS if i % 4], "doc_id long, text string").repartition(3).createOrReplaceTempView("learnt")
+    counts, total = [Counter(), Counter(), Counter()], 0
+    for t in learnt:
+        w = ["<s>", "<s>", *(x.lower() for x in words(t)), "</s>"]
+        total += len(w) - 2
+        for n in (1, 2, 3):
+            counts[n - 1].update([tuple(w[k : k + n]) for k in range(2 - (n > 1) - (n > 2), len(w) - n + 1)])
+    texts = [None, "", "one", "words of no kind", "be be be be", " ".join(t.decode() for t in words(ROWS[30][1])), ROWS[12][1]]
+    langmodel.build(spark.table("learnt"), str(tmp_path / "model"))
+    fresh = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = by_id(langmodel.score_texts(fresh, str(tmp_path / "model"), mu2=20.0, mu3=3.0))
+    mass = total + 0.5 * (len(counts[0]) + 1)
+    starts = len(learnt)
+    for i, t in enumerate(texts):
+        w = ["<s>", "<s>", *(x.lower() for x in words(t)), "</s>"]
+        want = base = 0.0
+        for a, b, c in zip(w, w[1:], w[2:]):
+            one = (counts[0][(c,)] + 0.5) / mass
+            head = starts if b == "<s>" else counts[0][(b,)]
+            two = (counts[1][(b, c)] + 20 * one) / (head + 20)
+            context = starts if (a, b) == ("<s>", "<s>") else counts[1][(a, b)]
+            want += math.log10((counts[2][(a, b, c)] + 3 * two) / (context + 3))
+            base += math.log10(one)
+        assert got[i].train_tokens == total and got[i].n_tokens == len(w) - 2 and got[i].held_out
+        assert got[i].base_score == pytest.approx(base, abs=1e-6) and abs(got[i].score - want) < 2e-3 * len(w)
+        assert got[i].n_known == sum(counts[0][(c,)] > 0 for c in w[2:])
+
+
+def test_frequent_bigrams_are_dealt_apart_with_the_same_scores(docs, monkeypatch):
+    want = by_id(langmodel.score_documents(docs))
+    monkeypatch.setattr(langmodel, "HEAVY", 2)  # seen by the driver's closures only where tasks read it from there
+    b = langmodel._Block(pa.table({"doc_id": [i for i, _ in ROWS], "text": [t for _, t in ROWS]}), 5, 1)
+    names, counts = langmodel._word_counts(pa.table({"doc_id": [i for i, _ in ROWS], "text": [t for _, t in ROWS]}), 5, 1)
+    shards = 7
+    sent = langmodel._send_words(names, counts, 0, shards)
+    replies = [langmodel._number(sent.filter(pa.array(sent["shard"].to_numpy() == s)), s, shards)[0] for s in range(shards)]
+    w = langmodel._Words(pa.concat_tables(replies))
+    g = langmodel._Grams(b, w, shards)
+    assert len(g.apart) and len(g.near)
+    asked = g.send(0, w.total)
+    parts = [asked.filter(pa.array(asked["shard"].to_numpy() == s)) for s in range(shards)]
+    answers = [(x := langmodel._Shard(p)).answer(p, langmodel.T.mapped(x.trie())) for p in parts if p.num_rows]
+    got = langmodel._scores(b, w, g, pa.concat_tables(answers), 500.0, 1.0, [i for i, _ in ROWS]).to_pylist()
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]].score, rel=1e-9) and r["n_known"] == want[r["doc_id"]].n_known
+
+
 def test_token_counts_are_the_librarys_and_the_cache_is_used(docs, spark, tmp_path):
     path, cache = public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "cache")
     got = by_id(tokencount.count_tokens(docs, path, cache))

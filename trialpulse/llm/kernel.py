@@ -277,3 +277,33 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     keys = out.view("<u8").ravel()
     keys[0] = int.from_bytes(blob[:8], "little")
     return np.cumsum(keys, dtype=U)
+
+
+def pack_columns(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers from 0 on, each as byte planes of the width it needs, in one compressed frame."""
+    planes, head = [], [len(columns).to_bytes(2, "little")]
+    for c in columns:
+        width = (int(c.max(initial=0)).bit_length() + 7) // 8
+        head.append(len(c).to_bytes(6, "little") + bytes([width]))
+        if width == 1:
+            planes.append(c.astype(np.uint8).tobytes())
+        elif width:
+            planes.append(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    raw = b"".join(planes)
+    return b"".join(head) + len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def unpack_columns(blob: bytes) -> list[np.ndarray]:
+    n = int.from_bytes(blob[:2], "little")
+    shapes = [(int.from_bytes(blob[2 + 7 * i : 8 + 7 * i], "little"), blob[8 + 7 * i]) for i in range(n)]
+    at = 2 + 7 * n
+    size = int.from_bytes(blob[at : at + 8], "little")
+    raw = np.frombuffer(pa.decompress(blob[at + 8 :], size, codec="zstd", asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
+    out, at = [], 0
+    for length, width in shapes:
+        full = np.zeros((length, 8), np.uint8)
+        if width:
+            full[:, :width] = raw[at : at + length * width].reshape(width, length).T
+            at += length * width
+        out.append(full.view("<i8").ravel())
+    return out
