@@ -385,3 +385,31 @@ def test_parse_and_dictionary_give_corpus_order():
 @pytest.mark.parametrize("heavy", [1, 3])
 def test_byte_repeats_of_crowded_contexts(docs, heavy):
     assert sorted(prefixfree.remove_repeats(docs, heavy=heavy).collect()) == sorted(prefixfree.remove_repeats(docs).collect())
+
+
+def test_quality_risk_gradient_and_prior_agree_with_direct_computation():
+    rng = np.random.default_rng(2)
+    x_p, x_u = rng.normal(0.7, 1, (40, 6)), np.concatenate([rng.normal(0.7, 1, (30, 6)), rng.normal(-0.7, 1, (30, 6))])
+    for w, prior in ((rng.normal(0, 0.3, 6), 0.5), (np.full(6, 3.0), 0.9)):
+        up, rest = quality.risk(w, x_p, x_u, prior)
+        direct = [sum(math.log(1 + math.exp(-float(a @ w))) for a in x_p) / 40 * prior, sum(math.log(1 + math.exp(float(a @ w))) for a in x_u) / 60 - prior * sum(math.log(1 + math.exp(float(a @ w))) for a in x_p) / 40]
+        assert (up, rest) == (pytest.approx(direct[0]), pytest.approx(direct[1]))
+        step = np.eye(6) * 1e-5
+        slope = [np.subtract(quality.risk(w + s, x_p, x_u, prior), quality.risk(w - s, x_p, x_u, prior)) / 2e-5 for s in step]
+        want = [a + b if rest >= 0 else -b for a, b in slope]
+        assert quality.gradient(w, x_p, x_u, prior) == pytest.approx(want, abs=1e-5)
+    scores_p, scores_u = np.sort(rng.normal(1, 1, 50)), rng.normal(0, 1, 80)
+    cuts = np.unique(np.quantile(scores_p, np.linspace(0, 0.1, 41)))
+    assert quality._ratio(scores_p, scores_u) == pytest.approx(min(((scores_u >= c).mean()) / ((scores_p >= c).mean()) for c in cuts))
+
+
+def test_quality_inputs_are_shares_of_grams_words_and_pairs():
+    texts = ["Ab ab, cd", "", None, "x" * 700, "é | 12"]
+    got = quality.features(pa.array(texts))
+    assert got.shape == (5, quality.WIDTH)
+    for t, row in zip(texts, got):
+        raw = (t or "").encode()
+        w = [x.lower() for x in words(t)]
+        for part, total in ((row[: quality.GRAMS], max(0, len(raw) - 2)), (row[quality.GRAMS :][: quality.WORDS], len(w)), (row[quality.GRAMS + quality.WORDS :][: quality.PAIRS], max(0, len(w) - 1))):
+            assert (part.astype(float) ** 2).sum() == pytest.approx(total / (total + quality.PRIOR_COUNT), abs=1e-5)
+    assert np.array_equal(got[1], got[2])
