@@ -74,7 +74,9 @@ class _Block:
         second[self.first[:-1] + 1] = True
         self.at = np.flatnonzero(~head & ~second)  # every scored token
         code = pair_of[self.at - 1] * n + ids[self.at]
-        self.triples, spot, self.triple = np.unique(code, return_index=True, return_inverse=True)
+        self.triples, self.triple = np.unique(code, return_inverse=True)
+        spot = np.empty(len(self.triples), np.int64)
+        spot[self.triple] = np.arange(len(code))
         self.context, self.last = pair_of[self.at - 1][spot], pair_of[self.at][spot]
         self.ids, self.n = ids, n
         # an n-gram counts in training rows; the first of two starts is no token
@@ -139,7 +141,7 @@ class _Grams:
         place = np.zeros(len(known2), np.int64)
         place[self.pairs] = np.arange(len(self.pairs))
         near = np.flatnonzero(known3 & ~apart)
-        self.near = near[np.lexsort((self.C[near], place[b.context[near]]))]
+        self.near = near[_order(place[b.context[near]], self.C[near])]
         self.apart = _sorted(np.flatnonzero(known3 & apart), shard3, name[b.context].view(np.int64), self.C)
         self.children = np.bincount(b.context[near], minlength=len(known2))
         at = np.arange(shards + 1)
@@ -179,8 +181,15 @@ class _Grams:
 
 
 def _sorted(rows: np.ndarray, shard: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    rows = rows[np.lexsort((b[rows], a[rows]))]
-    return rows[np.argsort(shard[rows], kind="stable")]
+    rows = rows[_order(a[rows], b[rows])]
+    return rows[np.argsort(shard[rows].astype(np.uint16 if len(shard) and shard.max() < 1 << 16 else np.int64), kind="stable")]
+
+
+def _order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The order of different pairs of numbers, by one sort where a pair fits a word."""
+    if len(a) and 0 <= a.min() and a.max() < 1 << 31 and b.max() < 1 << 32:
+        return np.argsort(a << 32 | b)
+    return np.lexsort((b, a))
 
 
 class _Shard:
@@ -189,41 +198,39 @@ class _Shard:
     def __init__(self, table: pa.Table):
         parts = [K.unpack_columns(x) for x in table["keys"].to_pylist()]
         self.total = int(parts[0][10][0])
-        self.A = np.concatenate([np.cumsum(p[0]) for p in parts])
-        self.B, self.c2, near, self.C, self.c3, hA, hB, hC, h3 = (np.concatenate([p[i] for p in parts]) for i in range(1, 10))
+        A = np.concatenate([np.cumsum(p[0]) for p in parts])
+        B, c2, near, C, c3, hA, hB, hC, h3 = (np.concatenate([p[i] for p in parts]) for i in range(1, 10))
         self.sizes = [(len(p[0]), len(p[4]), len(p[6])) for p in parts]
-        self.owner = np.repeat(np.arange(len(self.A)), near)  # the bigram of each continuation
-        self.apart = (hA, hB, hC, h3)
+        a, b = np.concatenate((A, hA)), np.concatenate((B, hB))
+        c, n3 = np.concatenate((C, hC)), np.concatenate((c3, h3))
+        # the distinct n-grams, in order, and which of them each one sent is
+        self.words = int(max(a.max(), b.max(), c.max(initial=0))) + 1
+        self.heads = np.unique(a)
+        self.two, back = np.unique(np.searchsorted(self.heads, a) * self.words + b, return_inverse=True)
+        self.pair = back[: len(A)]
+        self.three, self.triple = np.unique(np.concatenate((np.repeat(self.pair, near), back[len(A) :])) * self.words + c, return_inverse=True)
+        self.n2 = np.bincount(self.pair, c2, minlength=len(self.two))
+        self.n3 = np.bincount(self.triple, n3, minlength=len(self.three))
 
     def trie(self) -> bytes:
         """What occurs in training rows, as an Elias-Fano trie of probabilities count / N."""
-        hA, hB, hC, h3 = self.apart
-        a, b = np.concatenate((self.A, hA)), np.concatenate((self.B, hB))
-        c, n3 = np.concatenate((self.C, hC)), np.concatenate((self.c3, h3))
-        words = int(max(a.max(), b.max(), c.max(initial=0))) + 1
-        rank = np.searchsorted(np.unique(a), a)
-        code, back = np.unique(rank * words + b, return_inverse=True)
-        n2 = np.bincount(back[: len(self.A)], self.c2, minlength=len(code))
-        below = np.concatenate((back[: len(self.A)][self.owner], back[len(self.A) :]))
-        code3, back3 = np.unique(below * words + c, return_inverse=True)
-        n3 = np.bincount(back3, n3, minlength=len(code3))
-        some3 = n3 > 0
-        some2 = n2 > 0
-        some2[code3[some3] // words] = True  # contexts of continuations that were dealt apart
+        some2, some3 = self.n2 > 0, self.n3 > 0
+        below = self.three[some3] // self.words
+        some2[below] = True  # contexts of continuations that were dealt apart
         place = np.cumsum(some2) - 1
-        heads = np.unique(a)
+        two = self.two[some2]
         with np.errstate(divide="ignore"):
-            p2, p3 = np.log10(n2[some2] / max(1, self.total)), np.log10(n3[some3] / max(1, self.total))
-        return T.Trie.pack(words, (heads[code[some2] // words], code[some2] % words, p2), (place[code3[some3] // words], code3[some3] % words, p3))
+            p2, p3 = np.log10(self.n2[some2] / max(1, self.total)), np.log10(self.n3[some3] / max(1, self.total))
+        return T.Trie.pack(self.words, (self.heads[two // self.words], two % self.words, p2), (place[below], self.three[some3] % self.words, p3))
 
     def answer(self, table: pa.Table, trie: T.Trie) -> pa.Table:
-        """Quantised values of every message's bigrams, continuations and continuations dealt apart."""
-        hA, hB, hC, _ = self.apart
-        node = trie.context(self.A, self.B)
-        two, near, apart = trie.bigrams(node), trie.trigrams(node[self.owner], self.C), trie.trigrams(trie.context(hA, hB), hC)
-        data, at = [], [0, 0, 0]
+        """Quantised values of every message's bigrams, continuations and continuations dealt apart; the trie is asked once for each distinct n-gram."""
+        node = trie.context(self.heads[self.two // self.words], self.two % self.words)
+        two = trie.bigrams(node)[self.pair]
+        three = trie.trigrams(node[self.three // self.words], self.three % self.words)[self.triple]
+        data, at = [], [0, 0, sum(n for _, n, _ in self.sizes)]
         for size in self.sizes:
-            data.append(K.pack(np.concatenate([x[i : i + n] for x, i, n in zip((two, near, apart), at, size)])))
+            data.append(K.pack(np.concatenate([x[i : i + n] for x, i, n in zip((two, three, three), at, size)])))
             at = [i + n for i, n in zip(at, size)]
         return pa.table({"shard": table["shard"], "block": table["block"], "keys": pa.array([b""] * table.num_rows, pa.binary()), "data": pa.array(data, pa.binary())}, schema=B._SCHEMA)
 
