@@ -3,9 +3,9 @@
 A text's set is its distinct shingles of ``size`` words (A-Z folded). Texts
 with equal sets form a class; classes are joined:
 
-* rare-first order: shingles are ordered by how many texts of the corpus fall
-  into their bucket of a fixed-size table of counts, then by hash. Any total
-  order is right; this one puts passages that many texts share last.
+* rare-first order: shingles are ordered by how many texts of the corpus hold
+  them, counted exactly through the exchange of blocks and shards, then by hash.
+  A shingle that no other text holds can't meet anything and leaves the prefix.
 * prefix filter: a pair at the threshold shares a shingle among the first
   |x| - ceil(t |x|) + 1 of each side.
 * length and positional filters are applied to every meeting in a prefix, a
@@ -18,26 +18,25 @@ earliest (for copies of one text, the least altered), a second round only pairs
 holders that the first left in different components. No pair that could join
 two components is skipped, so components are those of all links.
 
-Sets are compared by 64-bit hashes (48 bits in the final merge). Defined
-results: null or empty text has no shingle, is its own component and links with
-nothing; a text shorter than a shingle has its whole word sequence as its only
-one; a null doc_id takes part and is never a component's name unless there is
-no other; repeated rows stay rows.
+Links are decided on whole sets of 64-bit shingle hashes; classes have names of
+128 bits. Defined results: null or empty text has no shingle, is its own
+component and links with nothing; a text shorter than a shingle has its whole
+word sequence as its only one; a null doc_id takes part and is never a
+component's name unless there is no other; repeated rows stay rows; extra
+columns are not looked at.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from . import kernel as K
-from .shared import frugal, staged
-
-#: log2 of the number of counters in the table that orders shingles.
-ORDER_BITS = 20
-_CHUNKS = 64
+from .shared import looked_up, staged
 
 
 def shingle_sets(texts: pa.Array, size: int):
@@ -68,65 +67,85 @@ def _fold_sums(values: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
-def _class_of(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """64-bit name of a set."""
-    return K.mix(_fold_sums(values, first, 0xA5A5A5A5) * K.GRAM + _fold_sums(values, first, 0x5A5A5A5A)).view(np.int64)
-
-
-def _survey(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, cls, n) of every row, and the table of shingle counts (fixed size)."""
-
-    @K.tidy_batches
-    def scan(batches):
-        counts = np.zeros(1 << ORDER_BITS, np.int64)
-        for batch in batches:
-            for a, values, first in shingle_sets(batch.column("text"), size):
-                rows = len(first) - 1
-                counts += np.bincount((values >> K.U(64 - ORDER_BITS)).astype(np.int64), minlength=len(counts))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, rows), "cls": _class_of(values, first), "n": np.diff(first), "chunk": pa.nulls(rows, pa.int32()), "counts": pa.nulls(rows, pa.binary())})
-        for c, part in enumerate(np.split(counts, _CHUNKS)):
-            if part.any():
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "cls": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "chunk": pa.array([c], pa.int32()), "counts": pa.array([K.pack(part)], pa.binary())})
-
-    def add(key, table):
-        total = sum(K.unpack(x, np.int64) for x in table["counts"].to_pylist())
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([K.pack(total)], pa.binary())})
-
-    seen = staged(docs.mapInArrow(scan, "doc_id long, cls long, n long, chunk int, counts binary"), "sets")
-    sums = seen.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
-    table = np.zeros(1 << ORDER_BITS, np.int64)
-    width = len(table) // _CHUNKS
-    for row in sums:
-        table[row.chunk * width : (row.chunk + 1) * width] = K.unpack(bytes(row.counts), np.int64)
-    return seen.where("chunk is null").select("doc_id", "cls", "n"), table
-
-
-def _prefixes(docs: DataFrame, table: np.ndarray, size: int, share: int) -> DataFrame:
-    """(token, cls, n, pos): the prefix of every class, once a task. share: the threshold in hundredths."""
-    shared = docs.sparkSession.sparkContext.broadcast(table.astype(np.uint32) if table.max(initial=0) < 1 << 32 else table)
-
-    @K.tidy_batches
-    def scan(batches):
-        counts, done = shared.value, np.zeros(0, np.int64)
-        for batch in batches:
-            for _, values, first in shingle_sets(batch.column("text"), size):
-                n = np.diff(first)
-                cls = _class_of(values, first)
-                fresh = np.zeros(len(n), bool)
-                fresh[np.unique(cls, return_index=True)[1]] = True
-                fresh &= (n > 0) & ~np.isin(cls, done)
-                done = np.union1d(done, cls[fresh])
-                keep = np.repeat(fresh, n)
-                doc = K.owner(first)[keep]
-                token = values[keep]
-                order = np.lexsort((token, counts[(token >> K.U(64 - ORDER_BITS)).astype(np.int64)], doc))
-                doc, token = doc[order], token[order]
-                pos = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                length = n[doc]
-                take = pos < length - -(-share * length // 100) + 1
-                yield pa.RecordBatch.from_pydict({"token": token[take].view(np.int64), "cls": cls[doc[take]], "n": length[take].astype(np.int32), "pos": pos[take].astype(np.int32)})
-
-    return docs.mapInArrow(scan, "token long, cls long, n int, pos int")
+def _rarity(count: np.ndarray) -> np.ndarray:
+    """A count of texts in a byte: itself up to 100, then four steps for each doubling."""
+    return np.where(count <= 100, count, np.minimum(255, 100 + 4 * np.log2(np.maximum(count, 1) / 100))).astype(np.uint8)
+
+
+class _Sets:
+    """The shingle sets of a block: (doc, value) sorted, sizes, 128-bit names, and one document of each class."""
+
+    def __init__(self, table: pa.Table, size: int):
+        values, firsts, done = [], [np.zeros(1, np.int64)], 0
+        for _, value, first in shingle_sets(table["text"], size):
+            values.append(value)
+            firsts.append(first[1:] + done)
+            done += len(value)
+        self.value = np.concatenate(values) if values else np.zeros(0, K.U)
+        self.first = np.concatenate(firsts)
+        self.n = np.diff(self.first)
+        self.doc = K.owner(self.first)
+        names = np.column_stack([K.mix(_fold_sums(self.value, self.first, salt)) for salt in (0xA5A5A5A5, 0x5A5A5A5A)])
+        self.names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(names), [None, pa.py_buffer(np.ascontiguousarray(names).tobytes())]).cast(pa.binary())
+        fresh = np.zeros(len(self.n), bool)
+        fresh[np.unique(K.mix(names[:, 0] * K.GRAM + names[:, 1]), return_index=True)[1]] = True
+        self.fresh = fresh & (self.n > 0)
+        self.kept = np.flatnonzero(self.fresh[self.doc])
+        self.keys, self.back, self.count = np.unique(self.value[self.kept], return_inverse=True, return_counts=True)
+
+    def prefixes(self, rarity: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, shingle, position) of the prefixes in rare-first order, without what only one text holds."""
+        rare = rarity[self.back]
+        order = np.lexsort((self.value[self.kept], rare, self.doc[self.kept]))
+        doc, token, rare = self.doc[self.kept][order], self.value[self.kept][order], rare[order]
+        pos = np.arange(len(doc)) - np.searchsorted(doc, doc)
+        length = self.n[doc]
+        take = (pos < length - -(-share * length // 100) + 1) & (rare > 1)
+        return doc[take], token[take], pos[take]
+
+
+_SEEN = "doc_id long, cls binary, n int, items binary, token long, pos int"
+
+
+def _survey(docs: DataFrame, size: int, share: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows of two kinds: every document (token null) with its class, its set's size and, where it meets others, its set; and the prefix of every class of a block."""
+    shards = B.block_count(docs, text_col)
+    blocks = B.in_blocks(docs, shards, id_col, text_col)
+
+    @K.tidy
+    def make(key, table):
+        sets = _Sets(table, size)
+        return B.send(key[0].as_py(), sets.keys, shards, sets.count)
+
+    @K.tidy
+    def reply(key, table):
+        keys, source, (count,), _ = B.received(table, 1)
+        order, head = B.groups(keys)
+        rarity = np.empty(len(keys), np.uint8)
+        rarity[order] = np.repeat(_rarity(np.add.reduceat(count[order], head)), np.diff(np.append(head, len(keys))))
+        return B.answer(table, source, rarity, np.uint8)
+
+    @K.tidy
+    def finish(key, table, answers):
+        sets = _Sets(table, size)
+        doc, token, pos = sets.prefixes(B.replies(answers, np.uint8), share)
+        meets = np.zeros(len(sets.n), bool)
+        meets[doc] = True
+        items = [K.pack_sorted(sets.value[sets.first[i] : sets.first[i + 1]]) if meets[i] else None for i in range(len(meets))]
+        k, m = len(meets), len(doc)
+        return pa.table(
+            {
+                "doc_id": pa.chunked_array([*table["doc_id"].chunks, pa.nulls(m, pa.int64())]),
+                "cls": pa.chunked_array([pa.compute.if_else(pa.array(sets.n > 0), sets.names, pa.scalar(None, pa.binary())), sets.names.take(pa.array(doc))]),
+                "n": np.concatenate((sets.n, sets.n[doc])).astype(np.int32),
+                "items": pa.chunked_array([pa.array(items, pa.binary()), pa.nulls(m, pa.binary())]),
+                "token": pa.chunked_array([pa.nulls(k, pa.int64()), pa.array(token.view(np.int64))]),
+                "pos": np.concatenate((np.full(k, -1), pos)).astype(np.int32),
+            }
+        )
+
+    answers = B.ask(blocks, make, reply)
+    return staged(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, _SEEN), "sets")
 
 
 def _may_link(n1, p1, n2, p2, share: int):
@@ -147,17 +166,17 @@ def _verify(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
                 need = -(-share * (len(s) + len(t)) // (100 + share))
                 bits = max(0, min(len(s), len(t)).bit_length() - 1)
                 if bits:
-                    shift = K.U(48 - bits)
+                    shift = K.U(64 - bits)
                     if np.minimum(np.bincount((s >> shift).astype(np.int64), minlength=1 << bits), np.bincount((t >> shift).astype(np.int64), minlength=1 << bits)).sum() < need:
                         continue
                 if 100 * (same := len(np.intersect1d(s, t, assume_unique=True))) >= share * (len(s) + len(t) - same):
                     a.append(x)
                     b.append(y)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     left = sets.select(F.col("cls").alias("a"), F.col("items").alias("left"))
     right = sets.select(F.col("cls").alias("b"), F.col("items").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(check, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -176,27 +195,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def similar(docs: DataFrame, share: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row; links are 100 * intersection >= share * union."""
-    frugal(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows, table = _survey(docs, size)
-    spread = _prefixes(docs, table, size, share).repartition("token").distinct()
+    seen = _survey(docs, size, share, id_col, text_col)
+    rows = seen.where("token is null").select("doc_id", "cls", "n")
+    spread = seen.where("token is not null").select("token", "cls", "n", "pos").repartition("token").distinct()
     first = F.struct("pos", "n", "cls")
     hubs = spread.groupBy("token").agg(F.count("*").alias("holders"), F.min(first).alias("hub")).where("holders > 1")
     met = staged(spread.join(hubs.select("token", F.col("hub.cls").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")), "token"), "met")
-
     # the sets of classes that meet another
-    active = met.select("cls").distinct()
-    named = rows.join(active, "cls").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("one"))
-    texts = docs.join(named.select("one").distinct(), F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("one"), "left_semi").select("text")
-
-    @K.tidy_batches
-    def items(batches):
-        for batch in batches:
-            for _, values, at in shingle_sets(batch.column("text"), size):
-                out = [K.pack_sorted(values[x:y] >> K.U(16)) for x, y in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_pydict({"cls": _class_of(values, at), "items": pa.array(out, pa.binary())})
-
-    sets = staged(texts.mapInArrow(items, "cls long, items binary").dropDuplicates(["cls"]), "items")
+    sets = staged(seen.where("items is not null").join(met.select("cls").distinct(), "cls", "left_semi").select("cls", "items").dropDuplicates(["cls"]), "items")
 
     def pair(x, y):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
@@ -222,6 +228,10 @@ def similar(docs: DataFrame, share: int = 80, size: int = 5, id_col: str = "doc_
     links = bridges.unionByName(known.where("v <> root").select(c("v").alias("a"), c("root").alias("b")))
     final = components(links)
 
-    joined = rows.join(final, rows.cls == final.v, "left").select("doc_id", "n", F.when(c("n") > 0, F.coalesce("root", "cls")).alias("root"))
-    names = joined.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("name"))
-    return joined.join(names, "root", "left").select("doc_id", c("n").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"))
+    # a class's smallest doc_id, a component's smallest, and back to classes and rows
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
+    classes = staged(classes.join(final, classes.cls == final.v, "left").select("cls", "low", F.coalesce("root", "cls").alias("root")), "classes")
+    linked = looked_up(classes, classes.groupBy("root").agg(F.min("low").alias("name")), "root").select("cls", "name")
+    named = looked_up(rows.where("cls is not null"), linked, "cls")
+    out = named.select("doc_id", "n", "name").unionByName(rows.where("cls is null").select("doc_id", "n", F.lit(None).cast("long").alias("name")))
+    return out.select("doc_id", c("n").cast("long").alias("n_shingles"), F.coalesce("name", "doc_id").alias("component_id"))

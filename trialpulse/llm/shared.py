@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -28,6 +29,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+#: Keys that hold more than one row in this many are hot: there are at most as many of them.
+HOT_SHARE = 10_000
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to the one row that ``facts`` has for each key; other rows drop out. Hot keys, at most HOT_SHARE of them whatever the data, are counted first and their facts broadcast; no task gets all rows of one. ``rows`` is read three times: stage it where that is dear."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_rows"))
+    whole = counts.agg(F.sum("_rows").alias("_all"))
+    hot = counts.crossJoin(F.broadcast(whole)).where((F.col("_rows") > 100) & (F.col("_rows") * HOT_SHARE > F.col("_all"))).select(key)
+    hot = staged(hot, "hot")
+    few = F.broadcast(facts.join(F.broadcast(hot), key))
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(facts, key))
+
+
 def frugal(spark: SparkSession) -> None:
     """Texts reach Python 1000 rows at a time where the session keeps Spark's default of 10000: a worker then holds a few MB of them."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
