@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import frugal
+from .shared import frugal, looked_up, staged
 
 _loaded: dict[str, object] = {}
 
@@ -122,4 +122,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512,
             yield pa.RecordBatch.from_pydict({"tokenizer": [version] * batch.num_rows, "digest": batch.column("digest"), "n_tokens": count_batch(batch.column("text"), tokenizer)})
 
     misses.mapInArrow(encode, "tokenizer string, digest string, n_tokens long").write.mode("append").parquet(cache)
-    return keyed.drop("text").join(known(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return looked_up(staged(keyed.drop("text"), "digests"), known(), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
