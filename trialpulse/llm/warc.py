@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .shared import frugal
+from .shared import frugal, looked_up, staged
 
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -66,7 +66,7 @@ def write(pages: DataFrame, to: str, date: str = "2024-01-01T00:00:00Z", id_col:
             data = [b or b"" for b in batch.column("payload").to_pylist()]
             yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "url": batch.column("url"), "sha256": [hashlib.sha256(b).digest() for b in data], "sha1": [base32_sha1(b) for b in data], "size": pa.array([len(b) for b in data], pa.int64())})
 
-    named = rows.mapInArrow(digest, "key long, url string, sha256 binary, sha1 string, size long")
+    named = staged(rows.mapInArrow(digest, "key long, url string, sha256 binary, sha1 string, size long"), "named")
     rows.select(F.unhex(F.sha2("payload", 256)).alias("sha256"), "payload").dropDuplicates(["sha256"]).write.parquet(f"{to}/payloads")
     responses = named.groupBy("sha256").agg(F.max("key").alias("response"))
 
@@ -78,7 +78,7 @@ def write(pages: DataFrame, to: str, date: str = "2024-01-01T00:00:00Z", id_col:
                 out.append(header(key, url, sha1, size, None if key == response else response, date))
             yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "response": batch.column("response"), "sha256": batch.column("sha256"), "header": pa.array(out, pa.binary())})
 
-    named.join(responses, "sha256").mapInArrow(heads, "key long, response long, sha256 binary, header binary").write.parquet(f"{to}/headers")
+    looked_up(named, responses, "sha256").select("key", "url", "sha256", "sha1", "size", "response").mapInArrow(heads, "key long, response long, sha256 binary, header binary").write.parquet(f"{to}/headers")
 
 
 def _field(name: str):
@@ -105,7 +105,8 @@ def read(spark: SparkSession, at: str, with_payload: bool = True) -> DataFrame:
     kind = _field("WARC-Type")
     stated = F.regexp_replace(_field("WARC-Payload-Digest"), "^sha1:", "")
     records = heads.select("key", "sha256", "header", kind.alias("record_type"), F.when(kind == "revisit", F.col("response")).alias("refers_to"), _field("WARC-Target-URI").alias("target_uri"), stated.alias("payload_digest"))
-    joined = records.join(body, "sha256")
+    # digests are small: those of hot payloads are broadcast. Payloads aren't, and are left to Spark's own splitting of skewed joins
+    joined = records.join(body, "sha256") if with_payload else looked_up(records, staged(body, "digests"), "sha256")
     verified = F.when(F.col("payload_digest") == F.col("sha1"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header's payload digest is wrong")).cast("string"))
     return joined.select("key", "record_type", "refers_to", "target_uri", verified.alias("payload_digest"), "payload_bytes", "header", *(["payload"] if with_payload else []))
 
