@@ -56,24 +56,25 @@ def find(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_i
     # rarity of the items' words, over all documents
     vocabulary = wins.select(F.explode("win").alias("token")).distinct()
     seen = rows.select(F.explode(words(F.col("text"))).alias("token")).join(side(vocabulary), "token", "left_semi" if not small else "inner").groupBy("token").count()
-    spots = wins.select("win", "items", F.posexplode("win").alias("at", "token")).join(seen, "token", "left")
+    spots = wins.select("win", "items", F.posexplode("win").alias("at", "token")).join(side(seen), "token", "left")
     rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.col("token"), F.col("at"))).alias("r")
     prefix = spots.groupBy("win").agg(rarest, F.first("items").alias("items")).select(F.col("r.token").alias("token"), F.col("r.at").alias("at"), "win", "items", F.size("win").alias("len"))
-    # every document meets this entry once, at the end mark behind its last word
-    mark = docs.sparkSession.range(1).select(F.lit("").alias("token"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("len"))
-    prefix = prefix.unionByName(mark)
-
     start = F.col("pos") - F.col("at")
     fits = (start >= 0) & (start + F.col("len") <= F.col("n_words"))
-    marked = listed.select("doc_id", "key", "words", F.size("words").alias("n_words"), F.concat("words", F.array(F.lit(""))).alias("ended"))
     if small:
-        met = marked.select("doc_id", "key", "words", "n_words", F.posexplode("ended").alias("pos", "token")).join(side(prefix), "token").where(fits)
+        # every document meets this entry once, at the end mark behind its last word
+        mark = docs.sparkSession.range(1).select(F.lit("").alias("token"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("len"))
+        marked = listed.select("doc_id", "key", "words", F.size("words").alias("n_words"), F.concat("words", F.array(F.lit(""))).alias("ended"))
+        met = marked.select("doc_id", "key", "words", "n_words", F.posexplode("ended").alias("pos", "token")).join(F.broadcast(prefix.unionByName(mark)), "token").where(fits)
         real = met.where((F.col("len") == 0) | (F.slice("words", start + 1, F.greatest("len", F.lit(1))) == F.col("win")))
     else:
-        met = marked.select("doc_id", "key", "n_words", F.posexplode("ended").alias("pos", "token")).join(prefix, "token").where(fits)
-        texts = met.where("len > 0").select("doc_id", "key").distinct().alias("m").join(listed.alias("d"), F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.key") == F.col("d.key"))).select("d.*").dropDuplicates(["doc_id", "key"])
-        checked = met.where("len > 0").alias("m").join(texts.alias("d"), F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.key") == F.col("d.key"))).where(F.slice("d.words", start + 1, F.col("len")) == F.col("win")).select("m.*")
-        real = met.where("len = 0").unionByName(checked)
+        counted = listed.select("doc_id", "key", "words", F.size("words").alias("n_words"))
+        met = counted.select("doc_id", "key", "n_words", F.posexplode("words").alias("pos", "token")).join(prefix, "token").where(fits)
+        # a document that repeats (an id and its text) is verified once; every row is counted below
+        texts = met.select("doc_id", "key").distinct().alias("m").join(listed.alias("d"), F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.key") == F.col("d.key"))).select("d.*").dropDuplicates(["doc_id", "key"])
+        checked = met.alias("m").join(texts.alias("d"), F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.key") == F.col("d.key"))).where(F.slice("d.words", start + 1, F.col("len")) == F.col("win")).select("m.*")
+        rows_ = counted.select("doc_id", "key", "n_words", F.size("words").alias("pos"), F.lit("").alias("token"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("len"))
+        real = checked.unionByName(rows_)
     hit = F.when(F.col("len") > 0, F.struct(start.alias("start"), F.col("len").alias("length")))
     found = real.groupBy("doc_id", "key", "n_words").agg(F.count_if(F.col("len") == 0).alias("copies"), F.array_sort(F.collect_set(hit)).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
     total = F.aggregate("hits", F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")), lambda acc, h: F.struct(F.greatest(acc["end"], h["start"] + h["length"]).alias("end"), (acc["sum"] + F.greatest(h["start"] + h["length"] - F.greatest(acc["end"], h["start"]), F.lit(0))).alias("sum")))["sum"]
