@@ -61,6 +61,24 @@ def test_search_is_exact(spark, scale):
     assert {tuple(r) for r in got} == want
 
 
+def test_search_of_large_components_and_empty_tables(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [-1e300, 0.0]), (3, [0.5, 3.0]), (20, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    most = (1 << 63) - 1
+    use = {i: [min(most, max(-most - 1, math.floor(64 * v))) for v in e] for i, e in rows}
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), k=4).collect()
+    for q in (0, 20):
+        want = sorted((-max(-most, min(most, sum(a * b for a, b in zip(use[q], use[c])))), c) for c in use if c != q)
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(c, -s) for s, c in want]
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
+
+
+def test_empty_archive(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string, key string")
+    warc.write(pages, str(tmp_path / "none"))
+    assert warc.read(spark, str(tmp_path / "none"), with_payload=False).count() == 0 and warc.records(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pipeline_stages_keep_the_documents_columns(spark, tmp_path):
     sys.path.insert(0, str(Path(__file__).parents[2]))
     import corpus_pipeline

@@ -7,7 +7,9 @@ inner product = (|q|^2 + |c|^2 - distance^2) / 2, that bounds the score from
 above. Queries and candidates travel in blocks; a task takes a block of queries
 and a block of candidates and goes from coarse segments to fine ones: a pair
 whose bound falls under the query's k-th best score so far drops out, and only
-survivors are computed exactly. Candidate blocks are cut along the norm, large
+survivors are computed exactly. Candidates lie in slots; every slot gets the
+query blocks once, so what is shuffled is the candidates and slots x queries.
+Candidate blocks are cut along the norm, large
 norms first, so that the k-th best is high early; a block that no query can
 gain from is skipped by its bound.
 
@@ -15,7 +17,8 @@ Defined results: a vector that is null, empty or holds null or non-finite
 components, and a row with a null id, take no part; vectors of different length
 than the query's have no score with it; equal scores go to the smaller vec_id;
 repeated ids are separate candidates, and none of them is a candidate of its
-own id.
+own id; components and scores beyond 64 bits count as the largest (or smallest)
+number of 64 bits; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from . import kernel as K
 
 RESOLUTIONS = (4, 16)
+#: Candidates of a slot.
+SLOT_ROWS = 16_384
 _EXACT = float(1 << 53)
 SLACK = 1e-9
 
@@ -48,10 +53,8 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1]) < _EXACT:
         return q @ c.T
     exact = np.vectorize(int, otypes=[object])
-    whole = exact(q) @ exact(c).T
-    if np.abs(whole).max() >= 1 << 63:
-        raise OverflowError("a score doesn't fit 64 bits")
-    return whole
+    most = (1 << 63) - 1
+    return np.minimum(np.maximum(exact(q) @ exact(c).T, -most), most)
 
 
 def _trim(pool: list, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,8 +144,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
                 row, vec, score = _search(qid, K.unpack(qd, np.float64).reshape(-1, dim), cid, K.unpack(cd, np.float64).reshape(-1, dim), k)
                 yield pa.RecordBatch.from_pydict({"query_id": qid[row], "vec_id": vec, "score": score})
 
-    # a task's work is a pair of blocks; every block of queries meets every block of candidates
-    pairs = _blocks(clean(vectors), rows, "c").join(_blocks(clean(queries), rows, "q"), "dim").repartition("c_ids", "q_ids")
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    slots = max(1, math.ceil(vectors.count() / SLOT_ROWS))
+    slot = F.pmod(F.xxhash64("c_ids"), F.lit(slots)).cast("int").alias("slot")
+    candidates = _blocks(clean(vectors), rows, "c").select("dim", slot, "c_ids", "c_data")
+    asked = _blocks(clean(queries), rows, "q").select("dim", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), "q_ids", "q_data")
+    found = candidates.join(asked.hint("merge"), ["dim", "slot"]).mapInArrow(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
