@@ -10,29 +10,38 @@ from trialpulse.llm import decontaminate, jaccard, pieces, quality, shared, supe
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good."""
+    """Documents that the classifier takes for good. Null text counts as empty; rows without an id and repeated rows are judged by their text like any other; with no labels to learn from everything stays, of an empty table nothing."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.classify(docs, labels, good_only=True)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one that names it. Rows without an id stay unless an identified one is like them."""
-    named = jaccard.similar(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    d, n = docs.alias("d"), named.alias("n")
-    return d.join(n, F.col("d.doc_id").eqNullSafe(F.col("n.doc_id")), "left_semi").select(*docs.columns)
+    """One row of each group of near duplicates: the first as the input is stored. Rows are told apart by their place, so null and repeated ids and equal rows are grouped by their texts like any others. Rows without words stay, each by itself; an empty table stays empty."""
+    row = unused("row", docs)
+    placed = shared.staged(docs.withColumn(row, F.monotonically_increasing_id()), "placed")
+    first = jaccard.similar(placed, id_col=row).where("doc_id = component_id").select(F.col("doc_id").alias(row))
+    return placed.join(first, row, "left_semi").select(*docs.columns)
+
+
+def unused(name: str, docs: DataFrame) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more stay in the document with the smallest id; texts that lose nothing stay as they are."""
+    """Passages of 50 words and more stay in the document with the smallest id; texts that lose nothing stay as they are. Null text becomes empty; a null id counts as larger than any other; of equal ids none loses words to the other; n_chars is that of the new text; an empty table stays empty."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    carried = docs.select("doc_id", "text", F.struct(F.lit(1).alias("_"), *rest).alias("rest"))
+    carried = docs.select("doc_id", "text", F.struct(F.lit(1).alias(unused("none", docs)), *rest).alias("rest"))
     cut = superkmer.deduplicate(carried, with_text=True, keep=["rest"])
-    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return cut.select(*(new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    return cut.select(*(new.get(c, F.col(f"rest.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs. Null text has no words and stays; rows are told apart by id and text, so of rows with one id or none only those that hold a window go, repeated ones all; an empty table stays empty."""
     found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").select("doc_id", "key").distinct()
     d, f = docs.alias("d"), found.alias("f")
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("f.key"))
@@ -40,7 +49,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left."""
+    """Token ids of what is left, a row a document: null and empty text have no pieces; rows without an id and repeated rows stay rows; an empty table stays empty."""
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
