@@ -113,3 +113,36 @@ def test_pipeline_stages_keep_the_documents_columns(spark, tmp_path):
     assert set(sizes[2]) - set(sizes[3]) == set(leaked) & set(sizes[2]) != set()
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in final} == set(sizes[3]) and all(r.round_trip for r in final)
+
+
+def test_near_duplicate_stage_with_null_and_repeated_rows(spark):
+    sys.path.insert(0, str(Path(__file__).parents[2]))
+    import corpus_pipeline
+
+    t, u, v = (" ".join(f"{k}{i}" for i in range(40)) for k in "tuv")
+    rows = [(2, t, "a", 1), (None, t, "b", 2), (None, u, "c", 3), (7, v, "d", 4), (7, v, "d", 4), (7, v, "d", 4), (7, u, "e", 5), (8, None, "f", 6), (8, "", "f", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string, `_` int").coalesce(1)
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(i), str(x)) for i, x in [(2, t), (None, u), (7, v), (8, None), (8, "")])
+    cut = corpus_pipeline.substring_stage(spark, docs, "").collect()
+    assert len(cut) == len(rows) and {r["_"] for r in cut} == {1, 2, 3, 4, 5, 6} and all(r.text is not None for r in cut)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    sys.path.insert(0, str(Path(__file__).parents[2]))
+    import corpus_pipeline
+
+    for name, schema in {"documents": "doc_id long, text string, lang string, n_chars int, `_` string", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_quality_with_every_row_labelled_or_none(spark):
+    from trialpulse.llm import quality
+
+    docs = spark.createDataFrame([(i, "word " * 3 + str(i) if i % 3 else "!! " * 9, "q") for i in range(60)], "doc_id long, text string, quality string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    assert min(got[i] for i in got if i % 3) > max(got[i] for i in got if i % 3 == 0)
+    assert quality.classify(docs, labels.limit(0), good_only=True).count() == 60

@@ -158,6 +158,7 @@ def estimate_prior(x_p: np.ndarray, x_u: np.ndarray, steps: int) -> float:
 class Model:
     def __init__(self, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, prior: float):
         self.mean, self.scale, self.weights, self.prior = mean, scale, weights, prior
+        self.blank = not weights.any()
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return _sigmoid(_standard(x, self.mean, self.scale) @ self.weights)
@@ -189,20 +190,21 @@ def train(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, sampl
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.count("*").alias("marked"))
     ids = docs.where("doc_id is not null").where(fold).select("doc_id").join(marks, "doc_id", "left")
     at = F.xxhash64("doc_id")
-    chosen = ids.where("quality = 1").orderBy(at, "doc_id").limit(sample).select("doc_id", F.lit(1).alias("positive"))
-    others = ids.where("marked is null").orderBy(at, "doc_id").limit(sample).select("doc_id", F.lit(0).alias("positive"))
-    picked = docs.join(F.broadcast(chosen.unionByName(others).dropDuplicates(["doc_id"])), "doc_id")  # at most 2 * sample ids
 
     @K.tidy_batches
     def measure(batches):
         for batch in batches:
             x = features(batch.column("text"))
-            yield pa.RecordBatch.from_pydict({"positive": batch.column("positive"), "x": pa.array([K.pack(r.astype(np.float16)) for r in x], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"x": pa.array([K.pack(r.astype(np.float16)) for r in x], pa.binary())})
 
-    got = picked.select("positive", "text").mapInArrow(measure, "positive int, x binary").toArrow()
-    positive = got["positive"].to_numpy() == 1
-    x = np.stack([K.unpack(r, np.float16) for r in got["x"].to_pylist()]).astype(np.float32) if got.num_rows else np.zeros((0, WIDTH), np.float32)
-    return fit(x[positive], x[~positive])
+    def inputs(of: DataFrame) -> np.ndarray:
+        some = F.broadcast(of.orderBy(at, "doc_id").limit(sample).select("doc_id").dropDuplicates())  # at most ``sample`` ids
+        got = docs.join(some, "doc_id").select("text").mapInArrow(measure, "x binary").toArrow()
+        return np.stack([K.unpack(r, np.float16) for r in got["x"].to_pylist()]).astype(np.float32) if got.num_rows else np.zeros((0, WIDTH), np.float32)
+
+    positive, unlabelled = inputs(ids.where("quality = 1")), inputs(ids.where("marked is null"))
+    # where every row has a label, all training rows stand for web text, whatever their labels
+    return fit(positive, unlabelled if len(unlabelled) else inputs(ids))
 
 
 def classify(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, threshold: float = 0.7, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", good_only: bool = False) -> DataFrame:
@@ -223,5 +225,5 @@ def classify(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, th
             yield batch.filter(pa.array(model.score(batch.column(batch.schema.get_field_index(text_col))) >= threshold))
 
     if good_only:
-        return docs.mapInArrow(choose, docs.schema)
+        return docs if model.blank else docs.mapInArrow(choose, docs.schema)
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
