@@ -181,3 +181,55 @@ def test_cluster_metrics_use_every_component(spark):
     assert x.shape[1] == 64 and got.k == len(names)
     assert got.calinski_harabasz == pytest.approx((between / (len(names) - 1)) / (within / (len(x) - len(names))), rel=1e-4)
     assert got.davies_bouldin == pytest.approx(((spread[:, None] + spread[None]) / gap).max(1).mean(), rel=1e-4)
+
+
+def test_percentiles_are_exact_in_two_passes(spark):
+    from trialpulse.functions import stats as S
+
+    df = spark.range(30_000).select((F.xxhash64("id") % 100_000).cast("double").alias("x"), (F.col("id") % 2).alias("g")).withColumn("x", F.when(F.col("x") > -90_000, F.col("x")))
+    for p in (0.0, 0.5, 0.9, 1.0):
+        near, x = S.near_percentile(df, F.col("x"), p)
+        assert near.agg(F.percentile(x, F.lit(p))).first()[0] == df.agg(F.percentile("x", F.lit(p))).first()[0]
+        assert 0.0 < p < 1.0 and near.select(x).distinct().count() < 100 or p in (0.0, 1.0)
+    near, x = S.near_percentile(df, F.col("x"), 0.9, ("g",))
+    assert sorted(near.groupBy("g").agg(F.percentile(x, F.lit(0.9))).collect()) == sorted(df.groupBy("g").agg(F.percentile("x", F.lit(0.9))).collect())
+
+
+def test_sensitivity_counts_repeated_subjects_once_a_row(spark):
+    rows = [("s", str(i), f"site{i % 3}", {"lab_issues_count": i % 5, "sae_pending_count": int(i % 9 == 0)}) for i in range(30)] + [("s", "4", "site1", {"lab_issues_count": 4})]
+    risk = scoring.subject_risk(scoring.score_subjects(subjects(spark, rows)))
+    got = {r.scenario: r for r in validation.sensitivity(risk).collect()}
+    assert set(got) == set(validation.scenarios()) and len(validation.scenarios(random=True)) == 10
+    assert all(r.high_count + r.medium_count + r.low_count == 31 for r in got.values())
+    assert got["Baseline"].category_shifts == 0 and {r.rank_correlation for r in got.values()} == {1.0} and got["Baseline"].sae_capture_pct == 100.0
+
+
+def test_pairs_of_issues_get_the_first_text_that_fits(spark):
+    df = spark.createDataFrame([("sae_pending_count", "uncoded_meddra_count", 20, 2.5), ("missing_visit_count", "missing_pages_count", 20, 1.6), ("missing_pages_count", "max_days_outstanding", 20, 1.3), ("uncoded_meddra_count", "uncoded_whodd_count", 20, 1.3), ("lab_issues_count", "edrr_open_issues", 20, 1.34), ("lab_issues_count", "uncoded_whodd_count", 9, 9.0)], "issue_a string, issue_b string, cooccurrence_count long, lift double")
+    got = {r.issue_a + r.issue_b: r.interpretation for r in rootcause.patterns(df).collect()}
+    assert got == {
+        "sae_pending_countuncoded_meddra_count": "Safety data entry backlog: Sites with SAE backlogs are strongly likely to also have uncoded adverse events, suggesting resource constraints in safety data processing.",
+        "missing_visit_countmissing_pages_count": "General data entry issues: Missing Visits and missing CRF pages moderately co-occur, indicating systemic site capacity problems.",
+        "missing_pages_countmax_days_outstanding": "Timeliness correlation: Sites with missing CRF pages are slightly likely to have data entry delays, suggesting chronic data entry delays.",
+        "uncoded_meddra_countuncoded_whodd_count": "Coding backlog: Both uncoded adverse events and uncoded medications slightly co-occur, indicating coding resource constraints.",
+        "lab_issues_countedrr_open_issues": "Sites with lab data issues are 1.3x more likely to also have reconciliation issues.",
+    }
+
+
+def test_one_metric_reads_line_items_once_and_orders_alone_where_it_can(spark):
+    from trialpulse.plans import projection
+
+    def scans(types):
+        plan = projection.facts(spark, SMALL, types)._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Relation") , plan.count("l_orderkey")
+
+    assert scans(["visit_tracker"])[1] == 0 and scans(None)[0] == 4
+    got = {k: df.count() for k, df in projection.extracts(spark, SMALL).items()}
+    whole = {r.file_type: r["count"] for r in projection.facts(spark, SMALL).groupBy("file_type").count().collect()}
+    assert {k: n for k, n in got.items() if n} == whole
+
+
+def test_default_concentration_fires(spark):
+    rows = [("s", f"x{i}", "c", "r", {"subject_count": 9, "lab_issues_count_sum": 90 if i == 0 else 1}) for i in range(12)]
+    got = anomaly.concentration(site_rows(spark, rows)).collect()
+    assert {r.site_id for r in got} == {"x0"}

@@ -106,3 +106,55 @@ HEADERS: dict[str, dict[str, list[str]]] = {
     "inactivated": {"subject_id": ["Subject", "Subject ID"], "site_id": ["Study Site Number", "Site", "Site ID", "Site Number"], "country": ["Country"]},
     "edrr": {"subject_id": ["Subject", "Subject ID"], "open_issues": ["Total Open issue Count per subject", "Open Issues", "Open Issue Count"]},
 }
+
+# Issues in running text.
+ISSUE_PHRASES = {
+    "sae_pending_count": "SAE backlogs",
+    "missing_visit_count": "missing visits",
+    "missing_pages_count": "missing CRF pages",
+    "lab_issues_count": "lab data issues",
+    "uncoded_meddra_count": "uncoded adverse events",
+    "uncoded_whodd_count": "uncoded medications",
+    "edrr_open_issues": "reconciliation issues",
+    "inactivated_forms_count": "form corrections",
+    "max_days_outstanding": "data entry delays",
+    "max_days_page_missing": "long-outstanding pages",
+}
+
+# What a pair of issues means ({a}, {b}: phrases; {word}: strength; {lift}: one decimal).
+PAIR_TEXTS = {
+    "safety": "Safety data entry backlog: Sites with {a} are {word} likely to also have {b}, suggesting resource constraints in safety data processing.",
+    "entry": "General data entry issues: {a_title} and {b} {word} co-occur, indicating systemic site capacity problems.",
+    "time": "Timeliness correlation: Sites with {a} are {word} likely to have {b}, suggesting chronic data entry delays.",
+    "coding": "Coding backlog: Both {a} and {b} {word} co-occur, indicating coding resource constraints.",
+    "other": "Sites with {a} are {lift}x more likely to also have {b}.",
+}
+
+# Descriptions, contributing factors and actions of root causes.
+CAUSES: dict[str, tuple[str, list[str], list[str]]] = {
+    "Safety": (
+        "Safety data processing backlog causing SAE review delays and coding gaps",
+        ["Insufficient safety data management resources", "Complex adverse event narratives requiring specialist review", "Training gaps in safety reporting procedures"],
+        ["Hire additional safety data specialists", "Implement SAE triage system to prioritize reviews", "Deploy automated coding suggestions for common terms", "Weekly SAE backlog review meetings"],
+    ),
+    "Completeness": (
+        "Insufficient site data entry capacity causing missing visit and CRF data",
+        ["Understaffed clinical sites", "Complex EDC system requiring extensive training", "High patient enrollment outpacing data entry capacity", "Competing priorities at investigator sites"],
+        ["Assess site data management staffing levels", "Provide targeted EDC re-training", "Implement data entry reminders and escalation workflows", "Consider centralized data entry support for high-volume sites"],
+    ),
+    "Geographic": (
+        "Regional/country-specific issues in ",
+        ["Regional regulatory requirements affecting data collection", "Language barriers impacting training effectiveness", "Local infrastructure limitations", "Cultural differences in clinical trial conduct"],
+        ["Deploy region-specific training programs", "Assign dedicated regional monitors", "Translate key documentation to local languages", "Establish regional data management hubs"],
+    ),
+    "Timeliness": (
+        "Chronic data entry delays resulting in stale trial data",
+        ["Lack of real-time data entry expectations", "No automated reminders for overdue data", "Site workload imbalances", "Query resolution bottlenecks"],
+        ["Implement automated stale data alerts", "Set and communicate data entry SLAs", "Weekly data currency reviews with site coordinators", "Prioritize query resolution to unblock data entry"],
+    ),
+    "Systemic": (
+        "Sites with multiple concurrent issues indicating fundamental capability gaps",
+        ["Fundamental site capability gaps", "Inadequate site selection/qualification", "Loss of key site personnel", "Lack of sponsor oversight"],
+        ["Conduct site capability assessments", "Implement intensive monitoring protocols", "Consider site remediation plans or replacement", "Assign dedicated site managers"],
+    ),
+}

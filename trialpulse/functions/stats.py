@@ -28,6 +28,21 @@ def one_row(df: DataFrame, *aggregates: Column) -> DataFrame:
     return F.broadcast(df.agg(*aggregates))
 
 
+#: Accuracy of the first pass of exact_percentile: ranks are off by at most rows / ACCURACY.
+ACCURACY = 10_000
+
+
+def near_percentile(df: DataFrame, x: Column, p: float, by: tuple[str, ...] = ()) -> tuple[DataFrame, Column]:
+    """First pass of an exact percentile: the rows with the range that certainly holds it, and ``x`` clipped to that range. percentile() of the clipped values is that of ``x``, and its buffer holds the range's distinct values instead of all."""
+    eps = 4 / ACCURACY
+    many = F.count(x) > ACCURACY  # with fewer values all of them are few enough
+    low = F.when(many, F.percentile_approx(x, F.lit(max(0.0, p - eps)), F.lit(ACCURACY))).otherwise(F.min(x))
+    high = F.when(many, F.percentile_approx(x, F.lit(min(1.0, p + eps)), F.lit(ACCURACY))).otherwise(F.max(x))
+    near = F.broadcast(df.groupBy(*by).agg(low.alias("_low"), high.alias("_high")))
+    out = df.join(near, list(by)) if by else df.crossJoin(near)
+    return out, F.when(x.isNotNull(), F.greatest(F.col("_low"), F.least(F.col("_high"), x)))
+
+
 def zscore(x: Column, mean: Column, std: Column) -> Column:
     """0 where the column is constant or has one row."""
     return F.when(F.coalesce(std, F.lit(0.0)) == 0, F.lit(0.0)).otherwise((x - mean) / std)
@@ -48,3 +63,8 @@ def correlation(x: str, y: str) -> Column:
 def label(metric: str) -> str:
     """PRJ-15: a metric's name for people."""
     return metric.replace("_sum", "").replace("_count", "").replace("_", " ").title()
+
+
+def share_text(x: Column) -> Column:
+    """A share as a percentage of one decimal."""
+    return F.format_string("%.1f%%", F.round(r10(x * 100), 1))

@@ -46,48 +46,50 @@ def pending(df: DataFrame) -> Column:
     return ~F.col("review_status").eqNullSafe(F.lit("Review Completed")) if "review_status" in df.columns else F.lit(True)
 
 
-#: file type -> [(metric, value of a row, how rows of a subject combine)]
-def _long(file_type: str, df: DataFrame) -> list[DataFrame]:
+def metrics(extracts: dict[str, DataFrame] | DataFrame) -> DataFrame:
+    """AGG-2..9: one row a subject and one column a metric, by one aggregate. Days combine by max, counts by sum. ``extracts``: file type -> rows, or one table of all types with a file_type column (a column that no row of a type has counts as absent there)."""
+    if isinstance(extracts, DataFrame):
+        rows, has = extracts, {k: set(extracts.columns) for k in FILE_TYPES}
+    else:
+        unknown = set(extracts) - set(FILE_TYPES)
+        if unknown:
+            raise ValueError(f"unknown file type {sorted(unknown)}")
+        has = {k: set(df.columns) for k, df in extracts.items()}
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.select("study", "subject_id", *(F.col(c).cast("string") for c in ("days_outstanding", "review_status", "days_missing", "coding_status", "open_issues") if c in has[k]), F.lit(k).alias("file_type")) for k, df in extracts.items()])
+    rows = rows.withColumn("subject_id", F.trim("subject_id")).where("study is not null and subject_id is not null and subject_id <> ''")
     one = F.lit(1.0)
-    key = [F.col("study"), F.trim("subject_id").alias("subject_id")]
-
-    def rows(metric: str, value: Column, source: DataFrame = df) -> DataFrame:
-        return source.select(*key, F.lit(metric).alias("metric"), value.cast("double").alias("value"))
-
-    has = set(df.columns)
-    match file_type:
-        case "visit_tracker":
-            out = [rows("missing_visit_count", one)]
-            return out + [rows("max_days_outstanding", clamped_days(F.col("days_outstanding")))] * ("days_outstanding" in has)
-        case "missing_lab":
-            return [rows("lab_issues_count", one)]
-        case "sae_dashboard":
-            return [rows("sae_total_count", one), rows("sae_pending_count", one, df.where(pending(df)))]
-        case "missing_pages":
-            out = [rows("missing_pages_count", one)]
-            return out + [rows("max_days_page_missing", clamped_days(F.col("days_missing")))] * ("days_missing" in has)
-        case "meddra_coding":
-            return [rows("uncoded_meddra_count", one, df.where(uncoded(df)))]
-        case "whodd_coding":
-            return [rows("uncoded_whodd_count", one, df.where(uncoded(df)))]
-        case "inactivated":
-            return [rows("inactivated_forms_count", one)]
-        case "edrr":
-            x = number(F.col("open_issues"))
-            return [rows("edrr_open_issues", F.coalesce(F.when(x < 0, 0.0).otherwise(F.floor(x)), F.lit(0.0)))]
-        case _:
-            raise ValueError(f"unknown file type {file_type}")
-
-
-def metrics(extracts: dict[str, DataFrame]) -> DataFrame:
-    """AGG-2..9: all extracts as long rows, one shuffle by subject, one column a metric. Days combine by max, counts by sum."""
-    parts = [part for name, df in extracts.items() for part in _long(name, df)]
-    rows = reduce(DataFrame.unionByName, parts).where("study is not null and subject_id is not null and subject_id <> ''")
-    columns = []
-    for m in C.ISSUE_COLUMNS:
-        value = F.when(F.col("metric") == m, F.col("value"))
-        columns.append((F.max(value) if m.startswith("max_days") else F.sum(value)).alias(m))
-    return rows.groupBy(*C.SUBJECT_KEYS).agg(*columns)
+    values: dict[str, Column] = {}
+
+    def of(kind: str, metric: str, value: Column, when: Column | None = None) -> None:
+        if kind in has:
+            here = F.col("file_type") == kind
+            values[metric] = F.when(here if when is None else here & when, value)
+
+    def there(kind: str, column: str) -> bool:
+        return column in has.get(kind, ())
+
+    of("visit_tracker", "missing_visit_count", one)
+    if there("visit_tracker", "days_outstanding"):
+        of("visit_tracker", "max_days_outstanding", clamped_days(F.col("days_outstanding").cast("string")))
+    of("missing_lab", "lab_issues_count", one)
+    of("sae_dashboard", "sae_total_count", one)
+    of("sae_dashboard", "sae_pending_count", one, pending(rows) if there("sae_dashboard", "review_status") else None)
+    of("missing_pages", "missing_pages_count", one)
+    if there("missing_pages", "days_missing"):
+        of("missing_pages", "max_days_page_missing", clamped_days(F.col("days_missing").cast("string")))
+    for kind, metric in (("meddra_coding", "uncoded_meddra_count"), ("whodd_coding", "uncoded_whodd_count")):
+        of(kind, metric, one, uncoded(rows) if there(kind, "coding_status") else None)
+    of("inactivated", "inactivated_forms_count", one)
+    if there("edrr", "open_issues"):
+        x = number(F.col("open_issues").cast("string"))
+        of("edrr", "edrr_open_issues", F.coalesce(F.when(x < 0, 0.0).otherwise(F.floor(x).cast("double")), F.lit(0.0)))
+    columns = [(F.max if m.startswith("max_days") else F.sum)(values.get(m, F.lit(None).cast("double"))).alias(m) for m in C.ISSUE_COLUMNS]
+    # a subject with rows of which none counts has no metrics, as one without rows
+    got = rows.groupBy(*C.SUBJECT_KEYS).agg(*columns)
+    return got.where(reduce(lambda a, b: a | b, (F.col(m).isNotNull() for m in C.ISSUE_COLUMNS)))
+
+
+FILE_TYPES = [k for k in C.FILE_PATTERNS if k != "edc_metrics"]
 
 
 def fill_category(column: Column) -> Column:
@@ -123,7 +125,7 @@ def cap_outliers(df: DataFrame, columns: list[str], **options) -> DataFrame:
     return out.drop(*(f"{c}_{k}" for c in columns for k in ("low", "high")))
 
 
-def master_subject(spine: DataFrame, extracts: dict[str, DataFrame]) -> DataFrame:
+def master_subject(spine: DataFrame, extracts: dict[str, DataFrame] | DataFrame) -> DataFrame:
     """JN-1, PRJ-3, PRJ-5, PRJ-7, PRJ-8: spine rows (duplicates stay) with all metrics: one left join instead of eight."""
     people = spine.withColumn("subject_id", F.trim("subject_id"))
     joined = cap_outliers(people.join(metrics(extracts), C.SUBJECT_KEYS, "left"), C.CAPPED_COLUMNS)

@@ -29,10 +29,36 @@ def cooccurrence(subjects: DataFrame) -> DataFrame:
     return long.select("issue_a", "issue_b", both.cast("bigint").alias("cooccurrence_count"), F.round(S.r10(both / n), 4).alias("cooccurrence_rate"), F.round(S.r10(lift), 3).alias("lift"), F.round(S.r10(corr), 3).alias("correlation"))
 
 
+def pair_kind(a: str, b: str) -> str:
+    """RCA-2: which text a pair of issues gets; the first rule that holds."""
+    if "sae" in a and "meddra" in b:
+        return "safety"
+    if "missing_visit" in a and "missing_pages" in b:
+        return "entry"
+    if "days" in a or "days" in b:
+        return "time"
+    return "coding" if "uncoded" in a and "uncoded" in b else "other"
+
+
+def pair_text(a: str, b: str) -> list[str]:
+    """The text of a pair in pieces: between them stands the strength, or the lift."""
+    text = C.PAIR_TEXTS[pair_kind(a, b)]
+    for name, value in (("{a}", C.ISSUE_PHRASES[a]), ("{a_title}", C.ISSUE_PHRASES[a].title()), ("{b}", C.ISSUE_PHRASES[b])):
+        text = text.replace(name, value)
+    return text.replace("{lift}", "{word}").split("{word}")
+
+
 def patterns(pairs: DataFrame, lift: float = 1.2, least: int = 10) -> DataFrame:
-    """RCA-1, RCA-2: the pairs that stand out, with a word for how much."""
-    word = F.when(F.col("lift") > 2, "strongly").when(F.col("lift") > 1.5, "moderately").otherwise("weakly")
-    return pairs.where((F.col("lift") > lift) & (F.col("cooccurrence_count") >= least)).withColumn("interpretation", F.concat("issue_a", F.lit(" and "), "issue_b", F.lit(" are "), word, F.lit(" linked")))
+    """RCA-1, RCA-2: the pairs that stand out, with what they mean."""
+    strength = F.when(F.col("lift") > 2, "strongly").when(F.col("lift") > 1.5, "moderately").otherwise("slightly")
+    number = F.format_string("%.1f", F.round("lift", 1))
+    rows = []
+    for a, b in combinations(ISSUES, 2):
+        head, tail = pair_text(a, b)
+        rows.append((a, b, head, tail, pair_kind(a, b) == "other"))
+    texts = F.broadcast(pairs.sparkSession.createDataFrame(rows, "issue_a string, issue_b string, _head string, _tail string, _number boolean"))  # 45 rows
+    out = pairs.where((F.col("lift") > lift) & (F.col("cooccurrence_count") >= least)).join(texts, ["issue_a", "issue_b"])
+    return out.withColumn("interpretation", F.concat("_head", F.when(F.col("_number"), number).otherwise(strength), "_tail")).drop("_head", "_tail", "_number")
 
 
 def matrix(pairs: DataFrame) -> DataFrame:
@@ -79,22 +105,38 @@ def quantile_edges(df: DataFrame, column: str, n: int) -> DataFrame:
 SIZE_LABELS = ["Small", "Medium", "Large", "Very Large"]
 
 
+def _mean(c: str) -> Column:
+    return F.format_string("%.4f", F.round(c, 4))
+
+
 def factor_size(site: DataFrame) -> DataFrame:
     """RCA-5."""
     binned = site.crossJoin(quantile_edges(site, "subject_count", 4)).withColumn("category", quantile_bins(site, "subject_count", SIZE_LABELS))
-    return binned.groupBy("category").agg(F.count("*").alias("site_count"), S.r10(F.avg("avg_dqi_score")).alias("avg_dqi_score"), S.r10(F.avg((F.col("site_risk_category") == "High").cast("double"))).alias("high_risk_rate")).select(F.lit("Site Size").alias("factor"), "*")
+    out = binned.groupBy("category").agg(F.count("*").alias("site_count"), S.r10(F.avg("avg_dqi_score")).alias("avg_dqi_score"), S.r10(F.avg((F.col("site_risk_category") == "High").cast("double"))).alias("high_risk_rate")).select(F.lit("Site Size").alias("factor"), "*")
+    m = _mean("avg_dqi_score")
+    # Texts.
+    text = (
+        F.when(F.col("category") == "Small", F.concat(F.lit("Small sites (avg DQI: "), m, F.lit(") may lack dedicated data management resources")))
+        .when(F.col("category") == "Very Large", F.concat(F.lit("Very large sites (avg DQI: "), m, F.lit(") handle high volume but may have process efficiencies")))
+        .otherwise(F.concat("category", F.lit(" sites have average DQI of "), m))
+    )
+    return out.withColumn("interpretation", text)
 
 
 def factor_study(site: DataFrame) -> DataFrame:
     """RCA-6."""
-    return site.groupBy(F.col("study").alias("category")).agg(F.count("*").alias("site_count"), S.r10(F.avg("avg_dqi_score")).alias("avg_dqi_score"), S.r10(F.sum("high_risk_count") / F.greatest(F.sum("subject_count"), F.lit(1))).alias("high_risk_rate")).select(F.lit("Study").alias("factor"), "*")
+    out = site.groupBy(F.col("study").alias("category")).agg(F.count("*").alias("site_count"), S.r10(F.avg("avg_dqi_score")).alias("avg_dqi_score"), S.r10(F.sum("high_risk_count") / F.greatest(F.sum("subject_count"), F.lit(1))).alias("high_risk_rate")).select(F.lit("Study").alias("factor"), "*")
+    return out.withColumn("interpretation", F.concat(F.lit("Study "), "category", F.lit(" has "), F.col("site_count").cast("string"), F.lit(" sites with avg DQI "), _mean("avg_dqi_score")))
 
 
-def factor_region(site: DataFrame) -> DataFrame:
-    """RCA-7: the deviation from the portfolio mean, also under its older name high_risk_rate."""
+def factor_region(site: DataFrame, compat: bool = True) -> DataFrame:
+    """RCA-7: the relative deviation from the portfolio mean; ``compat``: also under its older name high_risk_rate."""
     mean = S.one_row(site, F.avg("avg_dqi_score").alias("_m"))
-    out = site.crossJoin(mean).groupBy(F.col("region").alias("category")).agg(F.count("*").alias("site_count"), S.r10(F.avg("avg_dqi_score")).alias("avg_dqi_score"), S.r10(F.avg("avg_dqi_score") - F.first("_m")).alias("deviation"))
-    return out.select(F.lit("Region").alias("factor"), "*", F.col("deviation").alias("high_risk_rate"))
+    relative = F.when(F.first("_m") > 0, (F.avg("avg_dqi_score") - F.first("_m")) / F.first("_m")).otherwise(0.0)
+    out = site.crossJoin(mean).groupBy(F.col("region").alias("category")).agg(F.count("*").alias("site_count"), S.r10(F.avg("avg_dqi_score")).alias("avg_dqi_score"), S.r10(relative).alias("deviation"))
+    out = out.select(F.lit("Region").alias("factor"), "*", *([F.col("deviation").alias("high_risk_rate")] * compat))
+    side = F.when(F.col("deviation") > 0, "Above").otherwise("Below")
+    return out.withColumn("interpretation", F.concat("category", F.lit(": "), side, F.lit(" portfolio average by "), S.share_text(F.abs("deviation"))))
 
 
 def issue_kinds() -> Column:
@@ -105,39 +147,81 @@ def factor_complexity(site: DataFrame) -> DataFrame:
     """RCA-8: bins of the number of issue kinds: none, 1-2, 3-4, more."""
     k = issue_kinds()
     category = F.when(k == 0, "None").when(k <= 2, "Low").when(k <= 4, "Medium").otherwise("High")
-    return site.withColumn("category", category).groupBy("category").agg(F.count("*").alias("site_count"), S.r10(F.avg("avg_dqi_score")).alias("avg_dqi_score"), S.r10(F.avg((F.col("site_risk_category") == "High").cast("double"))).alias("high_risk_rate")).select(F.lit("Issue Complexity").alias("factor"), "*")
+    out = site.withColumn("category", category).groupBy("category").agg(F.count("*").alias("site_count"), S.r10(F.avg("avg_dqi_score")).alias("avg_dqi_score"), S.r10(F.avg((F.col("site_risk_category") == "High").cast("double"))).alias("high_risk_rate")).select(F.lit("Issue Complexity").alias("factor"), "*")
+    n = F.col("site_count").cast("string")
+    # Texts.
+    text = (
+        F.when(F.col("category") == "None", F.concat(n, F.lit(" sites have no active issues - potential best practice sources")))
+        .when(F.col("category") == "High", F.concat(n, F.lit(" sites have multiple concurrent issues requiring systemic intervention")))
+        .otherwise(F.concat(n, F.lit(" sites with "), F.lower("category"), F.lit(" issue complexity")))
+    )
+    return out.withColumn("interpretation", text)
+
+
+SEVERITY_ORDER = {"Critical": 0, "High": 1, "Medium": 2, "Low": 3}
 
 
-def root_causes(site: DataFrame, geography: DataFrame, compat: bool = False) -> DataFrame:
-    """RCA-9..13 as rows (category, severity, confidence, affected_sites, affected_subjects). ``compat``: leave timeliness out, as a missing column once did."""
-    def part(c: str, least: int = 0) -> Column:
-        return F.avg((F.col(c) > least).cast("double"))
+def root_causes(site: DataFrame, geography: DataFrame, stand_out: DataFrame, clusters: DataFrame | None = None, compat: bool = False) -> DataFrame:
+    """RCA-9..13 as rows: cause_id (in the order of the rules), category, description, severity, confidence, affected_sites, affected_subjects, and arrays of evidence, contributing_factors and recommended_actions. ``stand_out``: pairs of issues from patterns(). ``clusters``: sites with a cluster_name; systemic sites are then those whose cluster's name says so. ``compat``: leave timeliness out, as a missing column once did."""
+    def share(c: Column) -> Column:
+        return F.avg(c.cast("double"))
 
-    def count(c: Column) -> Column:
-        return F.count_if(c)
+    def people(when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, F.col("subject_count"))), F.lit(0))
 
     sae, visits, pages, days = (F.col(f"{c}_sum") for c in ("sae_pending_count", "missing_visit_count", "missing_pages_count", "max_days_outstanding"))
-    many = issue_kinds() >= 4
     one = site.agg(
-        part("sae_pending_count_sum").alias("sae"), count(sae > 0).alias("sae_n"), F.sum(F.when(sae > 0, F.col("subject_count"))).alias("sae_s"),
-        part("missing_visit_count_sum").alias("visits"), part("missing_pages_count_sum").alias("pages"), F.greatest(count(visits > 0), count(pages > 0)).alias("data_n"), F.sum(F.when((visits > 0) | (pages > 0), F.col("subject_count"))).alias("data_s"),
-        part("max_days_outstanding_sum", 30).alias("late"), count(days > 30).alias("late_n"), count(days > 60).alias("late60"), F.sum(F.when(days > 30, F.col("subject_count"))).alias("late_s"),
-        count(many).alias("sys_n"), F.sum(F.when(many, F.col("subject_count"))).alias("sys_s"),
+        share(sae > 0).alias("sae"), F.count_if(sae > 0).alias("sae_n"), people(sae > 0).alias("sae_s"),
+        share(visits > 0).alias("visits"), F.count_if(visits > 0).alias("visits_n"), share(pages > 0).alias("pages"), F.count_if(pages > 0).alias("pages_n"), F.count_if((visits > 0) & (pages > 0)).alias("both_n"), people((visits > 0) | (pages > 0)).alias("data_s"),
+        share(days > 30).alias("late"), F.count_if(days > 30).alias("late_n"), F.count_if(days > 60).alias("late60"), people(days > 30).alias("late_s"),
     )
-    high = F.col("comparison_to_avg") > 1.5
-    geo = geography.agg(F.count_if(high & (F.col("level") == "Region")).alias("geo_r"), F.count_if(high & (F.col("level") == "Country")).alias("geo_c"), F.coalesce(F.sum(F.when(high, F.col("site_count"))), F.lit(0)).alias("geo_n"))
-    wide = one.crossJoin(geo)
+    if clusters is None:
+        many = site.withColumn("_many", issue_kinds() >= 4)
+    else:
+        many = clusters.withColumn("_many", F.coalesce(F.col("cluster_name").rlike("(?i)Systemic|Issues"), F.lit(False)))
+    systemic = many.agg(F.count_if("_many").alias("sys_n"), people(F.col("_many")).alias("sys_s"))
+    # areas far above the portfolio, the furthest first; the three first of either level are named
+    high = geography.where("comparison_to_avg > 1.5")
+    listed = [F.array_sort(F.collect_list(F.when(F.col("level") == k, F.struct((-F.col("comparison_to_avg")).alias("r"), "location", "dominant_issue", F.format_string("%.1f", F.round("comparison_to_avg", 1)).alias("times"))))).alias(n) for k, n in (("Region", "regions"), ("Country", "countries"))]
+    areas = F.broadcast(high.agg(*listed))  # regions and countries: dimension tables
+    named = [F.transform(F.slice(n, 1, 3), lambda x: x["location"]) for n in ("regions", "countries")]
+    inside = site.crossJoin(areas).agg(F.count_if(F.array_contains(named[0], F.col("region")) | F.array_contains(named[1], F.col("country"))).alias("geo_n"))
+    coded = stand_out.agg((F.count_if((F.col("issue_a").contains("sae") | F.col("issue_b").contains("sae")) & (F.col("issue_a").contains("meddra") | F.col("issue_b").contains("meddra"))) > 0).alias("sae_coded"))
+    wide = one.crossJoin(systemic).crossJoin(areas).crossJoin(inside).crossJoin(coded)
+    c = F.col
 
-    def cause(when: Column, category: str, severity: Column, confidence: float, n: Column, subjects: Column) -> Column:
-        return F.when(when, F.struct(F.lit(category).alias("category"), severity.alias("severity"), F.lit(confidence).alias("confidence"), n.cast("bigint").alias("affected_sites"), F.coalesce(subjects, F.lit(0)).cast("bigint").alias("affected_subjects")))
+    def text(*parts) -> Column:
+        return F.concat(*(p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts))
 
-    c = F.col
+    def some(*rows: Column) -> Column:
+        return F.array_compact(F.array(*rows))
+
+    def strings(values: list[str]) -> Column:
+        return F.array(*map(F.lit, values))
+
+    def cause(when: Column, category: str, severity: Column, confidence: float, n: Column, subjects: Column, evidence: Column, more: Column | None = None) -> Column:
+        about, factors, actions = C.CAUSES[category]
+        description = F.lit(about) if more is None else F.concat(F.lit(about), more)
+        return F.when(when, F.struct(F.lit(category).alias("category"), description.alias("description"), severity.alias("severity"), F.lit(confidence).alias("confidence"), n.cast("bigint").alias("affected_sites"), subjects.cast("bigint").alias("affected_subjects"), evidence.alias("evidence"), strings(factors).alias("contributing_factors"), strings(actions).alias("recommended_actions")))
+
+    def far(name: str, level: str) -> Column:
+        return F.transform(F.slice(name, 1, 3), lambda x: F.concat(F.lit(f"{level} "), x["location"], F.lit(": "), x["dominant_issue"], F.lit(" rate is "), x["times"], F.lit("x portfolio average")))
+
+    # Texts of evidence.
     found = [
-        cause(c("sae") > 0.1, "Safety", F.when(c("sae") > 0.2, "Critical").otherwise("High"), 0.85, c("sae_n"), c("sae_s")),
-        cause((c("visits") > 0.15) | (c("pages") > 0.15), "Completeness", F.when((c("visits") > 0.2) | (c("pages") > 0.2), "High").otherwise("Medium"), 0.80, c("data_n"), c("data_s")),
-        cause((c("geo_r") > 0) | (c("geo_c") > 0), "Geographic", F.when((c("geo_r") > 1) | (c("geo_c") > 2), "High").otherwise("Medium"), 0.75, c("geo_n"), F.lit(0)),
-        cause(c("sys_n") > 5, "Systemic", F.when(c("sys_n") > 20, "Critical").otherwise("High"), 0.90, c("sys_n"), c("sys_s")),
+        cause(c("sae") > 0.1, "Safety", F.when(c("sae") > 0.2, "Critical").otherwise("High"), 0.85, c("sae_n"), c("sae_s"), some(text(c("sae_n"), " sites (", S.share_text(c("sae")), ") have pending SAE reviews"), F.when(c("sae_coded"), "SAE and MedDRA coding issues frequently co-occur"))),
+        cause((c("visits") > 0.15) | (c("pages") > 0.15), "Completeness", F.when((c("visits") > 0.2) | (c("pages") > 0.2), "High").otherwise("Medium"), 0.80, F.greatest("visits_n", "pages_n"), c("data_s"), some(text(c("visits_n"), " sites (", S.share_text(c("visits")), ") have missing visit data"), text(c("pages_n"), " sites (", S.share_text(c("pages")), ") have missing CRF pages"), F.when(c("both_n") > 0, text(c("both_n"), " sites have both issues simultaneously")))),
+        cause((F.size("regions") > 0) | (F.size("countries") > 0), "Geographic", F.when((F.size("regions") > 1) | (F.size("countries") > 2), "High").otherwise("Medium"), 0.75, c("geo_n"), F.lit(0), F.concat(far("regions", "Region"), far("countries", "Country")), F.array_join(F.slice(F.concat(*named), 1, 3), ", ")),
+        cause(c("late") > 0.1, "Timeliness", F.when(c("late60") > 10, "High").otherwise("Medium"), 0.85, c("late_n"), c("late_s"), some(text(c("late_n"), " sites (", S.share_text(c("late")), ") have data outstanding > 30 days"), text(c("late60"), " sites have data outstanding > 60 days"))),
+        cause(c("sys_n") > 5, "Systemic", F.when(c("sys_n") > 20, "Critical").otherwise("High"), 0.90, c("sys_n"), c("sys_s"), some(text(c("sys_n"), " sites have 4+ concurrent issue types"), F.lit("These sites require comprehensive intervention rather than targeted fixes"))),
     ]
-    if not compat:
-        found.insert(3, cause(c("late") > 0.1, "Timeliness", F.when(c("late60") > 10, "High").otherwise("Medium"), 0.85, c("late_n"), c("late_s")))
-    return wide.select(F.explode(F.array_compact(F.array(*found))).alias("r")).select("r.*")
+    if compat:
+        found.pop(3)
+    rows = wide.select(F.posexplode(F.array_compact(F.array(*found))).alias("i", "r"))
+    return rows.select(F.format_string("RC%03d", F.col("i") + 1).alias("cause_id"), "r.*")
+
+
+def by_severity(causes: DataFrame) -> DataFrame:
+    """SRT-1: the most severe first, then the most certain."""
+    place = F.create_map(*(x for k, v in SEVERITY_ORDER.items() for x in (F.lit(k), F.lit(v))))
+    return causes.orderBy(place[F.col("severity")], F.desc("confidence"), "cause_id")

@@ -49,16 +49,18 @@ def score_subjects(master: DataFrame, floor: float | None = None) -> DataFrame:
 
 
 def subject_threshold(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """DQI-5: the high threshold, one row (a group)."""
+    """DQI-5: the high threshold, one row (a group), exact in two passes."""
     eligible = F.when((F.col("n_issue_types") > 0) & (F.col("sae_pending_count") == 0), F.col("dqi_score"))
+    scored, eligible = S.near_percentile(scored, eligible, C.SUBJECT_PERCENTILE, by)
     value = F.coalesce(F.greatest(F.percentile(eligible, F.lit(C.SUBJECT_PERCENTILE)), F.lit(C.SUBJECT_FLOOR)), F.lit(C.SUBJECT_FALLBACK))
     none = F.when(F.count(eligible) == 0, F.lit(C.SUBJECT_FALLBACK)).otherwise(S.r10(value))
     return scored.groupBy(*by).agg(none.alias("threshold"))
 
 
-def category(threshold: Column) -> Column:
+def category(threshold: Column, score: Column | None = None) -> Column:
     """High for pending safety reports whatever the score; then by the threshold; Medium for any issue."""
-    return F.when(F.col("sae_pending_count") > 0, "High").when((F.col("n_issue_types") > 0) & (F.col("dqi_score") >= threshold), "High").when(F.col("n_issue_types") > 0, "Medium").otherwise("Low")
+    score = F.col("dqi_score") if score is None else score
+    return F.when(F.col("sae_pending_count") > 0, "High").when((F.col("n_issue_types") > 0) & (score >= threshold), "High").when(F.col("n_issue_types") > 0, "Medium").otherwise("Low")
 
 
 def subject_risk(scored: DataFrame) -> DataFrame:

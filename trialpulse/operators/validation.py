@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+from random import Random
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import stats as S
+from ..plans.tables import staged
 from . import scoring
 
 WEIGHTS = scoring.WEIGHTS
+#: Hex digits of a hash that name its range: 4096 ranges a category.
+BUCKET_DIGITS = 3
 
 
 def folds(risk: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """VLD-1: fold 1..k, even within risk categories, by a hash of the key and the seed."""
+    """VLD-1: fold 1..k, even within risk categories, by a hash of the key and the seed. A category isn't sorted in one task: its hashes fall into 4096 ranges, whose counts give every range its first place; rows are numbered within their range."""
     order = F.md5(F.concat_ws("|", "study", "subject_id", F.lit(str(seed))))
-    return risk.withColumn("fold", F.ntile(k).over(Window.partitionBy("risk_category").orderBy(order, "study", "subject_id")))
+    ranged = risk.withColumns({"_order": order, "_bucket": F.conv(F.substring(order, 1, BUCKET_DIGITS), 16, 10).cast("int")})
+    sizes = ranged.groupBy("risk_category", "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("risk_category").orderBy("_bucket")  # a fixed number of ranges
+    places = sizes.select("risk_category", "_bucket", (F.sum("_n").over(before) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("risk_category")).alias("_all"))
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("risk_category", "_bucket").orderBy("_order", "study", "subject_id")) - 1
+    small, extra = F.floor(F.col("_all") / k), F.col("_all") % k
+    large = extra * (small + 1)
+    fold = F.when(at < large, F.floor(at / (small + 1))).otherwise(extra + F.floor((at - large) / F.greatest(small, F.lit(1)))) + 1
+    same = (F.col("r.risk_category") == F.col("p.risk_category")) & (F.col("r._bucket") == F.col("p._bucket"))
+    met = ranged.alias("r").join(F.broadcast(places).alias("p"), same).select("r.*", "p._before", "p._all")
+    return met.withColumn("fold", fold.cast("int")).select(*risk.columns, "fold")
 
 
 def _score(df: DataFrame, floor: float = 1.0) -> DataFrame:
@@ -63,34 +78,50 @@ def rank_correlation(pred: DataFrame, least: int = 10) -> DataFrame:
     return ranked.groupBy(*by).agg(F.count("*").alias("common_sites"), F.round(S.r10(S.correlation("rx", "ry")), 6).alias("correlation")).where(F.col("common_sites") > least)
 
 
-def scenarios() -> dict[str, dict[str, float]]:
-    """VLD-8: baseline, all weights scaled and set to sum 1 again, equal, inverted."""
+# The scenarios' names and how they change the weights.
+SCENARIO_STEPS = [10, 20, 30]
+
+
+def scenarios(random: bool = False, seed: int = 42) -> dict[str, dict[str, float]]:
+    """VLD-8: baseline, all weights scaled and set to sum 1 again, equal, ``random`` (exponential draws of a seed, set to sum 1), inverted."""
+    def scaled(by: float) -> dict[str, float]:
+        w = {k: max(0.01, min(1.0, v * by)) for k, v in WEIGHTS.items()}
+        return {k: v / sum(w.values()) for k, v in w.items()}
+
     out = {"Baseline": dict(WEIGHTS)}
-    for pct in (10, 20, 30):
-        for sign, name in ((1, "+"), (-1, "-")):
-            w = {k: min(v * (1 + pct / 100), 1.0) if sign > 0 else max(v * (1 - pct / 100), 0.01) for k, v in WEIGHTS.items()}
-            out[f"All {name}{pct}%"] = {k: v / sum(w.values()) for k, v in w.items()}
-    out["Equal Weights"] = {k: 1 / len(WEIGHTS) for k in WEIGHTS}
-    rising = sorted(WEIGHTS, key=lambda k: WEIGHTS[k])
-    out["Inverted"] = dict(zip(rising, sorted(WEIGHTS.values(), reverse=True)))
+    for pct in SCENARIO_STEPS:
+        out |= {f"All +{pct}%": scaled(1 + pct / 100), f"All -{pct}%": scaled(1 - pct / 100)}
+    out["Equal Weights"] = dict.fromkeys(WEIGHTS, 1 / len(WEIGHTS))
+    if random:
+        draw = Random(seed)
+        w = {k: draw.expovariate(1.0) for k in WEIGHTS}
+        out["Random"] = {k: v / sum(w.values()) for k, v in w.items()}
+    out["Inverted"] = dict(zip(sorted(WEIGHTS, key=lambda k: WEIGHTS[k]), sorted(WEIGHTS.values(), reverse=True)))
     return out
 
 
-def sensitivity(risk: DataFrame, floor: float = 1.0) -> DataFrame:
-    """VLD-8: one grouped plan over subjects x scenarios (a fixed, short list): shifts of category, capture, site rank correlation."""
-    typed = risk.drop("dqi_score", "threshold", "risk_category")
+def sensitivity(risk: DataFrame, floor: float = 1.0, least: int = 10) -> DataFrame:
+    """VLD-8: shifts of category, capture, counts and site rank correlation of every scenario. A subject keeps all scenarios' scores in one row, so that its category is compared with its own baseline without a join, also where subjects repeat. The correlation is 1 unless there are more than ``least`` sites."""
     names = scenarios()
+    typed = risk.drop("dqi_score", "threshold", "risk_category")
     with_refs = typed.crossJoin(F.broadcast(scoring.reference_max(typed, floor)))
-    scores = {n: S.r10(F.least(S.total([scoring.component(f, w[f]) for f in WEIGHTS]), F.lit(1.0))) for n, w in names.items()}
-    base = scores["Baseline"]
-    long = with_refs.select("study", "subject_id", "site_id", "sae_pending_count", "n_issue_types", base.alias("base_score"), F.explode(F.array(*(F.struct(F.lit(n).alias("scenario"), s.alias("dqi_score")) for n, s in scores.items()))).alias("s")).select("*", "s.*").drop("s")
+    scores = {f"s{i}": S.r10(F.least(S.total([scoring.component(f, w[f]) for f in WEIGHTS]), F.lit(1.0))) for i, w in enumerate(names.values())}
+    wide = staged(with_refs.select("study", "subject_id", "site_id", "sae_pending_count", "n_issue_types", *(s.alias(k) for k, s in scores.items())), "scenarios")
+    numbered = list(enumerate(names))
+    long = wide.select("sae_pending_count", "n_issue_types", F.explode(F.array(*(F.struct(F.lit(n).alias("scenario"), F.col(f"s{i}").alias("dqi_score")) for i, n in numbered))).alias("s")).select("*", "s.*").drop("s")
     cuts = scoring.subject_threshold(long, by=("scenario",))
-    rated = long.join(F.broadcast(cuts), "scenario").withColumn("risk", scoring.category(F.col("threshold")))
-    baseline = rated.where("scenario = 'Baseline'").select("study", "subject_id", F.col("risk").alias("base_risk"))
-    both = rated.join(baseline, ["study", "subject_id"])
+    cut = F.broadcast(cuts.agg(F.map_from_entries(F.collect_list(F.struct("scenario", "threshold"))).alias("_cuts")))  # one row
+    rated = wide.crossJoin(cut).select("sae_pending_count", *(scoring.category(F.col("_cuts")[n], F.col(f"s{i}")).alias(f"r{i}") for i, n in numbered))
     sae = F.col("sae_pending_count") > 0
-    counts = both.groupBy("scenario").agg(F.count_if(F.col("risk") != F.col("base_risk")).alias("category_shifts"), F.round(S.r10(F.count_if(F.col("risk") != F.col("base_risk")) / F.count("*") * 100), 2).alias("shift_pct"), F.when(F.count_if(sae) > 0, F.round(S.r10(F.count_if(sae & (F.col("risk") == "High")) / F.count_if(sae) * 100), 1)).otherwise(100.0).alias("sae_capture_pct"), *(F.count_if(F.col("risk") == k).alias(f"{k.lower()}_count") for k in ("High", "Medium", "Low")))
-    sites = long.where("site_id is not null and site_id <> ''").groupBy("scenario", "study", "site_id").agg(S.r10(F.avg("dqi_score")).alias("x"), S.r10(F.avg("base_score")).alias("y"))
-    ranked = sites.withColumns({"rx": S.average_rank("x", ["scenario"]), "ry": S.average_rank("y", ["scenario"])})
-    corr = ranked.groupBy("scenario").agg(F.round(S.r10(S.correlation("rx", "ry")), 4).alias("rank_correlation"))
-    return counts.join(corr, "scenario")
+    pieces = []
+    for i, n in numbered:
+        r = F.col(f"r{i}")
+        shifts = F.count_if(r != F.col("r0"))
+        capture = F.when(F.count_if(sae) > 0, F.round(S.r10(F.count_if(sae & (r == "High")) / F.count_if(sae) * 100), 1)).otherwise(100.0)
+        pieces.append(F.struct(F.lit(n).alias("scenario"), shifts.alias("category_shifts"), F.round(S.r10(shifts / F.count("*") * 100), 2).alias("shift_pct"), capture.alias("sae_capture_pct"), *(F.count_if(r == k).alias(f"{k.lower()}_count") for k in ("High", "Medium", "Low"))))
+    counts = rated.agg(F.count("*").alias("_n"), F.array(*pieces).alias("all")).where("_n > 0").select(F.explode("all").alias("c")).select("c.*")
+    sites = wide.where("site_id is not null and site_id <> ''").groupBy("study", "site_id").agg(*(S.r10(F.avg(f"s{i}")).alias(f"s{i}") for i, _ in numbered))
+    pairs = sites.select(F.explode(F.array(*(F.struct(F.lit(n).alias("scenario"), F.col(f"s{i}").alias("x"), F.col("s0").alias("y")) for i, n in numbered))).alias("s")).select("s.*")
+    ranked = pairs.withColumns({"rx": S.average_rank("x", ["scenario"]), "ry": S.average_rank("y", ["scenario"])})
+    corr = ranked.groupBy("scenario").agg(F.when(F.count("*") > least, F.round(S.r10(S.correlation("rx", "ry")), 4)).otherwise(1.0).alias("rank_correlation"))
+    return counts.join(F.broadcast(corr), "scenario", "left").fillna(1.0, ["rank_correlation"])

@@ -277,22 +277,29 @@ def _root_causes() -> dict[str, str]:
     out["kinds"] = "SELECT *, " + " + ".join(f"CAST({c}_sum > 0 AS INT)" for c in C.SUMMED) + " AS k FROM site"
     share = "round(avg(CAST(site_risk_category = 'High' AS DOUBLE)), 10) AS high_risk_rate"
     base = "count(*) AS site_count, round(avg(avg_dqi_score), 10) AS avg_dqi_score"
-    out["f_size"] = f"SELECT 'Site Size' AS factor, CASE WHEN subject_count <= e1 THEN 'Small' WHEN subject_count <= e2 THEN 'Medium' WHEN subject_count <= e3 THEN 'Large' ELSE 'Very Large' END AS category, {base}, {share} FROM site, size_edges GROUP BY 2"
-    out["f_study"] = f"SELECT 'Study' AS factor, study AS category, {base}, round(sum(high_risk_count) / GREATEST(sum(subject_count), 1), 10) AS high_risk_rate FROM site GROUP BY study"
-    out["f_region"] = f"SELECT *, deviation AS high_risk_rate FROM (SELECT 'Region' AS factor, region AS category, {base}, round(avg(avg_dqi_score) - (SELECT avg(avg_dqi_score) FROM site), 10) AS deviation FROM site GROUP BY region)"
-    out["f_complexity"] = f"SELECT 'Issue Complexity' AS factor, CASE WHEN k = 0 THEN 'None' WHEN k <= 2 THEN 'Low' WHEN k <= 4 THEN 'Medium' ELSE 'High' END AS category, {base}, {share} FROM kinds GROUP BY 2"
+    m4 = "printf('%.4f', round(avg_dqi_score, 4))"
+    out["f_size"] = f"SELECT *, CASE category WHEN 'Small' THEN 'Small sites (avg DQI: ' || {m4} || ') may lack dedicated data management resources' WHEN 'Very Large' THEN 'Very large sites (avg DQI: ' || {m4} || ') handle high volume but may have process efficiencies' ELSE category || ' sites have average DQI of ' || {m4} END AS interpretation FROM (SELECT 'Site Size' AS factor, CASE WHEN subject_count <= e1 THEN 'Small' WHEN subject_count <= e2 THEN 'Medium' WHEN subject_count <= e3 THEN 'Large' ELSE 'Very Large' END AS category, {base}, {share} FROM site, size_edges GROUP BY 2)"
+    out["f_study"] = f"SELECT *, 'Study ' || category || ' has ' || site_count || ' sites with avg DQI ' || {m4} AS interpretation FROM (SELECT 'Study' AS factor, study AS category, {base}, round(sum(high_risk_count) / GREATEST(sum(subject_count), 1), 10) AS high_risk_rate FROM site GROUP BY study)"
+    pct = "printf('%.1f', round(round({} * 100, 10), 1)) || '%'"
+    out["f_region"] = f"SELECT *, deviation AS high_risk_rate, category || ': ' || CASE WHEN deviation > 0 THEN 'Above' ELSE 'Below' END || ' portfolio average by ' || {pct.format('abs(deviation)')} AS interpretation FROM (SELECT 'Region' AS factor, region AS category, {base}, round(CASE WHEN any_value(m) > 0 THEN (avg(avg_dqi_score) - any_value(m)) / any_value(m) ELSE 0.0 END, 10) AS deviation FROM site, (SELECT avg(avg_dqi_score) AS m FROM site) GROUP BY region)"
+    out["f_complexity"] = f"SELECT *, CASE category WHEN 'None' THEN site_count || ' sites have no active issues - potential best practice sources' WHEN 'High' THEN site_count || ' sites have multiple concurrent issues requiring systemic intervention' ELSE site_count || ' sites with ' || lower(category) || ' issue complexity' END AS interpretation FROM (SELECT 'Issue Complexity' AS factor, CASE WHEN k = 0 THEN 'None' WHEN k <= 2 THEN 'Low' WHEN k <= 4 THEN 'Medium' ELSE 'High' END AS category, {base}, {share} FROM kinds GROUP BY 2)"
     sae, visits, pages, days = (f"{c}_sum" for c in ("sae_pending_count", "missing_visit_count", "missing_pages_count", "max_days_outstanding"))
-    out["rc_one"] = f"""SELECT avg(CAST({sae} > 0 AS DOUBLE)) AS sae, count(*) FILTER ({sae} > 0) AS sae_n, sum(subject_count) FILTER ({sae} > 0) AS sae_s, avg(CAST({visits} > 0 AS DOUBLE)) AS visits, avg(CAST({pages} > 0 AS DOUBLE)) AS pages,
-GREATEST(count(*) FILTER ({visits} > 0), count(*) FILTER ({pages} > 0)) AS data_n, sum(subject_count) FILTER ({visits} > 0 OR {pages} > 0) AS data_s, avg(CAST({days} > 30 AS DOUBLE)) AS late, count(*) FILTER ({days} > 30) AS late_n, count(*) FILTER ({days} > 60) AS late60, sum(subject_count) FILTER ({days} > 30) AS late_s, count(*) FILTER (k >= 4) AS sys_n, sum(subject_count) FILTER (k >= 4) AS sys_s FROM kinds"""
-    out["rc_geo"] = "SELECT count(*) FILTER (comparison_to_avg > 1.5 AND level = 'Region') AS geo_r, count(*) FILTER (comparison_to_avg > 1.5 AND level = 'Country') AS geo_c, COALESCE(sum(site_count) FILTER (comparison_to_avg > 1.5), 0) AS geo_n FROM geo"
+    out["rc_one"] = f"""SELECT count(*) AS n, count(*) FILTER ({sae} > 0) AS sae_n, sum(subject_count) FILTER ({sae} > 0) AS sae_s, count(*) FILTER ({visits} > 0) AS visits_n, count(*) FILTER ({pages} > 0) AS pages_n,
+count(*) FILTER ({visits} > 0 AND {pages} > 0) AS both_n, sum(subject_count) FILTER ({visits} > 0 OR {pages} > 0) AS data_s, count(*) FILTER ({days} > 30) AS late_n, count(*) FILTER ({days} > 60) AS late60, sum(subject_count) FILTER ({days} > 30) AS late_s, count(*) FILTER (k >= 4) AS sys_n, sum(subject_count) FILTER (k >= 4) AS sys_s FROM kinds"""
+    out["rc_far"] = "SELECT *, row_number() OVER (PARTITION BY level ORDER BY comparison_to_avg DESC, location) AS place FROM geo WHERE comparison_to_avg > 1.5"
+    out["rc_area"] = "SELECT count(*) FILTER (level = 'Region') AS geo_r, count(*) FILTER (level = 'Country') AS geo_c, string_agg(level || ' ' || location || ': ' || dominant_issue || ' rate is ' || printf('%.1f', round(comparison_to_avg, 1)) || 'x portfolio average', '; ' ORDER BY level DESC, place) FILTER (place <= 3) AS geo_text, array_to_string(list_slice(list(location ORDER BY level DESC, place) FILTER (place <= 3), 1, 3), ', ') AS geo_names FROM rc_far"
+    out["rc_sites"] = "SELECT count(*) AS geo_n FROM site WHERE region IN (SELECT location FROM rc_far WHERE level = 'Region' AND place <= 3) OR country IN (SELECT location FROM rc_far WHERE level = 'Country' AND place <= 3)"
+    out["rc_coded"] = "SELECT count(*) > 0 AS coded FROM cooc WHERE lift > 1.2 AND cooccurrence_count >= 10 AND issue_a || issue_b LIKE '%sae%' AND issue_a || issue_b LIKE '%meddra%'"
+    part = {k: f"CAST({k}_n AS DOUBLE) / n" for k in ("sae", "visits", "pages", "late")}
     rows = [
-        ("Safety", "sae > 0.1", "CASE WHEN sae > 0.2 THEN 'Critical' ELSE 'High' END", 0.85, "sae_n", "sae_s"),
-        ("Completeness", "visits > 0.15 OR pages > 0.15", "CASE WHEN visits > 0.2 OR pages > 0.2 THEN 'High' ELSE 'Medium' END", 0.8, "data_n", "data_s"),
-        ("Geographic", "geo_r > 0 OR geo_c > 0", "CASE WHEN geo_r > 1 OR geo_c > 2 THEN 'High' ELSE 'Medium' END", 0.75, "geo_n", "0"),
-        ("Timeliness", "late > 0.1", "CASE WHEN late60 > 10 THEN 'High' ELSE 'Medium' END", 0.85, "late_n", "late_s"),
-        ("Systemic", "sys_n > 5", "CASE WHEN sys_n > 20 THEN 'Critical' ELSE 'High' END", 0.9, "sys_n", "sys_s"),
+        ("Safety", f"{part['sae']} > 0.1", f"CASE WHEN {part['sae']} > 0.2 THEN 'Critical' ELSE 'High' END", 0.85, "sae_n", "sae_s", f"sae_n || ' sites (' || {pct.format(part['sae'])} || ') have pending SAE reviews' || CASE WHEN coded THEN '; SAE and MedDRA coding issues frequently co-occur' ELSE '' END", "''"),
+        ("Completeness", f"{part['visits']} > 0.15 OR {part['pages']} > 0.15", f"CASE WHEN {part['visits']} > 0.2 OR {part['pages']} > 0.2 THEN 'High' ELSE 'Medium' END", 0.8, "GREATEST(visits_n, pages_n)", "data_s", f"visits_n || ' sites (' || {pct.format(part['visits'])} || ') have missing visit data; ' || pages_n || ' sites (' || {pct.format(part['pages'])} || ') have missing CRF pages' || CASE WHEN both_n > 0 THEN '; ' || both_n || ' sites have both issues simultaneously' ELSE '' END", "''"),
+        ("Geographic", "geo_r > 0 OR geo_c > 0", "CASE WHEN geo_r > 1 OR geo_c > 2 THEN 'High' ELSE 'Medium' END", 0.75, "geo_n", "0", "geo_text", "geo_names"),
+        ("Timeliness", f"{part['late']} > 0.1", "CASE WHEN late60 > 10 THEN 'High' ELSE 'Medium' END", 0.85, "late_n", "late_s", f"late_n || ' sites (' || {pct.format(part['late'])} || ') have data outstanding > 30 days; ' || late60 || ' sites have data outstanding > 60 days'", "''"),
+        ("Systemic", "sys_n > 5", "CASE WHEN sys_n > 20 THEN 'Critical' ELSE 'High' END", 0.9, "sys_n", "sys_s", "sys_n || ' sites have 4+ concurrent issue types; These sites require comprehensive intervention rather than targeted fixes'", "''"),
     ]
-    out["rc_rows"] = " UNION ALL ".join(f"SELECT '{n}' AS category, {sev} AS severity, CAST({conf} AS DOUBLE) AS confidence, CAST({sites} AS BIGINT) AS affected_sites, CAST(COALESCE({subj}, 0) AS BIGINT) AS affected_subjects FROM rc_one, rc_geo WHERE {w}" for n, w, sev, conf, sites, subj in rows)
+    each = " UNION ALL ".join(f"SELECT {i} AS i, '{n}' AS category, '{C.CAUSES[n][0]}' || {more} AS description, {sev} AS severity, CAST({conf} AS DOUBLE) AS confidence, CAST({sites} AS BIGINT) AS affected_sites, CAST(COALESCE({subj}, 0) AS BIGINT) AS affected_subjects, {text} AS evidence, '{'; '.join(C.CAUSES[n][1])}' AS contributing_factors, '{'; '.join(C.CAUSES[n][2])}' AS recommended_actions FROM rc_one, rc_area, rc_sites, rc_coded WHERE {w}" for i, (n, w, sev, conf, sites, subj, text, more) in enumerate(rows))
+    out["rc_rows"] = f"SELECT * EXCLUDE (i), printf('RC%03d', row_number() OVER (ORDER BY i)) AS cause_id FROM ({each})"
     return out
 
 
@@ -379,7 +386,7 @@ def _validation() -> dict[str, str]:
     out["senscounts"] = "SELECT scenario, count(*) FILTER (r <> br) AS category_shifts, round(round(count(*) FILTER (r <> br) / count(*) * 100, 10), 2) AS shift_pct, CASE WHEN count(*) FILTER (sae_pending_count > 0) > 0 THEN round(round(count(*) FILTER (sae_pending_count > 0 AND r = 'High') / count(*) FILTER (sae_pending_count > 0) * 100, 10), 1) ELSE 100.0 END AS sae_capture_pct, " + ", ".join(f"count(*) FILTER (r = '{k}') AS {k.lower()}_count" for k in ("High", "Medium", "Low")) + " FROM sensboth GROUP BY scenario"
     out["senssites"] = "SELECT scenario, study, site_id, round(avg(s), 10) AS x, round(avg(bs), 10) AS y FROM sensrows WHERE site_id <> '' GROUP BY scenario, study, site_id"
     out["sensranks"] = f"SELECT scenario, {_rank.format('scenario', 'x')} AS rx, {_rank.format('scenario', 'y')} AS ry FROM senssites"
-    out["senscorr"] = "SELECT scenario, round(round(corr(rx, ry), 10), 4) AS rank_correlation FROM sensranks GROUP BY scenario"
+    out["senscorr"] = "SELECT scenario, CASE WHEN count(*) > 10 THEN round(round(corr(rx, ry), 10), 4) ELSE 1.0 END AS rank_correlation FROM sensranks GROUP BY scenario"
     out["sens"] = "SELECT senscounts.*, rank_correlation FROM senscounts JOIN senscorr ON senscounts.scenario = senscorr.scenario"
     return out
 

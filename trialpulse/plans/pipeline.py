@@ -37,7 +37,7 @@ STAGES: dict[str, Stage] = {
     "anomalies": Stage(("site", "region", "country"), lambda t: {"anomalies": anomaly.detect(t["site"], t["country"], t["region"])}, ("anomalies",)),
     "anomaly_scores": Stage(("anomalies",), lambda t: {"site_scores": anomaly.site_scores(t["anomalies"])}, ("site_scores",)),
     "perspectives": Stage(("site", "site_scores", "study", "country"), lambda t: {"consensus": perspectives.consensus(perspectives.enrich(t["site"], t["site_scores"], t["study"], t["country"]))}, ("consensus",)),
-    "root_causes": Stage(("risk", "site", "region", "country"), lambda t: {"cooccurrence": rootcause.cooccurrence(t["risk"]), "geography": (g := rootcause.geographic(t["site"], t["country"], t["region"])), "causes": rootcause.root_causes(t["site"], g)}, ("cooccurrence", "geography", "causes")),
+    "root_causes": Stage(("risk", "site", "region", "country"), lambda t: {"cooccurrence": rootcause.cooccurrence(t["risk"]), "geography": (g := rootcause.geographic(t["site"], t["country"], t["region"])), "causes": rootcause.root_causes(t["site"], g, rootcause.patterns(rootcause.cooccurrence(t["risk"])))}, ("cooccurrence", "geography", "causes")),
     "validation": Stage(("risk",), lambda t: {"folds": validation.folds(t["risk"]), "sensitivity": validation.sensitivity(t["risk"])}, ("folds", "sensitivity")),
 }
 
@@ -77,7 +77,7 @@ def run(spark: SparkSession, sf_dir: str, to: str, wanted: list[str] | None = No
     check_config()
     ran = []
     if again or not _exists(spark, f"{to}/master"):
-        master.master_subject(projection.spine(spark, sf_dir), projection.extracts(spark, sf_dir)).write.mode("overwrite").parquet(f"{to}/master")
+        master.master_subject(projection.spine(spark, sf_dir), projection.facts(spark, sf_dir)).write.mode("overwrite").parquet(f"{to}/master")
         ran.append("master")
     for name in order(wanted):
         stage = STAGES[name]

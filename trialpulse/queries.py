@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,9 +40,12 @@ class Domain:
     def extracts(self) -> dict[str, DataFrame]:
         return projection.extracts(self.spark, self.sf_dir)
 
+    def metrics(self, types: list[str] | None = None) -> DataFrame:
+        return master.metrics(projection.facts(self.spark, self.sf_dir, types))
+
     @property
     def master(self) -> DataFrame:
-        return self._get("master", lambda: master.master_subject(self.spine, self.extracts), True)
+        return self._get("master", lambda: master.master_subject(self.spine, projection.facts(self.spark, self.sf_dir)), True)
 
     @property
     def scored(self) -> DataFrame:
@@ -104,26 +108,31 @@ def register(name: str, sql: str | None):
     return add
 
 
-def _metric(names: list[str]):
+def _joined_lists(df: DataFrame) -> DataFrame:
+    """Lists of strings as one string, for comparison with SQL."""
+    return df.withColumns({c: F.array_join(c, "; ") for c, t in df.dtypes if t == "array<string>"})
+
+
+def _metric(names: list[str], types: list[str]):
     some = " OR ".join(f"{n} IS NOT NULL" for n in names)
-    return lambda d: master.metrics(d.extracts).select(*C.SUBJECT_KEYS, *names).where(some)
+    return lambda d: d.metrics(types).select(*C.SUBJECT_KEYS, *names).where(some)
 
 
 register("spine", "SELECT * FROM spine")(lambda d: d.spine)
-for _name, _cols in {
-    "visit_metrics": ["missing_visit_count", "max_days_outstanding"],
-    "lab_metrics": ["lab_issues_count"],
-    "sae_metrics": ["sae_total_count", "sae_pending_count"],
-    "pages_metrics": ["missing_pages_count", "max_days_page_missing"],
-    "coding_metrics": ["uncoded_meddra_count", "uncoded_whodd_count"],
-    "inactivated_metrics": ["inactivated_forms_count"],
-    "edrr_metrics": ["edrr_open_issues"],
+for _name, (_cols, _types) in {
+    "visit_metrics": (["missing_visit_count", "max_days_outstanding"], ["visit_tracker"]),
+    "lab_metrics": (["lab_issues_count"], ["missing_lab"]),
+    "sae_metrics": (["sae_total_count", "sae_pending_count"], ["sae_dashboard"]),
+    "pages_metrics": (["missing_pages_count", "max_days_page_missing"], ["missing_pages"]),
+    "coding_metrics": (["uncoded_meddra_count", "uncoded_whodd_count"], ["meddra_coding", "whodd_coding"]),
+    "inactivated_metrics": (["inactivated_forms_count"], ["inactivated"]),
+    "edrr_metrics": (["edrr_open_issues"], ["edrr"]),
 }.items():
-    register(_name, f"SELECT study, subject_id, {', '.join(_cols)} FROM metrics WHERE {' OR '.join(f'{c} IS NOT NULL' for c in _cols)}")(_metric(_cols))
+    register(_name, f"SELECT study, subject_id, {', '.join(_cols)} FROM metrics WHERE {' OR '.join(f'{c} IS NOT NULL' for c in _cols)}")(_metric(_cols, _types))
 
 register("master_subject", "SELECT * FROM master")(lambda d: d.master)
 register("outlier_cap", "SELECT " + ", ".join(f"CASE WHEN {c}_q3 - {c}_q1 > 0 THEN GREATEST(0.0, {c}_q1 - 3.0 * ({c}_q3 - {c}_q1)) END AS {c}_low, CASE WHEN {c}_q3 - {c}_q1 > 0 THEN {c}_q3 + 3.0 * ({c}_q3 - {c}_q1) END AS {c}_high" for c in C.CAPPED_COLUMNS) + " FROM quartiles")(
-    lambda d: master.quartile_bounds(d.spine.join(master.metrics(d.extracts), C.SUBJECT_KEYS, "left"), C.CAPPED_COLUMNS)
+    lambda d: master.quartile_bounds(d.spine.join(d.metrics(), C.SUBJECT_KEYS, "left"), C.CAPPED_COLUMNS)
 )
 register("fill_categoricals", "SELECT subject_status, count(*) AS n FROM master GROUP BY subject_status")(
     lambda d: d.spine.select(master.fill_category(F.col("subject_status")).alias("subject_status")).groupBy("subject_status").agg(F.count("*").alias("n"))
@@ -133,7 +142,7 @@ _counts = [c for c in C.ISSUE_COLUMNS if not c.startswith("max_days")]
 _sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _counts)
 register("master_site", f"SELECT {_keys}, count(*) AS subject_count, {_sums} FROM master WHERE site_id IS NOT NULL AND site_id <> '' GROUP BY {_keys}")(lambda d: master.master_site(d.master))
 register("master_study", f"SELECT study, count(*) AS subject_count, count(DISTINCT site_id) AS site_count, {_sums} FROM master GROUP BY study")(lambda d: master.master_study(d.master))
-register("duplicates", "SELECT * FROM spine WHERE false")(lambda d: master.duplicates(d.spine))
+register("duplicates", "SELECT * FROM spine QUALIFY count(*) OVER (PARTITION BY study, site_id, subject_status) > 1")(lambda d: master.duplicates(d.spine, ["study", "site_id", "subject_status"]))
 register("reference_max", "SELECT * FROM refs")(lambda d: scoring.reference_max(scoring.with_issue_types(d.master)))
 register("dqi_components", " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({w} AS DOUBLE) AS weight, '{t}' AS tier, count(*) FILTER ({f} > 0) AS n_positive, round(avg(CAST({f} AS DOUBLE)), 8) AS mean_raw, CAST(max({f}) AS DOUBLE) AS max_raw, round(avg({f}_component), 8) AS mean_component, round(max({f}_component), 8) AS max_component FROM scored" for f, (w, t) in C.WEIGHTS.items()))(
     lambda d: scoring.component_statistics(d.scored)
@@ -161,7 +170,8 @@ register("anomaly_pattern", "SELECT * FROM a_pattern")(lambda d: anomaly.pattern
 register("anomaly_regional", "SELECT * FROM a_regional")(lambda d: anomaly.regional(d.site, d.country, d.region))
 register("anomaly_cross_study", "SELECT * FROM a_cross")(lambda d: anomaly.cross_study(d.site))
 register("anomaly_density", "SELECT * FROM a_density")(lambda d: anomaly.density(d.site))
-register("anomaly_concentration", concentrated(50, 0.02))(lambda d: anomaly.concentration(d.site, share=0.02))
+register("anomaly_concentration", concentrated(50, 0.5))(lambda d: anomaly.concentration(d.site))
+register("anomaly_concentration_low", concentrated(50, 0.02))(lambda d: anomaly.concentration(d.site, share=0.02))
 register("anomaly_all", "SELECT * FROM anomalies")(lambda d: d.anomalies)
 register("anomaly_site_score", "SELECT * FROM site_scores")(lambda d: anomaly.site_scores(d.anomalies))
 register("anomaly_summary", "SELECT 'severity' AS kind, severity AS name, count(*) AS n FROM anomalies GROUP BY severity UNION ALL SELECT 'anomaly_type', anomaly_type, count(*) FROM anomalies GROUP BY anomaly_type")(lambda d: anomaly.summary(d.anomalies))
@@ -184,7 +194,9 @@ for _k in perspectives.PERSPECTIVES:
     )
 register("agent_consensus", "SELECT * FROM agent_out")(lambda d: perspectives.consensus(d.enriched))
 register("cooccurrence", "SELECT * FROM cooc")(lambda d: rootcause.cooccurrence(d.risk))
-register("cooccurrence_patterns", "SELECT *, issue_a || ' and ' || issue_b || ' are ' || CASE WHEN lift > 2 THEN 'strongly' WHEN lift > 1.5 THEN 'moderately' ELSE 'weakly' END || ' linked' AS interpretation FROM cooc WHERE lift > 1.2 AND cooccurrence_count >= 3")(lambda d: rootcause.patterns(rootcause.cooccurrence(d.risk), least=3))
+_strength = "CASE WHEN lift > 2 THEN 'strongly' WHEN lift > 1.5 THEN 'moderately' ELSE 'slightly' END"
+_pair = "CASE " + " ".join("WHEN issue_a = '{}' AND issue_b = '{}' THEN '{}' || {} || '{}'".format(a, b, t[0], "printf('%.1f', round(lift, 1))" if rootcause.pair_kind(a, b) == "other" else _strength, t[1]) for a, b in combinations(C.SUMMED, 2) for t in [rootcause.pair_text(a, b)]) + " END"
+register("cooccurrence_patterns", f"SELECT *, {_pair} AS interpretation FROM cooc WHERE lift > 1.2 AND cooccurrence_count >= 10")(lambda d: rootcause.patterns(rootcause.cooccurrence(d.risk)))
 _both = "SELECT issue_a, issue_b, lift FROM cooc UNION ALL SELECT issue_b, issue_a, lift FROM cooc"
 register("cooccurrence_matrix", "SELECT issue_a AS issue, " + ", ".join(f"COALESCE(max(lift) FILTER (issue_b = '{c}'), 1.0) AS {c}" for c in C.SUMMED) + f" FROM ({_both}) GROUP BY issue_a")(lambda d: rootcause.matrix(rootcause.cooccurrence(d.risk)))
 register("geo_patterns", "SELECT * FROM geo")(lambda d: d.geography)
@@ -192,7 +204,7 @@ register("factor_size", "SELECT * FROM f_size")(lambda d: rootcause.factor_size(
 register("factor_study", "SELECT * FROM f_study")(lambda d: rootcause.factor_study(d.site))
 register("factor_region", "SELECT * FROM f_region")(lambda d: rootcause.factor_region(d.site))
 register("factor_complexity", "SELECT * FROM f_complexity")(lambda d: rootcause.factor_complexity(d.site))
-register("root_causes", "SELECT * FROM rc_rows")(lambda d: rootcause.root_causes(d.site, d.geography))
+register("root_causes", "SELECT * FROM rc_rows")(lambda d: _joined_lists(rootcause.root_causes(d.site, d.geography, rootcause.patterns(rootcause.cooccurrence(d.risk)))))
 
 register("graph_nodes", "SELECT * FROM g_nodes")(lambda d: d.nodes)
 register("graph_edges", "SELECT * FROM g_edges")(lambda d: d.edges)
@@ -290,7 +302,9 @@ _ids = ["Subject 0012", "SUBJ-7", "pat_000", "12", "0", "PT 1a", "x-09", "patien
 register("standardise_ids", "SELECT c0 AS subject_id, CASE WHEN b = '' THEN '0' ELSE b END AS id FROM (SELECT c0, regexp_replace(regexp_replace(upper(trim(c0)), '^(SUBJECT|SUBJ|SUB|PATIENT|PAT|PT)[\\s_\\-]*', ''), '^0+', '') AS b FROM (VALUES ".replace("\\\\", "\\") + ", ".join(f"('{x}')" for x in _ids) + ") v(c0))")(
     lambda d: d.spark.createDataFrame([(x,) for x in _ids], "subject_id string").select("subject_id", discovery.standard_id(F.col("subject_id")).alias("id"))
 )
-register("id_match", "SELECT 'sae_dashboard' AS file_type, count(*) AS ids, count(*) AS matched, 0 AS unmatched FROM metrics WHERE sae_total_count > 0")(lambda d: discovery.id_match(d.spine, d.extracts["sae_dashboard"], "sae_dashboard"))
+# against enrolled subjects alone, so that some ids of the extracts are strangers
+_match = "SELECT '{k}' AS file_type, count(*) AS ids, count(s.subject_id) AS matched, count(*) - count(s.subject_id) AS unmatched FROM (SELECT DISTINCT study, subject_id FROM metrics WHERE {w}) i LEFT JOIN (SELECT DISTINCT study, subject_id FROM spine WHERE subject_status = 'Enrolled') s ON s.study = i.study AND s.subject_id = i.subject_id"
+register("id_match", _match.format(k="sae_dashboard", w="sae_total_count > 0"))(lambda d: discovery.id_match(d.spine.where("subject_status = 'Enrolled'"), d.extracts["sae_dashboard"], "sae_dashboard"))
 register("map_columns", None)(lambda d: discovery.map_headers(d.spark.createDataFrame([("edc_metrics", h, i) for i, h in enumerate(["Project Name", "Region", "Country", "Site ID", "Subject ID", "Latest Visit (SV)"])], "file_type string, header string, position int")))
 register("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS end, event_type, count(*) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean FROM events GROUP BY ALL")(
     lambda d: rescore.windowed_counts(projection.table(d.spark, d.sf_dir, "events")).withColumns({"total": F.round("total", 6), "mean": F.round("mean", 6)})
@@ -300,7 +314,7 @@ _q = {c: f"quantile_cont(CASE WHEN {c} > 0 THEN CAST({c} AS DOUBLE) END, {{}})"
 register("diagnose_outliers", " UNION ALL ".join(f"SELECT '{c}' AS metric, count(*) FILTER ({c} > 0 AND {c} > q3 + 3.0 * (q3 - q1)) AS outliers, CAST(max(CASE WHEN {c} > 0 THEN {c} END) AS DOUBLE) AS largest, round({e.format(0.99)}, 10) AS p99 FROM master, (SELECT {e.format(0.25)} AS q1, {e.format(0.75)} AS q3 FROM master)" for c, e in _q.items()))(lambda d: diagnostics.outliers(d.master))
 register("diagnose_small_sites", f"SELECT count(*) AS sites, count(*) FILTER (n < 5) AS small, min(n) AS fewest, max(n) AS most FROM (SELECT count(*) AS n FROM master WHERE site_id <> '' GROUP BY {_keys})")(lambda d: diagnostics.small_sites(d.master))
 _by_file = {"visit_tracker": "missing_visit_count", "sae_dashboard": "sae_total_count", "missing_lab": "lab_issues_count", "missing_pages": "missing_pages_count", "meddra_coding": "uncoded_meddra_count", "whodd_coding": "uncoded_whodd_count", "inactivated": "inactivated_forms_count", "edrr": "edrr_open_issues"}
-register("diagnose_matches", " UNION ALL ".join(f"SELECT '{k}' AS file_type, count(*) AS ids, count(*) AS matched, 0 AS unmatched FROM metrics WHERE {m} IS NOT NULL" for k, m in _by_file.items()))(lambda d: diagnostics.matches(d.spine, d.extracts))
+register("diagnose_matches", " UNION ALL ".join(_match.format(k=k, w=f"{m} IS NOT NULL") for k, m in _by_file.items()))(lambda d: diagnostics.matches(d.spine.where("subject_status = 'Enrolled'"), d.extracts))
 register("diagnose_presence", " UNION ALL ".join(f"SELECT '{k}' AS file_type, count(DISTINCT study) AS with_data, (SELECT count(DISTINCT study) FROM spine) - count(DISTINCT study) AS without_data, string_agg(DISTINCT study, ', ' ORDER BY study) AS studies FROM metrics WHERE {m} IS NOT NULL" for k, m in _by_file.items()))(lambda d: diagnostics.presence(d.spine, d.extracts))
 _cut = "CASE WHEN count(CASE WHEN avg_dqi_score > 0 THEN 1 END) = 0 THEN {1} ELSE round(GREATEST(quantile_cont(CASE WHEN avg_dqi_score > 0 THEN avg_dqi_score END, {0}), {2}), 10) END"
 register("level_risk", f"WITH lv AS (SELECT study, region, count(*) AS site_count, CAST(sum(subject_count) AS BIGINT) AS subject_count, round(avg(avg_dqi_score), 10) AS avg_dqi_score, CAST(sum(high_risk_count) AS BIGINT) AS high_risk_subjects FROM site GROUP BY study, region), ct AS (SELECT {_cut.format(0.85, 0.1, 0.05)} AS hi, {_cut.format(0.5, 0.04, 0.02)} AS med FROM lv) SELECT lv.*, CASE WHEN avg_dqi_score >= hi THEN 'High' WHEN avg_dqi_score >= med THEN 'Medium' ELSE 'Low' END AS risk_category FROM lv, ct".replace("WITH lv", "SELECT * FROM (WITH lv", 1) + ")")(lambda d: diagnostics.level_risk(d.site, ["study", "region"]))
