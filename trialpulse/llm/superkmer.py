@@ -5,12 +5,13 @@ smallest hash among its ``gram``-word runs (leftmost on a tie), a function of
 the window's words alone. Consecutive windows with the same minimiser position
 form a super-k-mer: one packed string of words. Each block of documents sends
 every distinct super-k-mer once to the bucket that owns the minimiser, with the
-smallest doc_id that has it; the bucket expands the windows, sorts them, and
-answers with the smallest doc_id over the corpus for each window.
+smallest doc_id that has it; the bucket expands the windows, sorts them, compares the words of those
+that stand together, and answers with the smallest doc_id over the corpus for
+each window.
 
 A minimiser that many different super-k-mers share (words around a common
 passage) would make one bucket large. Their bytes are counted first; windows of
-minimisers beyond a bound go by their own hash, dealt over all shards.
+minimisers beyond a bound go by 128 bits of their own hash, dealt over all shards.
 
 Defined results: null text has no words; a text shorter than a window loses
 nothing; a null doc_id counts as larger than any other and never makes another
@@ -121,15 +122,17 @@ def _distinct(b: _Block, shards: int, heavy: np.ndarray) -> tuple[np.ndarray, np
     return own[head], s[head], least, index
 
 
-def _apart(b: _Block, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of heavy minimisers: their places among the block's windows, their distinct hashes, the smallest doc_id of each, and the distinct one of each window."""
+def _apart(b: _Block, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of heavy minimisers: their places among the block's windows, their distinct hashes, a second hash and the smallest doc_id of each, and the distinct one of each window."""
     at = np.flatnonzero(index[b.run] < 0)
     keys = K.run_hash(b.hashes, b.window)[b.starts[at]] if len(at) else np.zeros(0, K.U)
     order, heads = B.groups(keys)
     ids = b.ids[b.doc[b.starts[at]]]
     which = np.empty(len(keys), np.int64)
     which[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(keys))))
-    return at, keys[order][heads], np.minimum.reduceat(ids[order], heads) if len(heads) else ids[:0], which
+    one = b.starts[at][order][heads]
+    second = K.run_hash(K.mix(b.hashes ^ K.U(0x0F0F0F0F0F0F0F0F)), b.window)[one].view(np.int64) if len(at) else np.zeros(0, np.int64)
+    return at, keys[order][heads], second, np.minimum.reduceat(ids[order], heads) if len(heads) else ids[:0], which
 
 
 def _messages(b: _Block, block: int, n: int, heavy: np.ndarray) -> pa.Table:
@@ -144,16 +147,64 @@ def _messages(b: _Block, block: int, n: int, heavy: np.ndarray) -> pa.Table:
         rows["block"].append(block)
         rows["keys"].append(len(text).to_bytes(8, "little") + pa.compress(text, codec="zstd", asbytes=True))
         rows["data"].append(K.pack(least[cuts[s] : cuts[s + 1]]))
-    _, keys, smallest, _ = _apart(b, index)
-    return pa.concat_tables([pa.table(rows, schema=B._SCHEMA), B.send(block, keys, n, smallest, base=n)])
+    _, keys, second, smallest, _ = _apart(b, index)
+    return pa.concat_tables([pa.table(rows, schema=B._SCHEMA), B.send(block, keys, n, second, smallest, base=n)])
 
 
 def _windows(table: pa.Table) -> pa.Table:
-    keys, message, (own,), _ = B.received(table, 1)
+    keys, message, (second, own), _ = B.received(table, 2)
+    order = np.lexsort((second, keys))
+    k, t = keys[order], second[order]
+    heads = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (t[1:] != t[:-1]))))
+    return B.answer(table, message, _least(own, order, heads))
+
+
+def _least(own: np.ndarray, order: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The smallest value of each one's group."""
+    out = np.empty(len(own), np.int64)
+    if len(own):
+        out[order] = np.repeat(np.minimum.reduceat(own[order], heads), np.diff(np.append(heads, len(own))))
+    return out
+
+
+def word_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each different word: words of one hash are compared with one of them byte by byte."""
+    _, spot, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    one = spot[ids]
+    size = end - start
+    same = size == size[one]
+    for a in range(0, len(size), 1 << 18):
+        part = np.flatnonzero(same[a : a + (1 << 18)]) + a
+        n = size[part]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differ = data[np.repeat(start[part], n) + inside] != data[np.repeat(start[one[part]], n) + inside]
+        same[part[np.unique(np.repeat(np.arange(len(part)), n)[differ])]] = False
+    if not same.all():  # words that only share a hash with another
+        more: dict[bytes, int] = {}
+        for i in np.flatnonzero(~same):
+            ids[i] = len(spot) + more.setdefault(data[start[i] : end[i]].tobytes(), len(more))
+    return ids
+
+
+def sort_windows(ids: np.ndarray, starts: np.ndarray, window: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, heads) of windows of word numbers grouped by what they hold: by hash first, then the words of neighbours are compared."""
     order, heads = B.groups(keys)
-    least = np.empty(len(keys), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(own[order], heads), np.diff(np.append(heads, len(keys))))
-    return B.answer(table, message, least)
+    inner = np.ones(len(order), bool)
+    inner[heads] = False
+    b = np.flatnonzero(inner)
+    x, y = starts[order[b - 1]], starts[order[b]]
+    same = np.ones(len(b), bool)
+    for k in range(window):
+        same &= ids[x + k] == ids[y + k]
+    if not same.all():  # different windows of one hash: their groups are put together anew
+        group = np.cumsum(~inner) - 1
+        for g in np.unique(group[b[~same]]):
+            members = np.flatnonzero(group == g)
+            rows = sorted((ids[starts[i] : starts[i] + window].tolist(), i) for i in order[members].tolist())
+            order[members] = [i for _, i in rows]
+            inner[members] = [k > 0 and rows[k][0] == rows[k - 1][0] for k in range(len(rows))]
+        heads = np.flatnonzero(~inner)
+    return order, heads
 
 
 def _bucket(table: pa.Table, window: int) -> pa.Table:
@@ -162,16 +213,13 @@ def _bucket(table: pa.Table, window: int) -> pa.Table:
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate(([0], np.flatnonzero(data == 0x0A) + 1))
     hashes, first = K.word_hashes(data, offsets)
+    start, end, _ = K.word_spans(data, offsets)
     starts = np.flatnonzero(K.within(first, window))
     line = K.owner(first)[starts]
-    keys = K.run_hash(hashes, window)[starts]
     own = np.concatenate(docs)[line]
-    order, heads = B.groups(keys)
-    least = np.empty(len(keys), np.int64)
-    if len(keys):
-        least[order] = np.repeat(np.minimum.reduceat(own[order], heads), np.diff(np.append(heads, len(keys))))
+    order, heads = sort_windows(word_ids(data, start, end, hashes), starts, window, K.run_hash(hashes, window)[starts])
     message = np.repeat(np.arange(len(docs)), [len(d) for d in docs])[line]
-    return B.answer(table, message, least)
+    return B.answer(table, message, _least(own, order, heads))
 
 
 def deduplicate(docs: DataFrame, window: int = 50, gram: int = 4, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, keep: Sequence[str] = (), bound: int = HEAVY_BYTES) -> DataFrame:
@@ -199,7 +247,7 @@ def deduplicate(docs: DataFrame, window: int = 50, gram: int = 4, id_col: str =
         mine = np.empty(len(b.starts), np.int64)
         some = np.flatnonzero(index[b.run] >= 0)
         mine[some] = least[at[index[b.run[some]]] + some - head[b.run[some]]]
-        apart, _, _, which = _apart(b, index)
+        apart, _, _, _, which = _apart(b, index)
         mine[apart] = least[at[-1] + which]
         hit = b.starts[b.ids[b.doc[b.starts]] > mine]
         gone = K.covered(hit, hit + window, len(b.doc))
