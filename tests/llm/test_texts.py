@@ -429,3 +429,54 @@ def test_windows_and_words_of_one_hash_are_told_apart():
     for s in starts.tolist():
         want[tuple(names[s : s + 3])].append(s)
     assert sorted(groups) == sorted(want.values())
+
+
+def _best_sum(text, score, unknown):
+    """Brute force: the largest sum over all segmentations; a character without a piece of its own may stand alone."""
+    chars = [c.encode() for c in text.decode()]
+    ends = [0]
+    for c in chars:
+        ends.append(ends[-1] + len(c))
+    best = [0.0] + [-math.inf] * len(text)
+    for j in range(1, len(text) + 1):
+        for i in range(j):
+            if text[i:j] in score:
+                best[j] = max(best[j], best[i] + score[text[i:j]])
+        if j in ends:
+            k = ends.index(j) - 1
+            if chars[k] not in score:
+                best[j] = max(best[j], best[ends[k]] + unknown)
+    return best[-1]
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_viterbi_finds_the_best_sum_of_real_scores(long):
+    rng = random.Random(11)
+    vocabulary = {"".join(rng.choice("abcé日") for _ in range(rng.randint(1, 5))).encode() for _ in range(60)} - {"日".encode()}
+    pieces_ = [(p, 300 + i, -rng.random() * 9) for i, p in enumerate(sorted(vocabulary))]
+    auto = pieces.Automaton(pieces_, np.arange(256))
+    score = {p: s for p, _, s in pieces_}
+    names = {i: p for p, i, _ in pieces_}
+    n = (700, 1500) if long else (1, 30)
+    units = ["".join(rng.choice("abcé日x") for _ in range(rng.randint(*n))).encode() for _ in range(3 if long else 200)]
+    ids, first = auto.segment(units)
+    for k, u in enumerate(units):
+        got = ids[first[k] : first[k + 1]].tolist()
+        assert b"".join(names[i] if i >= 300 else bytes([i]) for i in got) == u
+        total, rest = 0.0, [i for i in got if i < 300]
+        total += sum(score[names[i]] for i in got if i >= 300)
+        total += auto.unknown * len(bytes(rest).decode())
+        assert total == pytest.approx(_best_sum(u, score, auto.unknown))
+    if long:
+        assert all(len(auto._parts(u)) > 1 and b"".join(auto._parts(u)) == u for u in units)
+
+
+def test_long_text_without_spaces_takes_no_step_a_byte(docs):
+    import time
+
+    import public_tokenizers as P
+
+    text = "".join(chr(0x4E00 + (i * 7919) % 5000) for i in range(100_000))
+    began = time.time()
+    ids = pieces.encode_batch([text], P.path("piece_bpe_32k.model"))[0]
+    assert time.time() - began < 30 and pieces.decode(ids, P.path("piece_bpe_32k.model")) == text

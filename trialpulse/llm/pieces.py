@@ -6,7 +6,13 @@ score of the position. Equal scores keep the longer last piece. A character that
 no piece covers falls back to its bytes. The result is the segmentation with the
 largest sum of piece scores, which is what a unigram model means by encoding; a
 model of type BPE defines its own by merge order, so ids differ from that
-library call (see README).
+library call (see README). Models are read that keep text as it is, have byte
+fallback and no user-defined pieces; others are refused.
+
+A long run without a space is cut where no piece can reach over: where no end of
+the text so far is the beginning of a longer piece. Segments of it run side by
+side, each from as many bytes before as the longest piece has, as the automaton's
+state depends on no more.
 
 White space never stands inside a piece but as a run or at its start, so texts
 fall into units that segment alone; a batch's distinct units run side by side,
@@ -29,14 +35,16 @@ from .shared import frugal
 MARK = "▁".encode()
 #: A character outside the vocabulary scores this much under the worst piece.
 UNKNOWN_PENALTY = 10
-NORMAL, BYTE = 1, 6
+NORMAL, USER_DEFINED, BYTE = 1, 4, 6
+#: Bytes from which a unit is cut, and of its segments.
+LONG, STEP = 512, 256
 _loaded: dict[str, Automaton] = {}
 
 
 class Automaton:
     """Dense transitions over the bytes that pieces use; output links by piece length."""
 
-    def __init__(self, pieces: list[tuple[bytes, int, int]], byte_ids: np.ndarray):
+    def __init__(self, pieces: list[tuple[bytes, int, float]], byte_ids: np.ndarray):
         """pieces: (bytes, id, score)."""
         used = sorted({b for p, _, _ in pieces for b in p})
         self.column = np.zeros(256, np.int64)
@@ -76,14 +84,50 @@ class Automaton:
                 fail[below] = self.go[fail[up], col]
                 self.go[up, col] = below
         self.piece = piece
+        # can a longer piece still come of what the state stands for?
+        self.open = np.zeros(count, bool)
+        inner = np.zeros(count, bool)
+        inner[parent[1:]] = True
+        for d in range(1, len(levels) - 1):
+            here = np.arange(levels[d], levels[d + 1])
+            self.open[here] = inner[here] | self.open[fail[here]]
+        self.longest = int(length.max())
         self.size = np.append(length, 0)
-        self.score = np.array([s for _, _, s in pieces] + [0], np.int64)
+        self.score = np.array([s for _, _, s in pieces] + [0], np.float64)
         self.id = np.array([i for _, i, _ in pieces] + [0], np.int64)
         self.byte_ids = byte_ids
-        self.unknown = int(self.score[:-1].min()) - UNKNOWN_PENALTY
+        self.unknown = float(self.score[:-1].min()) - UNKNOWN_PENALTY
 
     def segment(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units in turn, where each unit's begin)."""
+        if max(map(len, units), default=0) > LONG:
+            parts, whole = [], [0]
+            for u in units:
+                parts += self._parts(u) if len(u) > LONG else [u]
+                whole.append(len(parts))
+            ids, first = self._segment(parts)
+            return ids, first[whole]
+        return self._segment(units)
+
+    def _parts(self, unit: bytes) -> list[bytes]:
+        """A unit cut where no piece reaches over, into parts of LONG bytes or more."""
+        data = np.frombuffer(unit, np.uint8)
+        starts = np.arange(0, len(data), STEP)
+        state, closed = np.zeros(len(starts), np.int64), np.zeros(len(data), bool)
+        for k in range(-self.longest, STEP):
+            at = starts + k
+            on = np.flatnonzero((at >= 0) & (at < len(data)))
+            state[on] = self.go[state[on], self.column[data[at[on]]]]
+            if k >= 0:
+                closed[at[on]] = ~self.open[state[on]]
+        cuts = np.flatnonzero(closed[:-1] & ((data[1:] & 0xC0) != 0x80)) + 1
+        chosen, last = [0], 0
+        while (i := int(np.searchsorted(cuts, last + LONG))) < len(cuts):
+            last = int(cuts[i])
+            chosen.append(last)
+        return [unit[a:b] for a, b in zip(chosen, [*chosen[1:], len(unit)])]
+
+    def _segment(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n = np.array([len(u) for u in units], np.int64)
         order = np.argsort(n, kind="stable")
         ids: list = [None] * len(units)
@@ -102,7 +146,7 @@ class Automaton:
         rows, width = len(units), int(n.max(initial=0))
         text = np.zeros((rows, width), np.uint8)
         text[np.arange(width) < n[:, None]] = np.frombuffer(b"".join(units), np.uint8)
-        best = np.full((width + 1, rows), np.iinfo(np.int64).min // 2)
+        best = np.full((width + 1, rows), -np.inf)
         best[0] = 0
         back = np.full((width + 1, rows), -1, np.int32)  # the last piece, or -2 - bytes of an unknown character
         state = np.zeros(rows, np.int64)
@@ -165,9 +209,9 @@ def load(path: str) -> tuple[Automaton, list[bytes]]:
         spell = model.normalizer_spec
         if spell.precompiled_charsmap or not spell.add_dummy_prefix or spell.remove_extra_whitespaces or not spell.escape_whitespaces:
             raise ValueError("only models that keep text as it is, with a space in front, are read here")
-        pieces = [(p.piece.encode(), i, int(p.score)) for i, p in enumerate(model.pieces) if p.type == NORMAL]
-        if any(p.score != int(p.score) for p in model.pieces):
-            raise ValueError("scores must be whole numbers")
+        if any(p.type == USER_DEFINED for p in model.pieces) or not any(p.type == BYTE for p in model.pieces):
+            raise ValueError("only models with byte fallback and without user-defined pieces are read here")
+        pieces = [(p.piece.encode(), i, p.score) for i, p in enumerate(model.pieces) if p.type == NORMAL]
         byte_ids = np.zeros(256, np.int64)
         values = []
         for i, p in enumerate(model.pieces):
