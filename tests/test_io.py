@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trialpulse import catalog
 from trialpulse.operators import graph
 from trialpulse.plans import pipeline
-from trialpulse.sources import discovery, sinks, workbook
+from trialpulse.sources import discovery, files, sinks, workbook
 from trialpulse.streaming import rescore
 
 SMALL = "/root/testdata/sf0.001"
@@ -118,7 +118,7 @@ def test_queries_agree_with_their_sql(spark, name):
 
 
 def test_every_query_has_sql_but_the_models():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"cluster_kmeans", "cluster_gmm", "cluster_pca", "cluster_dbscan", "map_columns"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"cluster_kmeans", "cluster_gmm", "cluster_pca", "cluster_dbscan", "map_columns", "cluster_sites", "cluster_comparison", "site_dashboard", "root_causes_clustered"}
     assert catalog.FLAGSHIP in catalog.QUERIES
 
 
@@ -134,3 +134,70 @@ def test_every_order_feeds_the_extracts(spark, name):
     assert sorted(got.columns) == columns and len(got) == len(want)
     for a, b in zip(*(sorted(df[columns].astype(str).itertuples(index=False, name=None)) for df in (got, want))):
         assert [x.removesuffix(".0") for x in a] == [x.removesuffix(".0") for x in b]
+
+
+def test_from_workbooks_to_site_risk(spark, tmp_path):
+    for n, folder in ((1, "Study_1 data"), (2, "study 2")):
+        d = tmp_path / "in" / folder
+        d.mkdir(parents=True)
+        people = [[f"S{n}-{i}", f"site{i % 3}", "France", "EMEA", "Enrolled", "V1"] for i in range(12)]
+        _xlsx(d / f"CPID_EDC_Metrics_{n}.xlsx", {"All": [["Report of metrics"], ["Subject ID", "Site ID", "Country", "Region", "Subject Status", "Latest Visit (SV)"], *people]})
+        _xlsx(d / "eSAE Dashboard.xlsx", {"SAE Dashboard": [["Patient ID", "Site", "Review Status"], [f"S{n}-1", "site1", "Open"], [f"S{n}-2", "site2", "Review Completed"]]})
+        _xlsx(d / "Visit Projection Tracker.xlsx", {"x": [["Site", "Subject", "Visit", "# Days Outstanding"], ["site0", f"S{n}-3", "V2", "40"], ["site0", f"S{n}-3", "V3", "-5"], ["site0", "", "V3", "9"]]})
+    (tmp_path / "in" / "study 2" / "EDRR broken.xlsx").write_bytes(b"nothing")
+    ran = pipeline.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), ["site"], workbooks=True)
+    assert ran == ["master", "score", "risk", "site_metrics", "site"]
+    got = {(r.study, r.subject_id): r for r in spark.read.parquet(str(tmp_path / "out/master")).collect()}
+    assert len(got) == 24 and {s for s, _ in got} == {"Study_1", "Study_2"}
+    assert got["Study_1", "S1-3"].missing_visit_count == 2 and got["Study_1", "S1-3"].max_days_outstanding == 40
+    assert (got["Study_2", "S2-1"].sae_pending_count, got["Study_2", "S2-2"].sae_pending_count, got["Study_2", "S2-2"].sae_total_count) == (1, 0, 1)
+    sites = {(r.study, r.site_id): r.high_risk_count for r in spark.read.parquet(str(tmp_path / "out/site")).collect()}
+    assert len(sites) == 6 and sites["Study_1", "site1"] == 1 and sites["Study_1", "site2"] == 0
+    _, _, issues = workbook.load(spark, str(tmp_path / "in"))
+    assert [r.path.rsplit("/", 1)[1].replace("%20", " ") for r in issues.collect()] == ["EDRR broken.xlsx"]
+
+
+def test_header_rules(spark):
+    rows = [("a", 0, ["Project Name", ""]), ("a", 1, ["x"]), ("a", 2, ["Subject ID", "Site"]), ("b", 0, ["Site", "Subject ID"]), ("b", 1, ["Subject"]), ("c", 0, ["Unnamed: 0"]), ("c", 1, ["Patient", "y"]), ("d", 0, ["Country"]), ("d", 1, ["nothing"])]
+    cells = spark.createDataFrame(rows, "file string, row long, cells array<string>")
+    assert {r.file: r.header_row for r in discovery.edc_header_row(cells).collect()} == {"a": 0, "b": 0, "c": 0, "d": 0}
+    assert {r.file: r.header_row for r in discovery.sample_header_row(cells).collect()} == {"a": 2, "b": 0, "c": 1, "d": 0}
+    assert {r.path.rstrip("/").rsplit("/", 1)[1] for r in discovery.list_files(spark, SMALL, "region.parquet").collect()} == {"region.parquet"}
+
+
+def test_flat_files_and_value_checks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('site,days_open,note\ns1,-2,"a, b"\ns2,4000,\n')
+    (tmp_path / "a.json").write_text('{"causes": [{"id": 1}, {"id": 2}]}')
+    df = files.read_csv(spark, str(tmp_path / "a.csv"))
+    assert [tuple(r) for r in df.collect()] == [("s1", -2, "a, b"), ("s2", 4000, None)] and files.read_csv(spark, str(tmp_path / "b.csv"), optional=True) is None
+    assert len(files.read_json(spark, str(tmp_path / "a.json")).first().causes) == 2 and files.read_text(spark, str(tmp_path / "a.json")).first().value.startswith("{")
+    got = {(r.column, r.issue): r.n for r in files.value_issues(df, {"days_open": (0, 10)}).collect()}
+    assert got == {("days_open", "negative values set to 0"): 1, ("days_open", "values above 1825 capped"): 1, ("days_open", "values below 0"): 1, ("days_open", "values above 10"): 1}
+    assert [r.days_open for r in files.clean(df).collect()] == [0, 1825]
+    assert files.missing_columns(df, ["site", "region"]) == ["region"]
+    with pytest.raises(ValueError, match="region"):
+        files.missing_columns(df, ["region"], strict=True)
+
+
+def test_command_line_and_preflight(spark, tmp_path, capsys):
+    assert pipeline.main(["--list"]) == 0 and "clusters" in capsys.readouterr().out
+    assert pipeline.main([]) == 2 and pipeline.main([SMALL, str(tmp_path), "--stages", "none"]) == 2
+    assert pipeline.preflight(spark, SMALL, str(tmp_path)) == []
+    assert any("orders" in m for m in pipeline.preflight(spark, str(tmp_path), str(tmp_path)))
+
+
+def test_cluster_names_reach_the_sites(spark):
+    from trialpulse.operators import clustering, portfolio
+
+    site = spark.createDataFrame([("s", "a", 0, 1.0, 5, 1), ("s", "b", -1, 2.0, 5, 0), ("s", "c", 0, 3.0, 5, 1)], "study string, site_id string, cluster_id int, avg_dqi_score double, subject_count long, high_risk_count long")
+    profile = spark.createDataFrame([(0, "Safety Concerns", "Critical", 1)], "cluster_id int, cluster_name string, risk_level string, intervention_priority int")
+    named = clustering.named_sites(site, profile)
+    assert {r.site_id: r.cluster_name for r in named.collect()} == {"a": "Safety Concerns", "b": "Noise", "c": "Safety Concerns"}
+    assert {r.cluster_name: (r.site_count, r.avg_dqi_score) for r in portfolio.cluster_comparison(named).collect()} == {"Safety Concerns": (2, 2.0), "Noise": (1, 2.0)}
+
+
+def test_rows_are_numbered_in_order(spark):
+    from trialpulse.functions import stats as S
+
+    got = S.numbered(spark.range(0, 5000, 7).select((F.col("id") * 37 % 5003).alias("k")), "k", 9).orderBy("number").collect()
+    assert [r.number for r in got] == list(range(len(got))) and [r.k for r in got] == sorted(r.k for r in got)

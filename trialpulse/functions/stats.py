@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import staged
+
 
 def ratio(x: Column, n: Column) -> Column:
     """PRJ-14: x / n, with 1 for an n of 0 or less."""
@@ -65,6 +67,17 @@ def label(metric: str) -> str:
     return metric.replace("_sum", "").replace("_count", "").replace("_", " ").title()
 
 
+def numbered(rows: DataFrame, key: str, parts: int = 200) -> DataFrame:
+    """Rows with ``number`` 0, 1, .. in order of ``key``, without sorting them in one task: ranges of the key are sorted apart, and their counts give each its first number."""
+    ranged = rows.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
+    ranged = staged(ranged, "ranged")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part")  # as many rows as ranges
+    starts = F.broadcast(sizes.select("_part", (F.sum("_n").over(before) - F.col("_n")).alias("_before")))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return ranged.join(starts, "_part").withColumn("number", F.col("_before") + place).drop("_part", "_before")
+
+
 def share_text(x: Column) -> Column:
     """A share as a percentage of one decimal."""
     return F.format_string("%.1f%%", F.round(r10(x * 100), 1))

@@ -102,7 +102,7 @@ def dbscan(points: DataFrame, key: str, dims: list[str], eps: float, least: int)
             break
     border = pairs.join(labels.select(F.col("p").alias("q"), "root"), "q").groupBy("p").agg(F.min("root").alias("root"))
     roots = labels.select("root").distinct()
-    numbered = roots.alias("x").join(roots.alias("y"), F.col("y.root") < F.col("x.root"), "left").groupBy("x.root").agg(F.count("y.root").cast("int").alias("cluster_id"))
+    numbered = S.numbered(roots, "root").select("root", F.col("number").cast("int").alias("cluster_id"))
     out = points.select(key).join(labels.union(border.join(core, "p", "left_anti")).withColumnRenamed("p", key), key, "left")
     return out.join(numbered, "root", "left").select(key, F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
 
@@ -156,6 +156,12 @@ def profiles(clustered: DataFrame, label: str = "cluster_id") -> DataFrame:
     return out.withColumns({"risk_level": level, "intervention_priority": place}).drop("_n", *(f"r_{i}" for i in range(len(PROFILE))))
 
 
+def named_sites(clustered: DataFrame, profile: DataFrame, label: str = "cluster_id") -> DataFrame:
+    """JN-8: sites with the name, level and priority of their cluster; sites of no cluster are Noise."""
+    names = F.broadcast(profile.select(F.col("cluster_id").alias(label), "cluster_name", "risk_level", "intervention_priority"))  # a row a cluster
+    return clustered.join(names, label, "left").withColumn("cluster_name", F.when(F.col(label) < 0, "Noise").otherwise(F.coalesce("cluster_name", F.lit("Noise"))))
+
+
 def heatmap(clustered: DataFrame, columns: list[str], label: str = "cluster_id") -> DataFrame:
     """CLU-10, SNK-7: cluster means scaled to 0..1 over clusters."""
     means = clustered.groupBy(F.col(label).alias("cluster_id")).agg(*(F.avg(c).alias(c) for c in columns))

@@ -51,6 +51,12 @@ def edges(risk: DataFrame, site: DataFrame, country: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def study_sites(study: DataFrame, site: DataFrame) -> DataFrame:
+    """JN-7: study metrics with the number of their sites; 0 where none is known."""
+    n = site.groupBy("study").agg(F.count("*").alias("known_sites"))
+    return study.join(n, "study", "left").fillna(0, ["known_sites"])
+
+
 def counts(n: DataFrame, e: DataFrame) -> DataFrame:
     """GRA-2: by type."""
     a = n.groupBy(F.col("node_type").alias("kind")).agg(F.count("*").alias("n")).select(F.lit("node").alias("what"), "*")

@@ -59,8 +59,29 @@ def alerts(site: DataFrame, k: int = 3) -> DataFrame:
     return site.groupBy("study").agg(F.sum("sae_pending_count_sum").alias("pending_sae")).orderBy(F.desc("pending_sae"), "study").limit(k)
 
 
-def actions(sites: DataFrame, studies: DataFrame, countries: DataFrame, scores: DataFrame) -> DataFrame:
-    """APP-9: one list of what to do, with urgency 1 to 4."""
+def alert_counts(site: DataFrame, causes: DataFrame, anomalies: DataFrame, clustered: DataFrame | None = None) -> DataFrame:
+    """APP-3: pending safety reports in all, critical causes, anomalies by severity, and sites of critical clusters; one row."""
+    out = site.agg(F.coalesce(F.sum("sae_pending_count_sum"), F.lit(0)).alias("pending_sae"), F.count_if(F.col("sae_pending_count_sum") > 0).alias("sae_sites"))
+    out = out.crossJoin(causes.agg(F.count_if(F.col("severity") == "Critical").alias("critical_causes")))
+    out = out.crossJoin(anomalies.agg(*(F.count_if(F.col("severity") == k).alias(f"{k.lower()}_anomalies") for k in ("CRITICAL", "HIGH"))))
+    if clustered is not None:
+        out = out.crossJoin(clustered.agg(F.count_if(F.col("risk_level") == "Critical").alias("critical_cluster_sites")))
+    return out
+
+
+def site_dashboard(site: DataFrame, scores: DataFrame, clustered: DataFrame) -> DataFrame:
+    """JN-9: sites with their anomaly score and cluster, joined on all site keys (site_id alone would fan out)."""
+    both = site.join(scores.select(*C.SITE_KEYS, "anomaly_score"), C.SITE_KEYS, "left") if set(C.SITE_KEYS) <= set(scores.columns) else site.join(scores.select("study", "site_id", "anomaly_score"), ["study", "site_id"], "left")
+    return both.join(clustered.select(*C.SITE_KEYS, "cluster_name"), C.SITE_KEYS, "left").fillna(0.0, ["anomaly_score"]).fillna("Noise", ["cluster_name"])
+
+
+def cluster_comparison(clustered: DataFrame) -> DataFrame:
+    """APP-6: clusters of one name compared."""
+    return clustered.groupBy("cluster_name").agg(F.count("*").alias("site_count"), S.r10(F.avg("avg_dqi_score")).alias("avg_dqi_score"), F.sum("subject_count").alias("subject_count"), F.sum("high_risk_count").alias("high_risk_count"))
+
+
+def actions(sites: DataFrame, studies: DataFrame, countries: DataFrame, scores: DataFrame, causes: DataFrame | None = None) -> DataFrame:
+    """APP-9: one list of what to do from five sources, with urgency 1 to 4."""
     urgency = {"CRITICAL": 1, "HIGH": 2, "MEDIUM": 3, "LOW": 4}
     place = F.coalesce(*(F.when(F.col("priority") == k, F.lit(v)) for k, v in urgency.items()))
     parts = [
@@ -69,6 +90,9 @@ def actions(sites: DataFrame, studies: DataFrame, countries: DataFrame, scores:
         countries.select(F.lit("country"), F.concat_ws(" ", "country", "region"), place),
         scores.where("critical_count > 0").select(F.lit("anomaly"), F.concat_ws(" ", "study", "site_id"), F.lit(1)),
     ]
+    if causes is not None:
+        severity = F.coalesce(*(F.when(F.upper("severity") == k, F.lit(v)) for k, v in urgency.items()))
+        parts.append(causes.select(F.lit("root cause"), F.concat_ws(" ", "cause_id", "category"), severity))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -70,7 +70,24 @@ def sites(site: DataFrame, floor: float = 0.2) -> DataFrame:
         (F.col("subjects_with_issues") / F.greatest(F.col("subject_count"), F.lit(1)) > 0.5, "enhanced oversight"),
     )
     priority = F.when(s["sae_pending_count"] > 0, "CRITICAL").when(high, "HIGH").otherwise("MEDIUM")
-    return out.select("study", "site_id", "country", "region", "subject_count", F.round("avg_dqi_score", 3).alias("avg_dqi_score"), "high_risk_count", "site_risk_category", issues.alias("issues"), causes.alias("root_causes"), todo.alias("recommendations"), priority.alias("priority"))
+    return out.select("study", "site_id", "country", "region", "subject_count", F.round("avg_dqi_score", 3).alias("avg_dqi_score"), F.round("max_dqi_score", 3).alias("max_dqi_score"), "high_risk_count", "site_risk_category", issues.alias("issues"), causes.alias("root_causes"), todo.alias("recommendations"), priority.alias("priority"))
+
+
+def first_sites(recs: DataFrame, k: int = 20) -> DataFrame:
+    """REC-7, SRT-1: the k most urgent sites; among equals those with the higher mean score."""
+    return ordered(recs, "avg_dqi_score", *C.SITE_KEYS).limit(k)
+
+
+def action_items(risk: DataFrame, site: DataFrame, site_recs: DataFrame, region_recs: DataFrame, country_recs: DataFrame) -> DataFrame:
+    """REC-7: the summary of all action items, one row."""
+    def count(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.count("*").alias(name))
+
+    urgent = site_recs.agg(F.count_if(F.col("priority") == "CRITICAL").alias("critical_items"), F.count_if(F.col("priority") == "HIGH").alias("high_priority_items"))
+    out = count(risk, "total_subjects")
+    for one in (count(site, "total_sites"), count(region_recs, "total_regions"), count(country_recs, "total_countries_flagged"), urgent):
+        out = out.crossJoin(one)
+    return out
 
 
 def _number(c: Column) -> Column:

@@ -182,7 +182,7 @@ def _recommendations() -> dict[str, str]:
     out["rec_subjects"] = f"SELECT study, site_id, subject_id, country, round(dqi_score, 3) AS dqi_score, risk_category, {_issues(subject, True)} AS issues, COALESCE({_first(subject, True, 'priority')}, 'LOW') AS priority, {_first(subject, True)} AS first_issues FROM risk WHERE risk_category = 'High'"
     causes = [("avg_issue_types > 3", "'several issue types: training gaps'"), ("max_days_outstanding_sum > 100", "'data entry backlog'"), ("missing_visit_count_sum > 5", "'visits missed against protocol'"), ("sae_pending_count_sum > 0", "'safety reporting delays'")]
     todo = [("site_risk_category = 'High'", "'quality call within 48 hours'"), ("site_risk_category = 'High'", "'triggered monitoring visit'"), ("high_risk_count > subject_count * 0.2", "'review training records'"), ("subjects_with_issues / GREATEST(subject_count, 1) > 0.5", "'enhanced oversight'")]
-    out["rec_sites"] = f"SELECT study, site_id, country, region, subject_count, round(avg_dqi_score, 3) AS avg_dqi_score, high_risk_count, site_risk_category, {_issues(site, False)} AS issues, {_first(site, False)} AS first_issues, {_join_texts(*causes)} AS root_causes, {_first_text(*causes)} AS first_root_causes, {_join_texts(*todo)} AS recommendations, {_first_text(*todo)} AS first_recommendations, CASE WHEN sae_pending_count_sum > 0 THEN 'CRITICAL' WHEN site_risk_category = 'High' THEN 'HIGH' ELSE 'MEDIUM' END AS priority FROM site WHERE site_risk_category = 'High' OR avg_dqi_score > 0.2"
+    out["rec_sites"] = f"SELECT study, site_id, country, region, subject_count, round(avg_dqi_score, 3) AS avg_dqi_score, round(max_dqi_score, 3) AS max_dqi_score, high_risk_count, site_risk_category, {_issues(site, False)} AS issues, {_first(site, False)} AS first_issues, {_join_texts(*causes)} AS root_causes, {_first_text(*causes)} AS first_root_causes, {_join_texts(*todo)} AS recommendations, {_first_text(*todo)} AS first_recommendations, CASE WHEN sae_pending_count_sum > 0 THEN 'CRITICAL' WHEN site_risk_category = 'High' THEN 'HIGH' ELSE 'MEDIUM' END AS priority FROM site WHERE site_risk_category = 'High' OR avg_dqi_score > 0.2"
     out["rec_study_base"] = "SELECT study, count(*) AS n_sites, CAST(sum(subject_count) AS BIGINT) AS n_subjects, round(avg(avg_dqi_score), 10) AS avg_dqi, CAST(sum(high_risk_count) AS BIGINT) AS total_high_risk, CAST(sum(sae_pending_count_sum) AS BIGINT) AS pending_sae, CAST(sum(missing_visit_count_sum) AS BIGINT) AS missing_visits, CAST(sum(uncoded_meddra_count_sum) AS BIGINT) AS uncoded_ae FROM site GROUP BY study"
     t = [("pending_sae > 0", "pending_sae || ' pending SAE reviews'"), ("pending_sae <= 0 AND total_high_risk > n_subjects * 0.1", "'high-risk subject rate above threshold'"), ("missing_visits > 10", "missing_visits || ' missing visits'"), ("uncoded_ae > 5", "uncoded_ae || ' uncoded terms'")]
     out["rec_studies"] = f"SELECT * REPLACE (round(avg_dqi, 3) AS avg_dqi), CASE WHEN pending_sae > 0 THEN 'CRITICAL' WHEN total_high_risk > n_subjects * 0.1 THEN 'HIGH' ELSE 'MEDIUM' END AS priority, {_join_texts(*t)} AS recommendations, {_first_text(*t)} AS first_recommendations FROM rec_study_base"

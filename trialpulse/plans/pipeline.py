@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import argparse
+import importlib
 import logging
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import config as C
-from ..operators import anomaly, graph, master, perspectives, recommend, rollup, rootcause, scoring, validation
+from ..operators import anomaly, clustering, graph, master, perspectives, recommend, rollup, rootcause, scoring, validation
+from ..sources import files, workbook
 from . import projection
 
 log = logging.getLogger(__name__)
@@ -26,6 +31,19 @@ def _scores(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {"scored": scoring.score_subjects(t["master"])}
 
 
+def _clusters(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """CLU-1..9, JN-8: k-means with the k of the best silhouette; the sites carry their cluster's name."""
+    site = t["site"]
+    names = [f"z_{f}" for f in clustering.FEATURES]
+    vec = clustering.vectors(clustering.features(site)).withColumn("site_key", F.concat_ws("|", *C.SITE_KEYS))
+    labelled = site.join(clustering.kmeans(vec, clustering.choose_k(vec, largest=DEFAULTS["clusters"]["largest"], key="site_key")).select(*C.SITE_KEYS, "cluster_id", *names), C.SITE_KEYS)
+    profile = clustering.profiles(labelled)
+    return {"cluster_profiles": profile, "cluster_sites": clustering.named_sites(labelled, profile), "cluster_heatmap": clustering.heatmap(labelled, names)}
+
+
+#: ORC-7: the parameters that stages run with unless others are given.
+DEFAULTS: dict[str, dict] = {"clusters": {"largest": 10}, "root_causes": {"lift": 1.2, "least": 10}, "validation": {"k": 5, "seed": 42}}
+
 STAGES: dict[str, Stage] = {
     "score": Stage(("master",), _scores, ("scored",)),
     "risk": Stage(("scored",), lambda t: {"risk": scoring.subject_risk(t["scored"])}, ("risk",)),
@@ -37,8 +55,9 @@ STAGES: dict[str, Stage] = {
     "anomalies": Stage(("site", "region", "country"), lambda t: {"anomalies": anomaly.detect(t["site"], t["country"], t["region"])}, ("anomalies",)),
     "anomaly_scores": Stage(("anomalies",), lambda t: {"site_scores": anomaly.site_scores(t["anomalies"])}, ("site_scores",)),
     "perspectives": Stage(("site", "site_scores", "study", "country"), lambda t: {"consensus": perspectives.consensus(perspectives.enrich(t["site"], t["site_scores"], t["study"], t["country"]))}, ("consensus",)),
-    "root_causes": Stage(("risk", "site", "region", "country"), lambda t: {"cooccurrence": rootcause.cooccurrence(t["risk"]), "geography": (g := rootcause.geographic(t["site"], t["country"], t["region"])), "causes": rootcause.root_causes(t["site"], g, rootcause.patterns(rootcause.cooccurrence(t["risk"])))}, ("cooccurrence", "geography", "causes")),
-    "validation": Stage(("risk",), lambda t: {"folds": validation.folds(t["risk"]), "sensitivity": validation.sensitivity(t["risk"])}, ("folds", "sensitivity")),
+    "clusters": Stage(("site",), _clusters, ("cluster_profiles", "cluster_sites", "cluster_heatmap")),
+    "root_causes": Stage(("risk", "site", "region", "country"), lambda t: {"cooccurrence": (pairs := rootcause.cooccurrence(t["risk"])), "geography": (g := rootcause.geographic(t["site"], t["country"], t["region"])), "causes": rootcause.root_causes(t["site"], g, rootcause.patterns(pairs, **DEFAULTS["root_causes"]))}, ("cooccurrence", "geography", "causes")),
+    "validation": Stage(("risk",), lambda t: {"folds": validation.folds(t["risk"], **DEFAULTS["validation"]), "sensitivity": validation.sensitivity(t["risk"])}, ("folds", "sensitivity")),
 }
 
 
@@ -68,16 +87,48 @@ def order(wanted: list[str] | None = None) -> list[str]:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return files.exists(spark, f"{path}/_SUCCESS")
+
+
+# What a run needs.
+PACKAGES = ["pyspark", "pyarrow", "pandas", "numpy"]
+LEAST_PYTHON = (3, 8)
+LEAST_BYTES = 100 << 20
+
+
+def preflight(spark: SparkSession, source: str, to: str, workbooks: bool = False) -> list[str]:
+    """ORC-6: what is missing before a run: Python, packages, data, room where results go (as their file system tells it)."""
+    out = [] if sys.version_info >= LEAST_PYTHON else [f"Python {'.'.join(map(str, LEAST_PYTHON))} or later is needed"]
+    for name in PACKAGES:
+        try:
+            importlib.import_module(name)
+        except ImportError:
+            out.append(f"package {name} is missing")
+    need = [source] if workbooks else [f"{source}/{t}.parquet" for t in ("region", "nation", "customer", "orders", "lineitem")]
+    out += [f"{p} is missing" for p in need if not files.exists(spark, p)]
+    path = spark._jvm.org.apache.hadoop.fs.Path(to)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getStatus().getRemaining() < LEAST_BYTES:
+        out.append(f"less than {LEAST_BYTES >> 20} MB are free at {to}")
+    return out
 
 
-def run(spark: SparkSession, sf_dir: str, to: str, wanted: list[str] | None = None, again: bool = False) -> list[str]:
+def subject_table(spark: SparkSession, source: str, workbooks: bool = False) -> DataFrame:
+    """The subject table of the driver's tables, or of a folder of workbooks."""
+    if not workbooks:
+        return master.master_subject(projection.spine(spark, source), projection.facts(spark, source))
+    spine, extracts, issues = workbook.load(spark, source)
+    for r in issues.limit(100).collect():  # log lines, not data
+        log.warning("%s: %s", r.path, r.issue)
+    files.missing_columns(spine, ["study", "subject_id", "site_id", "country", "region", "subject_status"], strict=True)
+    return master.master_subject(spine, extracts)
+
+
+def run(spark: SparkSession, sf_dir: str, to: str, wanted: list[str] | None = None, again: bool = False, workbooks: bool = False) -> list[str]:
     """ORC-3..5: write every stage's tables as Parquet under ``to``; what is there already is skipped unless ``again``. The first failure ends the run. Gives the stages that ran."""
     check_config()
     ran = []
     if again or not _exists(spark, f"{to}/master"):
-        master.master_subject(projection.spine(spark, sf_dir), projection.facts(spark, sf_dir)).write.mode("overwrite").parquet(f"{to}/master")
+        subject_table(spark, sf_dir, workbooks).write.mode("overwrite").parquet(f"{to}/master")
         ran.append("master")
     for name in order(wanted):
         stage = STAGES[name]
@@ -89,3 +140,32 @@ def run(spark: SparkSession, sf_dir: str, to: str, wanted: list[str] | None = No
             df.write.mode("overwrite").parquet(f"{to}/{table}")
         ran.append(name)
     return ran
+
+
+def main(arguments: list[str] | None = None) -> int:
+    """ORC-2: python -m trialpulse.plans.pipeline SOURCE OUT [--stages a,b] [--again] [--workbooks] [--list]."""
+    p = argparse.ArgumentParser(prog="trialpulse", description="Run the stages of the data quality pipeline.")
+    p.add_argument("source", nargs="?", help="folder of the tables, or of the workbooks")
+    p.add_argument("to", nargs="?", help="folder for the results")
+    p.add_argument("--stages", help="stages to run, with those that they need; all unless given")
+    p.add_argument("--again", action="store_true", help="run stages again that are complete")
+    p.add_argument("--workbooks", action="store_true", help="the source is a folder of workbooks")
+    p.add_argument("--list", action="store_true", help="name the stages and end")
+    o = p.parse_args(arguments)
+    if o.list:
+        print("\n".join(STAGES))
+        return 0
+    wanted = o.stages.split(",") if o.stages else None
+    if not o.source or not o.to or set(wanted or ()) - set(STAGES):
+        p.print_usage(sys.stderr)
+        return 2
+    spark = SparkSession.builder.appName("trialpulse").getOrCreate()
+    if missing := preflight(spark, o.source, o.to, o.workbooks):
+        print("\n".join(missing), file=sys.stderr)
+        return 1
+    print("\n".join(run(spark, o.source, o.to, wanted, o.again, o.workbooks)))
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())

@@ -83,6 +83,21 @@ class Domain:
     def geography(self) -> DataFrame:
         return self._get("geography", lambda: rootcause.geographic(self.site, self.country, self.region), False)
 
+    @property
+    def causes(self) -> DataFrame:
+        return self._get("causes", lambda: rootcause.root_causes(self.site, self.geography, rootcause.patterns(rootcause.cooccurrence(self.risk))), False)
+
+    @property
+    def clustered(self) -> DataFrame:
+        """Sites of k-means clusters, named by their profiles."""
+
+        def make() -> DataFrame:
+            got = staged(_kmeans(_vectors(self)).select(*C.SITE_KEYS, "cluster_id"), "clusters")
+            sites = self.site.join(got, C.SITE_KEYS)
+            return clustering.named_sites(sites, clustering.profiles(sites))
+
+        return self._get("clustered", make, True)
+
     @property
     def nodes(self) -> DataFrame:
         return self._get("nodes", lambda: graph.nodes(self.risk, self.site, self.study, self.region, self.country), True)
@@ -204,7 +219,7 @@ register("factor_size", "SELECT * FROM f_size")(lambda d: rootcause.factor_size(
 register("factor_study", "SELECT * FROM f_study")(lambda d: rootcause.factor_study(d.site))
 register("factor_region", "SELECT * FROM f_region")(lambda d: rootcause.factor_region(d.site))
 register("factor_complexity", "SELECT * FROM f_complexity")(lambda d: rootcause.factor_complexity(d.site))
-register("root_causes", "SELECT * FROM rc_rows")(lambda d: _joined_lists(rootcause.root_causes(d.site, d.geography, rootcause.patterns(rootcause.cooccurrence(d.risk)))))
+register("root_causes", "SELECT * FROM rc_rows")(lambda d: _joined_lists(d.causes))
 
 register("graph_nodes", "SELECT * FROM g_nodes")(lambda d: d.nodes)
 register("graph_edges", "SELECT * FROM g_edges")(lambda d: d.edges)
@@ -229,9 +244,15 @@ register("region_comparison", "SELECT region, avg_dqi_score, portfolio, CASE WHE
 register("anomaly_line", "SELECT round(quantile_cont(anomaly_score, 0.9), 10) AS p90 FROM site_scores")(lambda d: portfolio.anomaly_line(anomaly.site_scores(d.anomalies)))
 register("strongest_pair", "SELECT issue_a, issue_b, lift FROM cooc ORDER BY lift DESC, issue_a, issue_b LIMIT 1")(lambda d: portfolio.strongest_pair(rootcause.cooccurrence(d.risk)))
 register("alerts", "SELECT study, CAST(sum(sae_pending_count_sum) AS BIGINT) AS pending_sae FROM site GROUP BY study ORDER BY pending_sae DESC, study LIMIT 3")(lambda d: portfolio.alerts(d.site))
+register("alert_counts", "SELECT (SELECT CAST(COALESCE(sum(sae_pending_count_sum), 0) AS BIGINT) FROM site) AS pending_sae, (SELECT count(*) FROM site WHERE sae_pending_count_sum > 0) AS sae_sites, (SELECT count(*) FROM rc_rows WHERE severity = 'Critical') AS critical_causes, (SELECT count(*) FROM anomalies WHERE severity = 'CRITICAL') AS critical_anomalies, (SELECT count(*) FROM anomalies WHERE severity = 'HIGH') AS high_anomalies")(lambda d: portfolio.alert_counts(d.site, d.causes, d.anomalies))
+register("action_items", "SELECT (SELECT count(*) FROM risk) AS total_subjects, (SELECT count(*) FROM site) AS total_sites, (SELECT count(*) FROM rec_regions) AS total_regions, (SELECT count(*) FROM rec_countries) AS total_countries_flagged, (SELECT count(*) FROM rec_sites WHERE priority = 'CRITICAL') AS critical_items, (SELECT count(*) FROM rec_sites WHERE priority = 'HIGH') AS high_priority_items")(
+    lambda d: recommend.action_items(d.risk, d.site, recommend.sites(d.site), recommend.regions(d.site), recommend.countries(d.site))
+)
+register("rec_site_first", "SELECT study, site_id, country, region, priority, avg_dqi_score FROM rec_sites ORDER BY CASE priority WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END, avg_dqi_score DESC, study, site_id, country, region LIMIT 20")(lambda d: recommend.first_sites(recommend.sites(d.site)).select(*C.SITE_KEYS, "priority", "avg_dqi_score"))
+register("study_sites", "SELECT study, site_count, known_sites FROM study_dqi JOIN (SELECT study, count(*) AS known_sites FROM site GROUP BY study) USING (study)")(lambda d: graph.study_sites(d.study, d.site).select("study", "site_count", "known_sites"))
 _place = "CASE priority WHEN 'CRITICAL' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 3 ELSE 4 END"
-register("action_list", f"SELECT 'site' AS source, study || ' ' || site_id AS target, {_place} AS urgency FROM rec_sites UNION ALL SELECT 'study', study, {_place} FROM rec_studies UNION ALL SELECT 'country', country || ' ' || region, {_place} FROM rec_countries UNION ALL SELECT 'anomaly', study || ' ' || site_id, 1 FROM site_scores WHERE critical_count > 0")(
-    lambda d: portfolio.actions(recommend.sites(d.site), recommend.studies(d.site), recommend.countries(d.site), anomaly.site_scores(d.anomalies))
+register("action_list", f"SELECT 'site' AS source, study || ' ' || site_id AS target, {_place} AS urgency FROM rec_sites UNION ALL SELECT 'study', study, {_place} FROM rec_studies UNION ALL SELECT 'country', country || ' ' || region, {_place} FROM rec_countries UNION ALL SELECT 'anomaly', study || ' ' || site_id, 1 FROM site_scores WHERE critical_count > 0 UNION ALL SELECT 'root cause', cause_id || ' ' || category, CASE severity WHEN 'Critical' THEN 1 WHEN 'High' THEN 2 WHEN 'Medium' THEN 3 ELSE 4 END FROM rc_rows")(
+    lambda d: portfolio.actions(recommend.sites(d.site), recommend.studies(d.site), recommend.countries(d.site), anomaly.site_scores(d.anomalies), d.causes)
 )
 register("impact", "SELECT high, CAST(floor(round(high * 0.66, 10)) AS BIGINT) AS resolved, CAST(floor(round(high * 0.47, 10)) AS BIGINT) AS prevented FROM (SELECT CAST(count(*) FILTER (risk_category = 'High') AS BIGINT) AS high FROM risk)")(lambda d: portfolio.impact(d.risk))
 register("drilldown", "SELECT CAST(LEAST(floor(dqi_score * 30), 29) AS INT) AS bin, count(*) AS n FROM risk WHERE study = 'BUILDING' AND risk_category IN ('High', 'Medium') GROUP BY 1")(lambda d: portfolio.drilldown(d.risk, study="BUILDING", categories=["High", "Medium"]))
@@ -261,6 +282,12 @@ register("cluster_gmm", None)(lambda d: _mixture(_vectors(d)).select(*C.SITE_KEY
 register("cluster_pca", None)(lambda d: clustering.principal_components(_vectors(d)).select(*C.SITE_KEYS, "pc1", "pc2"))
 
 
+register("cluster_sites", None)(lambda d: d.clustered.select(*C.SITE_KEYS, "cluster_id", "cluster_name", "risk_level", "intervention_priority"))
+register("cluster_comparison", None)(lambda d: portfolio.cluster_comparison(d.clustered))
+register("site_dashboard", None)(lambda d: portfolio.site_dashboard(d.site, anomaly.site_scores(d.anomalies), d.clustered).select(*C.SITE_KEYS, "avg_dqi_score", "site_risk_category", "anomaly_score", "cluster_name"))
+register("root_causes_clustered", None)(lambda d: _joined_lists(rootcause.root_causes(d.site, d.geography, rootcause.patterns(rootcause.cooccurrence(d.risk)), d.clustered)))
+
+
 def _embedded(d: Domain) -> DataFrame:
     e = projection.table(d.spark, d.sf_dir, "embeddings")
     return e.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)))

@@ -94,6 +94,25 @@ def header_row(rows: DataFrame, words: list[str] = HEADER_WORDS, scan: int = 10)
     return rows.where(F.col("row") < scan).groupBy("file").agg(F.coalesce(F.min(F.when(hit, F.col("row"))), F.lit(0)).alias("header_row"))
 
 
+# Words that mark the header of a subject extract, and first headers that call for a search.
+EDC_WORDS = ["Subject ID", "Project Name"]
+SAMPLE_WORDS = ["Subject", "Patient"]
+FIRST_HEADERS = ["project name", "study", "country"]
+
+
+def edc_header_row(rows: DataFrame) -> DataFrame:
+    """SRC-2: the first of five rows that names a subject or a project."""
+    return header_row(rows, EDC_WORDS, 5)
+
+
+def sample_header_row(rows: DataFrame) -> DataFrame:
+    """SRC-4: row 0, unless its first cell is empty, unnamed or a project, study or country; then the first of the five rows below it that names a subject or a patient."""
+    first = F.lower(F.trim(F.coalesce(F.try_element_at("cells", F.lit(1)), F.lit(""))))
+    search = rows.where("row = 0").select("file", ((first == "") | F.contains(first, F.lit("unnamed")) | first.isin(FIRST_HEADERS)).alias("search"))
+    found = header_row(rows, SAMPLE_WORDS, 6)
+    return search.join(found, "file").select("file", F.when(F.col("search"), F.col("header_row")).otherwise(0).cast("long").alias("header_row"))
+
+
 def drop_junk(df: DataFrame, column: str = "subject_id", totals: bool = False) -> DataFrame:
     """SRC-5: rows without a subject, repeated headers and, ``totals``, summary rows."""
     junk = "(?i)Subject ID|Responsible|Total|Summary" if totals else "Subject ID|Responsible"
