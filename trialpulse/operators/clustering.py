@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -33,9 +35,28 @@ def vectors(featured: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(featured)
 
 
+#: Rows of a partition that models are fitted on: site tables are small, and a fit is many short jobs.
+FIT_ROWS = 50_000
+
+
+def fitted_on(vec: DataFrame) -> DataFrame:
+    """The table for repeated fits: in memory, in as few partitions as its rows call for."""
+    return vec.repartition(max(1, math.ceil(vec.count() / FIT_ROWS))).persist()
+
+
+#: Restarts that Spark is given at a time.
+PARALLEL = 5
+
+
+def _restarts(fit, vec: DataFrame, n: int) -> list:
+    """Models of n seeds, some at a time: each fit is a chain of short jobs, which Spark runs side by side."""
+    with ThreadPool(min(PARALLEL, n)) as pool:
+        return pool.map(inheritable_thread_target(vec.sparkSession)(fit), range(n))
+
+
 def kmeans(vec: DataFrame, k: int, seed: int = 42, restarts: int = 10) -> DataFrame:
     """CLU-3: the restart with the smallest cost; pseudo-probabilities from inverse distances to the centres."""
-    models = [KMeans(k=k, seed=seed + i, maxIter=300).fit(vec) for i in range(restarts)]
+    models = _restarts(lambda i: KMeans(k=k, seed=seed + i, maxIter=300).fit(vec), vec, restarts)
     best = min(models, key=lambda m: m.summary.trainingCost)
     x = vector_to_array("features")
     distance = [F.sqrt(S.total([(x[i] - F.lit(float(c[i]))) ** 2 for i in range(len(c))])) for c in best.clusterCenters()]
@@ -47,7 +68,7 @@ def kmeans(vec: DataFrame, k: int, seed: int = 42, restarts: int = 10) -> DataFr
 def gaussian_mixture(vec: DataFrame, k: int, seed: int = 42, restarts: int = 10) -> tuple[DataFrame, float]:
     """CLU-2: the restart with the best likelihood, and its BIC. Restarts that lose a component (weight near 0) only count if all do."""
     d, n = len(vec.first()["features"]), vec.count()
-    models = [GaussianMixture(k=k, seed=seed + i, maxIter=200).fit(vec) for i in range(restarts)]
+    models = _restarts(lambda i: GaussianMixture(k=k, seed=seed + i, maxIter=200).fit(vec), vec, restarts)
     whole = [m for m in models if min(m.weights) > 1e-3] or models
     best = max(whole, key=lambda m: m.summary.logLikelihood)
     parameters = (k - 1) + k * d + k * d * (d + 1) // 2

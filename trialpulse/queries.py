@@ -262,7 +262,7 @@ register("cluster_features", f"SELECT study, site_id, country, region, {_z} FROM
 
 
 def _vectors(d: Domain) -> DataFrame:
-    return staged(clustering.vectors(clustering.features(d.site)).withColumn("site_key", F.concat_ws("|", *C.SITE_KEYS)), "vectors")
+    return clustering.fitted_on(staged(clustering.vectors(clustering.features(d.site)).withColumn("site_key", F.concat_ws("|", *C.SITE_KEYS)), "vectors"))
 
 
 def _kmeans(vec: DataFrame) -> DataFrame:
