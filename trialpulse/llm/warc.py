@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .shared import frugal, looked_up, staged
 
-NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -35,7 +33,8 @@ def base32_sha1(data: bytes) -> str:
 
 
 def record_id(key) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{key}')}>"
+    """A URI that holds the key, so that a header tells which record it refers to."""
+    return f"<urn:x-page:{key}>"
 
 
 def _http(size: int) -> bytes:
@@ -104,7 +103,7 @@ def read(spark: SparkSession, at: str, with_payload: bool = True) -> DataFrame:
     body = bodies.mapInArrow(check, "sha256 binary, sha1 string, payload_bytes long" + ", payload binary" * with_payload)
     kind = _field("WARC-Type")
     stated = F.regexp_replace(_field("WARC-Payload-Digest"), "^sha1:", "")
-    records = heads.select("key", "sha256", "header", kind.alias("record_type"), F.when(kind == "revisit", F.col("response")).alias("refers_to"), _field("WARC-Target-URI").alias("target_uri"), stated.alias("payload_digest"))
+    records = heads.select("key", "sha256", "header", kind.alias("record_type"), F.when(kind == "revisit", F.regexp_extract(_field("WARC-Refers-To"), r"^<urn:x-page:(-?\d+)>$", 1).try_cast("long")).alias("refers_to"), _field("WARC-Target-URI").alias("target_uri"), stated.alias("payload_digest"))
     # digests are small: those of hot payloads are broadcast. Payloads aren't, and are left to Spark's own splitting of skewed joins
     joined = records.join(body, "sha256") if with_payload else looked_up(records, staged(body, "digests"), "sha256")
     verified = F.when(F.col("payload_digest") == F.col("sha1"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header's payload digest is wrong")).cast("string"))
