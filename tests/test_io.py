@@ -201,3 +201,19 @@ def test_rows_are_numbered_in_order(spark):
 
     got = S.numbered(spark.range(0, 5000, 7).select((F.col("id") * 37 % 5003).alias("k")), "k", 9).orderBy("number").collect()
     assert [r.number for r in got] == list(range(len(got))) and [r.k for r in got] == sorted(r.k for r in got)
+
+
+def test_reports_name_what_is_urgent(spark):
+    from trialpulse.queries import Domain
+    from trialpulse.operators import recommend, rootcause
+    from trialpulse.sources import reports
+
+    d = Domain(spark, SMALL)
+    sites = recommend.sites(d.site)
+    items = recommend.action_items(d.risk, d.site, sites, recommend.regions(d.site), recommend.countries(d.site))
+    first = recommend.first_sites(sites, 1).first()
+    text = reports.executive_summary(items, sites, recommend.issue_totals(recommend.subjects(d.risk)))
+    assert f"1. [{first.priority}] {first.study} - {first.site_id}" in text and "instances" in text
+    assert f"1. {first.study} - {first.site_id}" in reports.site_actions(sites, 3)
+    text = reports.root_cause_report(d.causes, rootcause.patterns(rootcause.cooccurrence(d.risk), least=1), d.geography)
+    assert "RC001" in text and "CO-OCCURRENCE\n* " in text
