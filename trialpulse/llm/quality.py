@@ -101,7 +101,7 @@ def _inputs(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 #: Weight decay of the fit.
-DECAY = 0.02
+DECAY = 0.01
 #: Added to an input's deviation: rare columns stay small.
 FLOOR = 0.05
 
