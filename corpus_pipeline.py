@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trialpulse.llm import decontaminate, jaccard, pieces, quality, shared, superkmer
@@ -16,11 +16,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: the first as the input is stored. Rows are told apart by their place, so null and repeated ids and equal rows are grouped by their texts like any others. Rows without words stay, each by itself; an empty table stays empty."""
-    row = unused("row", docs)
-    placed = shared.staged(docs.withColumn(row, F.monotonically_increasing_id()), "placed")
-    first = jaccard.similar(placed, id_col=row).where("doc_id = component_id").select(F.col("doc_id").alias(row))
-    return placed.join(first, row, "left_semi").select(*docs.columns)
+    """One row of each group of near duplicates: that with the smallest id, rows without one last. Rows are told apart by a hash of id and text, so null and repeated ids are grouped by their texts like any others; of rows with equal id and text one stays. Rows without words stay, one for each id and text; an empty table stays empty. Should two hashes meet, a row too many stays, never one too few."""
+    row, place = unused("row", docs), unused("place", docs)
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    groups = jaccard.similar(keyed, id_col=row).select(F.col("doc_id").alias("r"), F.col("component_id").alias("g")).distinct()
+    ids = keyed.select(F.col(row).alias("r"), F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("id"))
+    first = groups.join(ids, "r").groupBy("g").agg(F.min(F.struct("id", "r")).alias("first")).select(F.col("first.r").alias(row)).distinct()
+    kept = keyed.join(first, row, "left_semi")
+    return kept.withColumn(place, F.row_number().over(Window.partitionBy(row).orderBy(row))).where(F.col(place) == 1).select(*docs.columns)
 
 
 def unused(name: str, docs: DataFrame) -> str:
