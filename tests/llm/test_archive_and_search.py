@@ -124,7 +124,7 @@ def test_near_duplicate_stage_with_null_and_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string, `_` int").coalesce(1)
     got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
     assert got.columns == docs.columns
-    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(i), str(x)) for i, x in [(2, t), (None, u), (7, v), (8, None), (8, "")])
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(i), str(x)) for i, x in [(2, t), (7, u), (7, v), (8, None), (8, "")])
     cut = corpus_pipeline.substring_stage(spark, docs, "").collect()
     assert len(cut) == len(rows) and {r["_"] for r in cut} == {1, 2, 3, 4, 5, 6} and all(r.text is not None for r in cut)
 

@@ -135,7 +135,7 @@ class Automaton:
         while at < len(order):
             longest = max(16, int(n[order[at]]))
             end = int(np.searchsorted(n[order], longest * 2, "left"))
-            end = max(at + 1, min(end, at + max(1, (4 << 20) // (longest * 2))))
+            end = max(at + 1, min(end, at + max(1, (2 << 20) // (longest * 2))))
             for i, got in zip(order[at:end], self._batch([units[i] for i in order[at:end]], n[order[at:end]])):
                 ids[i] = got
             at = end
@@ -275,12 +275,12 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     @K.tidy_batches
     def run(batches):
-        for batch in K.regroup(batches, 6 << 20):
+        for batch in K.regroup(batches, 4 << 20):
             texts = batch.column("text").to_pylist()
             at = 0
             while at < len(texts):  # a few MB at a time
                 end, size = at, 0
-                while end < len(texts) and (end == at or size < 8 << 20):
+                while end < len(texts) and (end == at or size < 4 << 20):
                     size += len(texts[end] or "")
                     end += 1
                 got = list(_encode(texts[at:end], model))

@@ -173,8 +173,8 @@ def word_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.nd
     one = spot[ids]
     size = end - start
     same = size == size[one]
-    for a in range(0, len(size), 1 << 18):
-        part = np.flatnonzero(same[a : a + (1 << 18)]) + a
+    for a in range(0, len(size), 1 << 16):
+        part = np.flatnonzero(same[a : a + (1 << 16)]) + a
         n = size[part]
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         differ = data[np.repeat(start[part], n) + inside] != data[np.repeat(start[one[part]], n) + inside]
