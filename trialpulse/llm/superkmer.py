@@ -7,7 +7,7 @@ form a super-k-mer: one packed string of words. Each block of documents sends
 every distinct super-k-mer once to the bucket that owns the minimiser, with the
 smallest doc_id that has it; the bucket expands the windows, sorts them, compares the words of those
 that stand together, and answers with the smallest doc_id over the corpus for
-each window.
+each window. Words are compared by their 64-bit names, one by one.
 
 A minimiser that many different super-k-mers share (words around a common
 passage) would make one bucket large. Their bytes are counted first; windows of
@@ -167,27 +167,8 @@ def _least(own: np.ndarray, order: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """A number for each different word: words of one hash are compared with one of them byte by byte."""
-    _, spot, ids = np.unique(hashes, return_index=True, return_inverse=True)
-    one = spot[ids]
-    size = end - start
-    same = size == size[one]
-    for a in range(0, len(size), 1 << 16):
-        part = np.flatnonzero(same[a : a + (1 << 16)]) + a
-        n = size[part]
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        differ = data[np.repeat(start[part], n) + inside] != data[np.repeat(start[one[part]], n) + inside]
-        same[part[np.unique(np.repeat(np.arange(len(part)), n)[differ])]] = False
-    if not same.all():  # words that only share a hash with another
-        more: dict[bytes, int] = {}
-        for i in np.flatnonzero(~same):
-            ids[i] = len(spot) + more.setdefault(data[start[i] : end[i]].tobytes(), len(more))
-    return ids
-
-
 def sort_windows(ids: np.ndarray, starts: np.ndarray, window: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, heads) of windows of word numbers grouped by what they hold: by hash first, then the words of neighbours are compared."""
+    """(order, heads) of windows of word names grouped by what they hold: by hash first, then all words of neighbours are compared, by their 64-bit names."""
     order, heads = B.groups(keys)
     inner = np.ones(len(order), bool)
     inner[heads] = False
@@ -213,11 +194,10 @@ def _bucket(table: pa.Table, window: int) -> pa.Table:
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate(([0], np.flatnonzero(data == 0x0A) + 1))
     hashes, first = K.word_hashes(data, offsets)
-    start, end, _ = K.word_spans(data, offsets)
     starts = np.flatnonzero(K.within(first, window))
     line = K.owner(first)[starts]
     own = np.concatenate(docs)[line]
-    order, heads = sort_windows(word_ids(data, start, end, hashes), starts, window, K.run_hash(hashes, window)[starts])
+    order, heads = sort_windows(hashes, starts, window, K.run_hash(hashes, window)[starts])
     message = np.repeat(np.arange(len(docs)), [len(d) for d in docs])[line]
     return B.answer(table, message, _least(own, order, heads))
 
