@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from trialpulse.llm import decontaminate, jaccard, langmodel, pieces, prefixfree, quality, superkmer, tokencount
+from trialpulse.llm import decontaminate, jaccard, kernel, langmodel, pieces, prefixfree, quality, superkmer, tokencount
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 ITEM_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -476,3 +476,49 @@ def test_long_text_without_spaces_takes_no_step_a_byte(docs):
     began = time.time()
     ids = pieces.encode_batch([text], P.path("piece_bpe_32k.model"))[0]
     assert time.time() - began < 30 and pieces.decode(ids, P.path("piece_bpe_32k.model")) == text
+
+
+def thue_morse(a, b, doublings):
+    """Two texts of which a polynomial modulo a power of two is the same for any odd base."""
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_a_power_of_two_confuses(spark):
+    s, t = thue_morse("a", "b", 10)
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5 != 1][:5]
+    held = next(i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5 == 1)
+    pair = spark.createDataFrame([(1, s), (2, t)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.similar(pair).collect()) == [(1, 1), (2, 2)]
+    runs = spark.createDataFrame([(1, " ".join([s] * 50)), (2, " ".join([t] * 50)), (3, " ".join([t] * 51))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in superkmer.deduplicate(runs).collect()) == [(1, 0), (2, 0), (3, 51)]
+    assert {r.n_removed for r in superkmer.deduplicate(runs.where("doc_id < 3"), bound=1).collect()} == {0}
+    trained = spark.createDataFrame([(i, s) for i in ids[:4]] + [(held, t)], "doc_id long, text string")
+    row = next(r for r in langmodel.score_documents(trained).collect() if r.held_out)
+    assert (row.n_known, row.train_tokens) == (1, 8)
+    assert row.base_score == pytest.approx(math.log10(0.5 / 9.5) + math.log10(4.5 / 9.5))
+    assert [r.n_removed for r in sorted(prefixfree.remove_repeats(pair).collect())] == bytes_removed((s, t))
+
+
+def bytes_removed(texts, width=200):
+    """What a plain count of all windows removes from each text."""
+    seen = Counter(x[i : i + width] for x in texts for i in range(len(x) - width + 1))
+    return [len({j for i in range(len(x) - width + 1) if seen[x[i : i + width]] > 1 for j in range(i, i + width)}) for x in texts]
+
+
+def test_units_that_a_power_of_two_confuses_keep_the_librarys_counts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for a, b in ("-=", "ab", "01", "#*"):
+        texts = pa.array(list(thue_morse(a, b, 11)))
+        assert tokencount.count_batch(texts, path).tolist() == tokencount.count_batch(texts, path, whole=True).tolist()
+
+
+def test_runs_of_one_hash_are_told_apart_by_their_bytes():
+    rng = random.Random(5)
+    words_ = [bytes(rng.choice(b"ab") for _ in range(rng.choice([1, 3, 8, 9, 30, 70, 200]))) for _ in range(3000)]
+    data = np.frombuffer(b" ".join(words_), np.uint8)
+    start, end, _ = kernel.word_spans(data, np.array([0, len(data)]))
+    names = kernel.told_apart(data, start, end, kernel.mix(kernel.word_hashes(data, np.array([0, len(data)]))[0] & kernel.U(7)))
+    by = {}
+    assert all(by.setdefault(w, n) == n for w, n in zip(words_, names.tolist())) and len(set(by.values())) == len(by)

@@ -18,8 +18,8 @@ earliest (for copies of one text, the least altered), a second round only pairs
 holders that the first left in different components. No pair that could join
 two components is skipped, so components are those of all links.
 
-Links are decided on whole sets of 64-bit shingle hashes; classes have names of
-128 bits. Defined results: null or empty text has no shingle, is its own
+Links are decided on whole sets of 64-bit shingle hashes, whose words are hashed
+modulo two primes; classes have names of 128 bits. Defined results: null or empty text has no shingle, is its own
 component and links with nothing; a text shorter than a shingle has its whole
 word sequence as its only one; a null doc_id takes part and is never a
 component's name unless there is no other; repeated rows stay rows; extra
@@ -50,10 +50,8 @@ def shingle_sets(texts: pa.Array, size: int):
         n = np.diff(first)
         short = np.flatnonzero((n > 0) & (n < size))
         if len(short):
-            pre = np.zeros(len(words) + 1, K.U)
-            np.cumsum(words * K.powers(K.BASE, len(words)), out=pre[1:])
             doc = np.concatenate((doc, short))
-            value = np.concatenate((value, K.span_hash(pre, first[short], first[short + 1])))
+            value = np.concatenate((value, K.span_hash(K.prefix_hash(words), first[short], first[short + 1])))
         order = np.lexsort((value, doc))
         doc, value = doc[order], value[order]
         new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (value[1:] != value[:-1]))) if len(doc) else np.zeros(0, bool)
@@ -88,7 +86,7 @@ class _Sets:
         names = np.column_stack([K.mix(_fold_sums(self.value, self.first, salt)) for salt in (0xA5A5A5A5, 0x5A5A5A5A)])
         self.names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(names), [None, pa.py_buffer(np.ascontiguousarray(names).tobytes())]).cast(pa.binary())
         fresh = np.zeros(len(self.n), bool)
-        fresh[np.unique(K.mix(names[:, 0] * K.GRAM + names[:, 1]), return_index=True)[1]] = True
+        fresh[np.unique(np.ascontiguousarray(names).view("V16").ravel(), return_index=True)[1]] = True
         self.fresh = fresh & (self.n > 0)
         self.kept = np.flatnonzero(self.fresh[self.doc])
         self.keys, self.back, self.count = np.unique(self.value[self.kept], return_inverse=True, return_counts=True)

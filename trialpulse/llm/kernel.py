@@ -1,9 +1,11 @@
 """Vectorised byte and word primitives that run inside Spark tasks.
 
 Every function works on one slice of texts at a time: one flat ``uint8`` array
-and document offsets, as Arrow lays strings out. Hashes are polynomials over
-Z/2^64 of a fixed random byte table, finished with an avalanche step, so the
-hash of any substring comes from two prefix sums.
+and document offsets, as Arrow lays strings out. A hash is a pair of polynomials
+modulo two primes just below 2^32, each with a random base of its own, finished
+with an avalanche step; the hash of any substring comes from prefix sums. A
+second pair of bases (``seed`` 1) gives names of 128 bits. Where the bytes behind
+equal hashes lie in one task, told_apart() compares them.
 """
 
 from __future__ import annotations
@@ -33,20 +35,21 @@ def mix(z: np.ndarray) -> np.ndarray:
 
 
 BYTE = _splitmix(256, 12345)
-BASE = U(0x5851F42D4C957F2D)
-INV = U(pow(int(BASE), -1, 1 << 64))
 GRAM = U(0xD1342543DE82EF95)
+#: The two largest primes below 2^32, and a pair of bases for each seed.
+PRIMES = (4294967291, 4294967279)
+BASES = tuple(tuple(int(x) % (p - 2) + 2 for x, p in zip(_splitmix(2, seed), PRIMES)) for seed in (2718281828, 3141592653))
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2^64; kept, and grown by doubling."""
-    have = _powers.get((int(base), 0))
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length() if n > 1 else 1)
-        step = np.full(size, base, dtype=U)
-        step[0] = 1
-        have = _powers[(int(base), 0)] = np.multiply.accumulate(step)
+def powers(base: int, p: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo p; kept, and grown by doubling."""
+    have = _powers.get((base, p))
+    if have is None:
+        have = np.ones(1, np.uint32)
+    while len(have) < max(n, 1 << 16):
+        have = np.concatenate((have, (have.astype(U) * U(pow(base, len(have), p)) % U(p)).astype(np.uint32)))
+    _powers[base, p] = have
     return have[:n]
 
 
@@ -164,44 +167,124 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _WORD)
     return start, end, np.searchsorted(start, offsets)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hash() takes any substring's hash."""
-    out = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTE[data] * powers(BASE, len(data)), out=out[1:])
+#: Values of which prefix_hash() adds products up before it takes a remainder: 2^20 products below 2^40 stay below 2^64.
+_STRIDE = 1 << 20
+
+
+def prefix_hash(data: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Prefix sums, a row for each prime, from which span_hash() takes any run's hash. ``data``: bytes, or 64-bit names."""
+    n = len(data)
+    out = np.zeros((2, n + 1), U)
+    for row, base, p, half in zip(out, BASES[seed], PRIMES, (U(32), U(0))):
+        power, carry = powers(base, p, n), U(0)
+        for a in range(0, n, _STRIDE):
+            part = data[a : a + _STRIDE]
+            if part.dtype == np.uint8:
+                part = (part.astype(U) + U(1)) * power[a : a + _STRIDE]
+            else:
+                part = ((part >> half) & U(0xFFFFFFFF)) * power[a : a + _STRIDE] % U(p)
+            here = row[a + 1 : a + 1 + len(part)]
+            np.cumsum(part, out=here)
+            here += carry
+            carry = here[-1] % U(p)
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each substring; equal bytes give equal hashes wherever they stand."""
-    return mix((prefix[end] - prefix[start]) * powers(INV, len(prefix))[start] + (end - start).astype(U))
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each run; equal values give equal hashes wherever they stand."""
+    out = (end - start).astype(U) * U(0x9E3779B97F4A7C15)
+    for row, base, p, half in zip(prefix, BASES[seed], PRIMES, (U(32), U(0))):
+        gap = row[end] % U(p) + U(p) - row[start] % U(p)
+        out += (gap % U(p)) * powers(pow(base, -1, p), p, len(row))[start] % U(p) << half
+    return mix(out)
+
+
+def rolling(data: np.ndarray, k: int) -> np.ndarray:
+    """A quick hash of every k consecutive bytes, to choose places by: nothing may hang on its being free of collisions."""
+    n = max(0, len(data) - k + 1)
+    out, have = np.zeros(n, U), 0
+    run, width, factor = BYTE[data], 1, int(GRAM)
+    while n and width <= k:
+        if k & width:
+            out = out * U(factor) + run[have : have + n]
+            have += width
+        if 2 * width <= k:
+            run = run[:-width] * U(factor) + run[width:]
+        width, factor = 2 * width, factor * factor % (1 << 64)
+    return mix(out)
+
+
+def told_apart(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The hashes of these byte runs, changed where runs of one hash differ: afterwards equal names mean equal bytes."""
+    order = np.argsort(hashes, kind="stable")
+    h = hashes[order]
+    new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
+    heads = np.flatnonzero(new)
+    odd = []
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    for at in range(0, len(heads), 1 << 18):
+        some = heads[at : at + (1 << 18)]
+        stop = heads[at + (1 << 18)] if at + (1 << 18) < len(heads) else len(order)
+        for a in range(some[0], stop, 1 << 18):
+            place = np.arange(a, min(stop, a + (1 << 18)))
+            place = place[~new[place]]
+            first = order[heads[np.searchsorted(heads, place, "right") - 1]]
+            odd.append(place[_differ(windows, data, start, end, order[place], first)])
+    odd = np.concatenate(odd) if odd else heads[:0]
+    if not len(odd):
+        return hashes
+    out = hashes.copy()
+    for value in np.unique(h[odd]).tolist():
+        names: dict[bytes, int] = {}
+        for i in order[np.searchsorted(h, U(value)) : np.searchsorted(h, U(value), "right")].tolist():
+            out[i] = mix(np.array([value + names.setdefault(data[start[i] : end[i]].tobytes(), len(names))], U))[0]
+    return out
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, size: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
+def _differ(windows: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Do the byte runs x[i] and y[i] differ? Eight bytes of all at a time; long runs one by one."""
+    size = end[x] - start[x]
+    differ = size != end[y] - start[y]
+    left = np.flatnonzero(~differ & (size > 0))
+    for i in left[size[left] > 64].tolist():
+        differ[i] = not np.array_equal(data[start[x[i]] : end[x[i]]], data[start[y[i]] : end[y[i]]])
+    left, done = left[size[left] <= 64], 0
+    while len(left):
+        a, b = (np.ascontiguousarray(windows[start[z[left]] + done]).view("<u8").ravel() for z in (x, y))
+        unused = U(8) * (U(8) - np.minimum(size[left] - done, 8).astype(U))
+        differ[left] |= (a << unused) != (b << unused)
+        done += 8
+        left = left[(size[left] > done) & ~differ[left]]
+    return differ
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, size: int = SLICE, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and words before each document; works slice by slice to bound memory."""
     hashes, bounds, done = [], [np.zeros(1, np.int64)], 0
     for a, b in slices(offsets, size):
         part = data[offsets[a] : offsets[b]]
         start, end, first = word_spans(part, offsets[a : b + 1] - offsets[a])
-        hashes.append(span_hash(prefix_hash(part), start, end))
+        hashes.append(span_hash(prefix_hash(part, seed), start, end, seed))
         bounds.append(first[1:] + done)
         done += len(start)
     return (np.concatenate(hashes) if hashes else np.zeros(0, U)), np.concatenate(bounds)
 
 
-def run_hash(words: np.ndarray, k: int) -> np.ndarray:
+def run_hash(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hash of every k consecutive values; entry i covers i .. i+k-1 (documents aren't looked at)."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, U)
-    if k <= 8:
+    if k <= 8 and not seed:
         out = words[:n].copy()
         for j in range(1, k):
             out = out * GRAM + words[j : n + j]
         return mix(out)
-    pre = np.zeros(len(words) + 1, U)
-    inv = U(pow(int(GRAM), -1, 1 << 64))
-    np.cumsum(words * powers(GRAM, len(words)), out=pre[1:])
-    return mix((pre[k:] - pre[:-k]) * powers(inv, len(words) + 1)[:n])
+    pre, out = prefix_hash(words, seed), np.empty(n, U)
+    for a in range(0, n, 1 << 18):  # bounds the remainders' memory
+        at = np.arange(a, min(n, a + (1 << 18)))
+        out[at] = span_hash(pre, at, at + k, seed)
+    return out
 
 
 def within(first: np.ndarray, k: int, n: int | None = None) -> np.ndarray:

@@ -13,7 +13,7 @@ compares the dictionary suffix first and the parse suffix next, so windows are
 equal exactly where their dictionary suffixes of d bytes are equal and their
 parse suffixes have a common prefix of width - d bytes.
 
-1. Dictionary: blocks send the names (128 bits) of their distinct phrases,
+1. Dictionary: blocks send the names (128 bits, by two pairs of bases) of their distinct phrases,
    sharded by the ``width - span + 1`` bytes from the trigger on, which every
    window of the phrase holds. A phrase that occurs twice has only repeated
    windows. One that occurs once can share windows only with phrases of the
@@ -59,13 +59,11 @@ class _Parse:
     def __init__(self, table: pa.Table, width: int, span: int, gram: int):
         self.data, self.offsets = K.flat(table["text"])
         n, self.width = len(self.data), width
-        self.prefix = K.prefix_hash(self.data)
         windows = max(0, n - width + 1)
         ok = K.within(self.offsets, width, windows) if windows else np.zeros(0, bool)
         self.starts = np.flatnonzero(ok)
         if len(self.starts):
-            p = np.arange(n - gram + 1)
-            value = (K.span_hash(self.prefix, p, p + gram) & ~LOW) | p.astype(K.U)
+            value = (K.rolling(self.data, gram) & ~LOW) | np.arange(n - gram + 1, dtype=K.U)
             spot = (K.sliding_min(value, span)[self.starts] & LOW).astype(np.int64)
         else:
             spot = self.starts
@@ -75,14 +73,16 @@ class _Parse:
         self.length = np.diff(np.append(head, len(spot)))
         self.begin = self.starts[head]
         self.trigger = spot[head]
-        self.context = K.span_hash(self.prefix, self.trigger, self.trigger + width - span + 1)
-        self.whole = K.span_hash(self.prefix, self.begin, self.begin + self.length + width - 1)
+        prefix = K.prefix_hash(self.data)
+        self.context = K.span_hash(prefix, self.trigger, self.trigger + width - span + 1)
+        self.whole = K.span_hash(prefix, self.begin, self.begin + self.length + width - 1)
+        self.other = K.span_hash(K.prefix_hash(self.data, 1), self.begin, self.begin + self.length + width - 1, 1)
 
     def dictionary(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One phrase of each distinct (context, whole) in that order, how often it occurs here, and the distinct one of each phrase."""
-        order = np.lexsort((self.whole, self.context))
-        c, w = self.context[order], self.whole[order]
-        new = np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))) if len(c) else np.zeros(0, bool)
+        order = np.lexsort((self.other, self.whole, self.context))
+        c, w, o = self.context[order], self.whole[order], self.other[order]
+        new = np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]) | (o[1:] != o[:-1]))) if len(c) else np.zeros(0, bool)
         head = np.flatnonzero(new)
         index = np.empty(len(order), np.int64)
         index[order] = np.cumsum(new) - 1
@@ -106,11 +106,12 @@ class _Parse:
     def loose(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Windows of crowded contexts: distinct hashes, a second hash and the count of each, and the distinct one of each window."""
         at = self.starts[self.windows(phrases)]
-        one = K.span_hash(self.prefix, at, at + self.width)
-        keys, spot, back, count = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
-        half = self.width // 2
-        two = K.mix(K.span_hash(self.prefix, at[spot], at[spot] + half) * K.GRAM + K.span_hash(self.prefix, at[spot] + half, at[spot] + self.width))
-        return keys, two.view(np.int64), count, back
+        one, two = (K.span_hash(K.prefix_hash(self.data, seed), at, at + self.width, seed) for seed in (0, 1))
+        order = np.lexsort((two, one))
+        new = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]))) if len(at) else np.zeros(0, bool)
+        head, back = np.flatnonzero(new), np.empty(len(at), np.int64)
+        back[order] = np.cumsum(new) - 1
+        return one[order][head], two[order][head].view(np.int64), np.diff(np.append(head, len(at))), back
 
     def pack(self, block: int, phrases: np.ndarray, n: int) -> pa.Table:
         """Phrases (sorted by context) as bytes to the shards of their contexts: bytes before the trigger, windows, then the text."""
@@ -132,12 +133,12 @@ def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _mark(table: pa.Table, heavy: int) -> pa.Table:
-    context, source, (whole, count), block = B.received(table, 2)
+    context, source, (whole, other, count), block = B.received(table, 3)
     block = np.array(block, np.int64)[source] if len(source) else source
-    order = np.lexsort((block, whole, context))
-    c, w = context[order], whole[order]
+    order = np.lexsort((block, other, whole, context))
+    c, w, o = context[order], whole[order], other[order]
     newc = np.concatenate(([True], c[1:] != c[:-1]))
-    new = newc | np.concatenate(([True], w[1:] != w[:-1]))
+    new = newc | np.concatenate(([True], (w[1:] != w[:-1]) | (o[1:] != o[:-1])))
     head, headc = np.flatnonzero(new), np.flatnonzero(newc)
     total = np.add.reduceat(count[order], head)
     kinds = np.add.reduceat(new.astype(np.int64), headc)[np.cumsum(newc) - 1]
@@ -216,7 +217,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, span: int = 100, gram: int
     def make(key, table):
         p = _Parse(table, width, span, gram)
         distinct, count, _ = p.dictionary()
-        return B.send(key[0].as_py(), p.context[distinct], n, p.whole[distinct].view(np.int64), count)
+        return B.send(key[0].as_py(), p.context[distinct], n, p.whole[distinct].view(np.int64), p.other[distinct].view(np.int64), count)
 
     @K.tidy
     def reply(key, table):

@@ -7,11 +7,12 @@ form a super-k-mer: one packed string of words. Each block of documents sends
 every distinct super-k-mer once to the bucket that owns the minimiser, with the
 smallest doc_id that has it; the bucket expands the windows, sorts them, compares the words of those
 that stand together, and answers with the smallest doc_id over the corpus for
-each window. Words are compared by their 64-bit names, one by one.
+each window. Words that share a hash are compared as bytes first and named apart.
 
 A minimiser that many different super-k-mers share (words around a common
 passage) would make one bucket large. Their bytes are counted first; windows of
-minimisers beyond a bound go by 128 bits of their own hash, dealt over all shards.
+minimisers beyond a bound go by 128 bits of their own hash (two pairs of
+polynomials over words that are named by two pairs), dealt over all shards.
 
 Defined results: null text has no words; a text shorter than a window loses
 nothing; a null doc_id counts as larger than any other and never makes another
@@ -36,7 +37,7 @@ from . import kernel as K
 LAST = np.iinfo(np.int64).max
 LOW = K.U(0xFFFFFFFF)
 #: Bytes of distinct super-k-mers that one minimiser may send to its bucket.
-HEAVY_BYTES = 32 << 20
+HEAVY_BYTES = 8 << 20
 
 
 class _Block:
@@ -61,9 +62,7 @@ class _Block:
         self.begin = self.starts[head]
         self.length = np.diff(np.append(head, len(spot)))
         self.mini = K.mix(best[head] >> K.U(32))
-        pre = np.zeros(len(hashes) + 1, K.U)
-        np.cumsum(hashes * K.powers(K.BASE, len(hashes)), out=pre[1:])
-        self.key = K.span_hash(pre, self.begin, self.begin + self.length + window - 1)
+        self.key = K.span_hash(K.prefix_hash(hashes), self.begin, self.begin + self.length + window - 1)
         self.window = window
         self.hashes = hashes
 
@@ -131,7 +130,10 @@ def _apart(b: _Block, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     which = np.empty(len(keys), np.int64)
     which[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(keys))))
     one = b.starts[at][order][heads]
-    second = K.run_hash(K.mix(b.hashes ^ K.U(0x0F0F0F0F0F0F0F0F)), b.window)[one].view(np.int64) if len(at) else np.zeros(0, np.int64)
+    second = np.zeros(0, np.int64)
+    if len(at):
+        words, _ = K.word_hashes(np.frombuffer(b.norm, np.uint8), np.array([0, len(b.norm)]), seed=1)
+        second = K.run_hash(words, b.window, seed=1)[one].view(np.int64)
     return at, keys[order][heads], second, np.minimum.reduceat(ids[order], heads) if len(heads) else ids[:0], which
 
 
@@ -168,7 +170,7 @@ def _least(own: np.ndarray, order: np.ndarray, heads: np.ndarray) -> np.ndarray:
 
 
 def sort_windows(ids: np.ndarray, starts: np.ndarray, window: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, heads) of windows of word names grouped by what they hold: by hash first, then all words of neighbours are compared, by their 64-bit names."""
+    """(order, heads) of windows of word names grouped by what they hold: by hash first, then all words of neighbours are compared, by their names."""
     order, heads = B.groups(keys)
     inner = np.ones(len(order), bool)
     inner[heads] = False
@@ -193,7 +195,9 @@ def _bucket(table: pa.Table, window: int) -> pa.Table:
     docs = [K.unpack(x, np.int64) for x in table["data"].to_pylist()]
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate(([0], np.flatnonzero(data == 0x0A) + 1))
-    hashes, first = K.word_hashes(data, offsets)
+    begin, end, first = K.word_spans(data, offsets)
+    hashes = K.told_apart(data, begin, end, K.word_hashes(data, offsets)[0])
+    del begin, end
     starts = np.flatnonzero(K.within(first, window))
     line = K.owner(first)[starts]
     own = np.concatenate(docs)[line]

@@ -6,7 +6,8 @@ one text of each digest that misses, appends those counts, and joins again.
 
 Inside a batch a text is cut where a space follows a byte that certainly ends a
 word. The byte-level pre-tokenizer never joins characters over such a place, so
-counts add up; equal units of a batch are encoded once, by the library.
+counts add up; equal units of a batch (by hash, then by their bytes) are encoded
+once, by the library.
 
 Defined results: null counts as empty and has no tokens; special tokens' strings
 in a text are handled as the library does by default; repeated rows and null
@@ -86,6 +87,7 @@ def count_batch(texts: pa.Array, path: str, whole: bool = False) -> np.ndarray:
             if x < y:
                 lo = starts[x]
                 keys[x:y] = K.span_hash(K.prefix_hash(part[lo : ends[y - 1]]), starts[x:y] - lo, ends[x:y] - lo)
+        keys = K.told_apart(part, starts, ends, keys)
         _, spot, back = np.unique(keys, return_index=True, return_inverse=True)
         raw = part.tobytes()
         tokens = np.array(count([raw[s:e].decode() for s, e in zip(starts[spot].tolist(), ends[spot].tolist())]), np.int64)
