@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import linerules as _lines
+
 _SPACE = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -65,3 +67,50 @@ OP10 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(flo
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+def _codes(rounds: int = 6) -> str:
+    """Assignments a0, books b1, .. as one step after another."""
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"a{i} AS MATERIALIZED (SELECT vec_id, part, min(16 * d + entry) % 16 AS entry, min(16 * d + entry) // 16 AS d FROM (SELECT x.vec_id, x.part, b.entry, sum((x.c - b.c) * (x.c - b.c)) AS d FROM x JOIN b{i} b ON x.part = b.part AND x.pos = b.pos GROUP BY ALL) GROUP BY vec_id, part)")
+        if i < rounds:
+            out.append(f"m{i} AS (SELECT x.part, a.entry, pos, sum(c) AS s, count(*) AS n FROM x JOIN a{i} a ON x.vec_id = a.vec_id AND x.part = a.part GROUP BY ALL)")
+            out.append(f"b{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, COALESCE((s - ((s % n) + n) % n) // n, c) AS c FROM b{i} b LEFT JOIN m{i} m ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos)")
+    return ",\n".join(out)
+
+
+OP11 = f"""WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS HUGEINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, (i - 1) // w AS part, (i - 1) % w AS pos, e[i] AS c FROM (SELECT vec_id, e, len(e) // 8 AS w, unnest(range(1, len(e) + 1)) AS i FROM v)),
+b0 AS MATERIALIZED (SELECT part, entry, pos, c FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT 16) f USING (vec_id)),
+{_codes()},
+e AS (SELECT vec_id, string_agg(printf('%02x', CAST(entry AS INT)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b6)
+SELECT e.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN v USING (vec_id), h"""
+
+
+def _text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+OP12 = f"""WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '{_SPACE}') AS w FROM documents),
+l AS (SELECT doc_id, line, regexp_extract_all(line, '{_SPACE}') AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+j AS (SELECT doc_id, line, len(w) AS n, regexp_matches(line, {_text(_lines.ENDING)}) AND 100 * len(list_filter(w, lambda x: x IN ({', '.join(map(_text, _lines.SEPARATORS))}))) <= {_lines.SEPARATED} * len(w)
+  AND 100 * len(list_filter(w, lambda x: regexp_matches(x, {_text(_lines.SHOUT)}))) <= {_lines.SHOUTED} * len(w) AND 100 * len(regexp_extract_all(line, {_text(_lines.SYMBOL)})) <= {_lines.SYMBOLS} * length(array_to_string(w, ''))
+  AND NOT (len(w) <= {_lines.SHORT} AND regexp_matches(line, {_text(_lines.phrase(_lines.MENU))})) AND NOT (len(w) <= {_lines.LONG} AND regexp_matches(line, {_text(_lines.phrase(_lines.BOILERPLATE))})) AS good FROM l WHERE len(w) > 0),
+p AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (NOT good) AS failed, COALESCE(sum(n) FILTER (NOT good), 0) AS lost FROM j GROUP BY doc_id),
+t AS ({_windows("d", "doc_id", "8")}),
+r AS (SELECT doc_id, count(DISTINCT q) AS again FROM (SELECT doc_id, unnest(range(s, s + 8)) AS q FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, win) AS c FROM t) WHERE c > 1) GROUP BY doc_id),
+f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, {_text(_lines.SYMBOL)})) AS BIGINT) AS n_symbols, CAST(COALESCE(dup, 0) AS BIGINT) AS n_dup_lines, CAST(COALESCE(again, 0) AS BIGINT) AS n_repeat_words, CAST(COALESCE(failed, 0) AS BIGINT) AS n_failed_lines, CAST(COALESCE(lost, 0) AS BIGINT) AS n_lost_words FROM d LEFT JOIN p USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * n_lost_words <= {_lines.LOST} * n_words AS kept FROM f"""
+
+_CRC = "xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, x: list_reduce(range(8), lambda b, y: xor(b >> 1, 3988292384 * (b & 1)), xor(a, x)), 4294967295), 4294967295)"
+OP13 = f"""WITH t AS (SELECT conv_id, list({{'r': COALESCE(role, ''), 't': COALESCE(text, '')}} ORDER BY turn NULLS FIRST) AS q FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, q, {_CRC} % 4 AS h FROM t),
+c AS MATERIALIZED (SELECT h.conv_id, list_concat(COALESCE(list_slice(b.q, 1, h), []), list_slice(h.q, h + 1, len(h.q))) AS q FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS MATERIALIZED (SELECT conv_id, d, md5(CAST(list_slice(q, 1, d) AS VARCHAR) || '/' || d) AS name, len(q) AS n, CASE WHEN d > 0 THEN len(regexp_extract_all(q[d].t, '{_SPACE}')) ELSE 0 END AS words FROM (SELECT conv_id, q, unnest(range(0, len(q) + 1)) AS d FROM c)),
+m AS MATERIALIZED (SELECT name, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, sha256(COALESCE(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256 FROM p GROUP BY name, d),
+u AS (SELECT m.name, o.name AS parent, up.conv_id AS parent_conv_id FROM m JOIN p o ON o.conv_id = m.conv_id AND o.d = m.d - 1 JOIN m up ON up.name = o.name),
+k AS (SELECT parent AS name, count(*) AS n_children FROM u GROUP BY parent),
+s AS (SELECT o.name, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum((m.n_convs - 1) * m.words) AS saved_tokens FROM m JOIN p o ON o.conv_id = m.conv_id AND o.d <= m.d LEFT JOIN k ON k.name = m.name GROUP BY o.name)
+SELECT m.conv_id, m.d AS depth, parent_conv_id, n_convs, COALESCE(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256 FROM m JOIN s USING (name) LEFT JOIN k USING (name) LEFT JOIN u USING (name)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, langmodel, oracles, pieces, prefixfree, quality, shared, superkmer, tokencount, topk, warc
+from . import annular, decontaminate, jaccard, langmodel, linerules, oracles, pieces, prefixfree, prefixtrie, quality, shared, superkmer, tokencount, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,18 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annular.quantise(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerules.judge(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_quality_classifier,
         op10_exact_top_k,
+        op11_vector_codes,
+        op12_quality_rules,
+        op13_conversation_trie,
     )
 }
 ORACLES: dict[str, str] = {
@@ -80,4 +95,7 @@ ORACLES: dict[str, str] = {
     "op7_suffix_array_dedup": oracles.OP7,
     "op8_substring_dedup": oracles.OP8,
     "op10_exact_top_k": oracles.OP10,
+    "op11_vector_codes": oracles.OP11,
+    "op12_quality_rules": oracles.OP12,
+    "op13_conversation_trie": oracles.OP13,
 }
