@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialpulse import catalog
 from trialpulse import config as C
-from trialpulse.operators import anomaly, clustering, master, rollup, rootcause, scoring, validation
+from trialpulse.operators import anomaly, clustering, master, models, rollup, rootcause, scoring, silhouette, validation
 from trialpulse.operators import recommend as R
 
 SMALL = "/root/testdata/sf0.001"
@@ -145,13 +145,124 @@ def test_empty_site_table_gives_no_anomalies(spark):
     assert anomaly.detect(site_rows(spark, [])).count() == 0
 
 
-def test_number_of_clusters_by_either_measure(spark):
+def blobs(spark, n=36, spread=0.3):
     rng = np.random.default_rng(5)
-    pts = [(i, *(float(v) for v in rng.normal(0, 0.3, 2) + [(0, 0), (6, 0), (0, 6)][i % 3])) for i in range(36)]
-    vec = clustering.vectors(spark.createDataFrame(pts, "id long, z_x double, z_y double").coalesce(1)).cache()
+    pts = [(i, *(float(v) for v in rng.normal(0, spread, 2) + [(0, 0), (6, 0), (0, 6)][i % 3])) for i in range(n)]
+    return clustering.vectors(spark.createDataFrame(pts, "id long, z_x double, z_y double")), np.array([p[1:] for p in pts])
+
+
+def test_number_of_clusters_by_either_measure(spark):
+    vec, _ = blobs(spark)
     assert clustering.choose_k(vec, 4, key="id") == 3 and clustering.choose_k(vec, 3) == 3
 
 
+@pytest.mark.parametrize("rows", [50_000, 10])
+def test_models_of_one_scan_are_those_of_single_fits(spark, rows, monkeypatch):
+    monkeypatch.setattr(models, "ROWS", rows)
+    vec, x = blobs(spark, 60, 1.5)
+    points = models.Points.of(vec, ["z_x", "z_y"])
+    assert points.parts == -(-60 // rows)
+    first = models.starts(points, 4, 3, 7)
+    assert all(min(((x - c) ** 2).sum(1)) == 0 for r in first for c in r) and len({tuple(map(tuple, r)) for r in first}) == 3
+    fits = models.lloyd(points, [2, 4], restarts=3, seed=7)
+    for m in fits:
+        c = first[m.restart, : m.k].copy()
+        for _ in range(300):
+            own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            new = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(m.k)])
+            if np.allclose(new, c, atol=1e-9):
+                break
+            c = new
+        assert np.allclose(m.centres, c, atol=1e-6) and m.cost == pytest.approx(((x - m.centres[((x[:, None] - m.centres[None]) ** 2).sum(2).argmin(1)]) ** 2).sum())
+    mixtures = models.expectation_maximisation(points, fits)
+    for m in mixtures:  # one more step by hand changes next to nothing, and the criteria follow from the likelihood
+        dens = np.array([w * np.exp(-0.5 * np.einsum("ni,ij,nj->n", x - mu, np.linalg.inv(s), x - mu)) / (2 * np.pi * np.sqrt(np.linalg.det(s))) for w, mu, s in zip(m.weights, m.means, m.covariances)]).T
+        assert m.score == pytest.approx(np.log(dens.sum(1)).mean()) and m.converged
+        p = m.k - 1 + m.k * 2 + m.k * 3
+        assert m.bic == pytest.approx(-2 * m.score * 60 + p * np.log(60)) and m.aic == pytest.approx(-2 * m.score * 60 + 2 * p)
+        r = dens / dens.sum(1, keepdims=True)
+        assert np.allclose(m.responsibilities(x)[0], r)
+        mu = (r.T @ x) / r.sum(0)[:, None]
+        assert np.log((dens).sum(1)).mean() > -10 and abs(mu - m.means).max() < 0.5
+
+
+def test_one_step_of_a_mixture(spark):
+    vec, x = blobs(spark, 45, 1.0)
+    points = models.Points.of(vec, ["z_x", "z_y"])
+    start = models.lloyd(points, [3], restarts=1)
+    (got,) = models.expectation_maximisation(points, start, most=1)
+    own = ((x[:, None] - start[0].centres[None]) ** 2).sum(2).argmin(1)
+    w, mu = np.bincount(own) / 45, np.array([x[own == k].mean(0) for k in range(3)])
+    s = np.array([np.cov(x[own == k].T, bias=True) for k in range(3)]) + 1e-6 * np.eye(2)
+    dens = np.array([a * np.exp(-0.5 * np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)) / (2 * np.pi * np.sqrt(np.linalg.det(c))) for a, m, c in zip(w, mu, s)]).T
+    r = dens / dens.sum(1, keepdims=True)
+    mean = (r.T @ x) / r.sum(0)[:, None]
+    assert np.allclose(got.weights, r.mean(0)) and np.allclose(got.means, mean)
+    assert np.allclose(got.covariances, [(r[:, k, None] * (x - mean[k])).T @ (x - mean[k]) / r[:, k].sum() + 1e-6 * np.eye(2) for k in range(3)])
+
+
+def test_mixture_tables(spark):
+    vec, _ = blobs(spark)
+    out, ranked = clustering.best_mixture(vec, 4, restarts=2)
+    shares = clustering.probabilities(out, ["id"]).toPandas()
+    assert len(shares) == 36 * ranked[0].k and np.allclose(shares.groupby("id").probability.sum(), 1)
+    table = clustering.criteria(spark, ranked).toPandas()
+    assert list(table.bic) == sorted(table.bic) and set(table.k) == {2, 3, 4} and (table.aic < table.bic).all()
+
+
+def silhouette_by_hand(x, label):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    out = []
+    for i in np.flatnonzero(label >= 0):
+        mine = (label == label[i]) & (np.arange(len(x)) != i)
+        others = [d[i][label == k].mean() for k in np.unique(label[label >= 0]) if k != label[i]]
+        a, b = (d[i][mine].mean() if mine.any() else None), min(others, default=None)
+        out.append(0.0 if a is None or b is None or max(a, b) == 0 else (b - a) / max(a, b))
+    return len(out), np.mean(out)
+
+
+@pytest.mark.parametrize("tile", [2048, 16, 1])
+def test_silhouettes_of_many_labellings_by_tiles(spark, tile):
+    _, x = blobs(spark, 40, 2.0)
+    rng = np.random.default_rng(1)
+    labels = np.stack([rng.integers(-1, 3, 40), np.arange(40) % 3, np.zeros(40, int), np.where(np.arange(40) == 5, 7, 1)], 1)
+    df = spark.createDataFrame([(i, *map(float, p), [int(v) for v in row]) for i, (p, row) in enumerate(zip(x, labels))], "id long, a double, b double, labels array<int>")
+    got = {r.labelling: (r.points, r.silhouette) for r in silhouette.silhouettes(df, "id", "labels", ["a", "b"], tile=tile).collect()}
+    for i in range(4):
+        n, s = silhouette_by_hand(x, labels[:, i])
+        assert got[i][0] == n and got[i][1] == pytest.approx(s, abs=1e-9)
+    assert silhouette.silhouettes(df.where("id < 0"), "id", "labels", ["a", "b"]).collect() == []
+
+
+def dbscan_by_hand(x, eps, least):
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= eps * eps
+    core = near.sum(1) >= least
+    root = np.where(core, np.arange(len(x)), len(x))
+    while True:
+        new = np.where(core, np.where(near & core[None], root[None], len(x)).min(1), len(x))
+        if (new == root).all():
+            break
+        root = new
+    border = np.where(near & core[None], root[None], len(x)).min(1)
+    names = {r: i for i, r in enumerate(sorted(set(root[core].tolist())))}
+    return [names[r] if r < len(x) else -1 for r in border.tolist()]
+
+
+@pytest.mark.parametrize("dims, eps, least, chunk", [(2, 0.35, 5, 1024), (2, 0.35, 5, 3), (3, 0.8, 4, 7), (5, 1.5, 3, 50), (2, 3.0, 5, 10), (1, 0.02, 2, 4)])
+def test_density_clusters_are_those_of_all_pairs(spark, dims, eps, least, chunk):
+    rng = np.random.default_rng(dims * 10 + least)
+    x = np.concatenate((rng.normal(0, 0.5, (70, dims)), rng.normal(3, 0.7, (50, dims)), rng.uniform(-4, 6, (40, dims))))[rng.permutation(160)].round(2)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, " + ", ".join(f"f{k} double" for k in range(dims))).repartition(3)
+    got = dict(map(tuple, clustering.dbscan(df, "id", [f"f{k}" for k in range(dims)], eps, least, chunk=chunk).collect()))
+    assert [got[i] for i in range(160)] == dbscan_by_hand(x, eps, least)
+
+
+def test_a_dense_cell_makes_no_pairs(spark):
+    df = spark.range(100_000).select("id", (F.col("id") % 1000 / 1e6).alias("x"), (F.floor(F.col("id") / 1000) / 1e6).alias("y"))
+    got = clustering.dbscan(df.union(spark.createDataFrame([(100_000, 0.9, 0.0), (100_001, 9.0, 9.0)], "id long, x double, y double")), "id", ["x", "y"], 1.0, 5)
+    assert {r.cluster_id: r["count"] for r in got.groupBy("cluster_id").count().collect()} == {0: 100_001, -1: 1}
+
+
 def test_dbscan_of_sites_uses_every_feature(spark):
     site = catalog.QUERIES["cluster_features"](spark, SMALL).toPandas()
     got = catalog.QUERIES["cluster_dbscan"](spark, SMALL).toPandas()

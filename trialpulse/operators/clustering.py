@@ -1,12 +1,7 @@
-"""Clustering of sites (CLU-1..10): features, MLlib models, DBSCAN by joins, metrics, profiles and archetypes."""
+"""Clustering of sites (CLU-1..10): features, models of every k in one scan, density clusters, metrics, profiles and archetypes."""
 
 from __future__ import annotations
 
-import math
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -14,6 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..plans.tables import staged
+from . import models as M
+from .cells import dbscan
+from .silhouette import silhouettes
+
+__all__ = ["dbscan"]
 
 FEATURES = ["avg_dqi_score", "subject_count", "sae_pending_count_sum", "missing_visit_count_sum", "lab_issues_count_sum", "missing_pages_count_sum", "uncoded_meddra_count_sum", "uncoded_whodd_count_sum"]
 DERIVED = ["high_risk_rate", "issue_rate"]
@@ -35,55 +35,67 @@ def vectors(featured: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(featured)
 
 
-#: Rows of a partition that models are fitted on: site tables are small, and a fit is many short jobs.
-FIT_ROWS = 50_000
-
-
-def fitted_on(vec: DataFrame) -> DataFrame:
-    """The table for repeated fits: in memory, in as few partitions as its rows call for."""
-    return vec.repartition(max(1, math.ceil(vec.count() / FIT_ROWS))).persist()
+def _names(vec: DataFrame) -> list[str]:
+    return [c for c in vec.columns if c.startswith("z_")]
 
 
-#: Restarts that Spark is given at a time.
-PARALLEL = 5
+def _assigned(vec: DataFrame, model: M.KMeans | M.Mixture) -> DataFrame:
+    """cluster_id, its probability, and the probabilities of all clusters."""
+    out = M.labelled(vec.drop("features"), _names(vec), [model]).withColumn("cluster_id", F.col("labels")[0])
+    return out.withColumn("cluster_probability", M.share_of(F.col("cluster_id"), F.col("shares"))).withColumnRenamed("shares", "probabilities").drop("labels")
 
 
-def _restarts(fit, vec: DataFrame, n: int) -> list:
-    """Models of n seeds, some at a time: each fit is a chain of short jobs, which Spark runs side by side."""
-    with ThreadPool(min(PARALLEL, n)) as pool:
-        return pool.map(inheritable_thread_target(vec.sparkSession)(fit), range(n))
+def _candidates(n: int, largest: int) -> list[int]:
+    return list(range(2, max(2, min(largest, n // 5 - 1)) + 1))
 
 
 def kmeans(vec: DataFrame, k: int, seed: int = 42, restarts: int = 10) -> DataFrame:
     """CLU-3: the restart with the smallest cost; pseudo-probabilities from inverse distances to the centres."""
-    models = _restarts(lambda i: KMeans(k=k, seed=seed + i, maxIter=300).fit(vec), vec, restarts)
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    x = vector_to_array("features")
-    distance = [F.sqrt(S.total([(x[i] - F.lit(float(c[i]))) ** 2 for i in range(len(c))])) for c in best.clusterCenters()]
-    inverse = [1 / (d + 1e-10) for d in distance]
-    out = best.transform(vec).withColumnRenamed("prediction", "cluster_id")
-    return out.withColumn("cluster_probability", F.element_at(F.array(*inverse), F.col("cluster_id") + 1) / S.total(inverse))
-
-
-def gaussian_mixture(vec: DataFrame, k: int, seed: int = 42, restarts: int = 10) -> tuple[DataFrame, float]:
-    """CLU-2: the restart with the best likelihood, and its BIC. Restarts that lose a component (weight near 0) only count if all do."""
-    d, n = len(vec.first()["features"]), vec.count()
-    models = _restarts(lambda i: GaussianMixture(k=k, seed=seed + i, maxIter=200).fit(vec), vec, restarts)
-    whole = [m for m in models if min(m.weights) > 1e-3] or models
-    best = max(whole, key=lambda m: m.summary.logLikelihood)
-    parameters = (k - 1) + k * d + k * d * (d + 1) // 2
-    bic = -2 * best.summary.logLikelihood + parameters * math.log(n)
-    out = best.transform(vec).withColumnRenamed("prediction", "cluster_id").withColumn("cluster_probability", F.array_max(vector_to_array("probability")))
-    return out, bic
+    fits = M.lloyd(M.Points.of(vec, _names(vec)), [k], restarts, seed)
+    return _assigned(vec, min(fits, key=lambda m: m.cost))
+
+
+def gaussian_mixture(vec: DataFrame, k: int, seed: int = 42, restarts: int = 10) -> tuple[DataFrame, M.Mixture]:
+    """CLU-2: the restart with the best likelihood, with its BIC and AIC."""
+    points = M.Points.of(vec, _names(vec))
+    fits = M.expectation_maximisation(points, M.lloyd(points, [k], restarts, seed))
+    best = max(fits, key=lambda m: m.score)
+    return _assigned(vec, best), best
+
+
+def best_kmeans(vec: DataFrame, key: str, largest: int = 10, seed: int = 42, restarts: int = 10) -> tuple[DataFrame, M.KMeans]:
+    """CLU-6: of k = 2 to min(largest, n // 5 - 1) that with the best mean silhouette. All models share their scans, and all silhouettes theirs."""
+    names = _names(vec)
+    points = M.Points.of(vec, names)
+    ks = _candidates(points.n, largest)
+    best = list(M.best_of_each(M.lloyd(points, ks, restarts, seed), lambda a, b: a.cost < b.cost).values())
+    all_ = staged(M.labelled(vec.select(key, *names), names, best).drop("shares"), "labelled")
+    got = {r.labelling: r.silhouette for r in silhouettes(all_, key, "labels", names).collect()}  # a row a k
+    chosen = best[max(range(len(best)), key=lambda i: (got.get(i) or 0.0, -i))]
+    return _assigned(vec, chosen), chosen
+
+
+def best_mixture(vec: DataFrame, largest: int = 10, seed: int = 42, restarts: int = 10) -> tuple[DataFrame, list[M.Mixture]]:
+    """CLU-6: of the same k the mixture with the lowest BIC; and the best mixture of every k, from the lowest BIC on."""
+    points = M.Points.of(vec, _names(vec))
+    fits = M.expectation_maximisation(points, M.lloyd(points, _candidates(points.n, largest), restarts, seed))
+    ranked = sorted(M.best_of_each(fits, lambda a, b: a.score > b.score).values(), key=lambda m: m.bic)
+    return _assigned(vec, ranked[0]), ranked
+
+
+def criteria(spark, ranked: list[M.Mixture]) -> DataFrame:
+    """CLU-2: what a choice among mixtures goes by, a row a k."""
+    return spark.createDataFrame([(m.k, m.score * m.n, m.bic, m.aic, m.rounds, m.converged) for m in ranked], "k int, log_likelihood double, bic double, aic double, rounds int, converged boolean")
+
+
+def probabilities(assigned: DataFrame, keys: list[str]) -> DataFrame:
+    """CLU-2: a row for each row and cluster."""
+    return assigned.select(*keys, F.posexplode("probabilities").alias("cluster_id", "probability"))
 
 
 def choose_k(vec: DataFrame, largest: int = 10, seed: int = 42, key: str | None = None) -> int:
-    """CLU-6: k of 2 to min(largest, n // 5 - 1) with the lowest BIC of a mixture or, with the ``key`` of a row, the best silhouette of k-means."""
-    ks = range(2, max(2, min(largest, vec.count() // 5 - 1)) + 1)
-    if key is None:
-        return min(ks, key=lambda k: gaussian_mixture(vec, k, seed)[1])
-    names = [c for c in vec.columns if c.startswith("z_")]
-    return max(ks, key=lambda k: silhouette(staged(kmeans(vec, k, seed).select(key, "cluster_id", *names), "labelled"), key, "cluster_id", names).first().silhouette)
+    """CLU-6: the chosen k, by the BIC of mixtures or, with the ``key`` of a row, by silhouettes of k-means."""
+    return best_mixture(vec, largest, seed)[1][0].k if key is None else best_kmeans(vec, key, largest, seed)[1].k
 
 
 def principal_components(vec: DataFrame, k: int = 2) -> DataFrame:
@@ -97,37 +109,6 @@ def _square(a: list[Column], b: list[Column]) -> Column:
     return S.total([(x - y) * (x - y) for x, y in zip(a, b)])
 
 
-def dbscan(points: DataFrame, key: str, dims: list[str], eps: float, least: int) -> DataFrame:
-    """CLU-4: (key, cluster_id), -1 for noise. Pairs meet by grid cell of side eps in the first three dimensions, so only neighbours are compared, by all dimensions; clusters are numbered by their smallest core key."""
-    sides = dims[:3]
-    grid = [F.floor(F.col(c) / eps).alias(f"g_{c}") for c in sides]
-    cells = staged(points.select(key, *dims, *grid), "cells")
-    near = cells
-    for c in sides:  # the cell and its two neighbours in each
-        near = near.withColumn(f"g_{c}", F.explode(F.array(*(F.col(f"g_{c}") + d for d in (-1, 0, 1)))))
-    a, b = cells.alias("a"), near.alias("b")
-    on = [F.col(f"a.g_{c}") == F.col(f"b.g_{c}") for c in sides]
-    condition = on[0]
-    for o in on[1:]:
-        condition = condition & o
-    pairs = staged(a.join(b, condition & (_square([F.col(f"a.{c}") for c in dims], [F.col(f"b.{c}") for c in dims]) <= eps * eps)).select(F.col(f"a.{key}").alias("p"), F.col(f"b.{key}").alias("q")), "pairs")
-    core = staged(pairs.groupBy("p").count().where(F.col("count") >= least).select("p"), "core")
-    links = staged(pairs.join(core, "p", "left_semi").join(core.select(F.col("p").alias("q")), "q", "left_semi").select("p", "q"), "links")
-    labels = staged(core.select("p", F.col("p").alias("root")), "labels")
-    while True:
-        best = links.join(labels.select(F.col("p").alias("q"), "root"), "q").groupBy("p").agg(F.min("root").alias("best"))
-        jump = labels.alias("x").join(labels.alias("y"), F.col("x.root") == F.col("y.p")).select("x.p", F.col("y.root").alias("far"))
-        new = staged(labels.join(best, "p").join(jump, "p").select("p", F.least("root", "best", "far").alias("root"), (F.least("best", "far") < F.col("root")).alias("moved")), "labels")
-        labels = new.select("p", "root")
-        if not new.where("moved").head(1):
-            break
-    border = pairs.join(labels.select(F.col("p").alias("q"), "root"), "q").groupBy("p").agg(F.min("root").alias("root"))
-    roots = labels.select("root").distinct()
-    numbered = S.numbered(roots, "root").select("root", F.col("number").cast("int").alias("cluster_id"))
-    out = points.select(key).join(labels.union(border.join(core, "p", "left_anti")).withColumnRenamed("p", key), key, "left")
-    return out.join(numbered, "root", "left").select(key, F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
-
-
 def metrics(points: DataFrame, label: str, dims: list[str]) -> DataFrame:
     """CLU-7: Calinski-Harabasz and Davies-Bouldin, by aggregates; noise (-1) left out."""
     df = points.where(F.col(label) >= 0)
@@ -144,13 +125,9 @@ def metrics(points: DataFrame, label: str, dims: list[str]) -> DataFrame:
 
 
 def silhouette(points: DataFrame, key: str, label: str, dims: list[str]) -> DataFrame:
-    """CLU-7: Euclidean silhouette over all pairs of a site-grain table: distances aggregate per point and cluster, never per pair in the result."""
-    a, b = points.where(F.col(label) >= 0).alias("a"), points.where(F.col(label) >= 0).alias("b")
-    d = F.sqrt(_square([F.col(f"a.{c}") for c in dims], [F.col(f"b.{c}") for c in dims]))
-    per = a.join(b, F.col(f"a.{key}") != F.col(f"b.{key}")).groupBy(F.col(f"a.{key}").alias("p"), F.col(f"a.{label}").alias("own"), F.col(f"b.{label}").alias("other")).agg(F.avg(d).alias("d"))
-    one = per.groupBy("p").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("b"))
-    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return one.agg(F.avg(s).alias("silhouette"))
+    """CLU-7: the mean Euclidean silhouette of one labelling; noise (-1) left out."""
+    rows = points.select(key, *dims, F.array(F.col(label).cast("int")).alias("_labels"))
+    return silhouettes(rows, key, "_labels", dims).select("points", "silhouette")
 
 
 # Issues of a profile and the archetypes' interventions.

@@ -16,6 +16,7 @@ from .. import config as C
 from ..operators import anomaly, clustering, graph, master, perspectives, recommend, rollup, rootcause, scoring, validation
 from ..sources import files, workbook
 from . import projection
+from .tables import staged
 
 log = logging.getLogger(__name__)
 
@@ -35,8 +36,8 @@ def _clusters(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """CLU-1..9, JN-8: k-means with the k of the best silhouette; the sites carry their cluster's name."""
     site = t["site"]
     names = [f"z_{f}" for f in clustering.FEATURES]
-    vec = clustering.fitted_on(clustering.vectors(clustering.features(site)).withColumn("site_key", F.concat_ws("|", *C.SITE_KEYS)))
-    labelled = site.join(clustering.kmeans(vec, clustering.choose_k(vec, largest=DEFAULTS["clusters"]["largest"], key="site_key")).select(*C.SITE_KEYS, "cluster_id", *names), C.SITE_KEYS)
+    vec = staged(clustering.vectors(clustering.features(site)).withColumn("site_key", F.concat_ws("|", *C.SITE_KEYS)), "vectors")
+    labelled = site.join(clustering.best_kmeans(vec, "site_key", DEFAULTS["clusters"]["largest"])[0].select(*C.SITE_KEYS, "cluster_id", *names), C.SITE_KEYS)
     profile = clustering.profiles(labelled)
     return {"cluster_profiles": profile, "cluster_sites": clustering.named_sites(labelled, profile), "cluster_heatmap": clustering.heatmap(labelled, names)}
 

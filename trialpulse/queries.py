@@ -262,15 +262,15 @@ register("cluster_features", f"SELECT study, site_id, country, region, {_z} FROM
 
 
 def _vectors(d: Domain) -> DataFrame:
-    return clustering.fitted_on(staged(clustering.vectors(clustering.features(d.site)).withColumn("site_key", F.concat_ws("|", *C.SITE_KEYS)), "vectors"))
+    return staged(clustering.vectors(clustering.features(d.site)).withColumn("site_key", F.concat_ws("|", *C.SITE_KEYS)), "vectors")
 
 
 def _kmeans(vec: DataFrame) -> DataFrame:
-    return clustering.kmeans(vec, clustering.choose_k(vec, key="site_key"))
+    return clustering.best_kmeans(vec, "site_key")[0]
 
 
 def _mixture(vec: DataFrame) -> DataFrame:
-    return clustering.gaussian_mixture(vec, clustering.choose_k(vec))[0]
+    return clustering.best_mixture(vec)[0]
 
 
 def _dbscan(vec: DataFrame) -> DataFrame:
