@@ -1,6 +1,7 @@
 """Rules of the index and its analyses, on small tables with known answers."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,19 +299,46 @@ def test_percentiles_are_exact_in_two_passes(spark):
     from trialpulse.functions import stats as S
 
     df = spark.range(30_000).select((F.xxhash64("id") % 100_000).cast("double").alias("x"), (F.col("id") % 2).alias("g")).withColumn("x", F.when(F.col("x") > -90_000, F.col("x")))
-    for p in (0.0, 0.5, 0.9, 1.0):
-        near, x = S.near_percentile(df, F.col("x"), p)
-        assert near.agg(F.percentile(x, F.lit(p))).first()[0] == df.agg(F.percentile("x", F.lit(p))).first()[0]
-        assert 0.0 < p < 1.0 and near.select(x).distinct().count() < 100 or p in (0.0, 1.0)
-    near, x = S.near_percentile(df, F.col("x"), 0.9, ("g",))
-    assert sorted(near.groupBy("g").agg(F.percentile(x, F.lit(0.9))).collect()) == sorted(df.groupBy("g").agg(F.percentile("x", F.lit(0.9))).collect())
+    shares = (0.0, 0.5, 0.9, 1.0)
+    got = S.percentiles(df, **{f"p{i}": (F.col("x"), p) for i, p in enumerate(shares)}, none=(F.when(F.col("x") > 1e9, F.col("x")), 0.5)).first()
+    assert [got[f"p{i}"] for i in range(4)] == [df.agg(F.percentile("x", F.lit(p))).first()[0] for p in shares] and got.none is None
+
+
+def test_ranks_of_ranges_are_those_of_whole_groups(spark):
+    from trialpulse.functions import stats as S
+
+    rng = np.random.default_rng(9)
+    pairs = pd.DataFrame({"g": rng.integers(0, 3, 900), "x": np.where(rng.random(900) < 0.4, 0.0, rng.integers(0, 60, 900) / 7), "y": rng.integers(0, 50, 900) * 1.0})
+    pairs.loc[pairs.g == 2, "y"] = 1.0
+    got = {r.g: (r.n, r.correlation) for r in S.spearman(spark.createDataFrame(pairs), ["g"]).collect()}
+    for g, rows in pairs.groupby("g"):
+        want = rows.x.rank().corr(rows.y.rank())
+        assert got[g][0] == len(rows) and (got[g][1] is None if g == 2 else got[g][1] == pytest.approx(want))
+
+
+def test_folds_by_subtraction_are_those_of_copies(spark):
+    rng = np.random.default_rng(4)
+    rows = [("s", str(i), f"site{i % 4}", {"lab_issues_count": int(rng.integers(0, 9)) if i % 3 else 0, "missing_visit_count": int(i % 29 == 0) * int(i), "sae_pending_count": int(i % 40 == 0)}) for i in range(240)]
+    risk = scoring.subject_risk(scoring.score_subjects(subjects(spark, rows)))
+    folded = validation.folds(risk)
+    refs = validation.fold_references(folded, 5).first().refs
+    table, names = folded.toPandas(), list(validation.WEIGHTS)
+    for f in range(1, 6):
+        for train in (0, 1):
+            part = table[(table.fold != f) == bool(train)]
+            for i, c in enumerate(names):
+                x = part[c][part[c] > 0].astype(float)
+                want = max(1.0, (np.percentile(x, 95) if len(x) >= C.MIN_FOR_P95 else x.max()) if len(x) else 1.0)
+                assert refs[((f - 1) * 2 + train) * len(names) + i] == pytest.approx(want)
+    plan = validation.predictions(folded)._jdf.queryExecution().toString()
+    assert validation.predictions(folded).count() == 240 and "Expand" not in plan
 
 
 def test_sensitivity_counts_repeated_subjects_once_a_row(spark):
     rows = [("s", str(i), f"site{i % 3}", {"lab_issues_count": i % 5, "sae_pending_count": int(i % 9 == 0)}) for i in range(30)] + [("s", "4", "site1", {"lab_issues_count": 4})]
     risk = scoring.subject_risk(scoring.score_subjects(subjects(spark, rows)))
     got = {r.scenario: r for r in validation.sensitivity(risk).collect()}
-    assert set(got) == set(validation.scenarios()) and len(validation.scenarios(random=True)) == 10
+    assert set(got) == set(validation.scenarios()) and len(got) == 10
     assert all(r.high_count + r.medium_count + r.low_count == 31 for r in got.values())
     assert got["Baseline"].category_shifts == 0 and {r.rank_correlation for r in got.values()} == {1.0} and got["Baseline"].sae_capture_pct == 100.0
 

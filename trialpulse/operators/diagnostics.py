@@ -45,6 +45,7 @@ def level_risk(site: DataFrame, keys: list[str], high: tuple[float, float] = (0.
     """AGG-16: any level over site rows with percentile thresholds and floors; twice the floors where nothing is above 0."""
     out = present(site, keys).groupBy(*keys).agg(F.count("*").alias("site_count"), F.sum("subject_count").alias("subject_count"), S.r10(F.avg("avg_dqi_score")).alias("avg_dqi_score"), F.sum("high_risk_count").alias("high_risk_subjects"))
     x = F.when(F.col("avg_dqi_score") > 0, F.col("avg_dqi_score"))
-    cuts = S.one_row(out, *(F.when(F.count(x) == 0, 2 * floor).otherwise(S.r10(F.greatest(F.percentile(x, F.lit(p)), F.lit(floor)))).alias(n) for n, (p, floor) in (("_high", high), ("_medium", medium))))
+    found = S.percentiles(out, _high=(x, high[0]), _medium=(x, medium[0]))
+    cuts = F.broadcast(found.select(*(F.when(F.col(n).isNull(), 2 * floor).otherwise(S.r10(F.greatest(F.col(n), F.lit(floor)))).alias(n) for n, (_, floor) in (("_high", high), ("_medium", medium)))))
     a = F.col("avg_dqi_score")
     return out.crossJoin(cuts).withColumn("risk_category", F.when(a >= F.col("_high"), "High").when(a >= F.col("_medium"), "Medium").otherwise("Low")).drop("_high", "_medium")

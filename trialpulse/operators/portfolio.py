@@ -46,7 +46,7 @@ def region_comparison(region: DataFrame, site: DataFrame) -> DataFrame:
 
 def anomaly_line(scores: DataFrame) -> DataFrame:
     """APP-7."""
-    return scores.agg(S.r10(F.percentile("anomaly_score", F.lit(0.9))).alias("p90"))
+    return S.percentiles(scores, p90=(F.col("anomaly_score"), 0.9)).select(S.r10(F.col("p90")).alias("p90"))
 
 
 def strongest_pair(pairs: DataFrame) -> DataFrame:

@@ -39,11 +39,8 @@ def _positive(column: str) -> Column:
 def site_risk(metrics: DataFrame, high=C.SITE_HIGH, medium=C.SITE_MEDIUM) -> DataFrame:
     """DQI-7: thresholds over sites above 0, with floors. high, medium: (percentile, floor, value where no site is above 0)."""
     x = _positive("avg_dqi_score")
-
-    def cut(percentile: float, floor: float, fallback: float) -> Column:
-        return F.when(F.count(x) == 0, fallback).otherwise(S.r10(F.greatest(F.percentile(x, F.lit(percentile)), F.lit(floor))))
-
-    cuts = S.one_row(metrics, cut(*high).alias("_high"), cut(*medium).alias("_medium"))
+    found = S.percentiles(metrics, _high=(x, high[0]), _medium=(x, medium[0]))
+    cuts = F.broadcast(found.select(*(F.when(F.col(n).isNull(), fallback).otherwise(S.r10(F.greatest(F.col(n), F.lit(floor)))).alias(n) for n, (_, floor, fallback) in (("_high", high), ("_medium", medium)))))
     avg = F.col("avg_dqi_score")
     out = metrics.crossJoin(cuts).withColumn("site_risk_category", F.when(avg >= F.col("_high"), "High").when(avg >= F.col("_medium"), "Medium").otherwise("Low"))
     return out.drop("_high", "_medium")

@@ -99,7 +99,8 @@ def quantile_bins(df: DataFrame, column: str, labels: list[str]) -> Column:
 
 
 def quantile_edges(df: DataFrame, column: str, n: int) -> DataFrame:
-    return F.broadcast(df.agg(F.percentile(F.col(column).cast("double"), F.array(*(F.lit(i / n) for i in range(n + 1)))).alias("_edges")))
+    x = F.col(column).cast("double")
+    return F.broadcast(S.percentiles(df, **{f"e{i}": (x, i / n) for i in range(n + 1)}).select(F.array(*(f"e{i}" for i in range(n + 1))).alias("_edges")))
 
 
 SIZE_LABELS = ["Small", "Medium", "Large", "Very Large"]

@@ -31,10 +31,10 @@ def reference_max(typed: DataFrame, floor: float | None = None, by: tuple[str, .
     return typed.groupBy(*by).agg(*out)
 
 
-def component(f: str, weight: Column | float, presence: float = 0.5) -> Column:
+def component(f: str, weight: Column | float, presence: float = 0.5, ref: Column | None = None) -> Column:
     """DQI-2: weight times presence and relative severity."""
     x = F.col(f).cast("double")
-    severity = F.least(F.greatest(x / F.col(f"{f}_ref"), F.lit(0.0)), F.lit(1.0))
+    severity = F.least(F.greatest(x / (F.col(f"{f}_ref") if ref is None else ref), F.lit(0.0)), F.lit(1.0))
     w = weight if isinstance(weight, Column) else F.lit(weight)
     return w * (F.lit(presence) * (x > 0).cast("double") + F.lit(1 - presence) * severity)
 
@@ -48,13 +48,15 @@ def score_subjects(master: DataFrame, floor: float | None = None) -> DataFrame:
     return scored.withColumn("dqi_score", S.r10(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))).drop(*(f"{f}_ref" for f in WEIGHTS))
 
 
-def subject_threshold(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """DQI-5: the high threshold, one row (a group), exact in two passes."""
-    eligible = F.when((F.col("n_issue_types") > 0) & (F.col("sae_pending_count") == 0), F.col("dqi_score"))
-    scored, eligible = S.near_percentile(scored, eligible, C.SUBJECT_PERCENTILE, by)
-    value = F.coalesce(F.greatest(F.percentile(eligible, F.lit(C.SUBJECT_PERCENTILE)), F.lit(C.SUBJECT_FLOOR)), F.lit(C.SUBJECT_FALLBACK))
-    none = F.when(F.count(eligible) == 0, F.lit(C.SUBJECT_FALLBACK)).otherwise(S.r10(value))
-    return scored.groupBy(*by).agg(none.alias("threshold"))
+def subject_thresholds(df: DataFrame, scores: dict[str, Column]) -> DataFrame:
+    """DQI-5: the high threshold of each named score (null where a row doesn't count), one row, exact in two passes."""
+    eligible = (F.col("n_issue_types") > 0) & (F.col("sae_pending_count") == 0)
+    found = S.percentiles(df, **{n: (F.when(eligible, s), C.SUBJECT_PERCENTILE) for n, s in scores.items()})
+    return found.select(*(F.when(F.col(n).isNull(), F.lit(C.SUBJECT_FALLBACK)).otherwise(S.r10(F.greatest(F.col(n), F.lit(C.SUBJECT_FLOOR)))).alias(n) for n in scores))
+
+
+def subject_threshold(scored: DataFrame) -> DataFrame:
+    return subject_thresholds(scored, {"threshold": F.col("dqi_score")})
 
 
 def category(threshold: Column, score: Column | None = None) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from random import Random
+import hashlib
+import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -33,24 +34,36 @@ def folds(risk: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     return met.withColumn("fold", fold.cast("int")).select(*risk.columns, "fold")
 
 
-def _score(df: DataFrame, floor: float = 1.0) -> DataFrame:
-    """Scores within (fold, part): each part with its own reference maxima."""
-    refs = scoring.reference_max(df, floor, by=("fold", "part"))
-    scored = df.join(F.broadcast(refs), ["fold", "part"])
-    raw = S.total([scoring.component(f, w) for f, w in WEIGHTS.items()])
-    return scored.withColumn("dqi_score", S.r10(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))).drop(*(f"{f}_ref" for f in WEIGHTS))
+def fold_references(folded: DataFrame, k: int, floor: float = 1.0) -> DataFrame:
+    """VLD-2: one row with ``refs``: the reference maximum of every feature for the test and the training part of every fold, at place ((fold - 1) * 2 + training) * features + feature. One scan counts the values of each feature by fold; a training part is all counts but its fold's own, so no subject is copied."""
+    names = list(WEIGHTS)
+    value = F.array(*(F.struct(F.lit(i).alias("feature"), F.col(f).cast("double").alias("value")) for i, f in enumerate(names)))
+    counts = folded.select("fold", F.explode(value).alias("v")).select("fold", "v.*").where("value > 0").groupBy("fold", "feature", "value").agg(F.count("*").alias("n"))
+    each = folded.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("_f"))  # k rows
+    parts = counts.crossJoin(F.broadcast(each)).withColumn("place", ((F.col("_f") - 1) * 2 + (F.col("fold") != F.col("_f")).cast("int")) * len(names) + F.col("feature"))
+    p95 = F.percentile("value", F.lit(0.95), F.col("n"))
+    ref = F.when(F.sum("n") >= C.MIN_FOR_P95, p95).otherwise(F.max("value"))
+    some = parts.groupBy("place").agg(F.greatest(ref, F.lit(floor)).alias("ref"))
+    grid = folded.sparkSession.range(k * 2 * len(names)).select(F.col("id").cast("int").alias("place"))
+    all_ = grid.join(F.broadcast(some), "place", "left").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("ref", F.greatest(F.lit(1.0), F.lit(floor))).alias("ref")))).alias("all"))
+    return all_.select(F.transform("all", lambda r: r["ref"]).alias("refs"))
 
 
 def predictions(folded: DataFrame, k: int = 5) -> DataFrame:
-    """VLD-2, VLD-9: for every fold, threshold from the other folds, scores and categories of its own subjects. One plan for all folds: rows meet the k fold numbers."""
-    fold_ids = folded.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("_f"))  # k rows
-    wide = folded.drop("dqi_score").withColumnRenamed("risk_category", "original").withColumnRenamed("fold", "own").crossJoin(F.broadcast(fold_ids))
-    wide = wide.withColumn("part", F.when(F.col("own") == F.col("_f"), "test").otherwise("train")).withColumnRenamed("_f", "fold")
-    scored = _score(wide)
-    cut = scoring.subject_threshold(scored.where("part = 'train'"), by=("fold",)).withColumnRenamed("threshold", "threshold_used")
-    test = scored.where("part = 'test'").drop("threshold").join(F.broadcast(cut), "fold")
-    out = test.withColumn("risk_category_pred", scoring.category(F.col("threshold_used")))
-    return out.select("study", "subject_id", "site_id", "fold", "threshold_used", "sae_pending_count", F.col("original").alias("risk_category"), "risk_category_pred", F.col("dqi_score").alias("dqi_score_pred"), (F.col("original") == F.col("risk_category_pred")).alias("prediction_correct"))
+    """VLD-2, VLD-9: for every fold, threshold from the other folds, scores and categories of its own subjects. A subject keeps in one row its own fold's test score and the training scores of the others."""
+    def score(at) -> Column:
+        raw = S.total([scoring.component(f, w, ref=F.col("refs")[at + i]) for i, (f, w) in enumerate(WEIGHTS.items())])
+        return S.r10(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))
+
+    rows = folded.drop("dqi_score", "threshold").crossJoin(F.broadcast(fold_references(folded, k)))
+    n = len(WEIGHTS)
+    train = {f"t{f}": F.when(F.col("fold") != f, score(((f - 1) * 2 + 1) * n)) for f in range(1, k + 1)}
+    rows = rows.select("study", "subject_id", "site_id", "fold", "sae_pending_count", "n_issue_types", "risk_category", score((F.col("fold") - 1) * 2 * n).alias("dqi_score"), *(s.alias(c) for c, s in train.items()))
+    rows = staged(rows, "fold_scores")
+    cuts = scoring.subject_thresholds(rows, {c: F.col(c) for c in train}).select(F.array(*train).alias("_cuts"))
+    out = rows.crossJoin(F.broadcast(cuts)).withColumn("threshold_used", F.col("_cuts")[F.col("fold") - 1])
+    out = out.withColumn("risk_category_pred", scoring.category(F.col("threshold_used")))
+    return out.select("study", "subject_id", "site_id", "fold", "threshold_used", "sae_pending_count", "risk_category", "risk_category_pred", F.col("dqi_score").alias("dqi_score_pred"), (F.col("risk_category") == F.col("risk_category_pred")).alias("prediction_correct"))
 
 
 def fold_results(pred: DataFrame, total: DataFrame) -> DataFrame:
@@ -74,16 +87,25 @@ def rank_correlation(pred: DataFrame, least: int = 10) -> DataFrame:
     a, b = sites.alias("a"), sites.alias("b")
     pairs = a.join(b, (F.col("a.study") == F.col("b.study")) & (F.col("a.site_id") == F.col("b.site_id")) & (F.col("a.fold") < F.col("b.fold"))).select(F.col("a.fold").alias("fold_a"), F.col("b.fold").alias("fold_b"), F.col("a.score").alias("x"), F.col("b.score").alias("y"))
     by = ["fold_a", "fold_b"]
-    ranked = pairs.withColumns({"rx": S.average_rank("x", by), "ry": S.average_rank("y", by)})
-    return ranked.groupBy(*by).agg(F.count("*").alias("common_sites"), F.round(S.r10(S.correlation("rx", "ry")), 6).alias("correlation")).where(F.col("common_sites") > least)
+    got = S.spearman(pairs, by)
+    return got.select(*by, F.col("n").alias("common_sites"), F.round(S.r10(F.col("correlation")), 6).alias("correlation")).where(F.col("common_sites") > least)
 
 
 # The scenarios' names and how they change the weights.
 SCENARIO_STEPS = [10, 20, 30]
 
 
-def scenarios(random: bool = False, seed: int = 42) -> dict[str, dict[str, float]]:
-    """VLD-8: baseline, all weights scaled and set to sum 1 again, equal, ``random`` (exponential draws of a seed, set to sum 1), inverted."""
+#: The seed of the random scenario.
+SEED = 42
+
+
+def uniform(seed: int, name: str) -> float:
+    """A number in (0, 1) that hangs on the seed and the name alone: 52 bits of an MD5. The same in SQL."""
+    return (int(hashlib.md5(f"{seed}|{name}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+
+
+def scenarios(seed: int = SEED) -> dict[str, dict[str, float]]:
+    """VLD-8: baseline, all weights scaled and set to sum 1 again, equal, random (a flat Dirichlet draw: exponentials set to sum 1), inverted."""
     def scaled(by: float) -> dict[str, float]:
         w = {k: max(0.01, min(1.0, v * by)) for k, v in WEIGHTS.items()}
         return {k: v / sum(w.values()) for k, v in w.items()}
@@ -92,10 +114,8 @@ def scenarios(random: bool = False, seed: int = 42) -> dict[str, dict[str, float
     for pct in SCENARIO_STEPS:
         out |= {f"All +{pct}%": scaled(1 + pct / 100), f"All -{pct}%": scaled(1 - pct / 100)}
     out["Equal Weights"] = dict.fromkeys(WEIGHTS, 1 / len(WEIGHTS))
-    if random:
-        draw = Random(seed)
-        w = {k: draw.expovariate(1.0) for k in WEIGHTS}
-        out["Random"] = {k: v / sum(w.values()) for k, v in w.items()}
+    w = {k: -math.log(uniform(seed, k)) for k in WEIGHTS}
+    out["Random Weights"] = {k: v / sum(w.values()) for k, v in w.items()}
     out["Inverted"] = dict(zip(sorted(WEIGHTS, key=lambda k: WEIGHTS[k]), sorted(WEIGHTS.values(), reverse=True)))
     return out
 
@@ -108,10 +128,9 @@ def sensitivity(risk: DataFrame, floor: float = 1.0, least: int = 10) -> DataFra
     scores = {f"s{i}": S.r10(F.least(S.total([scoring.component(f, w[f]) for f in WEIGHTS]), F.lit(1.0))) for i, w in enumerate(names.values())}
     wide = staged(with_refs.select("study", "subject_id", "site_id", "sae_pending_count", "n_issue_types", *(s.alias(k) for k, s in scores.items())), "scenarios")
     numbered = list(enumerate(names))
-    long = wide.select("sae_pending_count", "n_issue_types", F.explode(F.array(*(F.struct(F.lit(n).alias("scenario"), F.col(f"s{i}").alias("dqi_score")) for i, n in numbered))).alias("s")).select("*", "s.*").drop("s")
-    cuts = scoring.subject_threshold(long, by=("scenario",))
-    cut = F.broadcast(cuts.agg(F.map_from_entries(F.collect_list(F.struct("scenario", "threshold"))).alias("_cuts")))  # one row
-    rated = wide.crossJoin(cut).select("sae_pending_count", *(scoring.category(F.col("_cuts")[n], F.col(f"s{i}")).alias(f"r{i}") for i, n in numbered))
+    cuts = scoring.subject_thresholds(wide, {f"s{i}": F.col(f"s{i}") for i, _ in numbered})
+    cut = F.broadcast(cuts.select(F.array(*(f"s{i}" for i, _ in numbered)).alias("_cuts")))  # one row
+    rated = wide.crossJoin(cut).select("sae_pending_count", *(scoring.category(F.col("_cuts")[i], F.col(f"s{i}")).alias(f"r{i}") for i, n in numbered))
     sae = F.col("sae_pending_count") > 0
     pieces = []
     for i, n in numbered:
@@ -122,6 +141,5 @@ def sensitivity(risk: DataFrame, floor: float = 1.0, least: int = 10) -> DataFra
     counts = rated.agg(F.count("*").alias("_n"), F.array(*pieces).alias("all")).where("_n > 0").select(F.explode("all").alias("c")).select("c.*")
     sites = wide.where("site_id is not null and site_id <> ''").groupBy("study", "site_id").agg(*(S.r10(F.avg(f"s{i}")).alias(f"s{i}") for i, _ in numbered))
     pairs = sites.select(F.explode(F.array(*(F.struct(F.lit(n).alias("scenario"), F.col(f"s{i}").alias("x"), F.col("s0").alias("y")) for i, n in numbered))).alias("s")).select("s.*")
-    ranked = pairs.withColumns({"rx": S.average_rank("x", ["scenario"]), "ry": S.average_rank("y", ["scenario"])})
-    corr = ranked.groupBy("scenario").agg(F.when(F.count("*") > least, F.round(S.r10(S.correlation("rx", "ry")), 4)).otherwise(1.0).alias("rank_correlation"))
+    corr = S.spearman(pairs, ["scenario"]).select("scenario", F.when(F.col("n") > least, F.round(S.r10(F.col("correlation")), 4)).otherwise(1.0).alias("rank_correlation"))
     return counts.join(F.broadcast(corr), "scenario", "left").fillna(1.0, ["rank_correlation"])

@@ -359,7 +359,7 @@ def _category(score: str, threshold: str) -> str:
 
 
 def _validation() -> dict[str, str]:
-    from .operators.validation import scenarios
+    from .operators.validation import SEED, scenarios
 
     out = {}
     out["folded"] = "SELECT *, CAST(ntile(5) OVER (PARTITION BY risk_category ORDER BY md5(concat_ws('|', study, subject_id, '42')), study, subject_id) AS INT) AS own FROM risk"
@@ -375,8 +375,10 @@ def _validation() -> dict[str, str]:
     out["foldcorr"] = "SELECT fold_a, fold_b, count(*) AS common_sites, round(round(corr(rx, ry), 10), 6) AS correlation FROM foldranks GROUP BY fold_a, fold_b HAVING count(*) > 10"
     out["sensrefs"] = "SELECT " + ", ".join(_reference(f) for f in W) + " FROM risk"
     rows = []
+    draw = {f: f"-ln((CAST('0x' || substring(md5('{SEED}|{f}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)" for f in W}
+    drawn = " + ".join(f"({d})" for d in draw.values())
     for name, w in scenarios().items():
-        total = " + ".join(_component(f, f"CAST({w[f]!r} AS DOUBLE)") for f in W)
+        total = " + ".join(_component(f, f"(({draw[f]}) / ({drawn}))" if name == "Random Weights" else f"CAST({w[f]!r} AS DOUBLE)") for f in W)
         base = " + ".join(_component(f, f"CAST({WEIGHT!r} AS DOUBLE)") for f, WEIGHT in W.items())
         rows.append(f"SELECT study, subject_id, site_id, sae_pending_count, n_issue_types, '{name}' AS scenario, round(LEAST({total}, 1.0), 10) AS s, round(LEAST({base}, 1.0), 10) AS bs FROM risk, sensrefs")
     out["sensrows"] = " UNION ALL ".join(rows)
