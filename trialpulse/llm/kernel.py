@@ -180,7 +180,7 @@ def prefix_hash(data: np.ndarray, seed: int = 0) -> np.ndarray:
         for a in range(0, n, _STRIDE):
             part = data[a : a + _STRIDE]
             if part.dtype == np.uint8:
-                part = (part.astype(U) + U(1)) * power[a : a + _STRIDE]
+                part = np.multiply(part, power[a : a + _STRIDE], dtype=U)
             else:
                 part = ((part >> half) & U(0xFFFFFFFF)) * power[a : a + _STRIDE] % U(p)
             here = row[a + 1 : a + 1 + len(part)]
@@ -200,10 +200,10 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
 
 
 def rolling(data: np.ndarray, k: int) -> np.ndarray:
-    """A quick hash of every k consecutive bytes, to choose places by: nothing may hang on its being free of collisions."""
+    """A quick hash of every k consecutive bytes or names, modulo 2^64: to choose places by, or to bring together what is then compared. Nothing else may hang on it."""
     n = max(0, len(data) - k + 1)
     out, have = np.zeros(n, U), 0
-    run, width, factor = BYTE[data], 1, int(GRAM)
+    run, width, factor = BYTE[data] if data.dtype == np.uint8 else data, 1, int(GRAM)
     while n and width <= k:
         if k & width:
             out = out * U(factor) + run[have : have + n]
@@ -214,6 +214,11 @@ def rolling(data: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros after the end."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+
+
 def told_apart(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """The hashes of these byte runs, changed where runs of one hash differ: afterwards equal names mean equal bytes."""
     order = np.argsort(hashes, kind="stable")
@@ -221,7 +226,7 @@ def told_apart(data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.
     new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
     heads = np.flatnonzero(new)
     odd = []
-    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    windows = _eights(data)
     for at in range(0, len(heads), 1 << 18):
         some = heads[at : at + (1 << 18)]
         stop = heads[at + (1 << 18)] if at + (1 << 18) < len(heads) else len(order)
@@ -258,13 +263,39 @@ def _differ(windows: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.nd
     return differ
 
 
+#: Bytes up to which a word's name holds the word itself.
+SHORT = 7
+
+
+def word_names(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit names of words: of up to SHORT bytes an invertible mix of bytes and length, of longer ones a hash."""
+    size = end - start
+    out = np.empty(len(start), U)
+    long = size > SHORT
+    few = np.flatnonzero(~long)
+    value = np.ascontiguousarray(_eights(data)[start[few]]).view("<u8").ravel()
+    length = size[few].astype(U)
+    out[few] = mix(value & ((U(1) << U(8) * length) - U(1)) | length << U(56))
+    if len(few) < len(size):
+        out[long] = span_hash(prefix_hash(data, seed), start[long], end[long], seed)
+    return out
+
+
+def exact_names(data: np.ndarray, start: np.ndarray, end: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """word_names() of one task's words, told apart by their bytes where they are hashes."""
+    long = np.flatnonzero(end - start > SHORT)
+    out = names.copy()
+    out[long] = told_apart(data, start[long], end[long], names[long])
+    return out
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, size: int = SLICE, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and words before each document; works slice by slice to bound memory."""
+    """Name of every word, and words before each document; works slice by slice to bound memory."""
     hashes, bounds, done = [], [np.zeros(1, np.int64)], 0
     for a, b in slices(offsets, size):
         part = data[offsets[a] : offsets[b]]
         start, end, first = word_spans(part, offsets[a : b + 1] - offsets[a])
-        hashes.append(span_hash(prefix_hash(part, seed), start, end, seed))
+        hashes.append(word_names(part, start, end, seed))
         bounds.append(first[1:] + done)
         done += len(start)
     return (np.concatenate(hashes) if hashes else np.zeros(0, U)), np.concatenate(bounds)

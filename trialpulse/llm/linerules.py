@@ -115,7 +115,7 @@ def repeated_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, first:
 
 def _counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     start, end, first = K.word_spans(data, offsets)
-    names = K.told_apart(data, start, end, K.word_hashes(data, offsets)[0])
+    names = K.exact_names(data, start, end, K.word_names(data, start, end))
 
     def each(mask: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0], np.cumsum(mask)))[offsets]

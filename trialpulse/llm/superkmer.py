@@ -124,7 +124,8 @@ def _distinct(b: _Block, shards: int, heavy: np.ndarray) -> tuple[np.ndarray, np
 def _apart(b: _Block, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Windows of heavy minimisers: their places among the block's windows, their distinct hashes, a second hash and the smallest doc_id of each, and the distinct one of each window."""
     at = np.flatnonzero(index[b.run] < 0)
-    keys = K.run_hash(b.hashes, b.window)[b.starts[at]] if len(at) else np.zeros(0, K.U)
+    from_ = b.starts[at]
+    keys = K.span_hash(K.prefix_hash(b.hashes), from_, from_ + b.window) if len(at) else np.zeros(0, K.U)
     order, heads = B.groups(keys)
     ids = b.ids[b.doc[b.starts[at]]]
     which = np.empty(len(keys), np.int64)
@@ -133,7 +134,7 @@ def _apart(b: _Block, index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     second = np.zeros(0, np.int64)
     if len(at):
         words, _ = K.word_hashes(np.frombuffer(b.norm, np.uint8), np.array([0, len(b.norm)]), seed=1)
-        second = K.run_hash(words, b.window, seed=1)[one].view(np.int64)
+        second = K.span_hash(K.prefix_hash(words, 1), one, one + b.window, 1).view(np.int64)
     return at, keys[order][heads], second, np.minimum.reduceat(ids[order], heads) if len(heads) else ids[:0], which
 
 
@@ -196,12 +197,12 @@ def _bucket(table: pa.Table, window: int) -> pa.Table:
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate(([0], np.flatnonzero(data == 0x0A) + 1))
     begin, end, first = K.word_spans(data, offsets)
-    hashes = K.told_apart(data, begin, end, K.word_hashes(data, offsets)[0])
+    hashes = K.exact_names(data, begin, end, K.word_hashes(data, offsets)[0])
     del begin, end
     starts = np.flatnonzero(K.within(first, window))
     line = K.owner(first)[starts]
     own = np.concatenate(docs)[line]
-    order, heads = sort_windows(hashes, starts, window, K.run_hash(hashes, window)[starts])
+    order, heads = sort_windows(hashes, starts, window, K.rolling(hashes, window)[starts])
     message = np.repeat(np.arange(len(docs)), [len(d) for d in docs])[line]
     return B.answer(table, message, _least(own, order, heads))
 
