@@ -118,12 +118,12 @@ def _totals(site: DataFrame) -> DataFrame:
     return site.select(*C.SITE_KEYS, "subject_count", total.alias("total")).withColumn("density", F.col("total") / F.greatest(F.col("subject_count"), F.lit(1)))
 
 
-def density(site: DataFrame) -> DataFrame:
-    """ANO-14."""
+def density(site: DataFrame, least: float = DENSITY_Z, high: float = DENSITY_Z_HIGH, subjects: int = DENSITY_SUBJECTS) -> DataFrame:
+    """ANO-14: sites of ``subjects`` or more whose issues per subject lie ``least`` deviations above the mean."""
     rows = _totals(site)
     rows = rows.crossJoin(S.one_row(rows, F.avg("density").alias("_m"), F.stddev_samp("density").alias("_s")))
-    hit = rows.withColumn("z", S.r10(S.zscore(F.col("density"), F.col("_m"), F.col("_s")))).where((F.col("z") >= DENSITY_Z) & (F.col("subject_count") >= DENSITY_SUBJECTS))
-    return _rows(hit, "VELOCITY_ANOMALY", F.lit("HIGH_ISSUE_DENSITY"), "site", F.lit("issue_density"), F.when(F.col("z") >= DENSITY_Z_HIGH, "HIGH").otherwise("MEDIUM"), F.concat(F.col("total").cast("string"), F.lit(" issues of "), F.col("subject_count").cast("string"), F.lit(" subjects")), F.round("density", 2), F.round("z", 2))
+    hit = rows.withColumn("z", S.r10(S.zscore(F.col("density"), F.col("_m"), F.col("_s")))).where((F.col("z") >= least) & (F.col("subject_count") >= subjects))
+    return _rows(hit, "VELOCITY_ANOMALY", F.lit("HIGH_ISSUE_DENSITY"), "site", F.lit("issue_density"), F.when(F.col("z") >= high, "HIGH").otherwise("MEDIUM"), F.concat(F.col("total").cast("string"), F.lit(" issues of "), F.col("subject_count").cast("string"), F.lit(" subjects")), F.round("density", 2), F.round("z", 2))
 
 
 def concentration(site: DataFrame, least: int = STUDY_TOTAL, share: float = CONCENTRATION) -> DataFrame:

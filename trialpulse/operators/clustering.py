@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ from .silhouette import silhouettes
 __all__ = ["dbscan"]
 
 FEATURES = ["avg_dqi_score", "subject_count", "sae_pending_count_sum", "missing_visit_count_sum", "lab_issues_count_sum", "missing_pages_count_sum", "uncoded_meddra_count_sum", "uncoded_whodd_count_sum"]
+#: Fixed centres, each the same in every feature: a quiet, a middling and a busy site.
+CENTRES = [-0.5, 0.2, 1.2]
 DERIVED = ["high_risk_rate", "issue_rate"]
 
 
@@ -93,6 +96,13 @@ def probabilities(assigned: DataFrame, keys: list[str]) -> DataFrame:
     return assigned.select(*keys, F.posexplode("probabilities").alias("cluster_id", "probability"))
 
 
+def nearest_centres(vec: DataFrame, centres: list[float] | None = None) -> DataFrame:
+    """Sites at the nearest of fixed centres instead of fitted ones: clusters that stay the same from run to run."""
+    names = _names(vec)
+    at = np.array([[c] * len(names) for c in (CENTRES if centres is None else centres)])
+    return _assigned(vec, M.KMeans(len(at), 0, at))
+
+
 def choose_k(vec: DataFrame, largest: int = 10, seed: int = 42, key: str | None = None) -> int:
     """CLU-6: the chosen k, by the BIC of mixtures or, with the ``key`` of a row, by silhouettes of k-means."""
     return best_mixture(vec, largest, seed)[1][0].k if key is None else best_kmeans(vec, key, largest, seed)[1].k

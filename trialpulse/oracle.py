@@ -133,7 +133,11 @@ UNION ALL SELECT 'CROSS_STUDY_ANOMALY', 'ELEVATED_DQI_MULTI_STUDY', 'site', stud
 CTES["a_total"] = "SELECT *, " + " + ".join(f"{f}_sum" for f in C.SUMMED) + " AS total FROM site"
 CTES["a_dens"] = "SELECT *, total / GREATEST(subject_count, 1) AS density, avg(total / GREATEST(subject_count, 1)) OVER () AS m, stddev_samp(total / GREATEST(subject_count, 1)) OVER () AS sd, CAST(sum(total) OVER (PARTITION BY study) AS BIGINT) AS study_total FROM a_total"
 CTES["a_dens_z"] = "SELECT *, CASE WHEN COALESCE(sd, 0) = 0 THEN 0.0 ELSE round((density - m) / sd, 10) END AS z FROM a_dens"
-CTES["a_density"] = "SELECT 'VELOCITY_ANOMALY' AS anomaly_type, 'HIGH_ISSUE_DENSITY' AS detection_method, 'site' AS level, study, site_id, country, region, 'issue_density' AS metric, CASE WHEN z >= 3.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, total || ' issues of ' || subject_count || ' subjects' AS description, round(density, 2) AS value, round(z, 2) AS zscore FROM a_dens_z WHERE z >= 2.5 AND subject_count >= 5"
+def dense(least: float = 2.5, high: float = 3.5, subjects: int = 5) -> str:
+    return f"SELECT 'VELOCITY_ANOMALY' AS anomaly_type, 'HIGH_ISSUE_DENSITY' AS detection_method, 'site' AS level, study, site_id, country, region, 'issue_density' AS metric, CASE WHEN z >= {high} THEN 'HIGH' ELSE 'MEDIUM' END AS severity, total || ' issues of ' || subject_count || ' subjects' AS description, round(density, 2) AS value, round(z, 2) AS zscore FROM a_dens_z WHERE z >= {least} AND subject_count >= {subjects}"
+
+
+CTES["a_density"] = dense()
 
 
 def concentrated(least: int, share: float) -> str:
@@ -300,6 +304,9 @@ count(*) FILTER ({visits} > 0 AND {pages} > 0) AS both_n, sum(subject_count) FIL
     ]
     each = " UNION ALL ".join(f"SELECT {i} AS i, '{n}' AS category, '{C.CAUSES[n][0]}' || {more} AS description, {sev} AS severity, CAST({conf} AS DOUBLE) AS confidence, CAST({sites} AS BIGINT) AS affected_sites, CAST(COALESCE({subj}, 0) AS BIGINT) AS affected_subjects, {text} AS evidence, '{'; '.join(C.CAUSES[n][1])}' AS contributing_factors, '{'; '.join(C.CAUSES[n][2])}' AS recommended_actions FROM rc_one, rc_area, rc_sites, rc_coded WHERE {w}" for i, (n, w, sev, conf, sites, subj, text, more) in enumerate(rows))
     out["rc_rows"] = f"SELECT * EXCLUDE (i), printf('RC%03d', row_number() OVER (ORDER BY i)) AS cause_id FROM ({each})"
+    # the same with systemic sites by the names of their clusters
+    out["rc_named"] = "SELECT rc_one.* EXCLUDE (sys_n, sys_s), c.sys_n, c.sys_s FROM rc_one, (SELECT count(*) AS sys_n, sum(subject_count) AS sys_s FROM namedsites WHERE regexp_matches(cluster_name, 'Systemic|Issues', 'i')) c"
+    out["rc_clustered"] = f"SELECT * EXCLUDE (i), printf('RC%03d', row_number() OVER (ORDER BY i)) AS cause_id FROM ({each.replace('FROM rc_one,', 'FROM rc_named,')})"
     return out
 
 
@@ -396,6 +403,30 @@ def _validation() -> dict[str, str]:
 CTES |= _validation()
 
 
+def _clusters() -> dict[str, str]:
+    """Sites at the nearest of fixed centres, profiles of those clusters and their names."""
+    from .operators.clustering import ARCHETYPES, CENTRES, FEATURES, PROFILE
+
+    out = {}
+    z = "CASE WHEN COALESCE(stddev_samp(CAST({0} AS DOUBLE)) OVER (), 0) = 0 THEN 0.0 ELSE round((CAST({0} AS DOUBLE) - avg(CAST({0} AS DOUBLE)) OVER ()) / stddev_samp(CAST({0} AS DOUBLE)) OVER (), 10) END AS z_{0}"
+    out["zsites"] = "SELECT *, " + ", ".join(z.format(f) for f in FEATURES) + " FROM site"
+    far = ["(" + " + ".join(f"(z_{f} - {c!r}) * (z_{f} - {c!r})" for f in FEATURES) + ")" for c in CENTRES]
+    out["nearsites"] = f"SELECT * EXCLUDE (d), CAST(list_position(d, list_min(d)) - 1 AS INT) AS cluster_id FROM (SELECT *, [{', '.join(far)}] AS d FROM zsites)"
+    rate = [f"round(avg(CAST({c} > 0 AS DOUBLE)), 10) AS r{i}" for i, c in enumerate(PROFILE.values())]
+    top = "array_to_string(list_transform(list_sort(list_filter([" + ", ".join(f"{{'r': -r{i}, 'i': {i}, 'k': '{k}'}}" for i, k in enumerate(PROFILE)) + "], lambda x: x.r < -0.1))[1:3], lambda x: x.k), ', ')"
+    present = " + ".join(f"CAST(r{i} > 0.2 AS INT)" for i in range(len(PROFILE)))
+    name = "CASE WHEN r0 > 0.3 OR r1 > 0.4 THEN 'Safety Concerns' WHEN r2 > 0.4 OR r3 > 0.4 THEN 'Data Laggards' WHEN present >= 3 OR (avg_dqi_score > 0.15 AND avg_high_risk_rate > 0.2) THEN 'Systemic Issues' WHEN avg_dqi_score < 0.05 AND avg_high_risk_rate < 0.05 AND present <= 1 THEN 'High Performers' WHEN avg_dqi_score < 0.1 THEN 'Moderate Performers' ELSE 'Needs Improvement' END AS cluster_name"
+    out["nearshares"] = "SELECT cluster_id, count(*) AS site_count, round(avg(avg_dqi_score), 10) AS avg_dqi_score, round(avg(subject_count), 10) AS avg_subject_count, round(sum(high_risk_count) / GREATEST(sum(subject_count), 1), 10) AS avg_high_risk_rate, round(round(count(*) / (SELECT count(*) FROM site) * 100, 10), 1) AS pct_of_total, " + ", ".join(rate) + " FROM nearsites GROUP BY cluster_id"
+    out["nearnames"] = f"SELECT *, {top} AS dominant_issues, {name} FROM (SELECT *, {present} AS present FROM nearshares)"
+    each = {c: "CASE cluster_name " + " ".join(f"WHEN '{k}' THEN {v[i]!r}" for k, v in ARCHETYPES.items()) + " END" for i, c in enumerate(("risk_level", "intervention_priority"))}
+    out["nearprofiles"] = "SELECT * EXCLUDE (present, " + ", ".join(f"r{i}" for i in range(len(PROFILE))) + "), " + ", ".join(f"{e} AS {c}" for c, e in each.items()) + " FROM nearnames"
+    out["namedsites"] = "SELECT nearsites.*, cluster_name, risk_level, intervention_priority FROM nearsites JOIN nearprofiles USING (cluster_id)"
+    return out
+
+
+CTES |= _clusters()
+
+
 def needs(sql: str) -> list[str]:
     """Names of the expressions that a text uses, in order of definition."""
     import re
@@ -408,7 +439,7 @@ def needs(sql: str) -> list[str]:
             if name not in found and re.search(rf"(?<![\w.]){name}(?![\w(])", text):
                 found.add(name)
                 todo.append(CTES[name])
-    return [n for n in CTES if n in found]
+    return [n for n in sorted(CTES, key=lambda n: n.startswith("rc_")) if n in found]
 
 
 def query(sql: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import config as C
 from .operators import anomaly, clustering, diagnostics, graph, master, perspectives, portfolio, recommend, rollup, rootcause, scoring, validation
-from .oracle import concentrated, inside, query
+from .oracle import concentrated, dense, inside, query
 from .plans import projection
 from .plans.tables import staged
 from .sources import discovery
@@ -87,16 +87,25 @@ class Domain:
     def causes(self) -> DataFrame:
         return self._get("causes", lambda: rootcause.root_causes(self.site, self.geography, rootcause.patterns(rootcause.cooccurrence(self.risk))), False)
 
+    @property
+    def near(self) -> DataFrame:
+        """Sites at the nearest of fixed centres."""
+        return self._get("near", lambda: self.site.join(clustering.nearest_centres(_vectors(self)).select(*C.SITE_KEYS, "cluster_id"), C.SITE_KEYS), True)
+
     @property
     def clustered(self) -> DataFrame:
+        """These sites, named by their clusters' profiles."""
+        return self._get("clustered", lambda: clustering.named_sites(self.near, clustering.profiles(self.near)), True)
+
+    @property
+    def fitted(self) -> DataFrame:
         """Sites of k-means clusters, named by their profiles."""
 
         def make() -> DataFrame:
-            got = staged(_kmeans(_vectors(self)).select(*C.SITE_KEYS, "cluster_id"), "clusters")
-            sites = self.site.join(got, C.SITE_KEYS)
+            sites = staged(self.site.join(_kmeans(_vectors(self)).select(*C.SITE_KEYS, "cluster_id"), C.SITE_KEYS), "clusters")
             return clustering.named_sites(sites, clustering.profiles(sites))
 
-        return self._get("clustered", make, True)
+        return self._get("fitted", make, True)
 
     @property
     def nodes(self) -> DataFrame:
@@ -185,6 +194,7 @@ register("anomaly_pattern", "SELECT * FROM a_pattern")(lambda d: anomaly.pattern
 register("anomaly_regional", "SELECT * FROM a_regional")(lambda d: anomaly.regional(d.site, d.country, d.region))
 register("anomaly_cross_study", "SELECT * FROM a_cross")(lambda d: anomaly.cross_study(d.site))
 register("anomaly_density", "SELECT * FROM a_density")(lambda d: anomaly.density(d.site))
+register("anomaly_density_low", dense(1.0, 2.0))(lambda d: anomaly.density(d.site, 1.0, 2.0))
 register("anomaly_concentration", concentrated(50, 0.5))(lambda d: anomaly.concentration(d.site))
 register("anomaly_concentration_low", concentrated(50, 0.02))(lambda d: anomaly.concentration(d.site, share=0.02))
 register("anomaly_all", "SELECT * FROM anomalies")(lambda d: d.anomalies)
@@ -273,8 +283,8 @@ def _mixture(vec: DataFrame) -> DataFrame:
     return clustering.best_mixture(vec)[0]
 
 
-def _dbscan(vec: DataFrame) -> DataFrame:
-    return vec.join(clustering.dbscan(vec, "site_key", [f"z_{f}" for f in clustering.FEATURES], 0.5, 5), "site_key")
+def _dbscan(vec: DataFrame, eps: float) -> DataFrame:
+    return vec.join(clustering.dbscan(vec, "site_key", [f"z_{f}" for f in clustering.FEATURES], eps, 5), "site_key")
 
 
 register("cluster_kmeans", None)(lambda d: _kmeans(_vectors(d)).select(*C.SITE_KEYS, "cluster_id", "cluster_probability"))
@@ -282,10 +292,18 @@ register("cluster_gmm", None)(lambda d: _mixture(_vectors(d)).select(*C.SITE_KEY
 register("cluster_pca", None)(lambda d: clustering.principal_components(_vectors(d)).select(*C.SITE_KEYS, "pc1", "pc2"))
 
 
-register("cluster_sites", None)(lambda d: d.clustered.select(*C.SITE_KEYS, "cluster_id", "cluster_name", "risk_level", "intervention_priority"))
-register("cluster_comparison", None)(lambda d: portfolio.cluster_comparison(d.clustered))
-register("site_dashboard", None)(lambda d: portfolio.site_dashboard(d.site, anomaly.site_scores(d.anomalies), d.clustered).select(*C.SITE_KEYS, "avg_dqi_score", "site_risk_category", "anomaly_score", "cluster_name"))
-register("root_causes_clustered", None)(lambda d: _joined_lists(rootcause.root_causes(d.site, d.geography, rootcause.patterns(rootcause.cooccurrence(d.risk)), d.clustered)))
+_four = f"{_keys}, cluster_id, cluster_name, risk_level, intervention_priority"
+register("cluster_sites", f"SELECT {_four} FROM namedsites")(lambda d: d.clustered.select(*_four.split(", ")))
+register("cluster_sites_fitted", None)(lambda d: d.fitted.select(*_four.split(", ")))
+register("cluster_comparison", "SELECT cluster_name, count(*) AS site_count, round(avg(avg_dqi_score), 10) AS avg_dqi_score, CAST(sum(subject_count) AS BIGINT) AS subject_count, CAST(sum(high_risk_count) AS BIGINT) AS high_risk_count FROM namedsites GROUP BY cluster_name")(lambda d: portfolio.cluster_comparison(d.clustered))
+register("site_dashboard", f"SELECT {', '.join(f'n.{k}' for k in C.SITE_KEYS)}, avg_dqi_score, site_risk_category, COALESCE(s.anomaly_score, 0.0) AS anomaly_score, cluster_name FROM namedsites n LEFT JOIN site_scores s ON n.study = s.study AND n.site_id = s.site_id")(
+    lambda d: portfolio.site_dashboard(d.site, anomaly.site_scores(d.anomalies), d.clustered).select(*C.SITE_KEYS, "avg_dqi_score", "site_risk_category", "anomaly_score", "cluster_name")
+)
+register("root_causes_clustered", "SELECT * FROM rc_clustered")(lambda d: _joined_lists(rootcause.root_causes(d.site, d.geography, rootcause.patterns(rootcause.cooccurrence(d.risk)), d.clustered)))
+_zs = [f"z_{f}" for f in clustering.FEATURES]
+register("cluster_heatmap", "SELECT * FROM (WITH m AS (SELECT cluster_id, " + ", ".join(f"avg({z}) AS {z}" for z in _zs) + " FROM nearsites GROUP BY cluster_id) SELECT cluster_id, " + ", ".join(f"round(COALESCE(({z} - min({z}) OVER ()) / NULLIF(max({z}) OVER () - min({z}) OVER (), 0), 0.0), 10) AS {z}" for z in _zs) + " FROM m)")(
+    lambda d: clustering.heatmap(clustering.nearest_centres(_vectors(d)), _zs)
+)
 
 
 def _embedded(d: Domain) -> DataFrame:
@@ -293,7 +311,28 @@ def _embedded(d: Domain) -> DataFrame:
     return e.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)))
 
 
-register("cluster_dbscan", None)(lambda d: _dbscan(_vectors(d)).select(*C.SITE_KEYS, "cluster_id"))
+def _density(eps: float, least: int = 5) -> str:
+    gap = " + ".join(f"(a.{z} - b.{z}) * (a.{z} - b.{z})" for z in _zs)
+    return f"""SELECT * FROM (WITH RECURSIVE zs AS MATERIALIZED (SELECT {_keys}, concat_ws('|', {_keys}) AS k, {', '.join(_zs)} FROM zsites),
+pr AS MATERIALIZED (SELECT a.k AS p, b.k AS q FROM zs a JOIN zs b ON {gap} <= {eps * eps!r}),
+core AS MATERIALIZED (SELECT p FROM pr GROUP BY p HAVING count(*) >= {least}),
+reach AS (SELECT p, p AS q FROM core UNION SELECT r.p, pr.q FROM reach r JOIN pr ON pr.p = r.q JOIN core c ON c.p = pr.q),
+root AS (SELECT p, min(q) AS r FROM reach GROUP BY p),
+num AS (SELECT r, CAST(row_number() OVER (ORDER BY r) - 1 AS INT) AS n FROM (SELECT DISTINCT r FROM root)),
+lab AS (SELECT pr.p, min(root.r) AS r FROM pr JOIN root ON root.p = pr.q GROUP BY pr.p)
+SELECT {_keys}, COALESCE(n, -1) AS cluster_id FROM zs LEFT JOIN lab ON lab.p = zs.k LEFT JOIN num ON num.r = lab.r)"""
+
+
+for _name, _eps in {"cluster_dbscan": 0.5, "cluster_dbscan_wide": 1.6}.items():
+    _sql = query(_density(_eps))
+    register(_name, None)(lambda d, e=_eps: _dbscan(_vectors(d), e).select(*C.SITE_KEYS, "cluster_id"))
+    ORACLES[_name] = _sql
+register("cluster_silhouette", f"""WITH e AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label >= 0),
+d AS MATERIALIZED (SELECT a.vec_id, a.label AS own, b.label AS other, avg(sqrt({"list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - b.v[i]) * (a.v[i] - b.v[i])))"})) AS m FROM e a JOIN e b ON a.vec_id <> b.vec_id GROUP BY ALL),
+s AS (SELECT vec_id, max(m) FILTER (own = other) AS a, min(m) FILTER (own <> other) AS b FROM d GROUP BY vec_id)
+SELECT (SELECT count(*) FROM e) AS points, round((SELECT sum(CASE WHEN a IS NULL OR b IS NULL OR GREATEST(a, b) = 0 THEN 0.0 ELSE (b - a) / GREATEST(a, b) END) FROM s) / (SELECT count(*) FROM e), 6) AS silhouette""")(
+    lambda d: clustering.silhouette(_embedded(d), "vec_id", "label", _all).select("points", F.round("silhouette", 6).alias("silhouette"))
+)
 _all = [f"x{i}" for i in range(64)]
 _sq = "list_sum(list_transform(range(1, 65), lambda i: ({0}[i] - {1}[i]) * ({0}[i] - {1}[i])))"
 register(
@@ -306,33 +345,44 @@ g AS (SELECT e.label, c, count(*) AS n, sum({_sq.format('v', 'c')}) AS inside, a
 d AS (SELECT max((a.spread + b.spread) / sqrt({_sq.format('a.c', 'b.c')})) AS r FROM g a JOIN g b ON a.label <> b.label GROUP BY a.label)
 SELECT (SELECT count(*) FROM g) AS k, round((SELECT sum(n * {_sq.format('c', 't')}) / (count(*) - 1) / (sum(inside) / (sum(n) - count(*))) FROM g, w), 6) AS calinski_harabasz, round((SELECT avg(r) FROM d), 6) AS davies_bouldin""",
 )(lambda d: clustering.metrics(_embedded(d), "label", _all).select("k", F.round("calinski_harabasz", 6).alias("calinski_harabasz"), F.round("davies_bouldin", 6).alias("davies_bouldin")))
-_r = {k: f"round(avg(CAST({c} > 0 AS DOUBLE)), 10)" for k, c in clustering.PROFILE.items()}
-_names = list(_r)
-_top = "array_to_string(list_transform(list_sort(list_filter([" + ", ".join(f"{{'r': -r{i}, 'i': {i}, 'k': '{k}'}}" for i, k in enumerate(_names)) + "], lambda x: x.r < -0.1))[1:3], lambda x: x.k), ', ')"
-_present = " + ".join(f"CAST(r{i} > 0.2 AS INT)" for i in range(len(_names)))
-register(
-    "cluster_profiles",
-    "SELECT * EXCLUDE (" + ", ".join(f"r{i}" for i in range(len(_names))) + ", present), CASE cluster_name " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in clustering.ARCHETYPES.items()) + " END AS risk_level, CASE cluster_name " + " ".join(f"WHEN '{k}' THEN {v[1]}" for k, v in clustering.ARCHETYPES.items()) + f""" END AS intervention_priority FROM (SELECT *, {_top} AS dominant_issues,
-CASE WHEN r0 > 0.3 OR r1 > 0.4 THEN 'Safety Concerns' WHEN r2 > 0.4 OR r3 > 0.4 THEN 'Data Laggards' WHEN present >= 3 OR (avg_dqi_score > 0.15 AND avg_high_risk_rate > 0.2) THEN 'Systemic Issues' WHEN avg_dqi_score < 0.05 AND avg_high_risk_rate < 0.05 AND present <= 1 THEN 'High Performers' WHEN avg_dqi_score < 0.1 THEN 'Moderate Performers' ELSE 'Needs Improvement' END AS cluster_name
-FROM (SELECT *, {_present} AS present FROM (SELECT CAST(right(site_id, 1) AS INT) AS cluster_id, count(*) AS site_count, round(avg(avg_dqi_score), 10) AS avg_dqi_score, round(avg(subject_count), 10) AS avg_subject_count, round(sum(high_risk_count) / GREATEST(sum(subject_count), 1), 10) AS avg_high_risk_rate, round(round(count(*) / (SELECT count(*) FROM site) * 100, 10), 1) AS pct_of_total, """
-    + ", ".join(f"{e} AS r{i}" for i, e in enumerate(_r.values())) + " FROM site GROUP BY 1)))",
-)(lambda d: clustering.profiles(d.site.withColumn("cluster_id", F.right("site_id", F.lit(1)).cast("int"))))
+register("cluster_profiles", "SELECT * FROM nearprofiles")(lambda d: clustering.profiles(d.near))
 
 _files = ["CPID_EDC_Metrics_v1.xlsx", "Visit Projection Tracker.xlsx", "Missing_Lab_Name_and_Missing_Ranges.xlsx", "eSAE Dashboard_Standard.xlsx", "Global_Missing_Pages_Report.xlsx", "GlobalCodingReport_MedDRA.xlsx", "GlobalCodingReport_WHODD.xlsx", "Inactivated Forms, Folders.xlsx", "Compiled_EDRR.xlsx", "notes.xlsx", "missing visit list.xlsx"]
-_folders = ["Study_1", "STUDY 22 files", "study3", "Archive"]
+_kinds = list(C.FILE_PATTERNS)
+_names = ", ".join(f"'{x}'" for x in _files)
+# a file of every customer, in a folder of their nation
+_paths = f"'/data/' || [{', '.join(map(repr, ['Study_', 'STUDY ', 'study', 'Archive ']))}][c_custkey % 4 + 1] || c_nationkey || '/' || c_custkey || ' ' || [{_names}][c_custkey % {len(_files)} + 1]"
 _case = "CASE " + " ".join(f"WHEN regexp_matches(filename, '{'|'.join(f'(?:{p})' for p in ps)}', 'i') THEN '{k}'" for k, ps in C.FILE_PATTERNS.items()) + " ELSE 'unknown' END"
-_number = "regexp_extract(folder, '(?i)Study[_\\s]*(\\d+)', 1)".replace("\\\\", "\\")
-register("classify_files", "WITH f AS (SELECT a AS filename, b AS folder FROM (VALUES " + ", ".join(f"('{x}')" for x in _files) + ") x(a), (VALUES " + ", ".join(f"('{x}')" for x in _folders) + f") y(b)) SELECT CASE WHEN {_number} <> '' THEN 'Study_' || {_number} ELSE folder END AS study, folder, filename, {_case} AS file_type, '/data/' || folder || '/' || filename AS path FROM f")(
-    lambda d: discovery.file_mapping(d.spark.createDataFrame([(f"/data/{b}/{a}",) for a in _files for b in _folders], "path string"))
-)
-_ids = ["Subject 0012", "SUBJ-7", "pat_000", "12", "0", "PT 1a", "x-09", "patient"]
-register("standardise_ids", "SELECT c0 AS subject_id, CASE WHEN b = '' THEN '0' ELSE b END AS id FROM (SELECT c0, regexp_replace(regexp_replace(upper(trim(c0)), '^(SUBJECT|SUBJ|SUB|PATIENT|PAT|PT)[\\s_\\-]*', ''), '^0+', '') AS b FROM (VALUES ".replace("\\\\", "\\") + ", ".join(f"('{x}')" for x in _ids) + ") v(c0))")(
-    lambda d: d.spark.createDataFrame([(x,) for x in _ids], "subject_id string").select("subject_id", discovery.standard_id(F.col("subject_id")).alias("id"))
-)
+_number = "regexp_extract(folder, '(?i)Study[_\\s]*(\\d+)', 1)"
+ORACLES["classify_files"] = f"WITH f AS (SELECT path, string_split(path, '/')[-1] AS filename, string_split(path, '/')[-2] AS folder FROM (SELECT {_paths} AS path FROM customer)) SELECT CASE WHEN {_number} <> '' THEN 'Study_' || {_number} ELSE folder END AS study, folder, filename, {_case} AS file_type, path FROM f"
+
+
+def _customers(d: Domain) -> DataFrame:
+    return projection.table(d.spark, d.sf_dir, "customer")
+
+
+def _nth(values: list[str], at: str):
+    return F.array(*map(F.lit, values))[(F.col(at) % len(values)).cast("int")]
+
+
+register("classify_files", None)(lambda d: discovery.file_mapping(_customers(d).select(F.concat(F.lit("/data/"), _nth(["Study_", "STUDY ", "study", "Archive "], "c_custkey"), "c_nationkey", F.lit("/"), "c_custkey", F.lit(" "), _nth(_files, "c_custkey")).alias("path"))))
+_prefixes = ["Subject ", "SUBJ-", "pat_0", "", "0", "PT ", "x-", "patient", " Sub_000"]
+ORACLES["standardise_ids"] = f"SELECT s AS subject_id, CASE WHEN b = '' THEN '0' ELSE b END AS id FROM (SELECT s, regexp_replace(regexp_replace(upper(trim(s)), '^(SUBJECT|SUBJ|SUB|PATIENT|PAT|PT)[\\s_\\-]*', ''), '^0+', '') AS b FROM (SELECT [{', '.join(map(repr, _prefixes))}][c_custkey % {len(_prefixes)} + 1] || c_custkey AS s FROM customer))"
+register("standardise_ids", None)(lambda d: _customers(d).select(F.concat(_nth(_prefixes, "c_custkey"), "c_custkey").alias("subject_id")).select("subject_id", discovery.standard_id(F.col("subject_id")).alias("id")))
 # against enrolled subjects alone, so that some ids of the extracts are strangers
 _match = "SELECT '{k}' AS file_type, count(*) AS ids, count(s.subject_id) AS matched, count(*) - count(s.subject_id) AS unmatched FROM (SELECT DISTINCT study, subject_id FROM metrics WHERE {w}) i LEFT JOIN (SELECT DISTINCT study, subject_id FROM spine WHERE subject_status = 'Enrolled') s ON s.study = i.study AND s.subject_id = i.subject_id"
 register("id_match", _match.format(k="sae_dashboard", w="sae_total_count > 0"))(lambda d: discovery.id_match(d.spine.where("subject_status = 'Enrolled'"), d.extracts["sae_dashboard"], "sae_dashboard"))
-register("map_columns", None)(lambda d: discovery.map_headers(d.spark.createDataFrame([("edc_metrics", h, i) for i, h in enumerate(["Project Name", "Region", "Country", "Site ID", "Subject ID", "Latest Visit (SV)"])], "file_type string, header string, position int")))
+# a header of every customer: an accepted name with the market segment behind it
+_accepted = [(k, c, v) for k, m in C.HEADERS.items() for c, names in m.items() for v in names]
+_heads = [("edc_metrics", h) for h in ("Project Name", "Region", "Country Code", "Site ID", "Subject ID", "Latest Visit (SV)")] + [("sae_dashboard", h) for h in ("Patient ID", "Site", "Review Status")] + [("missing_pages", h) for h in ("Subject Name", "Site Number")]
+ORACLES["map_columns"] = f"""WITH a(file_type, canonical, part) AS (VALUES {', '.join("('" + "', '".join((k, c, v.lower().replace("'", "''"))) + "')" for k, c, v in _accepted)}),
+n(i, file_type, header) AS (VALUES {', '.join(f"({i}, '{k}', '{h}')" for i, (k, h) in enumerate(_heads))}),
+h AS (SELECT file_type, header || ' ' || c_mktsegment AS header, c_custkey AS position FROM customer JOIN n ON c_custkey % {len(_heads)} = i),
+b AS (SELECT h.file_type, canonical, arg_min(header, position) AS header FROM h JOIN a ON h.file_type = a.file_type AND contains(lower(header), part) GROUP BY ALL)
+SELECT w.file_type, w.canonical, b.header FROM (SELECT DISTINCT a.file_type, canonical FROM a JOIN h ON a.file_type = h.file_type) w LEFT JOIN b ON b.file_type = w.file_type AND b.canonical = w.canonical"""
+register("map_columns", None)(
+    lambda d: discovery.map_headers(_customers(d).select(_nth([k for k, _ in _heads], "c_custkey").alias("file_type"), F.concat(_nth([h for _, h in _heads], "c_custkey"), F.lit(" "), "c_mktsegment").alias("header"), F.col("c_custkey").alias("position")))
+)
 register("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS end, event_type, count(*) AS n, round(sum(value), 6) AS total, round(avg(value), 6) AS mean FROM events GROUP BY ALL")(
     lambda d: rescore.windowed_counts(projection.table(d.spark, d.sf_dir, "events")).withColumns({"total": F.round("total", 6), "mean": F.round("mean", 6)})
 )
