@@ -289,16 +289,52 @@ def exact_names(data: np.ndarray, start: np.ndarray, end: np.ndarray, names: np.
     return out
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, size: int = SLICE, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Name of every word, and words before each document; works slice by slice to bound memory."""
-    hashes, bounds, done = [], [np.zeros(1, np.int64)], 0
+def words_of(data: np.ndarray, offsets: np.ndarray, size: int = SLICE, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, start, end) of every word, and words before each document; works slice by slice to bound memory."""
+    parts: list[tuple] = [(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    bounds, done = [np.zeros(1, np.int64)], 0
     for a, b in slices(offsets, size):
         part = data[offsets[a] : offsets[b]]
         start, end, first = word_spans(part, offsets[a : b + 1] - offsets[a])
-        hashes.append(word_names(part, start, end, seed))
+        parts.append((word_names(part, start, end, seed), start + offsets[a], end + offsets[a]))
         bounds.append(first[1:] + done)
         done += len(start)
-    return (np.concatenate(hashes) if hashes else np.zeros(0, U)), np.concatenate(bounds)
+    return *(np.concatenate(z) for z in zip(*parts)), np.concatenate(bounds)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, size: int = SLICE, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Name of every word, and words before each document."""
+    hashes, bounds, done = [np.zeros(0, U)], [np.zeros(1, np.int64)], 0
+    for a, b in slices(offsets, size):
+        names, _, _, first = words_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size, seed)
+        hashes.append(names)
+        bounds.append(first[1:] + done)
+        done += len(names)
+    return np.concatenate(hashes), np.concatenate(bounds)
+
+
+def local_names(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Names of the words of one task, equal exactly where the words are; other tasks' names mean nothing to them. Words of up to 16 bytes come together by both their ends, longer ones by hash, and are then compared."""
+    size = end - start
+    padded = np.concatenate((np.zeros(8, np.uint8), data))
+    out = np.empty(len(start), U)
+    for a in range(0, len(start), 1 << 18):
+        z = slice(a, a + (1 << 18))
+        n = np.minimum(size[z], 8).astype(U)
+        unused = U(8) * (U(8) - n)
+        head = np.ascontiguousarray(_eights(data[start[a] : end[z][-1]])[start[z] - start[a]]).view("<u8").ravel() << unused
+        tail = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[end[z]]).view("<u8").ravel() >> unused
+        out[z] = mix(head >> unused ^ size[z].astype(U) << U(56))
+        some = np.flatnonzero(size[z] > SHORT)
+        out[a + some] = mix(out[a + some] * GRAM + tail[some])
+    far = np.flatnonzero(size > 16)
+    if len(far):
+        cut = np.concatenate(([0], np.cumsum(size[far])))
+        alone = data[np.repeat(start[far] - cut[:-1], size[far]) + np.arange(cut[-1])]
+        out[far] = span_hash(prefix_hash(alone), cut[:-1], cut[1:])
+    long = np.flatnonzero(size > SHORT)
+    out[long] = told_apart(data, start[long], end[long], out[long])
+    return out
 
 
 def run_hash(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:

@@ -41,13 +41,15 @@ HEAVY_BYTES = 8 << 20
 
 
 class _Block:
-    """The words, windows and super-k-mers of a block."""
+    """The words, windows and super-k-mers of a block; ``texts``: and the words themselves, each followed by one space."""
 
-    def __init__(self, table: pa.Table, window: int, gram: int):
+    def __init__(self, table: pa.Table, window: int, gram: int, texts: bool = True):
         data, offsets = K.flat(table["text"])
         self.ids = table["doc_id"].fill_null(LAST).to_numpy()
-        hashes, self.first = K.word_hashes(data, offsets)
-        self.norm, self.at = _joined(data, offsets)
+        hashes, start, end, self.first = K.words_of(data, offsets)
+        self.at = np.concatenate(([0], np.cumsum(end - start + 1)))
+        self.norm = _joined(data, start, end, self.at) if texts else b""
+        del start, end
         n = max(0, len(hashes) - window + 1)
         self.doc = K.owner(self.first)
         grams = K.run_hash(hashes, gram)
@@ -67,18 +69,17 @@ class _Block:
         self.hashes = hashes
 
 
-def _joined(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """All words of all documents, each followed by one space, and where each word begins (one entry more)."""
-    start, end, _ = K.word_spans(data, offsets)
-    at = np.concatenate(([0], np.cumsum(end - start + 1)))
+def _joined(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> bytes:
+    """All words, each followed by one space; ``at``: where each begins (one entry more)."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start] = 1
+    edge[end] -= 1
+    inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
     out = np.full(at[-1], 0x20, np.uint8)
-    for a in range(0, len(start), 1 << 18):
-        s, e = start[a : a + (1 << 18)], end[a : a + (1 << 18)]
-        to = at[a : a + len(s)]
-        size = e - s
-        within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(to, size) + within] = data[np.repeat(s, size) + within]
-    return out.tobytes(), at
+    gap = np.ones(at[-1], bool)
+    gap[at[1:] - 1] = False
+    out[gap] = data[inside]
+    return out.tobytes()
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +95,7 @@ def _heavy(docs: DataFrame, text: str, n: int, window: int, gram: int, bound: in
     def count(batches):
         minis, sizes = np.zeros(0, K.U), np.zeros(0, np.int64)
         for batch in K.regroup(batches, B.BLOCK_BYTES):
-            b = _Block(pa.Table.from_batches([batch]), window, gram)
+            b = _Block(pa.Table.from_batches([batch]), window, gram, texts=False)
             one = np.unique(b.key, return_index=True)[1]
             size = b.at[b.begin[one] + b.length[one] + window - 1] - b.at[b.begin[one]]
             minis, sizes = _sums(np.concatenate((minis, b.mini[one])), np.concatenate((sizes, size)))
@@ -195,10 +196,11 @@ def _bucket(table: pa.Table, window: int) -> pa.Table:
     texts = [pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True) for x in table["keys"].to_pylist()]
     docs = [K.unpack(x, np.int64) for x in table["data"].to_pylist()]
     data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.concatenate(([0], np.flatnonzero(data == 0x0A) + 1))
-    begin, end, first = K.word_spans(data, offsets)
-    hashes = K.exact_names(data, begin, end, K.word_hashes(data, offsets)[0])
-    del begin, end
+    del texts
+    end = np.flatnonzero((data == 0x20) | (data == 0x0A))  # one after each word
+    first = np.concatenate(([0], np.flatnonzero(data[end] == 0x0A) + 1))
+    hashes = K.local_names(data, np.concatenate(([0], end[:-1] + 1)), end)
+    del end
     starts = np.flatnonzero(K.within(first, window))
     line = K.owner(first)[starts]
     own = np.concatenate(docs)[line]
