@@ -372,3 +372,28 @@ def test_default_concentration_fires(spark):
     rows = [("s", f"x{i}", "c", "r", {"subject_count": 9, "lab_issues_count_sum": 90 if i == 0 else 1}) for i in range(12)]
     got = anomaly.concentration(site_rows(spark, rows)).collect()
     assert {r.site_id for r in got} == {"x0"}
+
+
+def test_perspectives_that_users_add(spark):
+    from trialpulse.operators import perspectives
+
+    cols = {"study": "s", "site_id": "a", "country": "US", "region": "AM", "subject_count": 10, "high_risk_count": 0, "avg_dqi_score": 0.01, "site_risk_category": "Low", "anomaly_score": 0.0, "is_anomaly": False, "study_risk_category": "Low", "country_risk_category": "Low", "portfolio_dqi": 0.1, "portfolio_subjects": 10.0, "portfolio_sae": 0.5, "portfolio_high_rate": 0.1}
+    cols |= {f"{c}_sum": 0 for c in C.SUMMED}
+    site = spark.createDataFrame([tuple(cols.values()), tuple((cols | {"site_id": "b", "inactivated_forms_count_sum": 40}).values())], list(cols))
+    forms = perspectives.Perspective("forms", ("inactivated_forms_count_sum",), "inactivated_forms_count_sum / 50D", 1.0, "forms are withdrawn", (("inactivated_forms_count_sum > 30", "concat('forms: ', inactivated_forms_count_sum)"),), (("inactivated_forms_count_sum > 30", "'Ask the site'"),))
+    registry = perspectives.Registry().add(forms)
+    got = {r.site_id: r for r in perspectives.consensus(site, registry).collect()}
+    assert got["b"].risk_category == "Critical" and got["b"].forms_score == 0.8 and got["b"].composite_score == 0.4013 and got["b"].agent_consensus == "forms are withdrawn"
+    assert "forms: 40" in got["b"].top_issues and "Ask the site" in got["b"].recommended_actions and got["a"].risk_category == "Low"
+    rows = {(r.site_id, r.perspective): (r.score, r.level, r.findings) for r in registry.by_sql(site, ["site_id"]).collect()}
+    assert rows["b", "forms"] == (0.8, "Critical", ["forms: 40"]) and rows["a", "forms"] == (0.0, "Low", []) and len(rows) == 8
+    assert "forms_score" not in perspectives.consensus(site).columns
+    with pytest.raises(ValueError):
+        registry.add(perspectives.Perspective("no name", (), "0D", 0.1, ""))
+
+
+def test_dense_sites_by_default(spark):
+    rows = [("s", f"site{i}", f"p{i}-{j}", {"lab_issues_count": 60 if i == 0 else 1}) for i in range(15) for j in range(6)]
+    site = rollup.site_metrics(scoring.subject_risk(scoring.score_subjects(subjects(spark, [(s, f"{p}", site, c) for s, site, p, c in rows]))))
+    got = anomaly.density(site).collect()
+    assert [(r.site_id, r.severity, r.value) for r in got] == [("site0", "HIGH", 60.0)]

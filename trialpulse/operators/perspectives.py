@@ -1,7 +1,15 @@
-"""Three perspectives on a site and their consensus (AGT-1..8). A perspective is a function from columns to a struct (score, findings, actions)."""
+"""Perspectives on a site and their consensus (AGT-1..8).
+
+A perspective is declared in SQL expressions over the columns of enrich(): a
+score, and texts with the conditions under which they are said. The same
+declaration is a column of the DataFrame API and a table function of SQL, and a
+registry of them is what the consensus is made of; users add their own.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +18,6 @@ from .recommend import texts
 
 # Bounds of levels, weights of the consensus.
 LEVELS = (("Critical", 0.8), ("High", 0.6), ("Medium", 0.4))
-CONSENSUS = {"safety": 0.40, "quality": 0.35, "performance": 0.25}
 URGENT = "(?i)sae|safety|urgent|immediate|escalate|meddra"
 
 
@@ -43,74 +50,135 @@ def candidates(enriched: DataFrame, n: int | None = None) -> DataFrame:
     return out if n is None else out.orderBy(F.desc("rank_score"), "study", "site_id", "country", "region").limit(n)
 
 
-def _view(score: Column, confidence: Column, findings: Column, actions: Column) -> Column:
-    s = S.r10(F.least(score, F.lit(1.0)))
-    return F.struct(s.alias("score"), level(s).alias("level"), confidence.alias("confidence"), findings.alias("findings"), actions.alias("actions"))
-
-
-def _n(c: Column) -> Column:
-    return c.cast("string")
-
-
-def _r4(c: Column) -> Column:
-    """Four decimals, halves up however the double stands."""
-    return F.round(c + F.lit(1e-12), 4)
-
-
-def safety() -> Column:
-    """AGT-3."""
-    sae, meddra, whodd, mean = (F.col(c) for c in ("sae_pending_count_sum", "uncoded_meddra_count_sum", "uncoded_whodd_count_sum", "portfolio_sae"))
-    score = F.least(F.lit(0.5), sae * 0.1) + F.least(F.lit(0.3), meddra * 0.05) + F.least(F.lit(0.2), whodd * 0.02)
-    findings = texts((sae > 0, F.concat(F.lit("pending SAE reviews: "), _n(sae))), (meddra > 0, F.concat(F.lit("uncoded adverse events: "), _n(meddra))), (whodd > 0, F.concat(F.lit("uncoded drug terms: "), _n(whodd))), ((sae > mean * 2) & (mean > 0), "SAE far above portfolio"))
-    actions = texts((sae > 0, "Immediate SAE review"), (sae >= 5, "Escalate to safety officer"), (meddra > 0, "Code MedDRA terms"), (whodd > 0, "Code drug terms"))
-    return _view(score, F.when(sae > 0, 0.9).otherwise(0.7), findings, actions)
-
-
-def quality() -> Column:
-    """AGT-4."""
-    visits, pages, labs, edrr, days, forms = (F.col(f"{c}_sum") for c in ("missing_visit_count", "missing_pages_count", "lab_issues_count", "edrr_open_issues", "max_days_page_missing", "inactivated_forms_count"))
-    n = F.greatest(F.col("subject_count"), F.lit(1))
-    score = F.least(F.lit(0.3), visits / n * 0.5) + F.least(F.lit(0.3), pages / n * 0.3) + F.least(F.lit(0.2), labs / n * 0.3) + F.least(F.lit(0.1), edrr / n * 0.2) + F.when(days > 30, 0.1).otherwise(0.0)
-    late = (pages > 0) & (days > 30)
-    findings = texts((visits > 0, F.concat(F.lit("missing visits: "), _n(visits))), (pages > 0, F.concat(F.lit("missing pages: "), _n(pages))), (late, F.concat(F.lit("page days: "), _n(days))), (labs > 0, F.concat(F.lit("lab issues: "), _n(labs))), (edrr > 0, F.concat(F.lit("reconciliation issues: "), _n(edrr))), (forms > 5, F.concat(F.lit("inactivated forms: "), _n(forms))))
-    actions = texts((visits >= 10, "Urgent visit documentation"), ((visits > 0) & (visits < 10), "Schedule visit entry"), (late, "Urgent: old missing pages"), (labs > 0, "Resolve lab discrepancies"), (edrr > 0, "Reconcile external data"), (forms > 5, "Review form inactivation"))
-    return _view(score, F.lit(0.85), findings, actions)
-
-
-def performance() -> Column:
-    """AGT-5."""
-    dqi, mean, high = F.col("avg_dqi_score"), F.col("portfolio_dqi"), F.col("site_risk_category") == "High"
-    rate = F.col("high_risk_count") / F.greatest(F.col("subject_count"), F.lit(1))
-    score = F.least(F.lit(0.4), dqi) + F.when(rate > 0.1, F.least(F.lit(0.3), rate)).otherwise(0.0) + F.when(F.col("is_anomaly"), 0.2).otherwise(0.0) + F.when(high, 0.1).otherwise(0.0)
-    above = (mean > 0) & (dqi > mean * 1.5)
-    far = (rate > 0.2) & (rate > F.col("portfolio_high_rate") * 2) & (F.col("portfolio_high_rate") > 0)
-    both = high & (F.col("study_risk_category") == "High")
-    findings = texts((above, "index above portfolio"), (rate > 0.2, "high-risk subject rate"), (far, "rate far above portfolio"), (both, "site and study high-risk"), (F.col("country_risk_category") == "High", F.concat(F.lit("high-risk country: "), F.col("country"))), (F.col("is_anomaly"), "flagged as anomaly"))
-    actions = texts((above, "Investigate systemic issues"), (far, "Root cause analysis"), (both, "Coordinate with study team"), (F.col("is_anomaly"), "Review anomalies"))
-    return _view(score, F.lit(0.75), findings, actions)
-
-
-PERSPECTIVES = {"safety": safety, "quality": quality, "performance": performance}
-
-
-def consensus(enriched: DataFrame) -> DataFrame:
-    """AGT-7: most severe level, weighted score, escalation, priority 1 to 5, and five findings and actions, safety first (SRT-6)."""
-    out = enriched.withColumns({k: f() for k, f in PERSPECTIVES.items()})
-    place = {k: F.col(f"{k}.level") for k in PERSPECTIVES}
-    names = ["Critical", "High", "Medium", "Low"]
-    worst = F.least(*(F.coalesce(*(F.when(p == n, F.lit(i)) for i, n in enumerate(names))) for p in place.values()))
-    s, q, p = (F.col(f"{k}.score") for k in PERSPECTIVES)
-    all_actions = F.array_distinct(F.concat(*(F.col(f"{k}.actions") for k in PERSPECTIVES)))
+VIEW = "score DOUBLE, level STRING, confidence DOUBLE, findings ARRAY<STRING>, actions ARRAY<STRING>"
+
+
+@dataclass(frozen=True)
+class Perspective:
+    """``columns``: what the expressions read; ``score``: severity, capped at 1; ``findings`` and ``actions``: (condition, text), both expressions; ``weight``: its part in the consensus; ``concern``: what the consensus says of a score above one half."""
+
+    name: str
+    columns: tuple[str, ...]
+    score: str
+    weight: float
+    concern: str
+    findings: tuple[tuple[str, str], ...] = ()
+    actions: tuple[tuple[str, str], ...] = ()
+    confidence: str = "0.8"
+
+    def expressions(self) -> dict[str, str]:
+        score = f"round(least({self.score}, 1.0D) + 1e-13, 10)"
+        level = "CASE " + " ".join(f"WHEN {score} >= {least} THEN '{name}'" for name, least in LEVELS) + " ELSE 'Low' END"
+
+        def said(pairs: tuple[tuple[str, str], ...]) -> str:
+            return "array_compact(array(" + ", ".join(f"CASE WHEN {when} THEN {text} END" for when, text in pairs) + "))" if pairs else "CAST(array() AS ARRAY<STRING>)"
+
+        return {"score": score, "level": level, "confidence": f"CAST({self.confidence} AS DOUBLE)", "findings": said(self.findings), "actions": said(self.actions)}
+
+    def __call__(self) -> Column:
+        """The struct (score, level, confidence, findings, actions) of a row."""
+        return F.struct(*(F.expr(e).alias(n) for n, e in self.expressions().items()))
+
+    def create(self, enriched: DataFrame) -> str:
+        """A temporary SQL table function perspective_<name> over the same columns, of the types that ``enriched`` has: one row with the declared schema VIEW."""
+        types = {f.name: f.dataType.simpleString() for f in enriched.schema}
+        name = f"perspective_{self.name}"
+        arguments = ", ".join(f"{c} {types[c]}" for c in self.columns)
+        enriched.sparkSession.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS TABLE ({VIEW}) RETURN SELECT " + ", ".join(self.expressions().values()))
+        return name
+
+
+_N = "greatest(subject_count, 1)"
+_RATE = f"(high_risk_count / {_N})"
+_BOTH = "site_risk_category = 'High' AND study_risk_category = 'High'"
+_FAR = f"{_RATE} > 0.2 AND {_RATE} > portfolio_high_rate * 2 AND portfolio_high_rate > 0"
+_LATE = "missing_pages_count_sum > 0 AND max_days_page_missing_sum > 30"
+
+# Scores, texts and weights of AGT-3, AGT-4 and AGT-5.
+BUILT_IN = (
+    Perspective(
+        "safety",
+        ("sae_pending_count_sum", "uncoded_meddra_count_sum", "uncoded_whodd_count_sum", "portfolio_sae"),
+        "least(0.5D, sae_pending_count_sum * 0.1D) + least(0.3D, uncoded_meddra_count_sum * 0.05D) + least(0.2D, uncoded_whodd_count_sum * 0.02D)",
+        0.40,
+        "safety concerns",
+        (("sae_pending_count_sum > 0", "concat('pending SAE reviews: ', sae_pending_count_sum)"), ("uncoded_meddra_count_sum > 0", "concat('uncoded adverse events: ', uncoded_meddra_count_sum)"), ("uncoded_whodd_count_sum > 0", "concat('uncoded drug terms: ', uncoded_whodd_count_sum)"), ("sae_pending_count_sum > portfolio_sae * 2 AND portfolio_sae > 0", "'SAE far above portfolio'")),
+        (("sae_pending_count_sum > 0", "'Immediate SAE review'"), ("sae_pending_count_sum >= 5", "'Escalate to safety officer'"), ("uncoded_meddra_count_sum > 0", "'Code MedDRA terms'"), ("uncoded_whodd_count_sum > 0", "'Code drug terms'")),
+        "CASE WHEN sae_pending_count_sum > 0 THEN 0.9 ELSE 0.7 END",
+    ),
+    Perspective(
+        "quality",
+        ("subject_count", "missing_visit_count_sum", "missing_pages_count_sum", "lab_issues_count_sum", "edrr_open_issues_sum", "max_days_page_missing_sum", "inactivated_forms_count_sum"),
+        f"least(0.3D, missing_visit_count_sum / {_N} * 0.5D) + least(0.3D, missing_pages_count_sum / {_N} * 0.3D) + least(0.2D, lab_issues_count_sum / {_N} * 0.3D) + least(0.1D, edrr_open_issues_sum / {_N} * 0.2D) + CASE WHEN max_days_page_missing_sum > 30 THEN 0.1D ELSE 0.0D END",
+        0.35,
+        "data quality concerns",
+        (("missing_visit_count_sum > 0", "concat('missing visits: ', missing_visit_count_sum)"), ("missing_pages_count_sum > 0", "concat('missing pages: ', missing_pages_count_sum)"), (_LATE, "concat('page days: ', max_days_page_missing_sum)"), ("lab_issues_count_sum > 0", "concat('lab issues: ', lab_issues_count_sum)"), ("edrr_open_issues_sum > 0", "concat('reconciliation issues: ', edrr_open_issues_sum)"), ("inactivated_forms_count_sum > 5", "concat('inactivated forms: ', inactivated_forms_count_sum)")),
+        (("missing_visit_count_sum >= 10", "'Urgent visit documentation'"), ("missing_visit_count_sum > 0 AND missing_visit_count_sum < 10", "'Schedule visit entry'"), (_LATE, "'Urgent: old missing pages'"), ("lab_issues_count_sum > 0", "'Resolve lab discrepancies'"), ("edrr_open_issues_sum > 0", "'Reconcile external data'"), ("inactivated_forms_count_sum > 5", "'Review form inactivation'")),
+        "0.85",
+    ),
+    Perspective(
+        "performance",
+        ("avg_dqi_score", "portfolio_dqi", "site_risk_category", "high_risk_count", "subject_count", "is_anomaly", "portfolio_high_rate", "study_risk_category", "country_risk_category", "country"),
+        f"least(0.4D, avg_dqi_score) + CASE WHEN {_RATE} > 0.1 THEN least(0.3D, {_RATE}) ELSE 0.0D END + CASE WHEN is_anomaly THEN 0.2D ELSE 0.0D END + CASE WHEN site_risk_category = 'High' THEN 0.1D ELSE 0.0D END",
+        0.25,
+        "performance below standard",
+        (("portfolio_dqi > 0 AND avg_dqi_score > portfolio_dqi * 1.5", "'index above portfolio'"), (f"{_RATE} > 0.2", "'high-risk subject rate'"), (_FAR, "'rate far above portfolio'"), (_BOTH, "'site and study high-risk'"), ("country_risk_category = 'High'", "concat('high-risk country: ', country)"), ("is_anomaly", "'flagged as anomaly'")),
+        (("portfolio_dqi > 0 AND avg_dqi_score > portfolio_dqi * 1.5", "'Investigate systemic issues'"), (_FAR, "'Root cause analysis'"), (_BOTH, "'Coordinate with study team'"), ("is_anomaly", "'Review anomalies'")),
+        "0.75",
+    ),
+)
+PERSPECTIVES = {p.name: p for p in BUILT_IN}
+
+
+@dataclass
+class Registry:
+    """AGT-8: the perspectives that a consensus is made of, the built-in ones first."""
+
+    perspectives: dict[str, Perspective] = field(default_factory=lambda: dict(PERSPECTIVES))
+
+    def add(self, perspective: Perspective) -> Registry:
+        """A new perspective, or another one in the place of that name."""
+        if not perspective.name.isidentifier() or perspective.weight < 0:
+            raise ValueError("a perspective needs a name and a weight that isn't negative")
+        self.perspectives[perspective.name] = perspective
+        return self
+
+    def weights(self) -> dict[str, float]:
+        whole = sum(p.weight for p in self.perspectives.values())
+        return {n: p.weight / whole for n, p in self.perspectives.items()} if abs(whole - 1) > 1e-9 else {n: p.weight for n, p in self.perspectives.items()}
+
+    def by_sql(self, enriched: DataFrame, keys: list[str]) -> DataFrame:
+        """keys, perspective and VIEW: every perspective's table function, called for every site by a lateral join."""
+        spark = enriched.sparkSession
+        calls = [f"SELECT {', '.join(f's.{k}' for k in keys)}, '{n}' AS perspective, v.* FROM {{sites}} s, LATERAL {p.create(enriched)}({', '.join(f's.{c}' for c in p.columns)}) v" for n, p in self.perspectives.items()]
+        return spark.sql(" UNION ALL ".join(calls), sites=enriched)
+
+
+def consensus(enriched: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """AGT-7: most severe level, weighted score, escalation, priority 1 to 5, and five findings and actions, in the order of the registry, urgent actions first (SRT-6)."""
+    registry = registry or Registry()
+    views = registry.perspectives
+    out = enriched.withColumns({k: p() for k, p in views.items()})
+    names = [n for n, _ in LEVELS] + ["Low"]
+    worst = F.least(*(F.coalesce(*(F.when(F.col(f"{k}.level") == n, F.lit(i)) for i, n in enumerate(names))) for k in views))
+    score = {k: F.col(f"{k}.score") for k in views}
+    s = score["safety"] if "safety" in score else F.lit(0.0)
+    all_actions = F.array_distinct(F.concat(*(F.col(f"{k}.actions") for k in views)))
     first = F.concat(F.filter(all_actions, lambda t: t.rlike(URGENT)), F.filter(all_actions, lambda t: ~t.rlike(URGENT)))
-    said = texts((s > 0.5, "safety concerns"), (q > 0.5, "data quality concerns"), (p > 0.5, "performance below standard"))
+    said = texts(*((score[k] > 0.5, p.concern) for k, p in views.items()))
     return out.withColumn("worst", worst).select(
         "study", "site_id", "country", "region",
         F.when(F.col("worst") == 0, 1).when((F.col("worst") == 1) & (s >= 0.5), 2).when(F.col("worst") == 1, 3).when(F.col("worst") == 2, 4).otherwise(5).alias("priority"),
         F.element_at(F.array(*map(F.lit, names)), F.col("worst") + 1).alias("risk_category"),
-        _r4(S.r10(s * CONSENSUS["safety"] + q * CONSENSUS["quality"] + p * CONSENSUS["performance"])).alias("composite_score"),
-        _r4(s).alias("safety_score"), _r4(q).alias("quality_score"), _r4(p).alias("performance_score"),
-        F.array_join(F.slice(F.concat(*(F.col(f"{k}.findings") for k in PERSPECTIVES)), 1, 5), "; ").alias("top_issues"),
+        _r4(S.r10(S.total([score[k] * w for k, w in registry.weights().items()]))).alias("composite_score"),
+        *(_r4(score[k]).alias(f"{k}_score") for k in views),
+        F.array_join(F.slice(F.concat(*(F.col(f"{k}.findings") for k in views)), 1, 5), "; ").alias("top_issues"),
         F.array_join(F.slice(first, 1, 5), "; ").alias("recommended_actions"),
         F.when(F.size(said) == 0, "within acceptable parameters").otherwise(F.array_join(said, "; ")).alias("agent_consensus"),
         ((F.col("worst") == 0) | (s >= 0.7) | ((F.col("worst") == 1) & (s >= 0.5))).alias("escalation_required"),
     )
+
+
+def _r4(c: Column) -> Column:
+    """Four decimals, halves up however the double stands."""
+    return F.round(c + F.lit(1e-12), 4)

@@ -217,6 +217,8 @@ for _k in perspectives.PERSPECTIVES:
     register(f"agent_{_k}", f"SELECT {', '.join(C.SITE_KEYS)}, {_k} AS score, array_to_string({_k}_findings, '; ') AS findings, array_to_string({_k}_actions, '; ') AS actions FROM views")(
         lambda d, k=_k: d.enriched.select(*C.SITE_KEYS, perspectives.PERSPECTIVES[k]().alias("v")).select(*C.SITE_KEYS, "v.score", F.array_join("v.findings", "; ").alias("findings"), F.array_join("v.actions", "; ").alias("actions"))
     )
+_level = "CASE WHEN {0} >= 0.8 THEN 'Critical' WHEN {0} >= 0.6 THEN 'High' WHEN {0} >= 0.4 THEN 'Medium' ELSE 'Low' END"
+register("agent_views", " UNION ALL ".join(f"SELECT {_keys}, '{k}' AS perspective, {k} AS score, {_level.format(k)} AS level, array_to_string({k}_findings, '; ') AS findings, array_to_string({k}_actions, '; ') AS actions FROM views" for k in perspectives.PERSPECTIVES))(lambda d: _joined_lists(perspectives.Registry().by_sql(d.enriched, C.SITE_KEYS)).drop("confidence"))
 register("agent_consensus", "SELECT * FROM agent_out")(lambda d: perspectives.consensus(d.enriched))
 register("cooccurrence", "SELECT * FROM cooc")(lambda d: rootcause.cooccurrence(d.risk))
 _strength = "CASE WHEN lift > 2 THEN 'strongly' WHEN lift > 1.5 THEN 'moderately' ELSE 'slightly' END"
