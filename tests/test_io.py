@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from trialpulse import catalog
 from trialpulse.operators import graph
 from trialpulse.plans import pipeline
-from trialpulse.sources import discovery, files, sinks, workbook
+from trialpulse.sources import discovery, documents, files, sheets, sinks, workbook
 from trialpulse.streaming import rescore
 
 SMALL = "/root/testdata/sf0.001"
@@ -59,19 +59,68 @@ def test_headers_that_match_by_substring_only(spark, tmp_path):
     assert [(r.subject_id, r.site_id, r.review_status) for r in got] == [("p1", "s1", "Open"), ("p2", None, "Review Completed")]
 
 
+def test_a_task_reads_a_sheet_and_filters_drop_sheets(spark, tmp_path):
+    _xlsx(tmp_path / "a.xlsx", {"SAE Dashboard": [["x", "", "1"], [], ["y"]], "Other": [["z"]]})
+    _xlsx(tmp_path / "b.xlsx", {"Other": [["w"]]})
+    cells = sheets.read(spark, str(tmp_path))
+    got = {(r.path.rpartition("/")[2], r.sheet, r.row): r.cells for r in cells.collect()}
+    assert got == {("a.xlsx", "SAE Dashboard", 0): ["x", None, "1"], ("a.xlsx", "SAE Dashboard", 1): [], ("a.xlsx", "SAE Dashboard", 2): ["y"], ("a.xlsx", "Other", 0): ["z"], ("b.xlsx", "Other", 0): ["w"]}
+    assert cells.rdd.getNumPartitions() == 3 and sheets.read(spark, str(tmp_path), "sae|dash").rdd.getNumPartitions() == 1
+    one = cells.where("sheet = 'Other' and path like '%b.xlsx' and row < 9")
+    assert [r.cells for r in one.collect()] == [["w"]] and one.rdd.getNumPartitions() == 1
+
+
+def test_a_large_sheet_is_read_in_bounded_memory(tmp_path):
+    import tracemalloc
+
+    n = 60_000
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    _xlsx(tmp_path / "a.xlsx", {"S": [["x"]]})
+    with zipfile.ZipFile(tmp_path / "a.xlsx") as old, zipfile.ZipFile(tmp_path / "big.xlsx", "w", zipfile.ZIP_DEFLATED) as z:
+        for name in old.namelist()[:-1]:
+            z.writestr(name, old.read(name))
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}>" + "".join(f"<si><t>s{i}</t></si>" for i in range(500)) + "</sst>")
+        with z.open("xl/worksheets/s1.xml", "w") as out:
+            out.write(f"<worksheet {ns}><sheetData>".encode())
+            for i in range(n):
+                out.write(f'<row><c r="A{i}"><v>{i}</v></c><c r="C{i}" t="s"><v>{i % 500}</v></c></row>'.encode())
+            out.write(b"</sheetData></worksheet>")
+    reader = sheets.WorkbookReader({"path": str(tmp_path / "big.xlsx")})
+    (part,) = reader.partitions()
+    tracemalloc.start()
+    seen, last = 0, None
+    for batch in reader.read(part):
+        seen += batch.num_rows
+        last = batch.column("cells")[batch.num_rows - 1].as_py()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n and last == [str(n - 1), None, f"s{(n - 1) % 500}"] and peak < 12 << 20
+
+
 def test_graphml_is_a_document(spark, tmp_path):
-    n = spark.createDataFrame([("a", "Site", 'x<"&'), ("b", "Study", None)], "node_id string, node_type string, name string")
+    n = spark.createDataFrame([("a", "Site", 'x<"&'), ("b", "Study", None)], "node_id string, node_type string, name string").repartition(2)
     e = spark.createDataFrame([("a", "b", "IN")], "source string, target string, edge_type string")
-    sinks.write_graphml(n, e, str(tmp_path / "g"))
-    text = "".join(p.read_text() for p in sorted((tmp_path / "g").glob("part-*")))
-    root = ElementTree.fromstring(text)
-    assert [x.get("id") for x in root.iter("{http://graphml.graphdrawing.org/xmlns}node")] == ["a", "b"] and len(list(root.iter("{http://graphml.graphdrawing.org/xmlns}edge"))) == 1
+    documents.write_graphml(n, e, str(tmp_path / "g.xml"))
+    root = ElementTree.parse(tmp_path / "g.xml").getroot()
+    assert sorted(x.get("id") for x in root.iter("{http://graphml.graphdrawing.org/xmlns}node")) == ["a", "b"] and len(list(root.iter("{http://graphml.graphdrawing.org/xmlns}edge"))) == 1
     assert 'x<"&' in [d.text for d in root.iter("{http://graphml.graphdrawing.org/xmlns}data")]
+    documents.write_graphml(n.limit(0), e.limit(0), str(tmp_path / "none.xml"))
+    assert not list(ElementTree.parse(tmp_path / "none.xml").getroot().iter("{http://graphml.graphdrawing.org/xmlns}node"))
 
 
-def test_documents_and_tables(spark):
+def test_json_documents_appear_whole_or_not_at_all(spark, tmp_path):
     df = spark.createDataFrame([(1, "a|b"), (2, None)], "n long, t string")
-    assert json.loads(sinks.document(rows=df, more=df.limit(0)).first()[0]) == {"rows": [{"n": 1, "t": "a|b"}, {"n": 2}], "more": []}
+    many = spark.range(1000).repartition(7)
+    at = tmp_path / "d.json"
+    documents.write_json(str(at), rows=df, more=df.limit(0), many=many)
+    got = json.loads(at.read_text())
+    assert sorted(got["rows"], key=lambda r: r["n"]) == [{"n": 1, "t": "a|b"}, {"n": 2}] and got["more"] == [] and sorted(r["id"] for r in got["many"]) == list(range(1000))
+    before = at.read_text()
+    bad = many.select(F.when(F.col("id") == 777, F.raise_error(F.lit("no"))).otherwise(F.col("id").cast("string")).alias("id"))
+    for name in ("d.json", "new.json"):
+        with pytest.raises(Exception, match="no"):
+            documents.write_json(str(tmp_path / name), many=bad)
+    assert at.read_text() == before and [p.name for p in tmp_path.iterdir()] == ["d.json"]
     assert "| 1 | a\\|b |" in sinks.markdown(df, "T")
 
 
@@ -118,7 +167,7 @@ def test_queries_agree_with_their_sql(spark, name):
 
 
 def test_every_query_has_sql_but_the_models():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"cluster_kmeans", "cluster_gmm", "cluster_pca", "cluster_dbscan", "map_columns", "cluster_sites", "cluster_comparison", "site_dashboard", "root_causes_clustered"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"cluster_kmeans", "cluster_gmm", "cluster_pca", "cluster_sites_fitted"}
     assert catalog.FLAGSHIP in catalog.QUERIES
 
 

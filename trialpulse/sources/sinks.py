@@ -1,4 +1,4 @@
-"""Exports (SNK-1..8): CSV, JSON documents, GraphML, Markdown tables."""
+"""Exports (SNK-1..8): CSV, lines of GraphML, Markdown tables; documents.py makes one file of many tasks."""
 
 from __future__ import annotations
 
@@ -15,15 +15,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     flattened(df).write.mode("overwrite").csv(path, header=True)
 
 
-def document(**tables: DataFrame) -> DataFrame:
-    """SNK-3: one JSON text of result tables, each a list of objects; numbers stay numbers. For tables of bounded size."""
-    out = None
-    for name, df in tables.items():
-        one = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
-        out = one if out is None else out.crossJoin(one)
-    return out.select(F.to_json(F.struct(*tables)).alias("value"))
-
-
 def _xml(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -31,7 +22,7 @@ def _xml(c: Column) -> Column:
 
 
 def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """SNK-4: lines of a GraphML document in order of (place, line); all attributes as text."""
+    """SNK-4: lines of a GraphML document by place: the opening (0), nodes, edges, the closing (3); all attributes as text."""
     spark = nodes.sparkSession
     attributes = [c for c in nodes.columns if c != "node_id"]
     head = "<graphml xmlns=" + quoteattr("http://graphml.graphdrawing.org/xmlns") + ">" + "".join(f'<key id="{escape(a)}" for="node" attr.name="{escape(a)}" attr.type="string"/>' for a in attributes)
@@ -43,11 +34,6 @@ def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.union(n).union(e)
 
 
-def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Part files that make the document when put together in order of name."""
-    graphml(nodes, edges).orderBy("place", "line").select("line").write.mode("overwrite").text(path)
-
-
 def markdown(df: DataFrame, title: str, limit: int = 50) -> str:
     """SNK-6: the first rows of a table as Markdown."""
     rows = df.limit(limit).collect()

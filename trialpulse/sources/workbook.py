@@ -1,71 +1,18 @@
-"""Workbook scan (SRC-1..7): .xlsx files to rows of cells, read through Spark's file source and the standard library."""
+"""Workbook scan (SRC-1..7): .xlsx files to rows of cells, and those to tables with canonical columns."""
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from xml.etree import ElementTree
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import discovery
+from . import sheets as workbooks
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/package/2006/relationships"}
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-ROWS = "path string, sheet string, row long, cells array<string>, error string"
-
-
-def _column(reference: str) -> int:
-    n = 0
-    for ch in re.match(r"[A-Z]+", reference)[0]:
-        n = n * 26 + ord(ch) - 64
-    return n - 1
-
-
-def read_sheets(data: bytes):
-    """(sheet, row number, cells) of every sheet of a workbook."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        strings = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-                strings.append("".join(t.text or "" for t in item.iter(f"{{{_NS['m']}}}t")))
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")).findall("r:Relationship", _NS)}
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{{{_NS['m']}}}sheet"):
-            target = targets[sheet.get(_REL)].lstrip("/")
-            tree = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            for i, row in enumerate(tree.iter(f"{{{_NS['m']}}}row")):
-                cells: list[str | None] = []
-                for cell in row.findall("m:c", _NS):
-                    at = _column(cell.get("r")) if cell.get("r") else len(cells)
-                    cells += [None] * (at + 1 - len(cells))
-                    value, inline = cell.find("m:v", _NS), cell.find("m:is", _NS)
-                    if cell.get("t") == "s" and value is not None:
-                        cells[at] = strings[int(value.text)]
-                    elif inline is not None:
-                        cells[at] = "".join(t.text or "" for t in inline.iter(f"{{{_NS['m']}}}t"))
-                    elif value is not None:
-                        cells[at] = value.text
-                yield sheet.get("name"), i, cells
-
-
-def scan(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Cells of all workbooks under the paths; a file that can't be read is one row with its error."""
-
-    def parse(batches):
-        for pdf in batches:
-            out = []
-            for path, content in zip(pdf["path"], pdf["content"]):
-                try:
-                    out += [(path, s, r, c, None) for s, r, c in read_sheets(content)]
-                except Exception as e:  # the error is a row of the result
-                    out.append((path, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["path", "sheet", "row", "cells", "error"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xlsx").load(paths)
-    return files.select("path", "content").mapInPandas(parse, ROWS)
+def scan(spark: SparkSession, root: str, sheets: str | None = None) -> DataFrame:
+    """Cells of all workbooks below a folder (sheets.ROWS): a task for every sheet; a file that can't be read is one row with its error."""
+    return workbooks.read(spark, root, sheets)
 
 
 def table(cells: DataFrame, kind: str, sheets: str | None = None) -> DataFrame:
