@@ -5,6 +5,8 @@ import zipfile
 from pathlib import Path
 from xml.etree import ElementTree
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,3 +268,80 @@ def test_reports_name_what_is_urgent(spark):
     assert f"1. {first.study} - {first.site_id}" in reports.site_actions(sites, 3)
     text = reports.root_cause_report(d.causes, rootcause.patterns(rootcause.cooccurrence(d.risk), least=1), d.geography)
     assert "RC001" in text and "CO-OCCURRENCE\n* " in text
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_stream_keeps_the_metrics_of_the_table(spark, tmp_path, seed):
+    from trialpulse.operators import master
+    from trialpulse.plans import projection
+    from trialpulse.streaming import subjects
+
+    facts = projection.facts(spark, SMALL).withColumn("fact_id", F.concat_ws("-", F.lit("f"), F.monotonically_increasing_id())).toPandas()
+    rng = np.random.default_rng(seed)
+    facts = facts.sample(min(len(facts), 150), random_state=3).assign(version=1, withdrawn=False)
+    later = facts.sample(40, random_state=seed).assign(version=2)
+    later["open_issues"] = "3"
+    gone = facts.sample(25, random_state=seed + 7).assign(version=3, withdrawn=True)
+    rows = pd.concat([facts, later, gone, later.head(5)])
+    schema = "file_type string, days_outstanding int, review_status string, days_missing int, coding_status string, open_issues string, study string, subject_id string, fact_id string, version long, withdrawn boolean"
+    rows = rows[[c.split()[0] for c in schema.split(", ")]]
+
+    def table(pdf):
+        return spark.createDataFrame([tuple(None if pd.isna(v) else int(v) if isinstance(v, float) else v for v in r) for r in pdf.itertuples(index=False, name=None)], schema)
+
+    order = rng.permutation(len(rows))
+    for i, part in enumerate(np.array_split(order, 3)):
+        table(rows.iloc[part]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rescore.start(subjects.metrics(stream), lambda b: b, str(tmp_path / "out"), str(tmp_path / "check"), mode="update").awaitTermination()
+    final = rows.sort_values("version").drop_duplicates("fact_id", keep="last")
+    want = master.metrics(table(final[~final.withdrawn.astype(bool)]))
+    got = subjects.latest(spark, str(tmp_path / "out"))
+    assert want.count() == got.count() > 50 and want.exceptAll(got.select(want.columns)).count() == 0
+
+
+def test_every_report_has_its_tables(spark):
+    from trialpulse.operators import validation
+    from trialpulse.sources import reports
+
+    frame = spark.createDataFrame
+    anomalies = frame([("s", "a", "HIGH", "x", "m"), ("s", "b", "CRITICAL", "what | is wrong", "m")], "study string, site_id string, severity string, description string, metric string")
+    scores = frame([("s", "a", 0.2, 1, 0, 1, True), ("s", "b", 0.9, 2, 1, 0, True)], "study string, site_id string, anomaly_score double, anomaly_count long, critical_count long, high_count long, is_anomaly boolean")
+    summary = frame([("severity", "HIGH", 1), ("severity", "CRITICAL", 1), ("anomaly_type", "PATTERN_ANOMALY", 2)], "kind string, name string, n long")
+    text = reports.anomaly_report(summary, scores, anomalies)
+    assert text.index("| s | b | 0.9 | 2 | critical |") < text.index("| s | a | 0.2 | 1 | high |") and "what \\| is wrong" in text and "Pattern Anomaly" in text
+    assert reports.anomaly_summary(summary, scores, 1) == {"total": 2, "sites": 2, "by_severity": {"high": 1, "critical": 1}, "by_type": {"pattern_anomaly": 2}, "top_sites": [{"study": "s", "site_id": "b", "anomaly_score": 0.9, "anomaly_count": 2}]}
+    levels = frame([("High", 1), ("Medium", 0), ("Low", 3)], "category string, n long")
+    checks = frame([("sae_capture", True)], "check_name string, passed boolean")
+    features = frame([("lab_issues_count", 0.1, "t", 2, 5.0)], "feature string, weight double, tier string, n_positive long, max_raw double")
+    text = reports.index_report(levels, checks, features, frame([(4, 1)], "sae_subjects long, overridden long"))
+    assert "| High | 1 | 25.0% |" in text and "| Sae Capture | yes |" in text and "| 4 | 1 |" in text
+    folds = frame([(1, 10, 0.2, 0.9, 1.0)], "fold int, test_size long, threshold double, agreement double, sae_capture double")
+    spread, ranks = validation.stability(folds), frame([], "fold_a int, fold_b int, common_sites long, correlation double")
+    weights = frame([("Baseline", 0, 0.0, 100.0, 1.0), ("Inverted", 3, 30.0, 100.0, 0.4)], "scenario string, category_shifts long, shift_pct double, sae_capture_pct double, rank_correlation double")
+    text = reports.validation_report(folds, spread, ranks, weights)
+    assert "Nothing to report." in text and "| Inverted | 3 | 30 | 100 | 0.4 |" in text
+    assert reports.validation_summary(folds, spread, weights)["most_sensitive"] == {"scenario": "Inverted", "rank_correlation": 0.4, "shift_pct": 30.0}
+    profiles = frame([(0, "Safety Concerns", "Critical", 1, 3, 30.0, 0.3, 0.2, "SAE Pending")], "cluster_id int, cluster_name string, risk_level string, intervention_priority int, site_count long, pct_of_total double, avg_dqi_score double, avg_high_risk_rate double, dominant_issues string")
+    assert "| 0.6 | excellent |" in reports.cluster_report(profiles, 0.6) and "Mixtures" not in reports.cluster_report(profiles)
+    views = frame([("s", "a", 1, "Critical", 0.7, True, "t", "do")], "study string, site_id string, priority int, risk_category string, composite_score double, escalation_required boolean, top_issues string, recommended_actions string")
+    assert "| s | a | 1 | 0.7 | yes | t | do |" in reports.consensus_report(views)
+    size = frame([("node", "Site", 3)], "what string, kind string, n long")
+    country = frame([("US", "High", 2), ("US", "Low", 9)], "country string, risk_category string, n long")
+    assert "| US | 2 |" in reports.graph_report(size, country, frame([("s", 3)], "study string, site_count long"))
+    files_ = discovery.file_mapping(frame([("/d/Study_1/Compiled_EDRR.xlsx",), ("/d/Study_1/odd.xlsx",)], "path string"))
+    text = reports.discovery_report(files_, discovery.issues(files_, frame([("edrr", "Subject", 0)], "file_type string, header string, position int")))
+    assert "| edrr | 1 | 1 |" in text and "odd.xlsx" in text
+
+
+def test_exports_and_scaling(spark, tmp_path):
+    from trialpulse.operators import clustering, master
+
+    df = spark.createDataFrame([("a", ["x", "y"], 1)], "k string, l array<string>, n int")
+    sinks.write_csv(df, str(tmp_path / "c"))
+    assert [r.asDict() for r in spark.read.csv(str(tmp_path / "c"), header=True).collect()] == [{"k": "a", "l": "x; y", "n": "1", "first_l": "x"}]
+    got = discovery.standardise(spark.createDataFrame([("1", "s")], "`Patient ID` string, Odd string"), "sae_dashboard")
+    assert got.columns == ["subject_id", "Odd"] and discovery.standardise(got, "no such type").columns == got.columns
+    sites = spark.createDataFrame([(0, 1.0, 5.0), (0, 3.0, 5.0), (1, 6.0, 5.0)], "cluster_id int, a double, b double")
+    assert sorted(map(tuple, clustering.heatmap(sites, ["a", "b"]).collect())) == [(0, 0.0, 0.0), (1, 1.0, 0.0)]
+    assert [r.v for r in spark.createDataFrame([("-3",), ("12",), ("9999",), ("x",)], "v string").select(master.clamped_days(F.col("v")).alias("v")).collect()] == [0.0, 12.0, 1825.0, None]

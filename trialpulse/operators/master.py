@@ -46,8 +46,8 @@ def pending(df: DataFrame) -> Column:
     return ~F.col("review_status").eqNullSafe(F.lit("Review Completed")) if "review_status" in df.columns else F.lit(True)
 
 
-def metrics(extracts: dict[str, DataFrame] | DataFrame) -> DataFrame:
-    """AGG-2..9: one row a subject and one column a metric, by one aggregate. Days combine by max, counts by sum. ``extracts``: file type -> rows, or one table of all types with a file_type column (a column that no row of a type has counts as absent there)."""
+def _rows(extracts: dict[str, DataFrame] | DataFrame) -> tuple[DataFrame, dict[str, set[str]]]:
+    """Rows of all file types in one table, and the columns that each type has."""
     if isinstance(extracts, DataFrame):
         rows, has = extracts, {k: set(extracts.columns) for k in FILE_TYPES}
     else:
@@ -56,7 +56,11 @@ def metrics(extracts: dict[str, DataFrame] | DataFrame) -> DataFrame:
             raise ValueError(f"unknown file type {sorted(unknown)}")
         has = {k: set(df.columns) for k, df in extracts.items()}
         rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.select("study", "subject_id", *(F.col(c).cast("string") for c in ("days_outstanding", "review_status", "days_missing", "coding_status", "open_issues") if c in has[k]), F.lit(k).alias("file_type")) for k, df in extracts.items()])
-    rows = rows.withColumn("subject_id", F.trim("subject_id")).where("study is not null and subject_id is not null and subject_id <> ''")
+    return rows.withColumn("subject_id", F.trim("subject_id")).where("study is not null and subject_id is not null and subject_id <> ''"), has
+
+
+def _values(rows: DataFrame, has: dict[str, set[str]]) -> list[Column]:
+    """AGG-2..9: what a row adds to each metric of C.ISSUE_COLUMNS, NULL where it doesn't count."""
     one = F.lit(1.0)
     values: dict[str, Column] = {}
 
@@ -83,9 +87,26 @@ def metrics(extracts: dict[str, DataFrame] | DataFrame) -> DataFrame:
     if there("edrr", "open_issues"):
         x = number(F.col("open_issues").cast("string"))
         of("edrr", "edrr_open_issues", F.coalesce(F.when(x < 0, 0.0).otherwise(F.floor(x).cast("double")), F.lit(0.0)))
-    columns = [(F.max if m.startswith("max_days") else F.sum)(values.get(m, F.lit(None).cast("double"))).alias(m) for m in C.ISSUE_COLUMNS]
+    return [values.get(m, F.lit(None).cast("double")).cast("double").alias(m) for m in C.ISSUE_COLUMNS]
+
+
+def combined(metric: str):
+    """How a metric's values of one subject combine: days by max, counts by sum."""
+    return F.max if metric.startswith("max_days") else F.sum
+
+
+def contributions(extracts: DataFrame, *keep: str) -> DataFrame:
+    """A row each: subject keys, the ``keep`` columns and what the row adds to every metric. Works on a stream and on a table."""
+    rows, has = _rows(extracts)
+    return rows.select(*C.SUBJECT_KEYS, *keep, *_values(rows, has))
+
+
+def metrics(extracts: dict[str, DataFrame] | DataFrame) -> DataFrame:
+    """AGG-2..9: one row a subject and one column a metric, by one aggregate. ``extracts``: file type -> rows, or one table of all types with a file_type column (a column that no row of a type has counts as absent there)."""
+    rows, has = _rows(extracts)
+    each = rows.select(*C.SUBJECT_KEYS, *_values(rows, has))
     # a subject with rows of which none counts has no metrics, as one without rows
-    got = rows.groupBy(*C.SUBJECT_KEYS).agg(*columns)
+    got = each.groupBy(*C.SUBJECT_KEYS).agg(*(combined(m)(m).alias(m) for m in C.ISSUE_COLUMNS))
     return got.where(reduce(lambda a, b: a | b, (F.col(m).isNotNull() for m in C.ISSUE_COLUMNS)))
 
 

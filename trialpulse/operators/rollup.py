@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import stats as S
+from ..plans.tables import staged
 from .master import present
 
 STUDY_SUMS = [f"{f}_sum" for f in C.SUMMED if not f.startswith("max_days")]
@@ -40,7 +41,7 @@ def site_risk(metrics: DataFrame, high=C.SITE_HIGH, medium=C.SITE_MEDIUM) -> Dat
     """DQI-7: thresholds over sites above 0, with floors. high, medium: (percentile, floor, value where no site is above 0)."""
     x = _positive("avg_dqi_score")
     found = S.percentiles(metrics, _high=(x, high[0]), _medium=(x, medium[0]))
-    cuts = F.broadcast(found.select(*(F.when(F.col(n).isNull(), fallback).otherwise(S.r10(F.greatest(F.col(n), F.lit(floor)))).alias(n) for n, (_, floor, fallback) in (("_high", high), ("_medium", medium)))))
+    cuts = F.broadcast(staged(found.select(*(F.when(F.col(n).isNull(), fallback).otherwise(S.r10(F.greatest(F.col(n), F.lit(floor)))).alias(n) for n, (_, floor, fallback) in (("_high", high), ("_medium", medium)))), "cuts"))
     avg = F.col("avg_dqi_score")
     out = metrics.crossJoin(cuts).withColumn("site_risk_category", F.when(avg >= F.col("_high"), "High").when(avg >= F.col("_medium"), "Medium").otherwise("Low"))
     return out.drop("_high", "_medium")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import stats as S
+from ..plans.tables import staged
 
 WEIGHTS = {f: w for f, (w, _) in C.WEIGHTS.items()}
 
@@ -66,8 +67,8 @@ def category(threshold: Column, score: Column | None = None) -> Column:
 
 
 def subject_risk(scored: DataFrame) -> DataFrame:
-    """DQI-5: has_issues, risk_category and the threshold used."""
-    out = scored.crossJoin(F.broadcast(subject_threshold(scored)))
+    """DQI-5: has_issues, risk_category and the threshold used. The threshold is a row of its own that is found once, however often the result is read."""
+    out = scored.crossJoin(F.broadcast(staged(subject_threshold(scored), "threshold")))
     return out.withColumn("has_issues", (F.col("n_issue_types") > 0).cast("int")).withColumn("risk_category", category(F.col("threshold")))
 
 
