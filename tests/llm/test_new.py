@@ -63,7 +63,7 @@ def trie_by_hand(rows):
     return sorted((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p], ends[p]) for p, m in members.items())
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 22, 600, 40])
+@pytest.mark.parametrize("block_bytes", [1 << 22, 100])
 def test_trie_has_every_prefix_once(spark, block_bytes):
     rows = talk()
     turns = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, block string, place int").repartition(5)
@@ -74,8 +74,7 @@ def test_trie_has_every_prefix_once(spark, block_bytes):
 @pytest.mark.parametrize("rows", [[(3, 0, "user", "only one")], [(3, 0, None, None)], [(c, 0, "u", "same") for c in range(50)], [(c, t, "u", "same") for c in range(9) for t in range(c + 1)]])
 def test_small_tries(spark, rows):
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    for block_bytes in (1 << 20, 20):
-        assert sorted(map(tuple, prefixtrie.trie(turns, block_bytes=block_bytes).collect())) == trie_by_hand(rows)
+    assert sorted(map(tuple, prefixtrie.trie(turns, block_bytes=20).collect())) == trie_by_hand(rows)
 
 
 def test_trie_of_nothing(spark):
