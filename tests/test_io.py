@@ -139,6 +139,28 @@ def test_stages_run_in_order_and_complete_ones_are_skipped(spark, tmp_path):
     first = pipeline.run(spark, SMALL, str(tmp_path), ["anomalies"])
     assert first == ["master", *pipeline.order(["anomalies"])]
     assert pipeline.run(spark, SMALL, str(tmp_path), ["anomalies"]) == []
+    pipeline.run(spark, SMALL, str(tmp_path), ["anomaly_scores", "graph", "validation"])
+    made = pipeline.exports(spark, str(tmp_path))
+    assert set(made) == {"index.md", "anomalies.md", "anomalies.json", "graph.md", "validation.md", "validation.json", "graph.graphml"}
+    at = tmp_path / "exports"
+    assert json.loads((at / "anomalies.json").read_text())["total"] == spark.read.parquet(str(tmp_path / "anomalies")).count()
+    assert json.loads((at / "validation.json").read_text())["folds"] == 5 and "| Baseline | 0 |" in (at / "validation.md").read_text()
+    nodes = [x for x in ElementTree.parse(at / "graph.graphml").getroot().iter("{http://graphml.graphdrawing.org/xmlns}node")]
+    assert len(nodes) == spark.read.parquet(str(tmp_path / "nodes")).count()
+
+
+def test_a_failing_stage_ends_the_run(spark, tmp_path, monkeypatch):
+    """ORC-5, ORC-7, ORC-8."""
+    assert pipeline.DEFAULTS["validation"]["k"] == 5 and pipeline.DEFAULTS["clusters"]["largest"] == 10
+    broken = dict(pipeline.STAGES)
+    broken["risk"] = pipeline.Stage(("scored",), lambda t: 1 / 0, ("risk",))
+    monkeypatch.setattr(pipeline, "STAGES", broken)
+    with pytest.raises(ZeroDivisionError):
+        pipeline.run(spark, SMALL, str(tmp_path), ["site_metrics"])
+    assert (tmp_path / "scored" / "_SUCCESS").exists() and not (tmp_path / "site_metrics").exists()
+    monkeypatch.setattr(pipeline.scoring, "check_weights", lambda: False)
+    with pytest.raises(ValueError, match="weights"):
+        pipeline.run(spark, SMALL, str(tmp_path))
 
 
 def test_stream_and_table_agree(spark, tmp_path):

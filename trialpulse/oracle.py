@@ -125,6 +125,14 @@ CTES["a_regional"] = f"""
 SELECT 'REGIONAL_ANOMALY' AS anomaly_type, 'COUNTRY_HIGH_DQI' AS detection_method, 'country' AS level, 'Portfolio' AS study, country || ' (' || site_count || ' sites)' AS site_id, country, region, 'country_avg_dqi' AS metric, CASE WHEN dz >= 2.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, country || ' average index above portfolio' AS description, round(avg_dqi_score, 4) AS value, round(dz, 2) AS zscore FROM a_country WHERE dz >= 1.5
 UNION ALL SELECT 'REGIONAL_ANOMALY', 'COUNTRY_HIGH_RISK_RATE', 'country', 'Portfolio', country || ' (' || site_count || ' sites)', country, region, 'high_risk_rate', 'HIGH', country || ' high-risk subject rate', round(high_risk_rate, 4), round(rz, 2) FROM a_country WHERE high_risk_rate >= 0.25
 UNION ALL SELECT 'REGIONAL_ANOMALY', 'REGION_COMPARISON', 'region', 'Portfolio', region || ' (' || site_count || ' sites)', 'Multiple', region, 'region_avg_dqi', CASE WHEN z > 0 THEN 'HIGH' ELSE 'MEDIUM' END, region || ' index ' || CASE WHEN z > 0 THEN 'above' ELSE 'below' END || ' other regions', round(avg_dqi_score, 4), round(z, 2) FROM a_region_z WHERE abs(z) >= 1"""
+# the same from site rows alone
+_of_sites = "count(*) AS site_count, avg(avg_dqi_score) AS avg_dqi_score, avg(high_risk_count / GREATEST(subject_count, 1)) AS high_risk_rate FROM site GROUP BY"
+CTES["s_countries"] = f"SELECT country, region, {_of_sites} country, region"
+CTES["s_regions"] = f"SELECT region, {_of_sites} region"
+CTES["s_country"] = CTES["a_country"].replace("country_dqi", "s_countries")
+CTES["s_region"] = CTES["a_region"].replace("region_dqi", "s_regions")
+CTES["s_region_z"] = CTES["a_region_z"].replace("a_region", "s_region")
+CTES["s_regional"] = CTES["a_regional"].replace("FROM a_", "FROM s_")
 CTES["a_multi"] = """SELECT site_id, round(avg(avg_dqi_score), 10) AS avg_dqi_score, count(*) AS n, count(*) FILTER (site_risk_category = 'High') AS n_high, string_agg(study, ', ' ORDER BY study, country, region, site_risk_category) AS study,
 COALESCE(string_agg(study, ', ' ORDER BY study, country, region) FILTER (site_risk_category = 'High'), '') AS high_in, arg_min(country, (study, country, region)) AS country, arg_min(region, (study, country, region)) AS region FROM site GROUP BY site_id HAVING count(*) >= 2"""
 CTES["a_cross"] = f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import json
 import logging
 import sys
 from collections.abc import Callable
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..operators import anomaly, clustering, graph, master, perspectives, recommend, rollup, rootcause, scoring, validation
-from ..sources import files, workbook
+from ..sources import documents, files, reports, workbook
 from . import projection
 from .tables import staged
 
@@ -143,14 +144,60 @@ def run(spark: SparkSession, sf_dir: str, to: str, wanted: list[str] | None = No
     return ran
 
 
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file, in whatever store the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def exports(spark: SparkSession, to: str) -> list[str]:
+    """SNK-3..6: reports, summaries and the graph's document, of the tables that stages have written, under ``to``/exports. Gives the files' names."""
+    have = {o for s in STAGES.values() for o in (*s.requires, *s.outputs) if _exists(spark, f"{to}/{o}")}
+    texts: dict[str, Callable[[], str]] = {}
+
+    def t(name: str) -> DataFrame:
+        return spark.read.parquet(f"{to}/{name}")
+
+    def add(name: str, needs: set[str], make: Callable[[], str]) -> None:
+        if needs <= have:
+            texts[name] = make
+
+    add("index.md", {"risk", "scored", "site"}, lambda: reports.index_report(rollup.distribution(t("risk"), "risk_category"), scoring.checks(t("risk"), t("site")), scoring.component_statistics(t("scored")), scoring.overrides(t("risk"))))
+    add("anomalies.md", {"anomalies", "site_scores"}, lambda: reports.anomaly_report(anomaly.summary(t("anomalies")), t("site_scores"), t("anomalies")))
+    add("anomalies.json", {"anomalies", "site_scores"}, lambda: json.dumps(reports.anomaly_summary(anomaly.summary(t("anomalies")), t("site_scores")), indent=1))
+    add("perspectives.md", {"consensus"}, lambda: reports.consensus_report(t("consensus")))
+    add("clusters.md", {"cluster_profiles"}, lambda: reports.cluster_report(t("cluster_profiles")))
+    add("graph.md", {"nodes", "edges", "risk", "study"}, lambda: reports.graph_report(graph.counts(t("nodes"), t("edges")), graph.risk_by_country(t("risk")), t("study")))
+    add("site_actions.txt", {"site_recommendations"}, lambda: reports.site_actions(t("site_recommendations")))
+    add("summary.txt", {"risk", "site", "site_recommendations", "subject_recommendations", "region_recommendations", "country_recommendations"}, lambda: reports.executive_summary(recommend.action_items(t("risk"), t("site"), t("site_recommendations"), t("region_recommendations"), t("country_recommendations")), t("site_recommendations"), recommend.issue_totals(t("subject_recommendations"))))
+    add("root_causes.txt", {"causes", "cooccurrence", "geography"}, lambda: reports.root_cause_report(t("causes"), rootcause.patterns(t("cooccurrence"), **DEFAULTS["root_causes"]), t("geography")))
+    if {"folds", "sensitivity", "risk"} <= have:
+        pred = validation.predictions(t("folds"), DEFAULTS["validation"]["k"])
+        folds = staged(validation.fold_results(pred, t("risk")), "fold_results")
+        texts["validation.md"] = lambda: reports.validation_report(folds, validation.stability(folds), validation.rank_correlation(pred), t("sensitivity"))
+        texts["validation.json"] = lambda: json.dumps(reports.validation_summary(folds, validation.stability(folds), t("sensitivity")), indent=1)
+    for name, make in texts.items():
+        _put(spark, f"{to}/exports/{name}", make())
+    out = list(texts)
+    if {"nodes", "edges"} <= have:
+        documents.write_graphml(t("nodes"), t("edges"), f"{to}/exports/graph.graphml")
+        out.append("graph.graphml")
+    return out
+
+
 def main(arguments: list[str] | None = None) -> int:
-    """ORC-2: python -m trialpulse.plans.pipeline SOURCE OUT [--stages a,b] [--again] [--workbooks] [--list]."""
+    """ORC-2: python -m trialpulse.plans.pipeline SOURCE OUT [--stages a,b] [--again] [--workbooks] [--exports] [--list]."""
     p = argparse.ArgumentParser(prog="trialpulse", description="Run the stages of the data quality pipeline.")
     p.add_argument("source", nargs="?", help="folder of the tables, or of the workbooks")
     p.add_argument("to", nargs="?", help="folder for the results")
     p.add_argument("--stages", help="stages to run, with those that they need; all unless given")
     p.add_argument("--again", action="store_true", help="run stages again that are complete")
     p.add_argument("--workbooks", action="store_true", help="the source is a folder of workbooks")
+    p.add_argument("--exports", action="store_true", help="write reports and documents of the results")
     p.add_argument("--list", action="store_true", help="name the stages and end")
     o = p.parse_args(arguments)
     if o.list:
@@ -165,6 +212,8 @@ def main(arguments: list[str] | None = None) -> int:
         print("\n".join(missing), file=sys.stderr)
         return 1
     print("\n".join(run(spark, o.source, o.to, wanted, o.again, o.workbooks)))
+    if o.exports:
+        print("\n".join(exports(spark, o.to)))
     return 0
 
 

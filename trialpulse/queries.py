@@ -192,6 +192,7 @@ register("risk_distribution", " UNION ALL ".join(f"SELECT '{k}' AS category, cou
 register("anomaly_statistical", "SELECT * FROM a_statistical")(lambda d: anomaly.statistical(d.site))
 register("anomaly_pattern", "SELECT * FROM a_pattern")(lambda d: anomaly.pattern(d.site))
 register("anomaly_regional", "SELECT * FROM a_regional")(lambda d: anomaly.regional(d.site, d.country, d.region))
+register("anomaly_regional_sites", "SELECT * FROM s_regional")(lambda d: anomaly.regional(d.site))
 register("anomaly_cross_study", "SELECT * FROM a_cross")(lambda d: anomaly.cross_study(d.site))
 register("anomaly_density", "SELECT * FROM a_density")(lambda d: anomaly.density(d.site))
 register("anomaly_density_low", dense(1.0, 2.0))(lambda d: anomaly.density(d.site, 1.0, 2.0))
