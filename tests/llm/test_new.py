@@ -200,7 +200,7 @@ def test_line_rules(spark):
     assert linerules.judge(docs).count() == len(TEXTS) + 2 and linerules.judge(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("line, stays", [("A sentence of five words.", True), ("A heading without an end", False), ('"Is it?" she asked.', True), ("Go! Now! Run! Fast! Away!", False), ("one | two | three | four.", False), ("th*** is### a$$$ bad%%% line.", False), ("Back to top.", False), ("Home is where the heart is, they say, and they are right.", True), ("Read our privacy policy before you go on.", False), ("Er sagte: „Gut.“", False), ("Fin…", True)])
+@pytest.mark.parametrize("line, stays", [("A sentence of five words.", True), ("A heading without an end", False), ("It ends. And then goes on without", True), ("no " * 70 + "end.", True), ("no. " + "no " * 70, False), ('"Is it?" she asked.', True), ("Go! Now! Run! Fast! Away!", False), ("one | two | three | four.", False), ("th*** is### a$$$ bad%%% line.", False), ("Back to top.", False), ("Home is where the heart is, they say, and they are right.", True), ("Read our privacy policy before you go on.", False), ("Er sagte „Gut.“", True), ("Fin…", True)])
 def test_each_rule(line, stays):
     assert linerules.line_stays(line, WORD.findall(line)) is stays
 

@@ -2,9 +2,10 @@
 
 Every line with a word is judged by itself:
 
-* punctuation: it ends like a sentence (a mark of END, perhaps inside quotes or
-  brackets), no more than SHOUTED % of its words end in ! or ?, and symbols are
-  no more than SYMBOLS % of its words' characters;
+* punctuation: its last word, or one in SENTENCE of its words at least, ends like
+  a sentence (a mark of END, perhaps before quotes or brackets), no more than
+  SHOUTED % end in ! or ?, and symbols are no more than SYMBOLS % of its words'
+  characters;
 * navigation: separators are no more than SEPARATED % of its words, and a line of
   up to SHORT words holds none of the menu phrases;
 * boilerplate: a line of up to LONG words holds none of the boilerplate phrases.
@@ -37,14 +38,14 @@ from .shared import frugal
 
 # Fixed values of the line rules.
 END = ".!?…:;。！？；："
-CLOSE = "\"'”’»)]"
-SHOUTED, SYMBOLS, SEPARATED, SHORT, LONG, LOST = 30, 15, 15, 6, 40, 50
+CLOSE = "\"'“”’»)]"
+SENTENCE, SHOUTED, SYMBOLS, SEPARATED, SHORT, LONG, LOST = 60, 30, 15, 15, 6, 40, 50
 SEPARATORS = ["|", "»", "›", "•", "·", ">", "→", "/"]
 MENU = ["home", "menu", "log in", "login", "sign in", "sign up", "next page", "previous page", "back to top", "read more", "skip to content", "site map"]
 BOILERPLATE = ["all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "we use cookies", "enable javascript", "lorem ipsum", "click here", "subscribe to our newsletter", "powered by", "licensed under"]
 
 WORD = r"[^\x20\x09-\x0D]+"
-ENDING = rf"[{re.escape(END)}][{re.escape(CLOSE)}]*[\x20\x09-\x0D]*$"
+ENDING = rf"[{re.escape(END)}][{re.escape(CLOSE)}]*$"
 SHOUT = rf"[!?][{re.escape(CLOSE)}]*$"
 SYMBOL = r"[#*$%&|<>]"
 
@@ -54,15 +55,16 @@ def phrase(phrases: list[str]) -> str:
     return r"(?i)(^|[^a-z])(" + "|".join(phrases) + r")([^a-z]|$)"
 
 
-_word, _shout, _symbol, _menu, _boiler = (re.compile(p) for p in (WORD, SHOUT, SYMBOL, phrase(MENU).replace("(?i)", "(?ia)"), phrase(BOILERPLATE).replace("(?i)", "(?ia)")))
-_ending = re.compile(ENDING.removesuffix("$") + r"\Z")
+_word, _ending, _shout, _symbol, _menu, _boiler = (re.compile(p) for p in (WORD, ENDING, SHOUT, SYMBOL, phrase(MENU).replace("(?i)", "(?ia)"), phrase(BOILERPLATE).replace("(?i)", "(?ia)")))
 _separators = frozenset(SEPARATORS)
 
 
 def line_stays(line: str, words: list[str]) -> bool:
     """Does a line with these words (at least one) pass the rules?"""
     n = len(words)
-    if not _ending.search(line) or 100 * sum(w in _separators for w in words) > SEPARATED * n:
+    if not _ending.search(words[-1]) and SENTENCE * sum(_ending.search(w) is not None for w in words) < n:
+        return False
+    if 100 * sum(w in _separators for w in words) > SEPARATED * n:
         return False
     if ("!" in line or "?" in line) and 100 * sum(_shout.search(w) is not None for w in words) > SHOUTED * n:
         return False

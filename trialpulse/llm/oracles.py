@@ -95,7 +95,7 @@ def _text(pattern: str) -> str:
 
 OP12 = f"""WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, regexp_extract_all(COALESCE(text, ''), '{_SPACE}') AS w FROM documents),
 l AS (SELECT doc_id, line, regexp_extract_all(line, '{_SPACE}') AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-j AS (SELECT doc_id, line, len(w) AS n, regexp_matches(line, {_text(_lines.ENDING)}) AND 100 * len(list_filter(w, lambda x: x IN ({', '.join(map(_text, _lines.SEPARATORS))}))) <= {_lines.SEPARATED} * len(w)
+j AS (SELECT doc_id, line, len(w) AS n, (regexp_matches(w[-1], {_text(_lines.ENDING)}) OR {_lines.SENTENCE} * len(list_filter(w, lambda x: regexp_matches(x, {_text(_lines.ENDING)}))) >= len(w)) AND 100 * len(list_filter(w, lambda x: x IN ({', '.join(map(_text, _lines.SEPARATORS))}))) <= {_lines.SEPARATED} * len(w)
   AND 100 * len(list_filter(w, lambda x: regexp_matches(x, {_text(_lines.SHOUT)}))) <= {_lines.SHOUTED} * len(w) AND 100 * len(regexp_extract_all(line, {_text(_lines.SYMBOL)})) <= {_lines.SYMBOLS} * length(array_to_string(w, ''))
   AND NOT (len(w) <= {_lines.SHORT} AND regexp_matches(line, {_text(_lines.phrase(_lines.MENU))})) AND NOT (len(w) <= {_lines.LONG} AND regexp_matches(line, {_text(_lines.phrase(_lines.BOILERPLATE))})) AS good FROM l WHERE len(w) > 0),
 p AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, count(*) FILTER (NOT good) AS failed, COALESCE(sum(n) FILTER (NOT good), 0) AS lost FROM j GROUP BY doc_id),
