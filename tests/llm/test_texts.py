@@ -387,6 +387,24 @@ def test_byte_repeats_of_crowded_contexts(docs, heavy):
     assert sorted(prefixfree.remove_repeats(docs, heavy=heavy).collect()) == sorted(prefixfree.remove_repeats(docs).collect())
 
 
+def test_phrases_of_a_context_keep_their_order_where_rows_of_a_block_do_not():
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(600))
+    rows = []
+    for i in range(40):
+        at = rng.randrange(600)
+        rows.append((i, base[:at] + "#" * rng.randint(1, 3) + base[at:]))
+    sent = []
+    for some in (rows, rows[::-1], rng.sample(rows, 40)):
+        p = prefixfree._Parse(pa.table({"text": [t for _, t in some]}), 200, 100, 16)
+        distinct, count, index = p.dictionary()
+        marks = np.where(count > 1, prefixfree.REPEATED | prefixfree.FIRST | prefixfree.SHARED, prefixfree.SHARED).astype(np.int8)
+        calm, _ = p.chosen(marks, distinct, index)
+        assert len(np.unique(p.context[calm])) < len(calm)
+        sent.append(p.pack(0, calm, 4).to_pylist())
+    assert sent[0] == sent[1] == sent[2]
+
+
 def test_quality_risk_gradient_and_prior_agree_with_direct_computation():
     rng = np.random.default_rng(2)
     x_p, x_u = rng.normal(0.7, 1, (40, 6)), np.concatenate([rng.normal(0.7, 1, (30, 6)), rng.normal(-0.7, 1, (30, 6))])

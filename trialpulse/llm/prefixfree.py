@@ -89,14 +89,14 @@ class _Parse:
         return order[head], np.diff(np.append(head, len(order))), index
 
     def chosen(self, marks: np.ndarray, distinct: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Phrases to be put in order, by context, and those of crowded contexts: single ones that share a context, and one copy of each repeated one."""
+        """Phrases to be put in order, by context and names, and those of crowded contexts: single ones that share a context, and one copy of each repeated one. Every read of a block may bring its rows in another order, so nothing hangs on theirs."""
         own = marks[index]
         first = np.zeros(len(index), bool)
         first[distinct] = True
         ask = ((own & SHARED) > 0) & (((own & REPEATED) == 0) | (((own & FIRST) > 0) & first))
         crowded = (own & CROWDED) > 0
         calm = np.flatnonzero(ask & ~crowded)
-        return calm[np.argsort(self.context[calm], kind="stable")], np.flatnonzero(ask & crowded)
+        return calm[np.argsort(index[calm])], np.flatnonzero(ask & crowded)
 
     def windows(self, phrases: np.ndarray) -> np.ndarray:
         """Places among ``starts`` of all windows of these phrases, in their order."""
