@@ -235,6 +235,34 @@ def test_silhouettes_of_many_labellings_by_tiles(spark, tile):
     assert silhouette.silhouettes(df.where("id < 0"), "id", "labels", ["a", "b"]).collect() == []
 
 
+def test_silhouettes_shuffle_as_many_bytes_a_point_for_more_points(spark):
+    def written():
+        return sum(e.totalShuffleWrite() for e in (lambda l: [l.apply(i) for i in range(l.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+
+    rng = np.random.default_rng(4)
+    x, label = rng.normal(0, 1, (4000, 8)), rng.integers(0, 3, 4000)
+    names = [f"x{i}" for i in range(8)]
+    sent = []
+    for n in (1000, 4000):
+        df = spark.createDataFrame([(i, *map(float, x[i]), [int(label[i])]) for i in range(n)], ["id", *names, "labels"]).withColumn("labels", F.col("labels").cast("array<int>"))
+        before = written()
+        got = silhouette.silhouettes(df, "id", "labels", names, tile=16).first()
+        sent.append(written() - before)
+        points, mean = silhouette_by_hand(x[:n], label[:n])
+        assert (got.points, got.silhouette) == (points, pytest.approx(mean, abs=1e-9))
+    assert 0 < sent[1] < 5 * sent[0]
+
+
+@pytest.mark.parametrize("bound", [60, 1000])
+def test_silhouettes_of_more_bands(spark, monkeypatch, bound):
+    monkeypatch.setattr(silhouette, "BAND_BYTES", bound)
+    _, x = blobs(spark, 40, 2.0)
+    label = np.arange(40) % 3
+    df = spark.createDataFrame([(i, *map(float, p), [int(label[i])]) for i, p in enumerate(x)], "id long, a double, b double, labels array<int>")
+    got = silhouette.silhouettes(df, "id", "labels", ["a", "b"]).first()
+    assert (got.points, got.silhouette) == (40, pytest.approx(silhouette_by_hand(x, label)[1], abs=1e-9))
+
+
 def dbscan_by_hand(x, eps, least):
     near = ((x[:, None] - x[None]) ** 2).sum(2) <= eps * eps
     core = near.sum(1) >= least

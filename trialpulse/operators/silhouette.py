@@ -1,9 +1,13 @@
 """CLU-7: Euclidean silhouettes of one or many labellings, tile by tile.
 
-Points fall into tiles. Every pair of tiles meets once; a task holds two tiles
-and adds the distances up by point and cluster, so no pair of points is a row.
-The sums of a tile are streamed together over the tiles that it met, and give
-the mean silhouette of each labelling.
+Points fall into tiles, and tiles into bands. Every pair of bands meets once; a
+task holds two bands and adds the distances up by point and cluster, tile by
+tile, so no pair of points is a row. The sums of a tile are streamed together
+over the bands that it met, and give the mean silhouette of each labelling.
+
+A point is sent once to each band, so the number of bands is fixed while a band
+fits BAND_BYTES: what is shuffled then grows as the points do. Beyond that
+(1.3 million points of 64 dimensions and 10 clusters) bands stay bounded and their number grows.
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import staged
 
-#: Points of a tile, and rows of a tile that meet another at a time.
+#: Points of a tile at most, and rows of a tile that meet another at a time.
 TILE, STRIP = 2048, 512
+#: Bands at least, and bytes of a band's points, labels and sums at most.
+BANDS, BAND_BYTES = 16, 48 << 20
 
 
 def _sums(x: np.ndarray, y: np.ndarray, labels: np.ndarray, sizes: list[int]) -> np.ndarray:
@@ -61,8 +67,9 @@ def silhouettes(points: DataFrame, key: str, labels: str, dims: list[str], tile:
     count = [np.zeros(s) for s in sizes]
     for r in each:
         count[r.i][r.label] = r["count"]
-    tiles = max(1, math.ceil(rows.count() / tile))
-    d, wide = len(dims), len(sizes)
+    n, d, wide = rows.count(), len(dims), len(sizes)
+    bands = max(BANDS, math.ceil(n * (8 * d + 4 * wide + 8 * sum(sizes)) / BAND_BYTES))
+    tiles = bands * math.ceil(n / (tile * bands))  # as many in each band
 
     def pack(key_, table):
         x = table["x"].combine_chunks().flatten().to_numpy()
@@ -70,23 +77,24 @@ def silhouettes(points: DataFrame, key: str, labels: str, dims: list[str], tile:
         return pa.table({"tile": pa.array([key_[0].as_py()], pa.int32()), "x": pa.array([x.tobytes()], pa.binary()), "labels": pa.array([got.astype(np.int32).tobytes()], pa.binary())})
 
     packed = staged(rows.withColumn("tile", F.pmod("h", F.lit(tiles)).cast("int")).groupBy("tile").applyInArrow(pack, "tile int, x binary, labels binary"), "tiles")
-    other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other")
-    pairs = packed.select("*", other).withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")})
+    other = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("other")
+    pairs = packed.withColumn("band", F.pmod("tile", F.lit(bands))).select("*", other).withColumns({"a": F.least("band", "other"), "b": F.greatest("band", "other")})
 
     def meet(key_, table):
-        got = {t: (np.frombuffer(x).reshape(-1, d), np.frombuffer(lab, np.int32).reshape(-1, wide), lab) for t, x, lab in zip(*(table[c].to_pylist() for c in ("tile", "x", "labels")))}
+        got: dict[int, list] = {}
+        for t, band, x, lab in zip(table["tile"].to_pylist(), table["band"].to_pylist(), table["x"], table["labels"]):
+            got.setdefault(band, []).append((t, np.frombuffer(x.as_buffer()).reshape(-1, d), np.frombuffer(lab.as_buffer(), np.int32).reshape(-1, wide)))
         a, b = key_[0].as_py(), key_[1].as_py()
-        if a not in got or b not in got:  # a tile without points
-            out = []
-        elif a == b:
-            x, lab, raw = got[a]
-            out = [(a, _sums(x, x, lab, sizes).tobytes(), raw)]
-        else:
-            (x, lx, _), (y, ly, _) = got[a], got[b]
-            out = [(a, _sums(x, y, ly, sizes).tobytes(), None), (b, _sums(y, x, lx, sizes).tobytes(), None)]
-        return pa.table({"tile": pa.array([o[0] for o in out], pa.int32()), "sums": pa.array([o[1] for o in out], pa.binary()), "labels": pa.array([o[2] for o in out], pa.binary())})
-
-    met = pairs.select("a", "b", "tile", "x", "labels").groupBy("a", "b").applyInArrow(meet, "tile int, sums binary, labels binary")
+        out: dict[str, list] = {"tile": [], "sums": [], "labels": []}
+        for one, two in {(a, b), (b, a)}:
+            for t, x, lab in got.get(one, []):
+                met_ = sum((_sums(x, y, ly, sizes) for _, y, ly in got.get(two, [])), np.zeros((len(x), sum(sizes))))
+                out["tile"].append(t)
+                out["sums"].append(met_.tobytes())
+                out["labels"].append(lab.tobytes() if a == b else None)
+        return pa.table(out, schema=pa.schema([("tile", pa.int32()), ("sums", pa.binary()), ("labels", pa.binary())]))
+
+    met = pairs.select("a", "b", "tile", "band", "x", "labels").groupBy("a", "b").applyInArrow(meet, "tile int, sums binary, labels binary")
 
     def finish(key_, batches):
         whole, lab = None, None
